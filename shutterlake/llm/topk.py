@@ -15,7 +15,7 @@ an empty result. Other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,7 +86,7 @@ def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             )
 
 
-def _histograms(bins: int):
+def _histograms(bins: int) -> Callable:
     """Counts by query and bin. Bin b covers [lo + b * width, lo + (b + 1) * width); what is above the range is bin ``bins``."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +104,7 @@ def _histograms(bins: int):
     return count
 
 
-def _candidates(k: int):
+def _candidates(k: int) -> Callable:
     """Scores at or above each query's k-th value; of a block, at most the k best by (score, smaller id), as no other can be chosen."""
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +114,7 @@ def _candidates(k: int):
             for at in range(0, len(q), 64):
                 found = []
                 for i, row in enumerate(_dots(q[at : at + 64], v), at):
-                    ok = np.nonzero((row >= lo[i]) & (ids != q_ids[i]))[0]
+                    ok = np.nonzero((np.maximum(row, -_REACH) >= lo[i]) & (ids != q_ids[i]))[0]
                     ok = ok[np.argsort(~row[ok], kind="stable")][:k]  # ~x falls as x rises, without overflow
                     found.append((np.full(len(ok), q_ids[i]), ids[ok], row[ok]))
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))

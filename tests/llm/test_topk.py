@@ -42,5 +42,5 @@ def test_no_queries_and_empty(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [2.0**40, 1.0], None), (1, [2.0**20, 1.0], None), (2, [2.0**20, 2.0], None), (3, [-(2.0**40), 0.0], None)]
     got = sorted(run(spark, rows))
-    assert [x[2] for x in got] == [2, 1, 3]
+    assert [x[2] for x in got] == [1, 2, 3]
     assert got[0][3] == got[1][3] == (1 << 63) - 1 and got[2][3] == -(1 << 63)
