@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.operators.components import connected_components
-from shutterlake.session import cut
+from shutterlake.session import cut, written
 from shutterlake.sources.tables import read_table
 
 #: (first bit, bits) of the six blocks; three of them are a key.
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the first by ``doc_id`` (nulls last), with its own columns."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # the same for each read of the same files
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = near_duplicates(numbered.select(rank.alias("rank"), "text"), "rank", "text", width, radius)
     stays = groups.filter(F.col("rank") == F.col("component_id")).select(F.col("rank.row").alias("_row"))
