@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the DuckDB forms of those that SQL can express."""
 
-from shutterlake.llm import bpe, exact_dedup, mixing, simhash, token_counts, topk
+from shutterlake.llm import bpe, exact_dedup, language_id, mixing, quality, simhash, token_counts, topk
 
 QUERIES = {
     "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_ordinal_quality": quality.op10_ordinal_quality,
 }
 ORACLES = {
     "op3_exact_top_k": topk.SQL,
