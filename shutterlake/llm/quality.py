@@ -69,7 +69,7 @@ class Ordinal:
     thresholds: np.ndarray
 
     def scores(self, features: list[np.ndarray]) -> np.ndarray:
-        ends = np.cumsum([len(f) for f in features])
+        ends = np.cumsum([len(f) for f in features], dtype=int)
         sums = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate(features)])]) if len(features) and ends[-1] else np.zeros(1)
         return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
@@ -141,7 +141,8 @@ def learned(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordina
             yield part.map(lambda text: own.of(text).astype("<i4").tobytes())
 
     # at most `sample` rows of two numbers, so this side is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", features("text").alias("f")).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", features("text").alias("f"))
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "f").limit(sample).collect()  # an id may be on many rows
     rows.sort(key=lambda r: (r.doc_id, r.grade, r.f))
     if not rows:
         return None
