@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and the DuckDB forms of those that SQL can express."""
 
-from shutterlake.llm import bpe, exact_dedup, language_id, licenses, mixing, quality, simhash, token_counts, topk
+from shutterlake.llm import bpe, exact_dedup, katz, language_id, licenses, mixing, quality, simhash, token_counts, topk
 
 QUERIES = {
     "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
+    "op2_katz_backoff": katz.op2_katz_backoff,
     "op3_exact_top_k": topk.op3_exact_top_k,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
