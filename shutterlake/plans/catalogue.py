@@ -1,4 +1,6 @@
-"""Registered catalogue queries and their DuckDB forms."""
+"""All registered catalogue queries and their DuckDB forms."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from shutterlake.plans import core
+
+QUERIES: dict = dict(core.QUERIES)
+ORACLES: dict = dict(core.ORACLES)
