@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.bpe import Pieces, broadcast_model
+from shutterlake.session import written
 from shutterlake.sources.tables import read_table
 
 CONTEXT = 16
@@ -172,6 +173,7 @@ def review_edits() -> F.Column:
 
 def op1_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", review_edits())
-    before = build_trees(docs).withColumn("n_tokens_before", F.col("tree.n_tokens"))
-    after = apply_edits(before)
+    # the trees are a table of their own, which edits that come later are applied to
+    trees = written(build_trees(docs), "trees").withColumn("n_tokens_before", F.col("tree.n_tokens"))
+    after = apply_edits(trees)
     return after.select("doc_id", "n_tokens_before", F.col("tree.n_tokens").alias("n_tokens"), F.col("tree.n_chars").alias("n_chars"), F.col("tree.n_pieces").alias("n_pieces"), F.col("reencoded").alias("n_reencoded"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
