@@ -1,6 +1,6 @@
 """All registered catalogue queries and their DuckDB forms."""
 
-from shutterlake.plans import core
+from shutterlake.plans import core, matching
 
-QUERIES: dict = dict(core.QUERIES)
-ORACLES: dict = dict(core.ORACLES)
+QUERIES: dict = core.QUERIES | matching.QUERIES
+ORACLES: dict = core.ORACLES | matching.ORACLES

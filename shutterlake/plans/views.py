@@ -107,4 +107,6 @@ def duckdb_sql(body: str) -> str:
     body = plain(body).strip()
     if not views:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
