@@ -121,13 +121,15 @@ class Pieces:
                 self.packed[piece] = found
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        pieces = self.split(text or "")
-        known = self.packed
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each pre-token."""
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return list(map(self.packed.__getitem__, pieces))
         except KeyError:
-            return b"".join(map(self.ids_of, pieces))
+            return list(map(self.ids_of, pieces))
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.each(self.split(text or "")))
 
     def decode(self, packed: bytes | None) -> str:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(packed or b"", "<u4").tolist())).decode("utf-8", "replace")

@@ -33,58 +33,66 @@ EDITS = "array<struct<pos:bigint,del:bigint,ins:string>>"
 
 
 class PieceTree:
-    """Sums of characters and tokens over leaves; a leaf holds one pre-token at first, later as many as an edit left there."""
+    """Sums of characters and tokens over leaves. A leaf is one pre-token at first; those that edits have touched hold any number of them in ``changed``."""
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray):
-        self.leaves = [[(int(c), int(t))] for c, t in zip(chars, tokens, strict=True)] or [[]]
-        self._sum()
-
-    def _sum(self) -> None:
+        self.leaves = np.stack([chars, tokens], axis=1).astype(np.int64) if len(chars) else np.zeros((1, 2), np.int64)
+        self.changed: dict[int, list[tuple[int, int]]] = {} if len(chars) else {0: []}
         size = 1 << (len(self.leaves) - 1).bit_length()
         level = np.zeros((size, 2), np.int64)
-        level[: len(self.leaves)] = [(sum(c for c, _ in x), sum(t for _, t in x)) for x in self.leaves]
+        level[: len(self.leaves)] = self.leaves
         levels = [level]
         while len(levels[-1]) > 1:
             levels.append(levels[-1][0::2] + levels[-1][1::2])
-        self.size, self.sums = size, np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]]).tolist()
+        self.size, self.sums = size, np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]])
 
     @property
     def total(self) -> tuple[int, int]:
-        return tuple(self.sums[1])
+        return int(self.sums[1, 0]), int(self.sums[1, 1])
 
     def find(self, pos: int) -> tuple[int, int]:
         """The leaf that holds character ``pos`` and where it starts; past the end: one past the last leaf, and the end."""
-        if pos >= self.sums[1][0]:
-            return len(self.leaves), self.sums[1][0]
-        node, start = 1, 0
+        if pos >= self.sums[1, 0]:
+            return len(self.leaves), int(self.sums[1, 0])
+        node, start, sums = 1, 0, self.sums
         while node < self.size:
             node *= 2
-            if pos >= start + self.sums[node][0]:
-                start += self.sums[node][0]
+            left = int(sums[node, 0])
+            if pos >= start + left:
+                start += left
                 node += 1
         return node - self.size, start
 
+    def held(self, leaf: int) -> list[tuple[int, int]]:
+        own = self.changed.get(leaf)
+        return [tuple(self.leaves[leaf].tolist())] if own is None else own
+
     def replace(self, first: int, last: int, pieces: list[tuple[int, int]]) -> None:
         """Leaves first..last-1 give way to ``pieces``, all in the first of them; with none between, they come before what it holds."""
         if last <= first:
-            pieces = pieces + self.leaves[first]
-        touched = set()
-        for i in range(first, max(last, first + 1)):
-            self.leaves[i] = pieces if i == first else []
-            node = i + self.size
-            self.sums[node] = [sum(c for c, _ in self.leaves[i]), sum(t for _, t in self.leaves[i])]
-            touched.add(node >> 1)
-        while touched and 0 not in touched:
-            for node in touched:
-                (a, b), (c, d) = self.sums[2 * node], self.sums[2 * node + 1]
-                self.sums[node] = [a + c, b + d]
-            touched = {x >> 1 for x in touched}
+            pieces = pieces + self.held(first)
+        last = max(last, first + 1)
+        self.changed |= {i: [] for i in range(first, last)} | {first: pieces}
+        lo, hi = first + self.size, last - 1 + self.size
+        self.sums[lo : hi + 1] = 0
+        self.sums[lo] = (sum(c for c, _ in pieces), sum(t for _, t in pieces))
+        while lo > 1:  # the sums above the leaves that changed, level by level
+            lo, hi = lo >> 1, hi >> 1
+            self.sums[lo : hi + 1] = self.sums[2 * lo : 2 * hi + 2 : 2] + self.sums[2 * lo + 1 : 2 * hi + 2 : 2]
         if len(pieces) > CROWDED:
-            self.leaves = [[x] for leaf in self.leaves for x in leaf] or [[]]
-            self._sum()
+            flat = self.flat()
+            self.__init__(flat[:, 0], flat[:, 1])
+
+    def flat(self) -> np.ndarray:
+        """Characters and tokens of each pre-token in order."""
+        parts, at = [], 0
+        for leaf, own in sorted(self.changed.items()):
+            parts += [self.leaves[at:leaf], np.array(own, np.int64).reshape(-1, 2)]
+            at = leaf + 1
+        return np.concatenate([*parts, self.leaves[at:]])
 
     def packed(self) -> tuple[bytes, bytes]:
-        flat = np.array([x for leaf in self.leaves for x in leaf], dtype="<u4").reshape(-1, 2)
+        flat = self.flat().astype("<u4")
         return flat[:, 0].tobytes(), flat[:, 1].tobytes()
 
 
@@ -132,7 +140,7 @@ def build_trees(docs: DataFrame, text_col: str = "text", path: str | None = None
             for text in part:
                 own = pieces.split(text or "")
                 chars = np.fromiter(map(len, own), "<u4", len(own))
-                tokens = np.fromiter(map(len, map(pieces.ids_of, own)), "<u4", len(own)) // 4
+                tokens = np.fromiter(map(len, pieces.each(own)), "<u4", len(own)) // 4
                 rows.append((int(chars.sum()), int(tokens.sum()), len(own), chars.tobytes(), tokens.astype("<u4").tobytes()))
             yield pd.DataFrame(rows, columns=["n_chars", "n_tokens", "n_pieces", "chars", "tokens"])
 
