@@ -171,11 +171,10 @@ def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     return df.withColumn(out, decoder(broadcast_model(df.sparkSession, path))(F.col(ids_col)))
 
 
-def unpacked(ids: Column) -> Column:
+@F.pandas_udf("array<long>")
+def unpacked(ids: pd.Series) -> pd.Series:
     """Packed ids as an array of longs."""
-    digits = F.hex(ids)
-    at = lambda i: F.concat(*[F.substring(digits, i * 8 + 2 * k + 1, 2) for k in (3, 2, 1, 0)])
-    return F.when(F.length(ids) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(ids) / 4).cast("int") - 1), lambda i: F.conv(at(i), 16, 10).cast("long")))
+    return ids.map(lambda x: np.frombuffer(x or b"", "<u4").astype(np.int64))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
