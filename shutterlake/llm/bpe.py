@@ -171,10 +171,14 @@ def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     return df.withColumn(out, decoder(broadcast_model(df.sparkSession, path))(F.col(ids_col)))
 
 
-@F.pandas_udf("array<long>")
-def unpacked(ids: pd.Series) -> pd.Series:
+def unpacked(ids: Column) -> Column:
     """Packed ids as an array of longs."""
-    return ids.map(lambda x: np.frombuffer(x or b"", "<u4").astype(np.int64))
+
+    @F.pandas_udf("array<long>")
+    def unpack(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda x: np.frombuffer(x or b"", "<u4").astype(np.int64))
+
+    return unpack(ids)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
