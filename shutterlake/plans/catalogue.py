@@ -1,6 +1,6 @@
 """All registered catalogue queries and their DuckDB forms."""
 
-from shutterlake.plans import core, matching
+from shutterlake.plans import core, library, matching
 
-QUERIES: dict = core.QUERIES | matching.QUERIES
-ORACLES: dict = core.ORACLES | matching.ORACLES
+QUERIES: dict = core.QUERIES | matching.QUERIES | library.QUERIES
+ORACLES: dict = core.ORACLES | matching.ORACLES | library.ORACLES

@@ -24,7 +24,6 @@ def query(name: str, sql: str):
 
 
 LIVE = "NOT is_trashed"
-NOW = F.lit("1998-08-15 12:00:00").cast("timestamp")
 
 
 @query("a1_timeline", "SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM {photos} WHERE NOT is_trashed AND NOT is_archived GROUP BY 1")
@@ -255,7 +254,7 @@ def _(c):
 @query("f17_memories", """WITH l AS (SELECT * FROM {photos} WHERE NOT is_trashed), f AS (SELECT id, count(*) OVER () AS a FROM l WHERE is_favorite), h AS (SELECT id, count(*) OVER () AS a FROM (SELECT id FROM l ORDER BY created_at DESC, id DESC LIMIT 10))
 SELECT 'last_year' AS kind, id FROM l WHERE year(created_at) = 1997 AND month(created_at) = 8 UNION ALL SELECT 'favorites', id FROM f WHERE a >= 2 UNION ALL SELECT 'highlights', id FROM h WHERE a >= 3""")
 def _(c):
-    return op.memories(c.photos, NOW)
+    return op.memories(c.photos, F.lit("1998-08-15 12:00:00").cast("timestamp"))
 
 
 @query("j1_album_photos", "SELECT p.id, b.album_id, b.position FROM {photos} p JOIN {album_photos} b ON b.photo_id = p.id WHERE NOT is_trashed")
