@@ -17,12 +17,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shutterlake.sources.tables import read_table
 
@@ -141,34 +143,47 @@ def broadcast_model(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(model) -> Column:
-    @F.pandas_udf("binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(model.value)
-        for part in texts:
-            yield part.map(pieces.encode)
+#: Rows of a batch that are encoded or decoded before they are passed on.
+SLICE = 256
 
-    return encode
 
+def _mapped(df: DataFrame, added: dict[str, str], path: str | None, work: Callable) -> DataFrame:
+    """``df`` with columns ``added`` (name: type) from ``work(pieces, slice)``, slice by slice in one Python process a task; other columns pass through untouched."""
+    model = broadcast_model(df.sparkSession, path)
+    kept = [c for c in df.columns if c not in added]
 
-def decoder(model) -> Column:
-    @F.pandas_udf("string")
-    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
-        for part in ids:
-            yield part.map(pieces.decode)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                new = dict(zip(added, work(pieces, part), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + list(new.values()), kept + list(new))
 
-    return decode
+    schema = StructType([df.schema[c] for c in kept])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return df.mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with the packed ids of each text in column ``out``."""
-    return docs.withColumn(out, encoder(broadcast_model(docs.sparkSession, path))(F.col(text_col)))
+    return _mapped(docs, {out: "binary"}, path, lambda pieces, part: [pa.array(map(pieces.encode, part.column(text_col).to_pylist()), pa.binary())])
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of packed ids in column ``out``; bytes that are no UTF-8 become U+FFFD."""
-    return df.withColumn(out, decoder(broadcast_model(df.sparkSession, path))(F.col(ids_col)))
+    return _mapped(df, {out: "string"}, path, lambda pieces, part: [pa.array(map(pieces.decode, part.column(ids_col).to_pylist()), pa.string())])
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, the text decoded from them."""
+
+    def both(pieces: Pieces, part: pa.RecordBatch) -> list[pa.Array]:
+        ids = list(map(pieces.encode, part.column(text_col).to_pylist()))
+        return [pa.array(ids, pa.binary()), pa.array(map(pieces.decode, ids), pa.string())]
+
+    return _mapped(docs, {"ids": "binary", "decoded": "string"}, path, both)
 
 
 def unpacked(ids: Column) -> Column:
@@ -182,5 +197,5 @@ def unpacked(ids: Column) -> Column:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = decoded(encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -3,7 +3,7 @@ import random
 
 from tokenizers import Tokenizer
 
-from shutterlake.llm.bpe import Pieces, decoded, encoded, unpacked, vocabulary_path
+from shutterlake.llm.bpe import Pieces, decoded, encoded, round_trip, unpacked, vocabulary_path
 from shutterlake.llm.token_counts import EDITS, apply_edits, build_trees
 
 WORDS = ["Hello", " it's", "we'll", "  ", "\n\n", "\t x", "naïve", "Straße", "日本語", "😀", "á", "１２３", "٣", "Ᲊ", "\xa0", " ", "—", "€5", "<|endoftext|>", "<|end", "'", "''ve", "x" * 300, "aaaa", " 2024", "!?", "‍", "\x00", "²", "ǅ", "\x1c"]
@@ -23,7 +23,8 @@ def test_ids_and_round_trip_equal_the_library(spark):
         want = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i].ids == want, repr(t)[:80]
         assert got[i].decoded == tok.decode(want, skip_special_tokens=False) == (t or "")
-    assert encoded(df.limit(0)).count() == 0
+    assert {(r.doc_id, r.decoded) for r in round_trip(df).collect()} == {(i, t or "") for i, t in enumerate(own)}
+    assert encoded(df.limit(0)).count() == 0 and round_trip(df.limit(0)).count() == 0
 
 
 def test_every_latin_character_is_cut_as_by_the_library():
