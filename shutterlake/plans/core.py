@@ -487,9 +487,9 @@ def _(c):
     return c.photos.select("id", K.format_size(F.col("file_size")).alias("size"))
 
 
-@query("k17_k18_places", """SELECT photo_id, 'GPS (' || printf('%.2f', abs(gps_lat)) || CASE WHEN gps_lat >= 0 THEN '°N' ELSE '°S' END || ', ' || printf('%.2f', abs(gps_lon)) || CASE WHEN gps_lon >= 0 THEN '°E' ELSE '°W' END || ')' AS label, round(gps_lat + (photo_id % 97 - 48) / 80000.0::DOUBLE, 6) AS lat FROM {exif} WHERE gps_lat IS NOT NULL""")
+@query("k17_k18_places", """SELECT photo_id, 'GPS (' || printf('%.2f', abs(gps_lat)) || CASE WHEN gps_lat >= 0 THEN '°N' ELSE '°S' END || ', ' || printf('%.2f', abs(gps_lon)) || CASE WHEN gps_lon >= 0 THEN '°E' ELSE '°W' END || ')' AS label, round(gps_lat + (photo_id % 97 - 48) / 80000.0::DOUBLE, 7) AS lat FROM {exif} WHERE gps_lat IS NOT NULL""")
 def _(c):
-    return c.exif.filter("gps_lat is not null").select("photo_id", K.gps_label(F.col("gps_lat"), F.col("gps_lon")).alias("label"), F.round(K.jittered(F.col("photo_id"), F.col("gps_lat")), 6).alias("lat"))
+    return c.exif.filter("gps_lat is not null").select("photo_id", K.gps_label(F.col("gps_lat"), F.col("gps_lon")).alias("label"), F.round(K.jittered(F.col("photo_id"), F.col("gps_lat")), 7).alias("lat"))
 
 
 @query("s4_dms_to_decimal", "SELECT photo_id, round(floor(gps_lat) + floor((gps_lat - floor(gps_lat)) * 60) / 60, 6) AS lat FROM {exif} WHERE gps_lat IS NOT NULL")
