@@ -26,6 +26,7 @@ from shutterlake.sources.tables import read_table
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 24
 SAMPLE, PER_TEXT, EPOCHS = 3000, 2, 5
+MOST_LANGUAGES = 20_000
 UNKNOWN = "und"
 #: Bytes for which responses are held at a time.
 STEP = 1 << 17
@@ -113,9 +114,10 @@ def learned(docs: DataFrame, learns: Column, sample: int = SAMPLE, window: int =
     n_langs = counts.count()
     if not n_langs:
         return None
-    # a share of each language by a hash of the id; languages are few, and their counts one small row each
+    # A share of each language by a hash of the id, drawn where the texts are: a join by language would gather a third of them in one task.
+    # Counts are a row a language; beyond MOST_LANGUAGES the sample is of all texts alike.
     luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = own.join(counts, "lang").filter(luck * F.col("count") < 2 * sample / n_langs)
+    drawn = own.join(F.broadcast(counts), "lang").filter(luck * F.col("count") < 2 * sample / n_langs) if n_langs <= MOST_LANGUAGES else own
     parts = F.array(*[F.expr("substring(text, {}, {})".format(f"cast(floor(length(text) * {k / per_text}) as int) + 1", window)) for k in range(per_text)])
     rows = drawn.select("lang", parts.alias("parts"), F.xxhash64(F.col("doc_id"), F.lit(1)).alias("h")).orderBy("h", "lang", "parts").limit(sample).collect()
     texts = [(p, r.lang) for r in rows for p in dict.fromkeys(r.parts) if p]
