@@ -147,7 +147,7 @@ def broadcast_model(spark: SparkSession, path: str | None = None):
 SLICE = 256
 
 
-def _mapped(df: DataFrame, added: dict[str, str], path: str | None, work: Callable) -> DataFrame:
+def mapped(df: DataFrame, added: dict[str, str], path: str | None, work: Callable) -> DataFrame:
     """``df`` with columns ``added`` (name: type) from ``work(pieces, slice)``, slice by slice in one Python process a task; other columns pass through untouched."""
     model = broadcast_model(df.sparkSession, path)
     kept = [c for c in df.columns if c not in added]
@@ -161,19 +161,18 @@ def _mapped(df: DataFrame, added: dict[str, str], path: str | None, work: Callab
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + list(new.values()), kept + list(new))
 
     schema = StructType([df.schema[c] for c in kept])
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = StructType(schema.fields + StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items())).fields)
     return df.mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with the packed ids of each text in column ``out``."""
-    return _mapped(docs, {out: "binary"}, path, lambda pieces, part: [pa.array(map(pieces.encode, part.column(text_col).to_pylist()), pa.binary())])
+    return mapped(docs, {out: "binary"}, path, lambda pieces, part: [pa.array(map(pieces.encode, part.column(text_col).to_pylist()), pa.binary())])
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of packed ids in column ``out``; bytes that are no UTF-8 become U+FFFD."""
-    return _mapped(df, {out: "string"}, path, lambda pieces, part: [pa.array(map(pieces.decode, part.column(ids_col).to_pylist()), pa.string())])
+    return mapped(df, {out: "string"}, path, lambda pieces, part: [pa.array(map(pieces.decode, part.column(ids_col).to_pylist()), pa.string())])
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -183,7 +182,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None)
         ids = list(map(pieces.encode, part.column(text_col).to_pylist()))
         return [pa.array(ids, pa.binary()), pa.array(map(pieces.decode, ids), pa.string())]
 
-    return _mapped(docs, {"ids": "binary", "decoded": "string"}, path, both)
+    return mapped(docs, {"ids": "binary", "decoded": "string"}, path, both)
 
 
 def unpacked(ids: Column) -> Column:

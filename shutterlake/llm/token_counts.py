@@ -15,14 +15,12 @@ length are taken whole. Repeated rows give equal rows, an empty table an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.bpe import Pieces, broadcast_model
+from shutterlake.llm.bpe import Pieces, mapped
 from shutterlake.session import written
 from shutterlake.sources.tables import read_table
 
@@ -36,64 +34,68 @@ class PieceTree:
     """Sums of characters and tokens over leaves. A leaf is one pre-token at first; those that edits have touched hold any number of them in ``changed``."""
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray):
-        self.leaves = np.stack([chars, tokens], axis=1).astype(np.int64) if len(chars) else np.zeros((1, 2), np.int64)
+        self.n = max(1, len(chars))
+        self.size = 1 << (self.n - 1).bit_length()
         self.changed: dict[int, list[tuple[int, int]]] = {} if len(chars) else {0: []}
-        size = 1 << (len(self.leaves) - 1).bit_length()
-        level = np.zeros((size, 2), np.int64)
-        level[: len(self.leaves)] = self.leaves
-        levels = [level]
-        while len(levels[-1]) > 1:
-            levels.append(levels[-1][0::2] + levels[-1][1::2])
-        self.size, self.sums = size, np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]])
+        self.chars, self.tokens = (self._sums(x) for x in (chars, tokens))
+
+    def _sums(self, leaves: np.ndarray) -> list[int]:
+        """The root at 1, the children of k at 2k and 2k + 1, the leaves from ``size`` on."""
+        out = np.zeros(2 * self.size, np.int64)
+        out[self.size : self.size + len(leaves)] = leaves
+        at = self.size
+        while at > 1:
+            out[at >> 1 : at] = out[at : 2 * at : 2] + out[at + 1 : 2 * at : 2]
+            at >>= 1
+        return out.tolist()
 
     @property
     def total(self) -> tuple[int, int]:
-        return int(self.sums[1, 0]), int(self.sums[1, 1])
+        return self.chars[1], self.tokens[1]
 
     def find(self, pos: int) -> tuple[int, int]:
         """The leaf that holds character ``pos`` and where it starts; past the end: one past the last leaf, and the end."""
-        if pos >= self.sums[1, 0]:
-            return len(self.leaves), int(self.sums[1, 0])
-        node, start, sums = 1, 0, self.sums
-        while node < self.size:
+        chars, size = self.chars, self.size
+        if pos >= chars[1]:
+            return self.n, chars[1]
+        node, start = 1, 0
+        while node < size:
             node *= 2
-            left = int(sums[node, 0])
-            if pos >= start + left:
-                start += left
+            if pos >= start + chars[node]:
+                start += chars[node]
                 node += 1
-        return node - self.size, start
-
-    def held(self, leaf: int) -> list[tuple[int, int]]:
-        own = self.changed.get(leaf)
-        return [tuple(self.leaves[leaf].tolist())] if own is None else own
+        return node - size, start
 
     def replace(self, first: int, last: int, pieces: list[tuple[int, int]]) -> None:
         """Leaves first..last-1 give way to ``pieces``, all in the first of them; with none between, they come before what it holds."""
         if last <= first:
-            pieces = pieces + self.held(first)
-        last = max(last, first + 1)
-        self.changed |= {i: [] for i in range(first, last)} | {first: pieces}
-        lo, hi = first + self.size, last - 1 + self.size
-        self.sums[lo : hi + 1] = 0
-        self.sums[lo] = (sum(c for c, _ in pieces), sum(t for _, t in pieces))
-        while lo > 1:  # the sums above the leaves that changed, level by level
-            lo, hi = lo >> 1, hi >> 1
-            self.sums[lo : hi + 1] = self.sums[2 * lo : 2 * hi + 2 : 2] + self.sums[2 * lo + 1 : 2 * hi + 2 : 2]
+            own = self.changed.get(first)
+            pieces = pieces + ([(self.chars[self.size + first], self.tokens[self.size + first])] if own is None else own)
+        for leaf in range(first, max(last, first + 1)):
+            held = pieces if leaf == first else []
+            self.changed[leaf] = held
+            node = leaf + self.size
+            c, t = sum(x for x, _ in held) - self.chars[node], sum(x for _, x in held) - self.tokens[node]
+            while node:  # every sum above the leaf
+                self.chars[node] += c
+                self.tokens[node] += t
+                node >>= 1
         if len(pieces) > CROWDED:
-            flat = self.flat()
-            self.__init__(flat[:, 0], flat[:, 1])
+            self.__init__(*self.flat())
 
-    def flat(self) -> np.ndarray:
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
         """Characters and tokens of each pre-token in order."""
-        parts, at = [], 0
-        for leaf, own in sorted(self.changed.items()):
-            parts += [self.leaves[at:leaf], np.array(own, np.int64).reshape(-1, 2)]
-            at = leaf + 1
-        return np.concatenate([*parts, self.leaves[at:]])
+        out = []
+        for k, sums in enumerate((self.chars, self.tokens)):
+            leaves, parts, at = np.array(sums[self.size : self.size + self.n], np.int64), [], 0
+            for leaf, own in sorted(self.changed.items()):
+                parts += [leaves[at:leaf], np.array([x[k] for x in own], np.int64)]
+                at = leaf + 1
+            out.append(np.concatenate([*parts, leaves[at:]]))
+        return out[0], out[1]
 
     def packed(self) -> tuple[bytes, bytes]:
-        flat = self.flat().astype("<u4")
-        return flat[:, 0].tobytes(), flat[:, 1].tobytes()
+        return tuple(x.astype("<u4").tobytes() for x in self.flat())
 
 
 def edited(tree: PieceTree, text: str, pieces: Pieces, pos: int, cut: int, put: str) -> tuple[str, int]:
@@ -103,7 +105,7 @@ def edited(tree: PieceTree, text: str, pieces: Pieces, pos: int, cut: int, put:
     new = text[:pos] + put + text[pos + cut :]
     shift, end = len(put) - cut, pos + len(put)
     first, start = tree.find(max(0, pos - CONTEXT))
-    if first == len(tree.leaves):  # an empty text
+    if first == tree.n:  # an empty text
         first, start = 0, 0
     reach = 64
     while True:
@@ -120,7 +122,7 @@ def edited(tree: PieceTree, text: str, pieces: Pieces, pos: int, cut: int, put:
             fresh.append(piece)
             at += len(piece)
         else:
-            last = len(tree.leaves) if limit == len(new) else None
+            last = tree.n if limit == len(new) else None
         if last is not None:
             break
         reach *= 4
@@ -128,48 +130,49 @@ def edited(tree: PieceTree, text: str, pieces: Pieces, pos: int, cut: int, put:
     return new, len(fresh)
 
 
+TREE = "struct<n_chars:bigint,n_tokens:bigint,n_pieces:bigint,chars:binary,tokens:binary>"
+
+
+def _trees(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Array:
+    kinds = {"n_chars": pa.int64(), "n_tokens": pa.int64(), "n_pieces": pa.int64(), "chars": pa.binary(), "tokens": pa.binary()}
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def build_trees(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with column ``tree``: the packed leaf characters and tokens of each text, and their totals."""
-    model = broadcast_model(docs.sparkSession, path)
 
-    @F.pandas_udf("n_chars long, n_tokens long, n_pieces long, chars binary, tokens binary")
-    def build(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model.value)
-        for part in texts:
-            rows = []
-            for text in part:
-                own = pieces.split(text or "")
-                chars = np.fromiter(map(len, own), "<u4", len(own))
-                tokens = np.fromiter(map(len, pieces.each(own)), "<u4", len(own)) // 4
-                rows.append((int(chars.sum()), int(tokens.sum()), len(own), chars.tobytes(), tokens.astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["n_chars", "n_tokens", "n_pieces", "chars", "tokens"])
+    def build(pieces: Pieces, part: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for text in part.column(text_col).to_pylist():
+            own = pieces.split(text or "")
+            chars = np.fromiter(map(len, own), "<u4", len(own))
+            tokens = np.fromiter(map(len, pieces.each(own)), "<u4", len(own)) // 4
+            rows.append((int(chars.sum()), int(tokens.sum()), len(own), chars.tobytes(), tokens.astype("<u4").tobytes()))
+        return [_trees(rows)]
 
-    return docs.withColumn("tree", build(F.col(text_col)))
+    return mapped(docs, {"tree": TREE}, path, build)
 
 
 def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``trees`` (of ``build_trees``) with text and tree after the edits in ``edits_col``, and ``reencoded``: pre-tokens encoded for them."""
-    model = broadcast_model(trees.sparkSession, path)
-
-    @F.pandas_udf("text string, n_chars long, n_tokens long, n_pieces long, chars binary, tokens binary, reencoded long")
-    def apply(parts: Iterator[tuple[pd.Series, pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model.value)
-        for texts, kept, edits in parts:
-            rows = []
-            for text, chars, tokens, own in zip(texts, kept["chars"], kept["tokens"], edits, strict=True):
-                text, n = text or "", 0
-                tree = PieceTree(np.frombuffer(chars, "<u4"), np.frombuffer(tokens, "<u4"))
-                for e in own if own is not None else []:
-                    if e is not None:
-                        text, k = edited(tree, text, pieces, int(e["pos"] or 0), int(e["del"] or 0), e["ins"] or "")
-                        n += k
-                packed = tree.packed()
-                rows.append((text, *tree.total, len(packed[0]) // 4, *packed, n))
-            yield pd.DataFrame(rows, columns=["text", "n_chars", "n_tokens", "n_pieces", "chars", "tokens", "reencoded"])
-
-    done = trees.withColumn("_after", apply(F.col(text_col), F.col("tree"), F.col(edits_col)))
-    tree = F.struct(*[F.col(f"_after.{x}").alias(x) for x in ("n_chars", "n_tokens", "n_pieces", "chars", "tokens")])
-    return done.withColumn("tree", tree).withColumn(text_col, F.col("_after.text")).withColumn("reencoded", F.col("_after.reencoded")).drop("_after")
+
+    def apply(pieces: Pieces, part: pa.RecordBatch) -> list[pa.Array]:
+        texts, rows, counts = [], [], []
+        kept = part.column("tree")
+        for text, chars, tokens, edits in zip(part.column(text_col).to_pylist(), kept.field("chars").to_pylist(), kept.field("tokens").to_pylist(), part.column(edits_col).to_pylist(), strict=True):
+            text, n = text or "", 0
+            tree = PieceTree(np.frombuffer(chars, "<u4"), np.frombuffer(tokens, "<u4"))
+            for e in edits or []:
+                if e is not None:
+                    text, k = edited(tree, text, pieces, e["pos"] or 0, e["del"] or 0, e["ins"] or "")
+                    n += k
+            packed = tree.packed()
+            texts.append(text)
+            rows.append((*tree.total, len(packed[0]) // 4, *packed))
+            counts.append(n)
+        return [pa.array(texts, pa.string()), _trees(rows), pa.array(counts, pa.int64())]
+
+    return mapped(trees, {text_col: "string", "tree": TREE, "reencoded": "bigint"}, path, apply)
 
 
 def review_edits() -> F.Column:
