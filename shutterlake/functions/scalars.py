@@ -65,6 +65,13 @@ def video_fingerprint(duration: Column, digest: Column) -> Column:
     return F.concat(F.lit("VID_DUR_"), F.round(duration).cast("long").cast("string"), F.lit("_"), digest)
 
 
+def portrait_pair(name_a: Column, at_a: Column, name_b: Column, at_b: Column) -> Column:
+    """Whether two files are a portrait and its original: one sequence number, and an edited name, a portrait mark or at most 10 seconds between them."""
+    same = photo_sequence(name_a) == photo_sequence(name_b)
+    marked = F.upper(name_a).rlike("PORTRAIT|^IMG_E") | F.upper(name_b).rlike("PORTRAIT|^IMG_E")
+    return F.coalesce(same & (marked | (F.abs(F.unix_timestamp(at_a) - F.unix_timestamp(at_b)) <= 10)), F.lit(False))
+
+
 def normalize_digits(text: Column) -> Column:
     """Letters that are read for digits become them."""
     return F.translate(text, "OoIl|SBZ", "00111582")

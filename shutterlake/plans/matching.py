@@ -78,6 +78,17 @@ def _(c):
     return dup.find_duplicates(prints(c)).groupBy(exact.alias("exact")).agg(F.count("*").alias("n_groups"), F.sum("recoverable_bytes").alias("recoverable_bytes"), F.sum(F.col("n") - 1).alias("n_copies"))
 
 
+@query("a16_duplicate_totals", f"WITH RECURSIVE {FP}, {KEYS}, {SCORE}, {GROUPS}, {BEST}, t AS ({TOTALS}) SELECT CASE WHEN is_video THEN 'video' WHEN is_exact OR confidence >= 99 THEN 'exact' ELSE 'similar' END AS kind, count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_copies, CAST(sum(total_bytes - recoverable_bytes) AS BIGINT) AS master_bytes, CAST(sum(recoverable_bytes) AS BIGINT) AS recoverable_bytes FROM t GROUP BY 1")
+def _(c):
+    return dup.duplicate_totals(dup.find_duplicates(prints(c)))
+
+
+@query("d15_new_pairs", f"WITH {FP}, {KEYS.split(chr(10) + 's AS')[0].rstrip().rstrip(',')} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM k x JOIN k y ON x.key = y.key AND x.id <> y.id WHERE x.id % 10 = 2")
+def _(c):
+    fp = prints(c)
+    return dup.new_pairs(fp.filter("id % 10 = 2"), dup.blocking_keys(fp.filter("id % 10 <> 2")))
+
+
 @query("d12_redundant_ids", f"WITH RECURSIVE {FP}, {KEYS}, {SCORE}, {GROUPS}, {BEST} SELECT id, group_id FROM g WHERE rank > 1")
 def _(c):
     fp = prints(c)

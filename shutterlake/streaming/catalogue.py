@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shutterlake.operators.duplicates import blocking_keys, new_pairs
+
 
 def stream_catalog(spark: SparkSession, path: str) -> DataFrame:
     """New media files below ``path`` as they arrive, contents unread."""
@@ -71,6 +73,20 @@ def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_6
     return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, id long, place string", "rows array<struct<t:long,id:long,place:string>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_fingerprints(df: DataFrame, keys_path: str, pairs_path: str):
+    """A writer that pairs each batch of fingerprints with the stored blocking keys, then stores its own; both tables are Parquet, one folder a batch, so that a repeated batch replaces itself."""
+
+    def match(batch: DataFrame, number: int) -> None:
+        spark, batch = batch.sparkSession, batch.persist()
+        mine = blocking_keys(batch)
+        stored = spark.read.schema(mine.schema).parquet(*[f"{keys_path}/{k}" for k in range(number)]) if number else mine.limit(0)
+        new_pairs(batch, stored).write.mode("overwrite").parquet(f"{pairs_path}/{number}")
+        mine.write.mode("overwrite").parquet(f"{keys_path}/{number}")
+        batch.unpersist()
+
+    return df.writeStream.foreachBatch(match)
+
+
 def scan_progress(query) -> dict:
     """Rows done, rows a second and when the last batch ended, of a running query."""
     last = query.lastProgress or {}

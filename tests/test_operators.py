@@ -185,3 +185,19 @@ def test_streams_equal_batches(spark):
 def test_text_named_places(spark):
     df = spark.createDataFrame([("at the Taj Mahal gate",), ("welcome to Pune",), ("pune",), ("nothing",), (None,)], "t string")
     assert [r.x and (r.x.city, r.x.confidence) for r in df.select(places.place_from_text(F.col("t")).alias("x")).collect()] == [("Agra", 90), ("Pune", 75), None, None, None]
+
+
+def test_portrait_pairs(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("IMG_1234.JPG", t, "IMG_E1234.JPG", t + dt.timedelta(days=1)), ("a1234.jpg", t, "b1234.jpg", t + dt.timedelta(seconds=10)), ("a1234.jpg", t, "b1234.jpg", t + dt.timedelta(seconds=11)), ("a.jpg", t, "a.jpg", t)]
+    df = spark.createDataFrame(rows, "a string, at timestamp, b string, bt timestamp")
+    assert [r[0] for r in df.select(K.portrait_pair(F.col("a"), F.col("at"), F.col("b"), F.col("bt"))).collect()] == [True, True, False, False]
+
+
+def test_stream_pairs_each_batch_with_those_before(spark, tmp_path):
+    for k in range(2):
+        spark.createDataFrame([photo(10 * k + i, sha256=f"s{i}", file_path=f"/a/x{k}{i}y.jpg", filename=f"x{k}{i}y.jpg", created_at=None, partial_sha256="", file_size=0) for i in range(3)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = streaming.stream_fingerprints(source, str(tmp_path / "keys"), str(tmp_path / "pairs"))
+    writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "pairs")).collect()} == {(i, 10 + i) for i in range(3)}
