@@ -11,6 +11,11 @@ Method. Each text gets a 64-bit fingerprint; from here on only distinct fingerpr
 A key with many fingerprints is cut into chunks by hash; every pair of chunks is a unit of work of its own, so no task
 ever holds more than two chunks and no pair is lost.
 
+The pipeline's stage (``keep_one``) has another rule, exact Jaccard of 5-word shingles of 0.8 or more, at which 64 bits are of no use: such
+pairs differ in about 10 bits. Its candidates share one of ``BANDS`` min-hash keys; its pivot table counts a text's shingles in ``PARTS`` parts of
+the hash space, and as the counts of two texts can't differ by more than their sets do, pairs beyond that are discarded without loss. The
+rest are verified by their sets of 64-bit shingle hashes.
+
 Defined cases: a null text counts as empty; a text with no words has fingerprint 0 and links like any other; a text with
 fewer words than a shingle is one shingle. Rows with a null id are returned, but a null is never the least id (a
 component of nulls alone has a null id). Repeated rows are returned as often as they occur. Other columns, whatever
@@ -37,6 +42,12 @@ RADIUS = 3
 PIVOTS = 16
 #: Fingerprints of one key that a unit of work takes from each of its two chunks.
 CHUNK = 2048
+#: The stage's rule: words of a shingle, and the Jaccard of two texts' shingles (4 of 5) from which on they are near copies.
+WIDTH, LIKENESS = 5, (4, 5)
+#: Keys of a text, and least hashes in each: a pair at the rule's edge shares one with a chance of 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, ROWS = 20, 5
+#: Parts of the hash space in which shingles are counted, and texts that a unit takes from each of its chunks.
+PARTS, UNIT = 64, 512
 
 
 def _signed(x: int) -> int:
@@ -156,13 +167,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the first by ``doc_id`` (nulls last), with its own columns."""
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, sorted; words as in ``simhash_udf``."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)] if words else [])
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def band_keys_udf(width: int = WIDTH) -> Column:
+    """A pandas UDF from text to its ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles. Texts without words share all keys."""
+
+    @F.pandas_udf("array<long>")
+    def band_keys(texts: pd.Series) -> pd.Series:
+        from xxhash import xxh64_intdigest
+
+        mix, turn = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+        turn |= np.uint64(1)
+
+        def of(text: str | None) -> list[int]:
+            own, least = shingle_set(text, width), np.full(BANDS * ROWS, ~np.uint64(0))
+            for at in range(0, len(own), 4096):
+                least = np.minimum(least, ((own[at : at + 4096, None] ^ mix) * turn).min(axis=0))
+            return [_signed(xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+        return pd.Series([of(x) for x in texts])
+
+    return band_keys
+
+
+def _near_in_unit(sets: list[np.ndarray], parts: list[int], star: bool) -> list[tuple[int, int]]:
+    """Pairs of places in ``sets`` of Jaccard ``LIKENESS`` or more that connect all such pairs, given what ``parts`` connects; with ``star`` only pairs of the first."""
+    num, den = LIKENESS
+    size = np.array([len(x) for x in sets])
+    table = np.stack([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=PARTS) for x in sets])
+    first: dict[int, int] = {}
+    parent = [first.setdefault(p, i) for i, p in enumerate(parts)]
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    for i in range(1 if star else len(sets) - 1):
+        # a lower bound of the symmetric difference against the most that the likeness allows
+        apart, both = np.abs(table[i + 1 :] - table[i]).sum(axis=1), size[i + 1 :] + size[i]
+        for j in (np.nonzero((num + den) * apart <= (den - num) * both)[0] + i + 1).tolist():
+            if (x := root(i)) != (y := root(j)):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if den * common >= num * (size[i] + size[j] - common):
+                    parent[max(x, y)] = min(x, y)
+                    links.append((i, j))
+    return links
+
+
+def _text_links(units: DataFrame, texts: DataFrame, width: int, star: bool) -> DataFrame:
+    """``(src, dst)``: rows of a unit of ``units(key, lo, hi, later, row, part)`` whose texts are near; a star's first row is the one not ``later``."""
+    rows = units.join(texts, "row").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "later", "row")
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, ids, sets, parts = None, [], [], []
+
+        def links() -> pd.DataFrame:
+            found = [(ids[i], ids[j]) for i, j in _near_in_unit(sets, parts, star)] if len(sets) > 1 else []
+            return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+        for frame in frames:
+            for key, lo, hi, row, part, text in zip(*(frame[c] for c in ("key", "lo", "hi", "row", "part", "text")), strict=True):
+                if unit != (key, lo, hi):
+                    yield links()
+                    unit, ids, sets, parts = (key, lo, hi), [], [], []
+                ids.append(row)
+                sets.append(shingle_set(text, width))
+                parts.append(part)
+        yield links()
+
+    return rows.mapInPandas(link, "src long, dst long")
+
+
+def jaccard_links(texts: DataFrame, width: int = WIDTH, unit: int = UNIT) -> DataFrame:
+    """``(src, dst)``: links among the rows of ``texts(row, text)`` that connect those with a Jaccard of ``LIKENESS`` or more that share a band key.
+
+    First each row of a key meets the key's least row; large groups of copies end there. Keys that still hold several components are cut
+    into chunks, and every pair of chunks is a unit in which all pairs of different components are verified; no key is left out for its size.
+    """
+    keyed = cut(texts.select("row", F.explode(band_keys_udf(width)(F.col("text"))).alias("key")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
+    members = cut(keyed.join(shared, "key").select("key", "row", "first", "n"))
+    stars = cut(members.filter("row <> first").select("first", "row").distinct())
+    sizes = stars.groupBy("first").agg(F.ceil(F.count("*") / unit).alias("chunks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rays = stars.join(sizes, "first").select(F.col("first").alias("key"), F.pmod(F.xxhash64("row"), F.col("chunks")).alias("lo"), F.lit(True).alias("later"), "row")
+    hubs = sizes.select(F.col("first").alias("key"), every("chunks").alias("lo"), F.lit(False).alias("later"), F.col("first").alias("row"))
+    units = rays.unionByName(hubs).withColumns({"hi": F.lit(0).cast("long"), "part": F.col("row")})
+    found = cut(_text_links(units, texts, width, True))
+    parts = connected_components(found).withColumnRenamed("node", "row")
+    placed = cut(members.join(parts, "row", "left").select("key", "row", "n", F.coalesce("component", "row").alias("part")))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+    rest = placed.join(mixed, "key").withColumn("chunks", F.ceil(F.col("n") / unit)).withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    units = rest.select("key", "row", "part", "own", every("chunks").alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(True).alias("later"), "row", "part")
+    return found.unionByName(cut(_text_links(units, texts, width, False)))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, unit: int = UNIT) -> DataFrame:
+    """``docs`` with one row of each group of near copies by Jaccard, the first by ``doc_id`` (nulls last), with its own columns."""
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    links = jaccard_links(numbered.select(F.col("_row").alias("row"), "text"), width, unit)
+    parts = connected_components(links).withColumnRenamed("node", "_row")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = near_duplicates(numbered.select(rank.alias("rank"), "text"), "rank", "text", width, radius)
-    stays = groups.filter(F.col("rank") == F.col("component_id")).select(F.col("rank.row").alias("_row"))
-    return numbered.join(stays, "_row", "left_semi").select(*docs.columns)
+    grouped = cut(numbered.select("_row", rank.alias("rank")).join(parts, "_row"))
+    least = grouped.groupBy("component").agg(F.min("rank").alias("least"))
+    goes = grouped.join(least, "component").filter(F.col("rank.row") != F.col("least.row")).select("_row")
+    return numbered.join(goes, "_row", "left_anti").select(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

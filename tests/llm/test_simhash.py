@@ -68,3 +68,35 @@ def test_stage_keeps_one_row_of_each_group(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+
+
+def jaccard_cases():
+    """Texts with edited copies from nearly equal to well below the rule, and the least row of each brute-force component."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for b in range(40):
+        words = [f"t{b}x{rng.integers(0, 5000)}" for _ in range(rng.integers(30, 200))]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            copy = list(words)
+            for at in rng.choice(len(copy), rng.integers(1, 2 + len(copy) // 40), replace=False):
+                copy[at] = f"edit{rng.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (n := len(sets[i] & sets[j])) and 5 * n >= 4 * len(sets[i] | sets[j])]
+    least = list(range(len(texts)))
+    while True:
+        before = list(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return texts, pairs, least
+
+
+def test_stage_reaches_jaccard_of_four_fifths(spark):
+    texts, pairs, least = jaccard_cases()
+    assert len(pairs) > 200 and 60 < len(set(least)) < len(texts) - 60
+    assert sum((fingerprint(texts[i], 5) ^ fingerprint(texts[j], 5)).bit_count() > 3 for i, j in pairs) > len(pairs) / 2  # the 3-bit rule misses most
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for unit in (512, 3):  # whole keys, and keys cut into chunks
+        assert sorted(r.doc_id for r in keep_one(df, unit=unit).collect()) == sorted(set(least))
