@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.sources.media import media_type
+
 MB = 1024 * 1024
 
 
@@ -206,7 +208,7 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
 def sync_diff(disk: DataFrame, photos: DataFrame) -> DataFrame:
     """``(path, change)``: media on disk that the catalogue lacks are added, photos that the disk lacks are removed. Slashes count as equal."""
     slashed = lambda c: F.regexp_replace(c, r"\\", "/")
-    on_disk = disk.select(slashed("path").alias("path")).filter(F.lower("path").rlike(r"\.(jpg|jpeg|png|mp4|pdf|webp|nef)$"))
+    on_disk = disk.select(slashed("path").alias("path")).filter(media_type(F.col("path"))["supported"])
     known = photos.select(slashed("file_path").alias("path"))
     both = on_disk.distinct().withColumn("there", F.lit(True)).join(known.withColumn("known", F.lit(True)), "path", "full_outer")
     return both.filter("there is null or known is null").select("path", F.when(F.col("there"), "added").otherwise("removed").alias("change"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import sanitize_folder
+from shutterlake.sources.media import media_type
 
 CATEGORIES = ("duplicates", "documents", "screenshots", "whatsapp", "social", "people", "places", "favorites", "videos")
 
@@ -127,7 +128,7 @@ def audited(manifest: DataFrame, disk: DataFrame) -> DataFrame:
 def source_breakdown(files: DataFrame) -> DataFrame:
     """Files and bytes by media or other, and extension."""
     ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
-    return files.groupBy(F.when(ext.isin(".jpg", ".jpeg", ".png", ".mp4", ".pdf", ".webp", ".nef"), "media").otherwise("other").alias("side"), ext.alias("ext")).agg(F.count("*").alias("n"), F.sum("length").alias("n_bytes"))
+    return files.groupBy(F.when(media_type(F.col("path"))["supported"], "media").otherwise("other").alias("side"), ext.alias("ext")).agg(F.count("*").alias("n"), F.sum("length").alias("n_bytes"))
 
 
 def move_plan(files: DataFrame, root: str, dest: str, keep_subpath: bool = True) -> DataFrame:

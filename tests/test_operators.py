@@ -201,3 +201,14 @@ def test_stream_pairs_each_batch_with_those_before(spark, tmp_path):
     writer = streaming.stream_fingerprints(source, str(tmp_path / "keys"), str(tmp_path / "pairs"))
     writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "pairs")).collect()} == {(i, 10 + i) for i in range(3)}
+
+
+def test_every_supported_extension_is_media(spark):
+    names = ["a.heic", "b.MOV", "c.cr2", "d.tif", "e.gif", "f.jpg", "g.xyz", "none"]
+    disk = spark.createDataFrame([(f"/lib/{n}", 10) for n in names], "path string, length long")
+    photos = spark.createDataFrame([("\\lib\\a.heic",), ("/lib/b.MOV",), ("/lib/gone.cr2",)], "file_path string")
+    change = {(r.path, r.change) for r in catalogue.sync_diff(disk, photos).collect()}
+    assert change == {("/lib/c.cr2", "added"), ("/lib/d.tif", "added"), ("/lib/e.gif", "added"), ("/lib/f.jpg", "added"), ("/lib/gone.cr2", "removed")}
+    sides = {(r.ext, r.side) for r in organize.source_breakdown(disk).collect()}
+    assert sides == {(".heic", "media"), (".mov", "media"), (".cr2", "media"), (".tif", "media"), (".gif", "media"), (".jpg", "media"), (".xyz", "other"), ("", "other")}
+    assert all(catalogue.sync_diff(disk.limit(0).union(spark.createDataFrame([(f"/x.{e}", 1)], "path string, length long")), photos.limit(0)).count() == 1 for e in ("braw", "svg", "docx"))
