@@ -181,8 +181,10 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language: what is ``und`` goes."""
+    """The rows of ``docs`` whose text is in some language: those without a letter go, whether or not there are labels to learn from."""
     net = learned(docs.select("doc_id", "text", "lang"), ~held_out_of(F.col("doc_id")))
+    if net is None:  # every text would be ``und``
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang = predictor(net, docs.sparkSession)(F.col("text"))
     return docs.withColumn("_lang", lang).filter(F.col("_lang.lang_pred") != UNKNOWN).select(*docs.columns)
 

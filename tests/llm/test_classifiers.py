@@ -79,3 +79,14 @@ def test_no_ratings_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert [tuple(r)[2:] for r in quality.rated(docs, quality.learned(docs, none)).collect()] == [(1.0, 0.5, True)]
     assert quality.rated(docs.limit(0), None).count() == 0
+
+
+def test_language_stage_keeps_texts_where_no_label_teaches(spark):
+    from shutterlake.llm.language_id import held_out_of, keep_identified
+
+    rows = [(i, f"some clean words number {i}", None) for i in range(20)] + [(20, "12 34", None), (21, None, None), (22, "é", None), (23, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = [*range(20), 22]
+    assert sorted(r.doc_id for r in keep_identified(df).collect()) == want
+    held = df.withColumn("lang", F.when(held_out_of(F.col("doc_id")), "en"))  # labels, all of them held out
+    assert held.filter("lang is not null").count() > 0 and sorted(r.doc_id for r in keep_identified(held).collect()) == want
