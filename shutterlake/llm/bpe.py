@@ -9,7 +9,7 @@ Ids are carried packed, little-endian unsigned 32-bit integers in a binary colum
 
 Defined cases: a null text counts as empty; an empty text has no ids; the vocabulary's special tokens found in a text
 become their own id, as the tokenizers library does by default. Texts of any length are encoded whole. Repeated rows
-give equal rows, an empty table an empty result, and other columns play no part.
+give equal rows, an empty table an empty result. A column that has the name of a result gives way to it; others pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,12 @@ from pyspark.sql.types import StructType
 
 from shutterlake.sources.tables import read_table
 
-#: Pre-tokens kept by a task, and the longest that is kept.
+#: Pre-tokens kept by a worker, and the longest that is kept.
 CACHED, LONGEST = 400_000, 48
+#: Characters past a pre-token on which its end may depend, special tokens aside.
+LOOKAHEAD = 16
+#: No pair of symbols merges.
+NEVER = np.int32(2**31 - 1)
 
 
 def vocabulary_path() -> str:
@@ -54,6 +59,12 @@ class Pieces:
         data = json.loads(model)
         vocab = data["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in data["added_tokens"]):
+            raise ValueError("special tokens that strip blanks or want whole words are not supported")
+        #: Every special token starts with one of these, so a text without them needs no search.
+        self.marks = sorted({x[:2] for x in self.special})
+        #: How far before an edit a pre-token may end and still depend on it.
+        self.context = max([LOOKAHEAD, *map(len, self.special)])
         self.letters = byte_letters()
         self.byte_ids = [vocab[c] for c in self.letters]
         merges = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
@@ -76,9 +87,27 @@ class Pieces:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.slow = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.packed: dict[str, bytes] = {}
+        self.counted: dict[str, int] = {}
+        # the same ranks as arrays: of pairs of bytes, and of all pairs sorted by first * size + second
+        pairs = np.array(list(self.ranks), np.int64)
+        self.radix = len(self.strings)
+        keys = pairs[:, 0] * self.radix + pairs[:, 1] if len(pairs) else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([new for _, new in self.ranks.values()], np.int64)
+        byte_ids = np.array(self.byte_ids, np.int64)
+        self.byte_pairs = self.rank_of(np.repeat(byte_ids, 256), np.tile(byte_ids, 256)).reshape(256, 256)
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, ``NEVER`` for those that don't merge or have a negative side."""
+        if not len(self.pair_keys):
+            return np.full(len(a), NEVER)
+        keys = a * self.radix + b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.pair_ranks[at], NEVER)
 
     def split(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+        parts = self.cut.split(text) if any(m in text for m in self.marks) else [text]
         out: list[str] = []
         for part in parts:
             if part in self.special:
@@ -123,12 +152,63 @@ class Pieces:
                 self.packed[piece] = found
         return found
 
+    def counts_of(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each pre-token; those not yet known are counted together."""
+        if len(self.counted) >= CACHED:
+            self.counted.clear()
+        fresh = list(set(pieces).difference(self.counted))
+        short = [x for x in fresh if len(x) <= LONGEST and x not in self.special]
+        self.counted.update(zip(short, self._counts(short).tolist(), strict=True))
+        if len(short) == len(fresh):
+            return np.fromiter(map(self.counted.__getitem__, pieces), np.uint32, len(pieces))
+        long = {x: len(self.merged(x)) for x in fresh if len(x) > LONGEST or x in self.special}
+        return np.fromiter((long[x] if x in long else self.counted[x] for x in pieces), np.uint32, len(pieces))
+
+    def _counts(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of short pre-tokens, side by side: every round merges the lowest and then leftmost pair of each that still has one."""
+        raw = [x.encode() for x in pieces]
+        out = np.fromiter(map(len, raw), np.int64, len(raw))
+        for at, rows in ((8, np.nonzero(out <= 8)[0]), (16, np.nonzero((out > 8) & (out <= 16))[0]), (4 * LONGEST, np.nonzero(out > 16)[0])):
+            for begin in range(0, len(rows), (1 << 17) // at):
+                own = rows[begin : begin + (1 << 17) // at]
+                out[own] = self._side_by_side([raw[i] for i in own], int(out[own].max()))
+        return out
+
+    def _side_by_side(self, raw: list[bytes], width: int) -> np.ndarray:
+        width += 2  # a place on either side that holds no symbol
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint8).reshape(-1, width)
+        left = np.fromiter(map(len, raw), np.int64, len(raw))
+        inside = np.arange(width)[None, :] < left[:, None]
+        symbol = np.full((len(raw), width + 1), -1, np.int64)
+        symbol[:, :width][inside] = np.array(self.byte_ids, np.int64)[data[inside]]
+        rank = np.full((len(raw), width), NEVER)
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_pairs[data[:, :-1], data[:, 1:]], NEVER)
+        after = np.tile(np.minimum(np.arange(width + 1) + 1, width), (len(raw), 1))
+        before = np.tile(np.arange(width + 1) - 1, (len(raw), 1))  # -1, the last place, holds no symbol
+        rows = np.arange(len(raw))
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            lowest = rank[rows, i]
+            more = lowest < NEVER
+            rows, i, lowest = rows[more], i[more], lowest[more]
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            new = self.made[lowest]
+            symbol[rows, i], symbol[rows, j] = new, -1
+            rank[rows, j] = NEVER
+            after[rows, i], before[rows, k] = k, i
+            left[rows] -= 1
+            rank[rows, i] = self.rank_of(new, symbol[rows, k])
+            inner = h >= 0
+            rank[rows[inner], h[inner]] = self.rank_of(symbol[rows, h][inner], new[inner])
+        return left
+
     def each(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of each pre-token."""
-        try:
-            return list(map(self.packed.__getitem__, pieces))
-        except KeyError:
-            return list(map(self.ids_of, pieces))
+        """Packed ids of each pre-token; only those that are missing are merged."""
+        known = list(map(self.packed.get, pieces))
+        if None in known:
+            known = [x if x is not None else self.ids_of(p) for x, p in zip(known, pieces, strict=True)]
+        return known
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.each(self.split(text or "")))
@@ -137,6 +217,12 @@ class Pieces:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(packed or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def pieces_of(model: str) -> Pieces:
+    """The cutter of a vocabulary, kept by a Python worker from one task to the next with what it has counted."""
+    return Pieces(model)
+
+
 def broadcast_model(spark: SparkSession, path: str | None = None):
     """The tokenizer file (1.5 MB, whatever the data) as a broadcast variable."""
     with open(path or vocabulary_path(), encoding="utf-8") as f:
@@ -148,12 +234,15 @@ SLICE = 256
 
 
 def mapped(df: DataFrame, added: dict[str, str], path: str | None, work: Callable) -> DataFrame:
-    """``df`` with columns ``added`` (name: type) from ``work(pieces, slice)``, slice by slice in one Python process a task; other columns pass through untouched."""
+    """``df`` with columns ``added`` (name: type) from ``work(pieces, slice)``, slice by slice in one Python process a task.
+
+    A column of an added name gives way to the new one; the others pass through untouched.
+    """
     model = broadcast_model(df.sparkSession, path)
     kept = [c for c in df.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = pieces_of(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
