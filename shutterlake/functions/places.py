@@ -55,23 +55,79 @@ LANDMARKS = (
     Place("Statue of Liberty", "New York", "USA", 40.6892, -74.0445, 1000, ("statue of liberty", "liberty island", "ellis island")),
     Place("Burj Khalifa", "Dubai", "UAE", 25.1972, 55.2744, 1200, ("burj khalifa", "dubai mall", "downtown dubai")),
 )
-#: Cities as country: name lat lon radius in km.
-CITIES = tuple(
-    Place(name.replace("_", " "), name.replace("_", " "), country, float(lat), float(lon), float(km) * 1000)
-    for country, text in (
-        ("India", """Bangalore 12.9716 77.5946 40, Mysuru 12.2958 76.6394 25, Hampi 15.3350 76.4600 20, Coorg 12.3375 75.8069 35, Mangalore 12.9141 74.8560 25, Gokarna 14.5479 74.3188 20, Chikmagalur 13.3161 75.7720 25,
-Mumbai 19.0760 72.8777 40, Pune 18.5204 73.8567 30, Goa 15.2993 74.1240 50, Kolhapur 16.7050 74.2433 25, Mahabaleshwar 17.9237 73.6586 25, Lonavala 18.7557 73.4091 20, Nagpur 21.1458 79.0882 30, Nashik 19.9975 73.7898 25,
-Shirdi 19.7645 74.4762 20, Aurangabad 19.8762 75.3433 25, Chennai 13.0827 80.2707 35, Pondicherry 11.9416 79.8083 25, Ooty 11.4102 76.6950 25, Kodaikanal 10.2381 77.4892 20, Coimbatore 11.0168 76.9558 30, Madurai 9.9252 78.1198 25,
-Kochi 9.9312 76.2673 30, Munnar 10.0889 77.0595 25, Alleppey 9.4981 76.3388 25, Wayanad 11.6854 76.1320 30, Trivandrum 8.5241 76.9366 25, Hyderabad 17.3850 78.4867 35, Visakhapatnam 17.6868 83.2185 30, Tirupati 13.6288 79.4192 25,
-Vijayawada 16.5062 80.6480 25, Delhi 28.6139 77.2090 35, Agra 27.1767 78.0081 25, Jaipur 26.9124 75.7873 30, Udaipur 24.5854 73.7125 25, Jodhpur 26.2389 73.0243 25, Jaisalmer 26.9157 70.9083 25, Varanasi 25.3176 82.9739 25,
-Lucknow 26.8467 80.9462 30, Manali 32.2396 77.1887 20, Shimla 31.1048 77.1734 20, Rishikesh 30.0869 78.2676 20, Chandigarh 30.7333 76.7794 25, Amritsar 31.6340 74.8723 25, Srinagar 34.0837 74.7973 25, Leh 34.1526 77.5771 25,
-Kolkata 22.5726 88.3639 35, Darjeeling 27.0410 88.2663 20, Gangtok 27.3389 88.6065 20, Bhubaneswar 20.2961 85.8245 25, Puri 19.8135 85.8312 20, Ahmedabad 23.0225 72.5714 30, Bhopal 23.2599 77.4126 30, Indore 22.7196 75.8577 25"""),
-        ("UAE", "Dubai 25.2048 55.2708 40"), ("Singapore", "Singapore 1.3521 103.8198 30"), ("UK", "London 51.5074 -0.1278 40"), ("France", "Paris 48.8566 2.3522 35"), ("Italy", "Rome 41.9028 12.4964 35"), ("Spain", "Barcelona 41.3879 2.1699 30"),
-        ("Netherlands", "Amsterdam 52.3676 4.9041 30"), ("Thailand", "Bangkok 13.7563 100.5018 35"), ("Indonesia", "Bali -8.3405 115.0920 50"), ("Japan", "Tokyo 35.6762 139.6503 45"),
-        ("USA", "New_York 40.7128 -74.0060 40, San_Francisco 37.7749 -122.4194 35, Los_Angeles 34.0522 -118.2437 45"), ("Australia", "Sydney -33.8688 151.2093 40, Melbourne -37.8136 144.9631 40"),
-    )
-    for name, lat, lon, km in (x.split() for x in text.split(","))
-)
+#: Cities.
+CITIES = (
+    Place("Bangalore", "Bangalore", "India", 12.9716, 77.5946, 40000),
+    Place("Mysuru", "Mysuru", "India", 12.2958, 76.6394, 25000),
+    Place("Hampi", "Hampi", "India", 15.335, 76.46, 20000),
+    Place("Coorg", "Coorg", "India", 12.3375, 75.8069, 35000),
+    Place("Mangalore", "Mangalore", "India", 12.9141, 74.856, 25000),
+    Place("Gokarna", "Gokarna", "India", 14.5479, 74.3188, 20000),
+    Place("Chikmagalur", "Chikmagalur", "India", 13.3161, 75.772, 25000),
+    Place("Mumbai", "Mumbai", "India", 19.076, 72.8777, 40000),
+    Place("Pune", "Pune", "India", 18.5204, 73.8567, 30000),
+    Place("Goa", "Goa", "India", 15.2993, 74.124, 50000),
+    Place("Kolhapur", "Kolhapur", "India", 16.705, 74.2433, 25000),
+    Place("Mahabaleshwar", "Mahabaleshwar", "India", 17.9237, 73.6586, 25000),
+    Place("Lonavala", "Lonavala", "India", 18.7557, 73.4091, 20000),
+    Place("Nagpur", "Nagpur", "India", 21.1458, 79.0882, 30000),
+    Place("Nashik", "Nashik", "India", 19.9975, 73.7898, 25000),
+    Place("Shirdi", "Shirdi", "India", 19.7645, 74.4762, 20000),
+    Place("Aurangabad", "Aurangabad", "India", 19.8762, 75.3433, 25000),
+    Place("Chennai", "Chennai", "India", 13.0827, 80.2707, 35000),
+    Place("Pondicherry", "Pondicherry", "India", 11.9416, 79.8083, 25000),
+    Place("Ooty", "Ooty", "India", 11.4102, 76.695, 25000),
+    Place("Kodaikanal", "Kodaikanal", "India", 10.2381, 77.4892, 20000),
+    Place("Coimbatore", "Coimbatore", "India", 11.0168, 76.9558, 30000),
+    Place("Madurai", "Madurai", "India", 9.9252, 78.1198, 25000),
+    Place("Kochi", "Kochi", "India", 9.9312, 76.2673, 30000),
+    Place("Munnar", "Munnar", "India", 10.0889, 77.0595, 25000),
+    Place("Alleppey", "Alleppey", "India", 9.4981, 76.3388, 25000),
+    Place("Wayanad", "Wayanad", "India", 11.6854, 76.132, 30000),
+    Place("Trivandrum", "Trivandrum", "India", 8.5241, 76.9366, 25000),
+    Place("Hyderabad", "Hyderabad", "India", 17.385, 78.4867, 35000),
+    Place("Visakhapatnam", "Visakhapatnam", "India", 17.6868, 83.2185, 30000),
+    Place("Tirupati", "Tirupati", "India", 13.6288, 79.4192, 25000),
+    Place("Vijayawada", "Vijayawada", "India", 16.5062, 80.648, 25000),
+    Place("Delhi", "Delhi", "India", 28.6139, 77.209, 35000),
+    Place("Agra", "Agra", "India", 27.1767, 78.0081, 25000),
+    Place("Jaipur", "Jaipur", "India", 26.9124, 75.7873, 30000),
+    Place("Udaipur", "Udaipur", "India", 24.5854, 73.7125, 25000),
+    Place("Jodhpur", "Jodhpur", "India", 26.2389, 73.0243, 25000),
+    Place("Jaisalmer", "Jaisalmer", "India", 26.9157, 70.9083, 25000),
+    Place("Varanasi", "Varanasi", "India", 25.3176, 82.9739, 25000),
+    Place("Lucknow", "Lucknow", "India", 26.8467, 80.9462, 30000),
+    Place("Manali", "Manali", "India", 32.2396, 77.1887, 20000),
+    Place("Shimla", "Shimla", "India", 31.1048, 77.1734, 20000),
+    Place("Rishikesh", "Rishikesh", "India", 30.0869, 78.2676, 20000),
+    Place("Chandigarh", "Chandigarh", "India", 30.7333, 76.7794, 25000),
+    Place("Amritsar", "Amritsar", "India", 31.634, 74.8723, 25000),
+    Place("Srinagar", "Srinagar", "India", 34.0837, 74.7973, 25000),
+    Place("Leh", "Leh", "India", 34.1526, 77.5771, 25000),
+    Place("Kolkata", "Kolkata", "India", 22.5726, 88.3639, 35000),
+    Place("Darjeeling", "Darjeeling", "India", 27.041, 88.2663, 20000),
+    Place("Gangtok", "Gangtok", "India", 27.3389, 88.6065, 20000),
+    Place("Bhubaneswar", "Bhubaneswar", "India", 20.2961, 85.8245, 25000),
+    Place("Puri", "Puri", "India", 19.8135, 85.8312, 20000),
+    Place("Ahmedabad", "Ahmedabad", "India", 23.0225, 72.5714, 30000),
+    Place("Bhopal", "Bhopal", "India", 23.2599, 77.4126, 30000),
+    Place("Indore", "Indore", "India", 22.7196, 75.8577, 25000),
+    Place("Dubai", "Dubai", "UAE", 25.2048, 55.2708, 40000),
+    Place("Singapore", "Singapore", "Singapore", 1.3521, 103.8198, 30000),
+    Place("London", "London", "UK", 51.5074, -0.1278, 40000),
+    Place("Paris", "Paris", "France", 48.8566, 2.3522, 35000),
+    Place("Rome", "Rome", "Italy", 41.9028, 12.4964, 35000),
+    Place("Barcelona", "Barcelona", "Spain", 41.3879, 2.1699, 30000),
+    Place("Amsterdam", "Amsterdam", "Netherlands", 52.3676, 4.9041, 30000),
+    Place("Bangkok", "Bangkok", "Thailand", 13.7563, 100.5018, 35000),
+    Place("Bali", "Bali", "Indonesia", -8.3405, 115.092, 50000),
+    Place("Tokyo", "Tokyo", "Japan", 35.6762, 139.6503, 45000),
+    Place("New York", "New York", "USA", 40.7128, -74.006, 40000),
+    Place("San Francisco", "San Francisco", "USA", 37.7749, -122.4194, 35000),
+    Place("Los Angeles", "Los Angeles", "USA", 34.0522, -118.2437, 45000),
+    Place("Sydney", "Sydney", "Australia", -33.8688, 151.2093, 40000),
+    Place("Melbourne", "Melbourne", "Australia", -37.8136, 144.9631, 40000),
+)
 #: Words beside a city's name that make a text speak of a visit.
 CLUES = ("airport", "station", "metro", "terminal", "cantt", "junction", "hotel", "resort", "visit", "tourism", "welcome to")
 NEAR_M = 120_000

@@ -66,10 +66,14 @@ def video_fingerprint(duration: Column, digest: Column) -> Column:
 
 
 def portrait_pair(name_a: Column, at_a: Column, name_b: Column, at_b: Column) -> Column:
-    """Whether two files are a portrait and its original: one sequence number, and an edited name, a portrait mark or at most 10 seconds between them."""
-    same = photo_sequence(name_a) == photo_sequence(name_b)
-    marked = F.upper(name_a).rlike("PORTRAIT|^IMG_E") | F.upper(name_b).rlike("PORTRAIT|^IMG_E")
-    return F.coalesce(same & (marked | (F.abs(F.unix_timestamp(at_a) - F.unix_timestamp(at_b)) <= 10)), F.lit(False))
+    """Whether two files are a portrait and its original: one sequence number, digit for digit, and ``IMG_E`` beside ``IMG_``, a portrait mark or at most 10 seconds between them."""
+    a, b = F.upper(name_a), F.upper(name_b)
+    digits = lambda x: F.regexp_extract(F.regexp_replace(x, r"\.[^/.]+$", ""), "[0-9]{4,}", 0)
+    same = (digits(a) != "") & (digits(a) == digits(b))
+    edited = a.startswith("IMG_E") & b.startswith("IMG_") | b.startswith("IMG_E") & a.startswith("IMG_")
+    marked = F.contains(a, F.lit("PORTRAIT")) | F.contains(b, F.lit("PORTRAIT"))
+    close = F.coalesce(F.abs(F.unix_micros(at_a) - F.unix_micros(at_b)) <= 10_000_000, F.lit(False))
+    return F.coalesce(same & (edited | marked | close), F.lit(False))
 
 
 def normalize_digits(text: Column) -> Column:
@@ -78,7 +82,7 @@ def normalize_digits(text: Column) -> Column:
 
 
 def is_copy_name(path: Column) -> Column:
-    return F.lower(path).rlike(r"( - copy|\([0-9]+\))")
+    return F.lower(path).rlike(r"-\s*copy|\([0-9]+\)")
 
 
 def sanitize_folder(name: Column) -> Column:
@@ -101,11 +105,16 @@ def format_date(ts: Column, now: Column) -> Column:
 
 def quality_score(width: Column, height: Column, size: Column, blur: Column, mime: Column, path: Column) -> Column:
     """0 to 100: pixels up to 30, sharpness up to 25 (15 unmeasured), format 10 to 20, size up to 15, a name without copy marks 5, known dimensions 5."""
-    mega = width * height / 1e6
-    form = F.when(mime.rlike("raw|nef|cr2|arw|dng"), 20).when(mime.rlike("heic|heif|tiff"), 18).when(mime.rlike("png"), 15).when(mime.rlike("jpe?g"), 14).otherwise(10)
-    sharp = F.when(blur < 0, 15.0).otherwise(F.least(F.lit(25.0), blur / 300.0 * 25))
-    total = F.least(F.lit(30.0), mega / 12.0 * 30) + sharp + form + F.least(F.lit(15.0), size / (10.0 * 1024 * 1024) * 15) + F.when(is_copy_name(path), 0).otherwise(5) + F.when((width > 0) & (height > 0), 5).otherwise(0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
+    none = lambda x: F.coalesce(x, F.lit(0))
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    raw = F.contains(kind, F.lit("raw")) | F.lower(F.coalesce(path, F.lit(""))).rlike(r"\.(cr2|nef|arw|dng)$")
+    form = F.when(raw, 20).when(kind.rlike("png|tiff"), 18).when(kind.rlike("heic|heif"), 16).when(kind.rlike("jpe?g"), 14).otherwise(10)
+    sharp = F.when(blur >= 0, F.least(F.lit(25.0), blur / 300.0 * 25)).otherwise(15.0)
+    pixels = F.least(F.lit(30.0), none(width).cast("double") * none(height) / 1e6 * 2.5)
+    bulk = F.least(F.lit(15.0), none(size) / (1024.0 * 1024.0) * 1.5)
+    named = F.when(F.coalesce(is_copy_name(path), F.lit(False)), 0).otherwise(5)
+    total = pixels + sharp + form + bulk + named + F.when((none(width) > 0) & (none(height) > 0), 5).otherwise(0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
 
 
 def has_document_filename(name: Column) -> Column:

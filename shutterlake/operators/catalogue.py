@@ -137,9 +137,12 @@ def cleanup_stats(photos: DataFrame) -> DataFrame:
 
 
 def quick_duplicates(photos: DataFrame) -> DataFrame:
-    """Groups by hash, else by size and dimensions; what all but the largest of each would free."""
-    key = F.when(F.col("perceptual_hash") != "", F.concat(F.lit("h"), "perceptual_hash")).otherwise(F.concat_ws("x", F.col("file_size"), F.col("width"), F.col("height")))
-    groups = photos.filter(~F.col("is_trashed")).groupBy(key.alias("key")).agg(F.count("*").alias("n"), (F.sum("file_size") - F.max("file_size")).alias("freed")).filter("n > 1")
+    """Groups by hash, if it has 64 digits that aren't all zero, else by size and dimensions; what all but the largest of each would free. Empty files count for nothing."""
+    text = lambda *parts: F.concat_ws("_", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    hashed = (F.length("perceptual_hash") == 64) & (F.col("perceptual_hash") != "0" * 64)
+    sized = (F.col("width") != 0) & (F.col("height") != 0)
+    key = F.when(hashed, text("hash", F.col("perceptual_hash"))).when(sized, text("dim", F.col("file_size"), F.col("width"), F.col("height"))).otherwise(text("size", F.col("file_size")))
+    groups = photos.filter(~F.col("is_trashed") & (F.col("file_size") > 0)).groupBy(key.alias("key")).agg(F.count("*").alias("n"), (F.sum("file_size") - F.max("file_size")).alias("freed")).filter("n > 1")
     return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_redundant"), F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"))
 
 

@@ -29,7 +29,7 @@ def kinds() -> dict[str, Column]:
     name, path = F.lower(F.coalesce("filename", F.lit(""))), F.lower(F.coalesce("file_path", F.lit("")))
     return {
         "screenshot": name.rlike("screenshot|screen shot|screencap|^ss_|^scr_") | path.rlike("screenshot|screen shot|screencaps"),
-        "video": F.lower(F.coalesce("mime_type", F.lit(""))).startswith("video"),
+        "video": F.lower(F.coalesce("mime_type", F.lit(""))).startswith("video") | F.coalesce(media_type(F.coalesce(F.nullif("filename", F.lit("")), "file_path"))["kind"].isin("video", "cinema"), F.lit(False)),
         "document": F.coalesce(F.col("is_document"), F.lit(False)) | F.coalesce(~F.col("document_category").isin("", "not_a_document"), F.lit(False)) | name.rlike(r"aadhaar|aadhar|adhar|pan_card|pancard|passport|receipt|invoice|bill_|\.pdf$|\.txt$"),
         "whatsapp": path.rlike("/whatsapp/|whatsapp images|whatsapp video") | name.rlike(r"^(img|vid|stk)-[0-9]{8}-wa[0-9]{4,}\.|whatsapp (image|video|audio|document) [0-9]{4}-[0-9]{2}-[0-9]{2}|^wa[-_]?[0-9]+|^[a-z]{4,7}[0-9]{4,5}\.(jpg|jpeg|mov|mp4|png|webp)$"),
         "social": path.rlike("/instagram/|/snapchat/|/facebook/|/tiktok/") | name.rlike(r"^[0-9]{6,15}_[0-9]{10,25}_[0-9]{10,25}_[no]\.(jpg|mp4|webp)$|^(instagram|ig|reels|snapchat|snap|tiktok|fb_img)[-_]"),

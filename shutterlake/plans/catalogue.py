@@ -1,6 +1,6 @@
 """All registered catalogue queries and their DuckDB forms."""
 
-from shutterlake.plans import core, library, matching
+from shutterlake.plans import core, library, matching, signals
 
-QUERIES: dict = core.QUERIES | matching.QUERIES | library.QUERIES
-ORACLES: dict = core.ORACLES | matching.ORACLES | library.ORACLES
+QUERIES: dict = core.QUERIES | matching.QUERIES | library.QUERIES | signals.QUERIES
+ORACLES: dict = core.ORACLES | matching.ORACLES | library.ORACLES | signals.ORACLES

@@ -100,8 +100,8 @@ def _(c):
 
 
 @query("a15_quick_duplicates", """SELECT count(*) AS n_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_redundant, CAST(coalesce(sum(freed), 0) AS BIGINT) AS freed FROM (
-  SELECT count(*) AS n, sum(file_size) - max(file_size) AS freed FROM {photos} WHERE NOT is_trashed
-  GROUP BY CASE WHEN perceptual_hash <> '' THEN 'h' || perceptual_hash ELSE concat_ws('x', file_size, width, height) END HAVING count(*) > 1)""")
+  SELECT count(*) AS n, sum(file_size) - max(file_size) AS freed FROM {photos} WHERE NOT is_trashed AND file_size > 0
+  GROUP BY CASE WHEN length(perceptual_hash) = 64 AND perceptual_hash <> repeat('0', 64) THEN 'hash_' || perceptual_hash ELSE 'dim_' || file_size || '_' || width || '_' || height END HAVING count(*) > 1)""")
 def _(c):
     return op.quick_duplicates(c.photos)
 
@@ -340,7 +340,7 @@ def _(c):
     return c.people.filter(F.col("name").ilike("%supplier%")).join(dated, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"), "latest").orderBy(F.desc_nulls_last("latest"), "id")
 
 
-MEDIA = "regexp_matches(lower(path), '[.](jpg|jpeg|png|mp4|pdf|webp|nef)$')"
+MEDIA = "NOT regexp_matches(lower(path), '[.]zip$')"
 
 
 @query("x1_sync_diff", f"SELECT path, 'added' AS change FROM {{disk}} WHERE {MEDIA} AND path NOT IN (SELECT file_path FROM {{photos}}) UNION ALL SELECT file_path, 'removed' FROM {{photos}} WHERE file_path NOT IN (SELECT path FROM {{disk}})")

@@ -65,7 +65,7 @@ def _(c):
     return organize.audited(manifest, c.disk)
 
 
-@query("l7_source_breakdown", "SELECT CASE WHEN ext IN ('.jpg', '.jpeg', '.png', '.mp4', '.pdf', '.webp', '.nef') THEN 'media' ELSE 'other' END AS side, ext, count(*) AS n, CAST(sum(length) AS BIGINT) AS n_bytes FROM (SELECT lower(regexp_extract(path, '([.][^./]*)$', 1)) AS ext, length FROM {disk}) GROUP BY ALL")
+@query("l7_source_breakdown", "SELECT CASE WHEN ext <> '.zip' THEN 'media' ELSE 'other' END AS side, ext, count(*) AS n, CAST(sum(length) AS BIGINT) AS n_bytes FROM (SELECT lower(regexp_extract(path, '([.][^./]*)$', 1)) AS ext, length FROM {disk}) GROUP BY ALL")
 def _(c):
     return organize.source_breakdown(c.disk)
 
@@ -109,8 +109,7 @@ def _(c):
     return people.auto_merges(found, found.filter("a = 0 and b = 1").select("a", "b"), 70)
 
 
-DIGIT = "[0-9]"
-SHOT = f"""CASE WHEN regexp_matches(f, '^screenshot_{DIGIT * 8}[-_]{DIGIT * 6}') THEN 'mobile' WHEN regexp_matches(f, 'screenshot|screen[ _-]shot|screencap|screengrab|snip|printscreen|prtscn') THEN CASE WHEN regexp_matches(f, 'android|ios|phone') THEN 'mobile' ELSE 'desktop' END
+SHOT = """CASE WHEN regexp_matches(f, '^screenshot_[0-9]{8}[-_][0-9]{6}') THEN 'mobile' WHEN regexp_matches(f, 'screenshot|screen[ _-]shot|screencap|screengrab|snip|printscreen|prtscn') THEN CASE WHEN regexp_matches(f, 'android|ios|phone') THEN 'mobile' ELSE 'desktop' END
   WHEN regexp_matches(f, '[.](png|webp)$') AND (width, height) IN ((1080, 1920), (1170, 2532), (1920, 1080)) THEN 'mobile' END"""
 
 

@@ -10,33 +10,111 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extensions by kind, and the media types that don't follow from the extension.
-PHOTOS = "jpg jpeg jfif png heic heif tiff tif webp avif jxl bmp gif jp2 j2k jpf jpx jxr wdp hdp".split()
-VIDEOS = "mov mp4 m4v avi wmv asf mkv webm 3gp 3g2 dv vob mpg mpeg mp2 f4v flv ogv ogg m2t mts m2ts rm rmvb divx xvid".split()
-RAWS = "cr2 cr3 crw nef nrw arw sr2 srf dng orf raf rw2 pef ptx srw x3f rwl raw mrw 3fr fff iiq cap kdc dcr k25 erf gpr mef bay sti mos".split()
-CINEMA = "braw r3d ari arx crm mxf cine insv lrv op1 op2 dnxhd fcpvid".split()
-DOCUMENTS = "pdf txt doc docx".split()
-GRAPHICS = ["svg"]
-RAW_MAKERS = {"dng": "adobe", "cr2 cr3 crw": "canon", "nef nrw": "nikon", "arw sr2 srf": "sony", "orf": "olympus", "raf": "fuji", "rw2 raw": "panasonic", "pef ptx": "pentax", "srw": "samsung", "x3f": "sigma", "rwl": "leica", "mrw": "minolta", "3fr fff": "hasselblad", "iiq cap": "phaseone", "kdc dcr k25": "kodak", "erf": "epson", "gpr": "gopro", "mef": "mamiya", "bay": "casio", "sti": "sinar", "mos": "leaf"}
-MIMES = {
-    "jpg jpeg jfif": "image/jpeg", "tiff tif": "image/tiff", "jp2 j2k jpf jpx": "image/jp2", "wdp hdp": "image/vnd.ms-photo", "svg": "image/svg+xml", "mov fcpvid": "video/quicktime", "m4v": "video/x-m4v", "avi": "video/x-msvideo", "wmv": "video/x-ms-wmv", "asf": "video/x-ms-asf", "mkv": "video/x-matroska",
-    "3gp": "video/3gpp", "3g2": "video/3gpp2", "dv": "video/x-dv", "vob": "video/x-ms-vob", "mpg mpeg mp2": "video/mpeg", "f4v": "video/x-f4v", "flv": "video/x-flv", "ogv ogg": "video/ogg", "m2t mts m2ts": "video/mp2t", "rm rmvb": "video/vnd.rn-realvideo", "xvid": "video/x-xvid", "braw": "video/x-braw", "r3d": "video/x-r3d",
-    "ari": "video/x-arri-ari", "arx": "video/x-arri-arx", "crm": "video/x-canon-crm", "mxf op1 op2": "application/mxf", "cine": "video/x-phantom-cine", "insv lrv": "video/mp4", "dnxhd": "video/x-dnxhd", "pdf": "application/pdf", "txt": "text/plain", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-}
-
-
-def registry() -> dict[str, tuple[str, str]]:
-    """(kind, media type) by extension; a type that no table gives is the kind and the extension."""
-    kinds = {e: k for k, own in (("photo", PHOTOS), ("photo", GRAPHICS), ("raw", RAWS), ("video", VIDEOS), ("cinema", CINEMA), ("document", DOCUMENTS)) for e in own}
-    mimes = {e: m for es, m in MIMES.items() for e in es.split()} | {e: f"image/x-{maker}-{e}" for es, maker in RAW_MAKERS.items() for e in es.split()}
-    return {e: (k, mimes.get(e, ("image/" if k in ("photo", "raw") else "video/") + e)) for e, k in kinds.items()}
+#: Kind and media type by extension.
+REGISTRY = {
+    "jpg": ("photo", "image/jpeg"),
+    "jpeg": ("photo", "image/jpeg"),
+    "jfif": ("photo", "image/jpeg"),
+    "png": ("photo", "image/png"),
+    "heic": ("photo", "image/heic"),
+    "heif": ("photo", "image/heif"),
+    "tiff": ("photo", "image/tiff"),
+    "tif": ("photo", "image/tiff"),
+    "webp": ("photo", "image/webp"),
+    "avif": ("photo", "image/avif"),
+    "jxl": ("photo", "image/jxl"),
+    "bmp": ("photo", "image/bmp"),
+    "gif": ("photo", "image/gif"),
+    "jp2": ("photo", "image/jp2"),
+    "j2k": ("photo", "image/jp2"),
+    "jpf": ("photo", "image/jp2"),
+    "jpx": ("photo", "image/jp2"),
+    "jxr": ("photo", "image/jxr"),
+    "wdp": ("photo", "image/vnd.ms-photo"),
+    "hdp": ("photo", "image/vnd.ms-photo"),
+    "svg": ("photo", "image/svg+xml"),
+    "cr2": ("raw", "image/x-canon-cr2"),
+    "cr3": ("raw", "image/x-canon-cr3"),
+    "crw": ("raw", "image/x-canon-crw"),
+    "nef": ("raw", "image/x-nikon-nef"),
+    "nrw": ("raw", "image/x-nikon-nrw"),
+    "arw": ("raw", "image/x-sony-arw"),
+    "sr2": ("raw", "image/x-sony-sr2"),
+    "srf": ("raw", "image/x-sony-srf"),
+    "dng": ("raw", "image/x-adobe-dng"),
+    "orf": ("raw", "image/x-olympus-orf"),
+    "raf": ("raw", "image/x-fuji-raf"),
+    "rw2": ("raw", "image/x-panasonic-rw2"),
+    "pef": ("raw", "image/x-pentax-pef"),
+    "ptx": ("raw", "image/x-pentax-ptx"),
+    "srw": ("raw", "image/x-samsung-srw"),
+    "x3f": ("raw", "image/x-sigma-x3f"),
+    "rwl": ("raw", "image/x-leica-rwl"),
+    "raw": ("raw", "image/x-panasonic-raw"),
+    "mrw": ("raw", "image/x-minolta-mrw"),
+    "3fr": ("raw", "image/x-hasselblad-3fr"),
+    "fff": ("raw", "image/x-hasselblad-fff"),
+    "iiq": ("raw", "image/x-phaseone-iiq"),
+    "cap": ("raw", "image/x-phaseone-cap"),
+    "kdc": ("raw", "image/x-kodak-kdc"),
+    "dcr": ("raw", "image/x-kodak-dcr"),
+    "k25": ("raw", "image/x-kodak-k25"),
+    "erf": ("raw", "image/x-epson-erf"),
+    "gpr": ("raw", "image/x-gopro-gpr"),
+    "mef": ("raw", "image/x-mamiya-mef"),
+    "bay": ("raw", "image/x-casio-bay"),
+    "sti": ("raw", "image/x-sinar-sti"),
+    "mos": ("raw", "image/x-leaf-mos"),
+    "mov": ("video", "video/quicktime"),
+    "mp4": ("video", "video/mp4"),
+    "m4v": ("video", "video/x-m4v"),
+    "avi": ("video", "video/x-msvideo"),
+    "wmv": ("video", "video/x-ms-wmv"),
+    "asf": ("video", "video/x-ms-asf"),
+    "mkv": ("video", "video/x-matroska"),
+    "webm": ("video", "video/webm"),
+    "3gp": ("video", "video/3gpp"),
+    "3g2": ("video", "video/3gpp2"),
+    "dv": ("video", "video/x-dv"),
+    "vob": ("video", "video/x-ms-vob"),
+    "mpg": ("video", "video/mpeg"),
+    "mpeg": ("video", "video/mpeg"),
+    "mp2": ("video", "video/mpeg"),
+    "f4v": ("video", "video/x-f4v"),
+    "flv": ("video", "video/x-flv"),
+    "ogv": ("video", "video/ogg"),
+    "ogg": ("video", "video/ogg"),
+    "m2t": ("video", "video/mp2t"),
+    "mts": ("video", "video/mp2t"),
+    "m2ts": ("video", "video/mp2t"),
+    "rm": ("video", "video/vnd.rn-realvideo"),
+    "rmvb": ("video", "video/vnd.rn-realvideo"),
+    "divx": ("video", "video/divx"),
+    "xvid": ("video", "video/x-xvid"),
+    "braw": ("cinema", "video/x-braw"),
+    "r3d": ("cinema", "video/x-r3d"),
+    "ari": ("cinema", "video/x-arri-ari"),
+    "arx": ("cinema", "video/x-arri-arx"),
+    "crm": ("cinema", "video/x-canon-crm"),
+    "mxf": ("cinema", "application/mxf"),
+    "cine": ("cinema", "video/x-phantom-cine"),
+    "insv": ("cinema", "video/mp4"),
+    "lrv": ("cinema", "video/mp4"),
+    "op1": ("cinema", "application/mxf"),
+    "op2": ("cinema", "application/mxf"),
+    "dnxhd": ("cinema", "video/x-dnxhd"),
+    "fcpvid": ("cinema", "video/quicktime"),
+    "pdf": ("document", "application/pdf"),
+    "txt": ("document", "text/plain"),
+    "doc": ("document", "application/msword"),
+    "docx": ("document", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+}
 
 
 def media_type(path: Column) -> Column:
     """``struct(ext, kind, mime, supported)`` of a path. An extension that nobody knows counts as a JPEG."""
     ext = F.lower(F.regexp_extract(F.trim(path), r"\.([^./\\]*)$", 1))
-    known = registry()
-    table = F.create_map(*[F.lit(x) for e, (k, m) in known.items() for x in (e, f"{k} {m}")])
+    table = F.create_map(*[F.lit(x) for e, (k, m) in REGISTRY.items() for x in (e, f"{k} {m}")])
     found = F.try_element_at(table, ext)
     return F.struct(ext.alias("ext"), F.split_part(found, F.lit(" "), F.lit(1)).alias("kind"), F.coalesce(F.split_part(found, F.lit(" "), F.lit(2)), F.lit("image/jpeg")).alias("mime"), found.isNotNull().alias("supported"))
 
