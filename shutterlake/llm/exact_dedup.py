@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.names import free_name, own_columns
 from shutterlake.session import cut, written
 from shutterlake.sources.tables import read_table
 
@@ -107,9 +108,10 @@ def duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the largest ``doc_id``."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    kept = duplicate_rows(numbered, row_col="_row").filter("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    kept = duplicate_rows(numbered, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*own_columns(docs))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

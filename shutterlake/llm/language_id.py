@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.names import free_name, own_columns
 from shutterlake.sources.tables import read_table
 
 WINDOW = 256
@@ -174,10 +175,10 @@ def held_out_of(doc_id: Column) -> Column:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``held_out``, ``lang_pred`` and ``score``; it learns from rows that aren't held out."""
-    net = learned(docs.select("doc_id", "text", "lang"), ~held_out_of(F.col("doc_id")))
-    out = docs.withColumn("_lang", predictor(net, docs.sparkSession)(F.col("text")))
-    return out.withColumn("held_out", held_out_of(F.col("doc_id"))).withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+    """``docs`` with ``held_out``, ``lang_pred`` and ``score``, which replace columns of these names; it learns from rows that aren't held out."""
+    net, both = learned(docs.select("doc_id", "text", "lang"), ~held_out_of(F.col("doc_id"))), free_name(docs, "_lang")
+    out = docs.withColumn(both, predictor(net, docs.sparkSession)(F.col("text")))
+    return out.withColumns({"held_out": held_out_of(F.col("doc_id")), "lang_pred": F.col(f"{both}.lang_pred"), "score": F.col(f"{both}.score")}).drop(both)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -185,8 +186,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     net = learned(docs.select("doc_id", "text", "lang"), ~held_out_of(F.col("doc_id")))
     if net is None:  # every text would be ``und``
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    lang = predictor(net, docs.sparkSession)(F.col("text"))
-    return docs.withColumn("_lang", lang).filter(F.col("_lang.lang_pred") != UNKNOWN).select(*docs.columns)
+    both = free_name(docs, "_lang")
+    return docs.withColumn(both, predictor(net, docs.sparkSession)(F.col("text"))).filter(F.col(f"{both}.lang_pred") != UNKNOWN).select(*own_columns(docs))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

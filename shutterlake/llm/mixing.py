@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shutterlake.llm.names import free_name, own_columns
 from shutterlake.session import cut, written
 from shutterlake.sources.tables import read_table
 
@@ -97,9 +98,10 @@ def measured(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: not at all, once or several times, with their own columns."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    times = mixed(measured(numbered, F.col("_row"))).filter("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row, times, copy = (free_name(docs, x) for x in ("_row", "_times", "_copy"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixed(measured(numbered, F.col(row))).filter("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return numbered.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own_columns(docs))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.names import free_name
 from shutterlake.sources.tables import read_table
 
 SAMPLE, RARE, SIGNIFICANT, BITS, GRADES = 12000, 4, 4.0, 18, 3
@@ -150,7 +151,7 @@ def learned(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordina
 
 
 def rated(docs: DataFrame, model: Ordinal | None, keep: float = KEEP) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail_prob`` (of the highest grade) and ``kept``."""
+    """``docs`` with ``expected_grade``, ``tail_prob`` (of the highest grade) and ``kept``, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights, whatever the data
 
     @F.pandas_udf("expected_grade double, tail_prob double")
@@ -163,8 +164,9 @@ def rated(docs: DataFrame, model: Ordinal | None, keep: float = KEEP) -> DataFra
             tails = model.tails(model.scores([own.of(t) for t in texts]))
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_prob": tails[:, -1]})
 
-    out = docs.withColumn("_rating", rate(F.col("text")))
-    return out.withColumns({"expected_grade": F.col("_rating.expected_grade"), "tail_prob": F.col("_rating.tail_prob")}).withColumn("kept", F.col("tail_prob") >= keep).drop("_rating")
+    both = free_name(docs, "_rating")
+    out = docs.withColumn(both, rate(F.col("text")))
+    return out.withColumns({"expected_grade": F.col(f"{both}.expected_grade"), "tail_prob": F.col(f"{both}.tail_prob"), "kept": F.col(f"{both}.tail_prob") >= keep}).drop(both)
 
 
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.names import free_name, own_columns
 from shutterlake.operators.components import connected_components
 from shutterlake.session import cut, written
 from shutterlake.sources.tables import read_table
@@ -251,37 +252,45 @@ def _text_links(units: DataFrame, texts: DataFrame, width: int, star: bool) -> D
 def jaccard_links(texts: DataFrame, width: int = WIDTH, unit: int = UNIT) -> DataFrame:
     """``(src, dst)``: links among the rows of ``texts(row, text)`` that connect those with a Jaccard of ``LIKENESS`` or more that share a band key.
 
-    First each row of a key meets the key's least row; large groups of copies end there. Keys that still hold several components are cut
-    into chunks, and every pair of chunks is a unit in which all pairs of different components are verified; no key is left out for its size.
+    First each row of a key meets the key's least row, which settles most large groups. In a key that still holds several components, the rows outside
+    the largest of them are cut into chunks that meet each other and the chunks of the largest: every pair of different components is verified, no key is
+    left out for its size, and the work on a large group is its size times that of the rest. Only texts that share a key are shuffled, once.
     """
     keyed = cut(texts.select("row", F.explode(band_keys_udf(width)(F.col("text"))).alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
-    members = cut(keyed.join(shared, "key").select("key", "row", "first", "n"))
+    members = cut(keyed.join(shared, "key").select("key", "row", "first"))
+    texts = written(texts.join(members.select("row").distinct(), "row", "left_semi"), "candidates")
     stars = cut(members.filter("row <> first").select("first", "row").distinct())
     sizes = stars.groupBy("first").agg(F.ceil(F.count("*") / unit).alias("chunks"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rays = stars.join(sizes, "first").select(F.col("first").alias("key"), F.pmod(F.xxhash64("row"), F.col("chunks")).alias("lo"), F.lit(True).alias("later"), "row")
-    hubs = sizes.select(F.col("first").alias("key"), every("chunks").alias("lo"), F.lit(False).alias("later"), F.col("first").alias("row"))
+    hubs = sizes.select(F.col("first").alias("key"), upto("chunks").alias("lo"), F.lit(False).alias("later"), F.col("first").alias("row"))
     units = rays.unionByName(hubs).withColumns({"hi": F.lit(0).cast("long"), "part": F.col("row")})
     found = cut(_text_links(units, texts, width, True))
     parts = connected_components(found).withColumnRenamed("node", "row")
-    placed = cut(members.join(parts, "row", "left").select("key", "row", "n", F.coalesce("component", "row").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    rest = placed.join(mixed, "key").withColumn("chunks", F.ceil(F.col("n") / unit)).withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")))
-    units = rest.select("key", "row", "part", "own", every("chunks").alias("other")).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(True).alias("later"), "row", "part")
+    placed = cut(members.join(parts, "row", "left").select("key", "row", F.coalesce("component", "row").alias("part")))
+    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("m")).filter("m > 1")
+    mixed = mixed.select("key", "major", F.ceil((F.col("n") - F.col("most")) / unit).alias("rest"), F.ceil(F.col("most") / unit).alias("of_major"))
+    rows = placed.join(mixed, "key").withColumn("is_major", F.col("part") == F.col("major"))
+    own = F.when(F.col("is_major"), F.col("rest") + F.pmod(F.xxhash64("row"), F.col("of_major"))).otherwise(F.pmod(F.xxhash64("row"), F.col("rest")))
+    rows = rows.withColumns({"own": own, "meets": F.when(F.col("is_major"), F.col("rest")).otherwise(F.col("rest") + F.col("of_major"))})
+    rows = rows.select("key", "row", "part", "own", upto("meets").alias("other"))
+    units = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(True).alias("later"), "row", "part")
     return found.unionByName(cut(_text_links(units, texts, width, False)))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, unit: int = UNIT) -> DataFrame:
     """``docs`` with one row of each group of near copies by Jaccard, the first by ``doc_id`` (nulls last), with its own columns."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    links = jaccard_links(numbered.select(F.col("_row").alias("row"), "text"), width, unit)
-    parts = connected_components(links).withColumnRenamed("node", "_row")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    grouped = cut(numbered.select("_row", rank.alias("rank")).join(parts, "_row"))
+    row = free_name(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    links = jaccard_links(numbered.select(F.col(row).alias("row"), "text"), width, unit)
+    parts = connected_components(links).select(F.col("node").alias("row"), "component")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    grouped = cut(numbered.select(F.col(row).alias("row"), rank.alias("rank")).join(parts, "row"))
     least = grouped.groupBy("component").agg(F.min("rank").alias("least"))
-    goes = grouped.join(least, "component").filter(F.col("rank.row") != F.col("least.row")).select("_row")
-    return numbered.join(goes, "_row", "left_anti").select(*docs.columns)
+    goes = grouped.join(least, "component").filter(F.col("rank.row") != F.col("least.row")).select(F.col("row").alias(row))
+    return numbered.join(goes, row, "left_anti").select(*own_columns(docs))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
