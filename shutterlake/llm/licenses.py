@@ -1,143 +1,128 @@
 """Licence scans by a positional index of rare words. DataFrame functions only.
 
-Method. Every template of ``TEMPLATES`` is indexed by its ``RARE`` words of the highest inverse document frequency in the scanned texts, each with
-its position. A text looks up which of its words are in the index; each hit at position p of a word at template position t speaks for the
-template starting at p - t. A start that ``NEED`` of the indexed words agree on is a candidate, and a label is given if the template's
-mandatory key phrase stands there word for word. Base phrases are found wherever their words stand consecutively.
+Method. Every word of every licence text is indexed with the licences and positions at which it stands. A scanned text looks up its ``RARE``
+licence words of the highest inverse document frequency: an occurrence at position p of a word that stands at position t of a licence speaks for
+that licence starting at p - t. Postings are intersected by these relative positions: a start that ``NEED`` occurrences agree on is a candidate,
+and a label is given if the licence's mandatory key phrase stands there word for word. Base phrases are found wherever their words stand
+consecutively.
 
-Document frequencies are counted over all texts, for the few hundred words of the templates; they are all that reaches the
-driver. Words are taken from whole texts, and everything after the counts happens within a row.
+Document frequencies are counted over all texts, for the few hundred words of the licences; they are all that reaches the driver. Words are taken
+from whole texts, and everything after the counts happens within a row, in one pass over its words.
 
-``score``: 1 with a base label, else the largest share of a template's indexed words that agree on a start.
+``score``: 1 with a base label, else the share of ``RARE`` that the best start has in occurrences, 1 at most.
 
 Defined cases: a null text counts as empty; one without words has no labels, null word positions and score 0. Upper and lower case A-Z are
-the same, other characters are themselves. Equal frequencies are ordered by word. Repeated rows give equal rows, an empty table an empty result; other
-columns play no part.
+the same, other characters are themselves. Equal frequencies are ordered by word. Repeated rows give equal rows, an empty table an empty result. A
+column that has the name of a result gives way to it; all others pass through.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.license_texts import LICENSE_TEXTS
+from shutterlake.llm.names import free_name
 from shutterlake.sources.tables import read_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE, NEED = 4, 3
+RARE, NEED = 8, 3
 #: Phrases that are labels by themselves.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, template and mandatory key phrase, from the public texts of the licences.
-TEMPLATES = (
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "the mit license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+#: The word of each base phrase whose places are looked at, and its place in the phrase.
+ANCHORS = {"under the mit license": ("mit", 2), "apache license version 2": ("apache", 0), "cc by nc": ("nc", 2)}
+#: Label, words and key phrase of each licence.
+TEMPLATES = tuple((label, " ".join(re.findall(WORD, text.lower())), key) for label, key, text in LICENSE_TEXTS)
 
 
 def words_of(text: Column) -> Column:
     """Words with A-Z in lower case. ``lower`` does that but for the two characters that it turns into ASCII letters."""
-    plain = F.when(text.rlike("[İK]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
+    plain = F.when(text.rlike("[İK]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
     return F.regexp_extract_all(F.coalesce(plain, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def index_of(frequency: dict[str, int], templates=TEMPLATES, rare: int = RARE) -> list[dict[str, int]]:
-    """For each template its ``rare`` rarest words and their first positions."""
-    out = []
-    for _, text, _ in templates:
-        words = text.split()
-        chosen = sorted(dict.fromkeys(words), key=lambda w: (frequency.get(w, 0), w))[:rare]
-        out.append({w: words.index(w) for w in chosen})
-    return out
-
-
 def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """In how many texts each word of the templates occurs; words in none are left out."""
-    words = sorted({w for _, text, _ in templates for w in text.split()})
-    found = F.array_distinct(F.filter(words_of(F.col(text_col)), lambda w: w.isin(words)))
+    """In how many texts each word of the licences occurs; words in none are left out."""
+    words = F.array(*[F.lit(w) for w in sorted({w for _, text, _ in templates for w in text.split()})])
+    found = F.array_intersect(words, words_of(F.col(text_col)))
     return {r.word: r["count"] for r in docs.select(F.explode(found).alias("word")).groupBy("word").count().collect()}
 
 
-def _stands(words: Column, at: Column, phrase: str) -> Column:
-    """Whether the phrase stands at position ``at``, from 0."""
-    return reduce(lambda a, b: a & b, [F.get(words, at + k) == w for k, w in enumerate(phrase.split())])
-
-
-def _phrase_starts(words: Column, hits: Column, phrase: str) -> Column:
-    """Where the phrase stands, by the places of its last word."""
-    own = phrase.split()
-    lead = len(own) - 1
-    ends = F.filter(hits, lambda h: (h.w == own[-1]) & (h["at"] >= lead) & _stands(words, h["at"] - lead, phrase))
-    return F.transform(ends, lambda h: h["at"] - lead)
+def _postings(words: list[str], templates) -> Column:
+    """For each word, in order, where it stands: (licence, position), each an array of its own."""
+    places: dict[str, list[tuple[int, int]]] = {w: [] for w in words}
+    for no, (_, text, _) in enumerate(templates):
+        for at, w in enumerate(text.split()):
+            if w in places:
+                places[w].append((no, at))
+    return F.array(*[F.array(*[F.struct(F.lit(no).alias("no"), F.lit(at).alias("at")) for no, at in places[w]]) for w in words])
 
 
-def _said_starts(hits: Column, own: dict[str, int]) -> Column:
-    """Where a template would start, sorted, once for each of its indexed words that says so."""
-
-    def by(word: str, place: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h.w == word), lambda h: h["at"] - place)
-
-    return F.array_sort(F.flatten(F.array(*[by(w, t) for w, t in own.items()])))
+def _base_starts(words: Column, hits: Column, phrase: str) -> Column:
+    """Where a base phrase stands."""
+    own, (anchor, lead) = phrase.split(), ANCHORS[phrase]
+    starts = F.transform(F.filter(hits, lambda h: h["w"] == anchor), lambda h: h["at"] - lead)
+    stands = lambda d: reduce(lambda a, b: a & b, [F.get(words, d + k) == w for k, w in enumerate(own)])
+    return F.filter(starts, lambda d: (d >= 0) & stands(d))
 
 
 def _most_agreeing(said: Column) -> Column:
-    """The length of the longest run of equal numbers in a sorted array."""
+    """The length of the longest run of equal entries in a sorted array."""
 
     def longer(a: Column, d: Column) -> Column:
         run = F.when(d == a["last"], a["run"] + 1).otherwise(1)
         return F.struct(d.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
 
-    return F.aggregate(said, F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")), longer, lambda a: a["most"])
-
-
-def _verified_starts(words: Column, said: Column, least: int, key: str, offset: int) -> Column:
-    """Starts that ``least`` words agree on and at which the key phrase stands in its place."""
-    agreed = F.array_distinct(F.filter(said, lambda d, i: F.get(said, i + (least - 1)) == d))
-    return F.filter(agreed, lambda d: (d + offset >= 0) & _stands(words, d + offset, key))
-
-
-def _spans(starts: Column, label: str) -> Column:
-    return F.transform(starts, lambda d: F.struct(F.lit(label).alias("label"), d.alias("start")))
-
-
-def scanned(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, need: int = NEED) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``spans``: (label, start, agreeing words) found by the index."""
-    index = index_of(document_frequencies(docs, text_col, templates), templates)
-    known = sorted({w for own in index for w in own} | {w for p in BASE for w in p.split()[-2:]})
-    words, hits = F.col("_words"), F.col("_hits")
-    out = docs.withColumn("_words", words_of(F.col(text_col)))
-    positions = F.filter(F.transform(words, lambda w, i: F.when(w.isin(known), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull())
-    out = out.withColumn("_hits", F.when(F.exists(words, lambda w: w.isin(known)), positions).otherwise(F.array().cast("array<struct<w:string,at:int>>")))
-
-    out = out.withColumns({f"_base{k}": _phrase_starts(words, hits, p) for k, p in enumerate(BASE)})
-    every = F.concat(*[F.col(f"_base{k}") for k in range(len(BASE))])
-
-    out = out.withColumns({f"_said{k}": _said_starts(hits, own) for k, own in enumerate(index)})
-    spans, shares = [], []
-    for k, ((label, text, key), own) in enumerate(zip(templates, index, strict=True)):
-        said, offset = F.col(f"_said{k}"), (" " + text + " ").split(f" {key} ")[0].count(" ")
-        shares.append(F.when(F.size(said) > 0, _most_agreeing(said) / float(len(own))).otherwise(0.0))
-        spans.append(_spans(_verified_starts(words, said, min(need, len(own)), key, offset), label))
-    out = out.withColumn("spans", F.when(F.size(hits) > 0, F.flatten(F.array(*spans))).otherwise(F.array().cast("array<struct<label:string,start:int>>")))
-    out = out.withColumn("_share", F.when(F.size(hits) > 0, F.greatest(*shares)).otherwise(0.0))
-    base = F.array_compact(F.array(*[F.when(F.size(f"_base{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values())]))
+    none = F.lit(None).cast("struct<no:int,start:int>")
+    return F.aggregate(said, F.struct(none.alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")), longer, lambda a: a["most"])
+
+
+def scanned(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, need: int = NEED, rare: int = RARE) -> DataFrame:
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``spans``: (label, start) of each licence found by the index."""
+    frequency = document_frequencies(docs, text_col, templates)
+    ranked = sorted(frequency, key=lambda w: (frequency[w], w))  # the highest inverse document frequency first; words in no text can't be looked up
+    names = {x: free_name(docs, f"_{x}") for x in ("words", "chosen", "hits", "said", "starts")}
+    words, chosen, hits, said, starts = (F.col(x) for x in names.values())
+    anchors = sorted({w for w, _ in ANCHORS.values()})
+    no_said = F.array().cast("array<struct<no:int,start:int>>")
+
+    out = docs.withColumn(names["words"], words_of(F.col(text_col)))
+    licence_words = F.array(*[F.lit(w) for w in ranked]) if ranked else F.array().cast("array<string>")
+    out = out.withColumn(names["chosen"], F.slice(F.array_intersect(licence_words, words), 1, rare))
+    wanted = lambda w: w.isin(anchors) | F.array_contains(chosen, w)
+    out = out.withColumn(names["hits"], F.filter(F.transform(words, lambda w, i: F.when(wanted(w), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull()))
+
+    if ranked:
+        order, postings = F.array(*[F.lit(w) for w in ranked]), _postings(ranked, templates)
+        by_word = F.transform(chosen, lambda w: F.struct(w.alias("w"), F.get(postings, F.array_position(order, w).cast("int") - 1).alias("places")))
+        places = lambda h: F.get(F.filter(by_word, lambda x: x["w"] == h["w"]), F.lit(0))["places"]
+        spoken = F.transform(F.filter(hits, lambda h: F.array_contains(chosen, h["w"])), lambda h: F.transform(places(h), lambda p: F.struct(p["no"].alias("no"), (h["at"] - p["at"]).alias("start"))))
+        out = out.withColumn(names["said"], F.when(F.size(chosen) > 0, F.array_sort(F.flatten(spoken))).otherwise(no_said))
+    else:
+        out = out.withColumn(names["said"], no_said)
+    keys = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit((" " + text + " ").split(f" {key} ")[0].count(" ")).alias("offset"), F.array(*map(F.lit, key.split())).alias("words"))
+        for label, text, key in templates
+    ])
+    agreed = F.array_distinct(F.filter(said, lambda d, i: F.get(said, i + (need - 1)) == d))
+    key = lambda d: F.get(keys, d["no"])
+    stands = lambda d: (d["start"] + key(d)["offset"] >= 0) & (F.slice(words, F.greatest(d["start"] + key(d)["offset"], F.lit(0)) + 1, F.size(key(d)["words"])) == key(d)["words"])
+    spans = F.transform(F.filter(agreed, stands), lambda d: F.struct(key(d)["label"].alias("label"), d["start"].alias("start")))
+
+    out = out.withColumn(names["starts"], F.array(*[F.struct(F.lit(label).alias("label"), _base_starts(words, hits, p).alias("at")) for p, label in BASE.items()]))
+    every = F.flatten(starts["at"])
+    base = F.transform(F.filter(starts, lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    out = out.withColumn("spans", spans)
     out = out.withColumns({
         "n_words": F.size(words).cast("long"), "n_base": F.size(every).cast("long"), "first_word": F.array_min(every).cast("long"), "last_word": F.array_max(every).cast("long"),
-        "base_labels": joined(base), "labels": joined(F.concat(base, F.transform("spans", lambda s: s.label))), "score": F.when(F.size(every) > 0, 1.0).otherwise(F.col("_share")),
+        "base_labels": joined(base), "labels": joined(F.concat(base, F.transform("spans", lambda s: s["label"]))),
+        "score": F.when(F.size(every) > 0, 1.0).otherwise(F.least(F.lit(1.0), _most_agreeing(said) / float(rare))),
     })
-    return out.drop("_words", "_hits", "_share", *[f"_base{k}" for k in range(len(BASE))], *[f"_said{k}" for k in range(len(templates))])
+    return out.drop(*names.values())
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,17 +138,17 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
 b(phrase, label) AS (VALUES {_rows(BASE.items())}),
 t(no, label, template, phrase) AS (VALUES {_rows((i, *x) for i, x in enumerate(TEMPLATES))}),
-tw AS (SELECT no, word, min(pos) AS pos FROM (SELECT no, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS pos FROM t) GROUP BY ALL),
+tw AS (SELECT no, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS pos FROM t),
 w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
-f AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word),
-i AS (SELECT no, word, pos FROM tw LEFT JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY no ORDER BY coalesce(df, 0), word) <= {RARE}),
-a AS (SELECT w.doc_id, i.no, w.pos - i.pos AS start, count(*) AS agree FROM w JOIN i USING (word) GROUP BY ALL),
-sizes AS (SELECT no, count(*) AS n FROM i GROUP BY no),
-share AS (SELECT doc_id, max(agree / n::DOUBLE) AS share FROM a JOIN sizes USING (no) GROUP BY doc_id),
+lw AS (SELECT * FROM w WHERE word IN (SELECT word FROM tw)),
+f AS (SELECT word, row_number() OVER (ORDER BY count(DISTINCT doc_id), word) AS idf FROM lw GROUP BY word),
+c AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, idf FROM lw JOIN f USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf) <= {RARE}),
+a AS (SELECT doc_id, no, lw.pos - tw.pos AS start, count(*) AS agree FROM lw JOIN c USING (doc_id, word) JOIN tw USING (word) GROUP BY ALL),
+share AS (SELECT doc_id, least(1.0::DOUBLE, max(agree) / {RARE}::DOUBLE) AS share FROM a GROUP BY doc_id),
 k AS (SELECT *, len(string_split(phrase, ' ')) AS len, len(string_split(split_part(' ' || template || ' ', ' ' || phrase || ' ', 1), ' ')) - 1 AS lead FROM t),
 v AS (
-  SELECT a.doc_id, k.label FROM a JOIN sizes USING (no) JOIN k USING (no) JOIN d USING (doc_id)
-  WHERE a.agree >= least({NEED}, n) AND a.start + k.lead >= 0 AND array_to_string(list_slice(d.words, a.start + k.lead + 1, a.start + k.lead + k.len), ' ') = k.phrase
+  SELECT a.doc_id, k.label FROM a JOIN k USING (no) JOIN d USING (doc_id)
+  WHERE a.agree >= {NEED} AND a.start + k.lead >= 0 AND array_to_string(list_slice(d.words, a.start + k.lead + 1, a.start + k.lead + k.len), ' ') = k.phrase
 ),
 p AS (
   SELECT w.doc_id, b.label, w.pos FROM w JOIN b ON w.word = split_part(b.phrase, ' ', 1) JOIN d USING (doc_id)
