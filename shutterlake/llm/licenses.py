@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words. DataFrame functions only.
 
-Method. Every word of every licence text is indexed with the licences and positions at which it stands. A scanned text looks up its ``RARE``
-licence words of the highest inverse document frequency: an occurrence at position p of a word that stands at position t of a licence speaks for
+Method. Every word of every licence text is indexed with the licences and positions at which it stands, but for words that stand at more than
+``PLACES`` of them, which tell nothing (the, of, software). A scanned text looks up its ``RARE`` licence words of the highest inverse document frequency: an occurrence at position p of a word that stands at position t of a licence speaks for
 that licence starting at p - t. Postings are intersected by these relative positions: a start that ``NEED`` occurrences agree on is a candidate,
 and a label is given if the licence's mandatory key phrase stands there word for word. Base phrases are found wherever their words stand
 consecutively.
@@ -19,6 +19,7 @@ column that has the name of a result gives way to it; all others pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,8 @@ from shutterlake.sources.tables import read_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, NEED = 8, 3
+#: Places in all licences at which an indexed word may stand.
+PLACES = 13
 #: Phrases that are labels by themselves.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: The word of each base phrase whose places are looked at, and its place in the phrase.
@@ -44,9 +47,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(plain, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def index_words(templates=TEMPLATES, places: int = PLACES) -> list[str]:
+    """The words that are indexed, in order."""
+    counts = Counter(w for _, text, _ in templates for w in text.split())
+    return sorted(w for w, n in counts.items() if n <= places)
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> dict[str, int]:
     """In how many texts each word of the licences occurs; words in none are left out."""
-    words = F.array(*[F.lit(w) for w in sorted({w for _, text, _ in templates for w in text.split()})])
+    words = F.array(*[F.lit(w) for w in index_words(templates)])
     found = F.array_intersect(words, words_of(F.col(text_col)))
     return {r.word: r["count"] for r in docs.select(F.explode(found).alias("word")).groupBy("word").count().collect()}
 
@@ -69,6 +78,11 @@ def _base_starts(words: Column, hits: Column, phrase: str) -> Column:
     return F.filter(starts, lambda d: (d >= 0) & stands(d))
 
 
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are made once a row: they come out of a generator of one row, so that no later expression takes their definitions in and makes them anew for every element it looks at."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _most_agreeing(said: Column) -> Column:
     """The length of the longest run of equal entries in a sorted array."""
 
@@ -84,25 +98,25 @@ def scanned(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, need:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``spans``: (label, start) of each licence found by the index."""
     frequency = document_frequencies(docs, text_col, templates)
     ranked = sorted(frequency, key=lambda w: (frequency[w], w))  # the highest inverse document frequency first; words in no text can't be looked up
-    names = {x: free_name(docs, f"_{x}") for x in ("words", "chosen", "hits", "said", "starts")}
-    words, chosen, hits, said, starts = (F.col(x) for x in names.values())
+    names = {x: free_name(docs, f"_{x}") for x in ("words", "chosen", "hits", "said", "starts", "places")}
+    words, chosen, hits, said, starts, _ = (F.col(x) for x in names.values())
     anchors = sorted({w for w, _ in ANCHORS.values()})
     no_said = F.array().cast("array<struct<no:int,start:int>>")
 
-    out = docs.withColumn(names["words"], words_of(F.col(text_col)))
+    out = _made(docs, **{names["words"]: words_of(F.col(text_col))})
     licence_words = F.array(*[F.lit(w) for w in ranked]) if ranked else F.array().cast("array<string>")
-    out = out.withColumn(names["chosen"], F.slice(F.array_intersect(licence_words, words), 1, rare))
+    out = _made(out, **{names["chosen"]: F.slice(F.array_intersect(licence_words, words), 1, rare)})
     wanted = lambda w: w.isin(anchors) | F.array_contains(chosen, w)
-    out = out.withColumn(names["hits"], F.filter(F.transform(words, lambda w, i: F.when(wanted(w), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull()))
+    out = _made(out, **{names["hits"]: F.filter(F.transform(words, lambda w, i: F.when(wanted(w), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull())})
 
     if ranked:
         order, postings = F.array(*[F.lit(w) for w in ranked]), _postings(ranked, templates)
-        by_word = F.transform(chosen, lambda w: F.struct(w.alias("w"), F.get(postings, F.array_position(order, w).cast("int") - 1).alias("places")))
-        places = lambda h: F.get(F.filter(by_word, lambda x: x["w"] == h["w"]), F.lit(0))["places"]
+        out = _made(out, **{names["places"]: F.transform(chosen, lambda w: F.struct(w.alias("w"), F.get(postings, F.array_position(order, w).cast("int") - 1).alias("places")))})
+        places = lambda h: F.get(F.filter(F.col(names["places"]), lambda x: x["w"] == h["w"]), F.lit(0))["places"]
         spoken = F.transform(F.filter(hits, lambda h: F.array_contains(chosen, h["w"])), lambda h: F.transform(places(h), lambda p: F.struct(p["no"].alias("no"), (h["at"] - p["at"]).alias("start"))))
-        out = out.withColumn(names["said"], F.when(F.size(chosen) > 0, F.array_sort(F.flatten(spoken))).otherwise(no_said))
+        out = _made(out, **{names["said"]: F.when(F.size(chosen) > 0, F.array_sort(F.flatten(spoken))).otherwise(no_said)})
     else:
-        out = out.withColumn(names["said"], no_said)
+        out = _made(out, **{names["said"]: no_said})
     keys = F.array(*[
         F.struct(F.lit(label).alias("label"), F.lit((" " + text + " ").split(f" {key} ")[0].count(" ")).alias("offset"), F.array(*map(F.lit, key.split())).alias("words"))
         for label, text, key in templates
@@ -112,7 +126,7 @@ def scanned(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, need:
     stands = lambda d: (d["start"] + key(d)["offset"] >= 0) & (F.slice(words, F.greatest(d["start"] + key(d)["offset"], F.lit(0)) + 1, F.size(key(d)["words"])) == key(d)["words"])
     spans = F.transform(F.filter(agreed, stands), lambda d: F.struct(key(d)["label"].alias("label"), d["start"].alias("start")))
 
-    out = out.withColumn(names["starts"], F.array(*[F.struct(F.lit(label).alias("label"), _base_starts(words, hits, p).alias("at")) for p, label in BASE.items()]))
+    out = _made(out, **{names["starts"]: F.array(*[F.struct(F.lit(label).alias("label"), _base_starts(words, hits, p).alias("at")) for p, label in BASE.items()])})
     every = F.flatten(starts["at"])
     base = F.transform(F.filter(starts, lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -138,7 +152,7 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
 b(phrase, label) AS (VALUES {_rows(BASE.items())}),
 t(no, label, template, phrase) AS (VALUES {_rows((i, *x) for i, x in enumerate(TEMPLATES))}),
-tw AS (SELECT no, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS pos FROM t),
+tw AS (SELECT * FROM (SELECT no, unnest(string_split(template, ' ')) AS word, generate_subscripts(string_split(template, ' '), 1) - 1 AS pos FROM t) QUALIFY count(*) OVER (PARTITION BY word) <= {PLACES}),
 w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
 lw AS (SELECT * FROM w WHERE word IN (SELECT word FROM tw)),
 f AS (SELECT word, row_number() OVER (ORDER BY count(DISTINCT doc_id), word) AS idf FROM lw GROUP BY word),

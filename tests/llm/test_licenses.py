@@ -1,12 +1,13 @@
 import re
 
-from shutterlake.llm.licenses import BASE, NEED, RARE, TEMPLATES, scanned
+from shutterlake.llm.licenses import BASE, NEED, PLACES, RARE, TEMPLATES, scanned
 
 
 def brute(texts):
     """Every start of every licence tried one by one."""
     words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
-    used = {w for _, t, _ in TEMPLATES for w in t.split()}
+    every = [w for _, t, _ in TEMPLATES for w in t.split()]
+    used = {w for w in every if every.count(w) <= PLACES}
     df = {}
     for own in words:
         for w in set(own) & used:
