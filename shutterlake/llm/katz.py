@@ -1,17 +1,20 @@
-"""Katz backoff scoring with Good-Turing discounts over bigrams.
+"""Katz backoff scoring with Good-Turing discounts over n-grams up to an order.
 
-Method. P(w | h) = d_c c(h w) / c(h) if the bigram was seen c times in training, else a(h) P(w); P(w) likewise backs off from the discounted count of w
-to the mass of words never seen, which stand together as one more word. Counts up to ``CUTOFF`` are discounted by Good-Turing
-(where their counts of counts don't allow it, by a half of one); a(h) = (1 - sum of P(w | h) over seen) / (1 - sum of P(w) over seen), so that
-each distribution sums to one. A history of which every count is above the cutoff gives up 1 / (c(h) + 1) instead. A text is scored from a start
-mark to its end mark, which counts as a token.
+Method. P(w | h) = d_c c(h w) / c(h) if the n-gram was seen c times in training, else a(h) P(w | h') with h' the history without its first word; at the
+end of the recursion P(w) backs off from the discounted count of w to the mass of words never seen, which stand together as one more word. Counts
+up to ``CUTOFF`` are discounted by Good-Turing, order by order (where their counts of counts don't allow it, by a half of one);
+a(h) = (1 - sum of P(w | h) over seen) / (1 - sum of P(w | h') over seen), so that each distribution sums to one. A history of which every count is
+above the cutoff gives up 1 / (c(h) + 1) instead. A text is scored from a start mark to its end mark, which counts as a token.
 
-Layout. Texts become blocks of word numbers in a table of the shared folder. A block asks for each distinct word, and then for each distinct bigram,
-once: its keys go, packed and partitioned by hash, to the partition of the unigram or bigram table that merges the counts of all blocks,
-and the merged counts come back to the block. Nothing that grows with the corpus passes through the driver: only counts of counts, sizes of
-partitions and the sums of hot histories do. A history with more than its share of tokens is spread over all partitions by the following word, and its sums are
-added up afterwards, so no partition depends on how frequent one word is. Words are known by their XXH64 number (seed 42); the
-vocabulary may hold 2^32 - 3 words.
+Layout. Texts become blocks of word numbers in a table of the shared folder. Order by order, a block asks for each of its distinct words, bigrams and
+so on once: its keys go, packed and partitioned by hash, to the partition of that order's table, which merges the counts of all blocks, and the merged
+counts come back to the block; with the probabilities of one order a block can ask for the next. Only counts of counts, a few numbers an order, pass
+through the driver. A history with more than its share of tokens is spread over all partitions by the following word; its sums are added up
+afterwards and joined to the blocks that ask for it, so no partition depends on how frequent one word is.
+
+Words are known by their XXH64 number (seed 42), histories of three words on by a 64-bit hash. Of n different ones two are taken for one with a chance
+of about n^2 / 2^65: 3e-6 for 10 million, 3 % for a billion; their counts then merge, and nothing else changes. The vocabulary may hold 2^32 - 3 words; one
+that is larger is an error. Counts are 64 bits wide throughout.
 
 Defined cases: a null text counts as empty, which is one end mark. With nothing to learn from, the one unseen word has probability 1. Texts of any length are
 taken whole. Rows with a null or repeated id are rows of their own; an empty table gives an empty result; other columns play no part.
@@ -24,15 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shutterlake.session import written
 from shutterlake.sources.tables import read_table
 
-CUTOFF = 5
+CUTOFF, ORDER = 5, 2
 #: Characters of text in a block, but for a longer single text; words a task remembers; tokens for each partition of a table.
 BLOCK, CACHED, SHARE = 12_000_000, 300_000, 2_000_000
+#: Occurrences below which no history is spread over partitions.
+HOT = 1000
 #: Marks among word numbers: the start of a text, and a word not seen in training.
 START, UNSEEN = 2**32 - 1, 2**32 - 2
 
@@ -164,138 +170,181 @@ def _merge_words(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 class Block:
-    """A block with the numbers and counts of its words: its tokens, histories and distinct bigrams, by partition."""
+    """A block with the numbers and counts of its words, and of each order that has been answered the probability of every token."""
 
-    def __init__(self, row, answers: pd.DataFrame, offsets: dict[int, int], starts: int, hot: int, bits: int):
-        answers = answers.sort_values("part")
+    def __init__(self, row, answers: pd.DataFrame, unigrams: Unigrams, starts: int, hot: int, bits: int):
+        answers = answers[answers["level"] == 1].sort_values("part")
         own = [unpack(x, "<u4").astype(np.uint64) for x in answers["a"]]
-        number = np.concatenate([np.where(x == UNSEEN, np.uint64(UNSEEN), x + np.uint64(offsets[p])) for p, x in zip(answers["part"], own, strict=True)])
+        number = np.concatenate([np.where(x == UNSEEN, np.uint64(UNSEEN), x + np.uint64(at)) for at, x in zip(answers["offset"], own, strict=True)])
         count = np.concatenate([unpack(x, "<u8") for x in answers["b"]]).astype(np.int64)
         local = unpack(row.local, "<u4")
+        self.starts, self.hot_from, self.bits = starts, hot, bits
         self.lengths = unpack(row.lengths, "<u4").astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(unpack(row.train, "u1"), self.lengths)
-        self.count = count[local]
-        w = number[local]
-        h, self.h_count = np.roll(w, 1), np.roll(self.count, 1)
-        h[self.first], self.h_count[self.first] = START, starts
-        self.asks = h != UNSEEN
-        self.h = h
-        keys = (h[self.asks] << np.uint64(32)) | w[self.asks]
-        self.keys, at, self.place = np.unique(keys, return_index=True, return_inverse=True)
-        self.train_counts = np.bincount(self.place, self.train[self.asks], len(self.keys)).astype(np.uint32)
-        self.key_h_count, self.key_count = self.h_count[self.asks][at], self.count[self.asks][at]
-        heads = self.keys >> np.uint64(32)
-        self.hot = self.key_h_count >= hot
-        self.part = (mixed_bits(np.where(self.hot, self.keys, heads)) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(self.part, kind="stable")
-        parts, begins = np.unique(self.part[order], return_index=True)
-        self.slices = {int(p): order[x:y] for p, x, y in zip(parts, begins, [*begins[1:], len(order)], strict=True)}
-
-
-def _merge_bigrams(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """The bigram table (``block`` null), and for each block the counts of its bigrams, and n_1..n_CUTOFF and the sum of P(w) over seen words of its histories."""
+        self.words, self.count = number[local], count[local]
+        self.p = unigrams.p(self.count)
+        self.prior, self.seen, self.head = self.count.astype(np.uint64), self.count, np.zeros(len(local), np.uint64)
+        self.level = 1
+
+    def ask(self) -> None:
+        """Goes to the next order: the history of each token, how often it was seen, and the distinct n-grams by partition."""
+        # a history is the one of the token before and that token
+        head = self.words if self.level == 1 else mixed_bits(mixed_bits(self.head) + self.words)
+        self.head, self.h_count = np.roll(head, 1), np.roll(self.seen, 1)
+        self.head[self.first], self.h_count[self.first] = START, self.starts
+        self.level += 1
+        self.asks = self.h_count > 0
+        heads, of = np.unique(self.head[self.asks], return_inverse=True)
+        _, at, self.place = np.unique((of.astype(np.uint64) << np.uint64(32)) | self.words[self.asks], return_index=True, return_inverse=True)
+        at = np.nonzero(self.asks)[0][at]
+        self.key_head, self.key_word, self.key_prior, self.key_h_count = self.head[at], self.words[at].astype(np.uint32), self.prior[at], self.h_count[at]
+        self.train_counts = np.bincount(self.place, self.train[self.asks], len(at)).astype(np.uint32)
+        self.hot = self.key_h_count >= self.hot_from
+        spread = np.where(self.hot, mixed_bits(self.key_head) + self.key_word.astype(np.uint64), self.key_head)
+        part = (mixed_bits(spread) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        parts, begins = np.unique(part[order], return_index=True)
+        self.slices = {int(p): order[x:y] for p, x, y in zip(parts, begins, [*begins[1:], len(order)], strict=False)}
+
+    def take(self, answers: pd.DataFrame, discounts: np.ndarray) -> None:
+        """The counts of the order asked for, and with them the probability of every token."""
+        answers = answers[answers["level"] == self.level]
+        sums = {x["h"]: (x["n"], x["mass"]) for found in answers["sums"] if found is not None for x in found}
+        n = len(self.key_head)
+        seen, alpha, scale = np.zeros(n, np.int64), np.ones(n), np.ones(n)
+        for x in answers.itertuples():
+            if x.a is None:
+                continue
+            i = self.slices[x.part]
+            seen[i] = unpack(x.a, "<u8")
+            heads, at, of = np.unique(self.key_head[i], return_index=True, return_inverse=True)
+            n_r, mass = unpack(x.b, "<u4").reshape(CUTOFF, -1).astype(np.float64), unpack(x.c, "<f8").copy()
+            for k in np.nonzero(self.hot[i][at])[0]:  # what this partition has of a hot history gives way to its sums over all
+                n_r[:, k], mass[k] = sums[int(heads[k].view(np.int64))]
+            alpha[i], scale[i] = backoff(discounts, n_r[:, of], mass[of], self.key_h_count[i])
+        own = scale * discounts[np.minimum(seen, CUTOFF + 1)] * seen / np.maximum(self.key_h_count, 1)
+        self.seen = np.zeros(len(self.p), np.int64)
+        self.seen[self.asks] = seen[self.place]
+        # a history that training never saw leaves the probability of the order below
+        self.p[self.asks] = np.where(seen[self.place] > 0, own[self.place], alpha[self.place] * self.p[self.asks])
+        self.prior = self.p.view(np.uint64).copy()
+
+
+def backoff(discounts: np.ndarray, n_r: np.ndarray, mass: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h), and the factor of seen probabilities of each history."""
+    left = sum((1 - discounts[r]) * r * n_r[r - 1] for r in range(1, CUTOFF + 1)) / np.maximum(counts, 1)
+    none = left <= 0
+    left = np.where(none, 1 / (counts + 1), left)
+    return left / (1 - mass), np.where(none, counts / (counts + 1), 1.0)
+
+
+def _merge_grams(requests: DataFrame, level: int, unigrams: Unigrams) -> DataFrame:
+    """The table of an order (``block`` null: heads, words and counts), and for each block the counts of its n-grams, and n_1..n_CUTOFF and the sum of lower probabilities over seen words of its histories."""
 
     def merge(asked: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack(x, "<u8") for x in asked["keys"]]
-        all_keys, at, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        heads, words = [unpack(x, "<u8") for x in asked["heads"]], [unpack(x, "<u4") for x in asked["words"]]
+        all_heads, of = np.unique(np.concatenate(heads), return_inverse=True)
+        keys = (of.astype(np.uint64) << np.uint64(32)) | np.concatenate(words)
+        all_keys, at, place = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate([unpack(x, "<u4") for x in asked["train"]]), len(all_keys)).astype(np.int64)
-        p = np.where(total > 0, unigrams.p(np.concatenate([unpack(x, "<u4") for x in asked["counts"]])[at].astype(np.int64)), 0)
-        heads, of = np.unique(all_keys >> np.uint64(32), return_inverse=True)
-        mass = np.bincount(of, p, len(heads))
-        n = np.stack([np.bincount(of, total == r, len(heads)) for r in range(1, CUTOFF + 1)]).astype(np.uint32)
-        ends, part, rows = np.cumsum([0, *map(len, keys)]), asked["part"].iloc[0], []
-        for block, own, x, y in zip(asked["block"], keys, ends, ends[1:], strict=False):
-            asked_heads = np.searchsorted(heads, np.unique(own >> np.uint64(32)))
-            rows.append((part, block, pack(total[place[x:y]].astype(np.uint64)), pack(n[:, asked_heads].ravel()), pack(mass[asked_heads]), None))
-        hot = np.unique(np.concatenate([unpack(x, "<u4") for x in asked["hot"]]))
-        i = np.searchsorted(heads, hot.astype(np.uint64))
+        prior = np.concatenate([unpack(x, "<u8") for x in asked["prior"]])[at]
+        # below the second order a probability follows from the word's count, which takes fewer bytes
+        p = np.where(total > 0, unigrams.p(prior.astype(np.int64)) if level == 2 else prior.view(np.float64), 0)
+        own = (all_keys >> np.uint64(32)).astype(np.int64)
+        mass = np.bincount(own, p, len(all_heads))
+        n = np.stack([np.bincount(own, total == r, len(all_heads)) for r in range(1, CUTOFF + 1)]).astype(np.uint32)
+        ends, part, rows = np.cumsum([0, *map(len, heads)]), asked["part"].iloc[0], []
+        for block, mine, hot, x, y in zip(asked["block"], heads, asked["hot"], ends, ends[1:], strict=False):
+            asked_heads = np.searchsorted(all_heads, np.unique(mine))
+            rows.append((part, block, pack(total[place[x:y]].astype(np.uint64)), pack(n[:, asked_heads].ravel()), pack(mass[asked_heads]), None, None, unpack(hot, "<i8").tolist()))
+        hot = np.unique(np.concatenate([unpack(x, "<u8") for x in asked["hot"]]))
+        sums = [{"h": int(h.view(np.int64)), "n": n[:, k].astype(float).tolist(), "mass": float(mass[k])} for h, k in zip(hot, np.searchsorted(all_heads, hot), strict=True)]
         seen = total > 0
         counts = np.bincount(np.minimum(total, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
-        rows.append((part, None, pack(all_keys[seen]), pack(total[seen].astype(np.uint64)), None, [0, *counts[1:].tolist()]))
-        out = pd.DataFrame(rows, columns=["part", "block", "a", "b", "c", "n"])
-        out["hot"] = [None] * (len(out) - 1) + [[{"h": int(h), "n": n[:, k].astype(int).tolist(), "mass": float(mass[k])} for h, k in zip(hot, i, strict=True)]]
-        return out.astype({"block": "Int64"})
+        rows.append((part, None, pack(all_heads[own[seen]]), pack((all_keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pack(total[seen].astype(np.uint64)), [0, *counts[1:].tolist()], sums, None))
+        return pd.DataFrame(rows, columns=["part", "block", "a", "b", "c", "n", "sums", "asks"]).astype({"block": "Int64"})
+
+    schema = "part int, block long, a binary, b binary, c binary, n array<long>, sums array<struct<h:long,n:array<double>,mass:double>>, asks array<long>"
+    return written(requests.groupBy("part").applyInPandas(merge, schema), f"grams-{level}")
+
+
+#: What is told to a block: level 1 its words' numbers within a partition (a), where those start (offset) and counts (b); above, counts (a), n_r (b) and mass (c), and sums of hot histories.
+TOLD = "block long, part int, level int, offset long, a binary, b binary, c binary, sums array<struct<h:long,n:array<double>,mass:double>>"
 
-    schema = "part int, block long, a binary, b binary, c binary, n array<long>, hot array<struct<h:long,n:array<long>,mass:double>>"
-    return written(requests.groupBy("part").applyInPandas(merge, schema), "bigrams")
 
+def _told(df: DataFrame, level: int, **columns: Column) -> DataFrame:
+    """``df`` in the columns of ``TOLD``."""
+    given = {"block": F.col("block"), "part": F.lit(-1), "level": F.lit(level)} | columns
+    return df.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TOLD).fields])
 
-def katz_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of every row; and the tables of the model, a row for each partition: of words (a: XXH64 numbers, b: counts) and of bigrams (a: keys, b: counts)."""
+
+def katz_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Scores of every row; and the tables of the model, a row for each partition: of words (a: XXH64 numbers, b: counts) and of each order from two on (a: heads, b: words, c: counts)."""
     source = docs.select(F.col(id_col).cast("string").alias("id"), learns.alias("learns"), F.col(text_col).alias("text"))
     blocks = written(_blocks(source), "blocks")
     tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bits = max(5, int(tokens // SHARE).bit_length())
     words = _merge_words(blocks, bits)
     table = words.filter("block is null")
-    sums = lambda df: df.agg(F.sum("total"), *[F.sum(F.col("n")[r]) for r in range(CUTOFF + 2)]).first()
-    total, n_words, *n = (x or 0 for x in sums(table))
+    total, n_words, *n = (x or 0 for x in table.agg(F.sum("total"), *[F.sum(F.col("n")[r]) for r in range(CUTOFF + 2)]).first())
     if n_words >= UNSEEN:
         raise ValueError("more words than word numbers")
     unigrams = Unigrams.of(total, n_words, [0, *n])
-    sizes = dict(table.select("part", F.col("n")[0]).collect())  # a number for each partition
-    offsets = dict(enumerate(np.cumsum([0, *[sizes.get(p, 0) for p in range((1 << bits) - 1)]]).tolist()))
+    before = F.coalesce(F.sum(F.col("n")[0]).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    told = words.filter("block is not null").join(table.select("part", before.alias("offset")), "part")
+    told = _told(told, 1, part=F.col("part"), offset=F.col("offset"), a=F.col("a"), b=F.col("b"))
     starts = docs.filter(learns).count()
-    hot = max(1000, total >> (bits + 3))  # so at most 8 hot histories for each partition
-
-    def request(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            b = Block(r, answers, offsets, starts, hot, bits)
-            for part, i in b.slices.items():
-                own = b.keys[i]
-                out.append((part, r.block, pack(own), pack(b.train_counts[i]), pack(np.minimum(b.key_count[i], 2**32 - 1).astype(np.uint32)), pack(np.unique(own[b.hot[i]] >> np.uint64(32)).astype(np.uint32))))
-        return pd.DataFrame(out, columns=["part", "block", "keys", "train", "counts", "hot"])
-
-    told = words.filter("block is not null").select("block", "part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("c"))
-    texts = blocks.select("block", "ids", "known", "train", "lengths", "local")
-    requests = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(request, "part int, block long, keys binary, train binary, counts binary, hot binary")
-    pairs = _merge_bigrams(requests, unigrams)
-    n = pairs.filter("block is null").agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(1, CUTOFF + 2)]).first()
-    discounts = good_turing([0, *n])
-    parts = pairs.filter("block is null").select(F.explode("hot").alias("x")).groupBy("x.h").agg(*[F.sum(F.col("x.n")[r]) for r in range(CUTOFF)], F.sum("x.mass"))
-    sums_of_hot = {r[0]: (r[1:-1], r[-1]) for r in parts.collect()}
-
-    def backoff(n_r: np.ndarray, mass: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 a(h), and the factor of seen probabilities of each history."""
-        left = sum((1 - discounts[r]) * r * n_r[r - 1] for r in range(1, CUTOFF + 1)) / np.maximum(counts, 1)
-        none = left <= 0
-        left = np.where(none, 1 / (counts + 1), left)
-        return np.log10(left / (1 - mass)), np.where(none, counts / (counts + 1), 1.0)
+    hot = max(HOT, total >> (bits + 3))  # so at most 8 hot histories for each partition
+    texts, discounts, tables = blocks.select("block", "ids", "known", "train", "lengths", "local"), [], []
+
+    def reached(r, answers: pd.DataFrame, levels: list[np.ndarray]) -> Block:
+        b = Block(r, answers, unigrams, starts, hot, bits)
+        for d in levels:
+            b.ask()
+            b.take(answers, d)
+        return b
+
+    def requests(levels: list[np.ndarray]):
+        def request(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for r in rows.itertuples():
+                b = reached(r, answers, levels)
+                b.ask()
+                for part, i in b.slices.items():
+                    out.append((part, r.block, pack(b.key_head[i]), pack(b.key_word[i]), pack(b.train_counts[i]), pack(b.key_prior[i]), pack(np.unique(b.key_head[i][b.hot[i]]))))
+            return pd.DataFrame(out, columns=["part", "block", "heads", "words", "train", "prior", "hot"])
+
+        schema = "part int, block long, heads binary, words binary, train binary, prior binary, hot binary"
+        return texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(request, schema)
+
+    for level in range(2, order + 1):
+        grams = _merge_grams(requests(list(discounts)), level, unigrams)
+        table_k, said = grams.filter("block is null"), grams.filter("block is not null")
+        tables.append(table_k.select("part", "a", "b", "c"))
+        n = table_k.agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(1, CUTOFF + 2)]).first()
+        discounts.append(good_turing([0, *n]))
+        parts = table_k.select(F.explode("sums").alias("x")).select("x.h", "x.n", "x.mass")
+        sums = parts.groupBy("h").agg(F.array(*[F.sum(F.col("n")[r]) for r in range(CUTOFF)]).alias("n"), F.sum("mass").alias("mass"))
+        wanted = said.select("block", F.explode("asks").alias("h")).distinct().join(sums, "h")
+        wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("h", "n", "mass")).alias("sums"))  # of the words of a block
+        told = told.unionByName(_told(said, level, part=F.col("part"), a=F.col("a"), b=F.col("b"), c=F.col("c"))).unionByName(_told(wanted, level, sums=F.col("sums")))
+    levels = list(discounts)
 
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples():
-            of_words, of_pairs = answers[answers["kind"] == 1], answers[answers["kind"] == 2]
-            b = Block(r, of_words, offsets, starts, hot, bits)
-            seen, log_a, scale = np.zeros(len(b.keys), np.int64), np.zeros(len(b.keys)), np.ones(len(b.keys))
-            for x in of_pairs.itertuples():
-                i = b.slices[x.part]
-                seen[i] = unpack(x.a, "<u8")
-                heads, at, of = np.unique(b.keys[i] >> np.uint64(32), return_index=True, return_inverse=True)
-                n_r, mass = unpack(x.b, "<u4").reshape(CUTOFF, -1).astype(np.float64), unpack(x.c, "<f8").copy()
-                for k in np.nonzero(b.hot[i][at])[0]:  # what this partition has of a hot history gives way to its sums over all
-                    n_r[:, k], mass[k] = sums_of_hot[int(heads[k])]
-                n_r, mass = n_r[:, of], mass[of]
-                log_a[i], scale[i] = backoff(n_r, mass, b.key_h_count[i])
-            p = np.log10(unigrams.p(b.count))
-            back = np.log10(np.where(seen > 0, scale * discounts[np.minimum(seen, CUTOFF + 1)] * seen / np.maximum(b.key_h_count, 1), 1.0))
-            own = p.copy()
-            # a history that training never saw leaves the word's own probability
-            follows = b.key_h_count > 0
-            own[b.asks] = np.where(seen > 0, back, 0)[b.place] + np.where(seen > 0, 0.0, 1.0)[b.place] * (p[b.asks] + np.where(follows, log_a, 0)[b.place])
+            b = reached(r, answers, levels)
             base = np.log10((b.count + 0.5) / (total + 0.5 * (n_words + 1)))
             known = unpack(r.known, "u1") > 0
             ids = pd.array(unpack(r.ids, "<i8"), dtype="Int64")
             ids[~known] = pd.NA
             add = lambda v: np.add.reduceat(v, b.first)
-            out.append(pd.DataFrame({"doc_id": ids, "held_out": unpack(r.train, "u1") == 0, "n_tokens": b.lengths, "n_known": add((b.count > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(own)}))
+            out.append(pd.DataFrame({"doc_id": ids, "held_out": unpack(r.train, "u1") == 0, "n_tokens": b.lengths, "n_known": add((b.count > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(np.log10(b.p))}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    said = pairs.filter("block is not null").select("block", "part", F.lit(2).alias("kind"), "a", "b", "c")
-    scored = texts.groupBy("block").cogroup(told.unionByName(said).groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("doc_id", id_col), table.select("part", "a", "b"), pairs.filter("block is null").select("part", "a", "b")
+    scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("doc_id", id_col), table.select("part", "a", "b"), tables
 
 
 def held_out_of(doc_id: Column) -> Column:
