@@ -6,8 +6,9 @@ remainder is a weighted sample without replacement: each document draws an expon
 digest of its id, and documents are taken in the order of their keys while the words before plus half their own stay
 within the remainder. So a source ends within half a document of its target, and reruns agree.
 
-The running sum is two-level. Words are first summed by source and key bucket; only the documents of the one bucket in which a
-source's remainder ends are sorted, so a source with a third of all rows is never gathered.
+The running sum is two-level. Words are first summed by source and key bucket; only the documents of the one bucket in which a source's
+remainder ends are sorted, and those by ranges of their keys over many tasks (``running``). So neither a source with a third of all rows, nor one
+whose keys nearly all fall into one bucket, nor many sources are ever gathered.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, ordered last; equal keys are
 ordered by id, size and row. Repeated rows are documents of their own. With no words at all every target is 0. An empty table gives an
@@ -48,19 +49,38 @@ def exponential_key(doc_id: Column, quality: Column) -> Column:
     return -F.log(u) / quality
 
 
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, str], group: str | None = None) -> DataFrame:
+    """``df`` with inclusive running sums ``sums`` (new name: column) in an order that has no ties, of all rows or of each ``group``.
+
+    Rows are dealt out by ranges of the order, so equal keys and large groups spread over tasks; each range adds what the ranges before it hold.
+    """
+    keys = [*([group] if group else []), *order]
+    parts = cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    own = [group, "_part"] if group else ["_part"]
+    whole = parts.groupBy(*own).agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])  # a row for each range, and for each group in it
+    earlier = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*own, *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    same = F.col("a._part") == F.col("b._part")
+    joined = parts.alias("a").join(whole.alias("b"), same & F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")) if group else same)
+    inside = Window.partitionBy(*[f"a.{c}" for c in own]).orderBy(*[f"a.{c}" for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], *[(F.sum(f"a.{c}").over(inside) + F.col(f"b._before_{name}")).alias(name) for name, c in sums.items()])
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """``sizes(source, source_size)``, one row a source, with ``target``. Sources are few next to documents, so they share a window."""
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    by_ratio = Window.orderBy("ratio", F.col("source").isNull(), F.col("source"))
-    before, everyone = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    left = F.sum("source_size").over(everyone) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    filled = ranked.withColumn("level", level).withColumn("over", F.col("ratio") > F.col("level"))
+    """``sizes(source, source_size)``, one row a source, with ``target``. Sources may be many: their order is found by ranges, not in one task."""
+    named = running(sizes.withColumns({"none": F.col("source").isNull(), "one": F.lit(1)}), ["none", "source"], {"rank": "one"})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights)).cast("int") + 1)
+    ranked = named.select("source", "source_size", "none", weight.alias("weight"), (F.col("source_size") * float(repeats)).alias("cap"))
+    ranked = running(ranked.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "none", "source"], {"caps": "cap", "weights": "weight"})
+    # what is left for a source and those of larger ratio, once those of smaller ratio have all they can take
+    everything = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.coalesce(F.sum("weight"), F.lit(0)).alias("all_weights"))
+    level = (F.col("total") * float(share) - (F.col("caps") - F.col("cap"))) / (F.col("all_weights") - (F.col("weights") - F.col("weight")))
+    place = F.struct("ratio", "none", "source")
+    filled = cut(ranked.crossJoin(F.broadcast(everything)).withColumn("level", level).select("source", "source_size", "weight", "cap", place.alias("place"), "level"))
     # from the first source that stays under its cap on, all have its level
-    own = F.first(F.when(F.col("over"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return filled.withColumn("own", own).select("source", "source_size", F.when(F.col("own").isNull(), F.col("cap")).otherwise(F.col("weight") * F.col("own")).alias("target"))
+    first = filled.filter(F.col("place.ratio") > F.col("level")).agg(F.min(F.struct("place", "level")).alias("x")).select(F.col("x.place").alias("first"), F.col("x.level").alias("own"))
+    under = F.col("place") >= F.col("first")
+    return filled.crossJoin(F.broadcast(first)).select("source", "source_size", F.when(under, F.col("weight") * F.col("own")).otherwise(F.col("cap")).alias("target"))
 
 
 def mixed(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, buckets: int = BUCKETS) -> DataFrame:
@@ -80,12 +100,12 @@ def mixed(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     edge = cut(edge.withColumn("edge", F.coalesce("edge", F.lit(buckets))))
     joined = rows.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")))
     columns = ["r.row", "r.doc_id", "r.source", "size", "source_size", "target", "epochs"]
-    at_edge = joined.filter(F.col("bucket") == F.col("edge")).select(*columns, "key", "rest", "before")
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at_edge = at_edge.withColumn("until", F.col("before") + running).withColumn("chosen", 2 * F.col("until") - F.col("size") <= 2 * F.col("rest"))
+    names = [c.removeprefix("r.") for c in columns]
+    at_edge = joined.filter(F.col("bucket") == F.col("edge")).select(*columns, "key", "rest", "before").toDF(*names, "key", "rest", "before")
+    at_edge = running(at_edge, ["key", "doc_id", "size", "row"], {"run": "size"}, "source")
+    at_edge = at_edge.withColumn("until", F.col("before") + F.col("run")).withColumn("chosen", 2 * F.col("until") - F.col("size") <= 2 * F.col("rest"))
     off_edge = joined.filter(F.col("bucket") != F.col("edge")).withColumn("chosen", F.col("bucket") < F.col("edge"))
-    names = [c.removeprefix("r.") for c in columns] + ["chosen"]
-    both = off_edge.select(*columns, "chosen").toDF(*names).unionByName(at_edge.select(*names))
+    both = off_edge.select(*columns, "chosen").toDF(*names, "chosen").unionByName(at_edge.select(*names, "chosen"))
     return both.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))).cast("long").alias("taken"))
 
 
