@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.names import free_name, own_columns
+from shutterlake.session import cut
 from shutterlake.sources.tables import read_table
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 24
 SAMPLE, PER_TEXT, EPOCHS = 3000, 2, 5
-MOST_LANGUAGES = 20_000
+#: Rows of counts that are broadcast at most.
+BROADCAST = 20_000
 UNKNOWN = "und"
 #: Bytes for which responses are held at a time.
 STEP = 1 << 17
@@ -70,8 +72,26 @@ def windows_of(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     return out.reshape(n, window), np.minimum(window, len(data) - np.arange(n) * window)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Derivatives of the cross-entropy of windows ``x`` with labels ``y``, weighed by ``share``, by every table, the weights and the bias. They reach the filters only where the pooling found its maximum."""
+    pooled, places = net.pooled(x)
+    active = np.maximum(pooled, 0)
+    error = net.probabilities(pooled)
+    error[np.arange(len(x)), y] -= 1
+    error *= share[:, None]
+    back = (error @ net.weights.T) * (pooled > 0)
+    grads = [np.zeros_like(t) for t in net.tables]
+    filters = net.tables[0].shape[2]
+    for k, (grad, place) in enumerate(zip(grads, places, strict=True)):
+        part = back[:, k * filters : (k + 1) * filters]
+        for j in range(len(grad)):
+            np.add.at(grad[j], (np.take_along_axis(x, place + j, axis=1), np.arange(filters)[None, :]), part)
+        grad[:, 256] = 0
+    return [*grads, active.T @ error, error.sum(axis=0)]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Adam on cross-entropy, languages weighed equally; gradients reach the filters only where the pooling found its maximum."""
+    """Adam on cross-entropy, languages weighed equally."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
@@ -87,21 +107,8 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
         order = rng.permutation(len(x))
         for at in range(0, len(x), 32):
             own = order[at : at + 32]
-            pooled, places = net.pooled(x[own])
-            active = np.maximum(pooled, 0)
-            error = net.probabilities(pooled)
-            error[np.arange(len(own)), y[own]] -= 1
-            error *= (share[y[own]] / share[y[own]].sum())[:, None]
-            back = (error @ net.weights.T) * (pooled > 0)
-            grads = [np.zeros_like(t) for t in net.tables]
-            for k, (grad, place) in enumerate(zip(grads, places, strict=True)):
-                part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(len(grad)):
-                    np.add.at(grad[j], (np.take_along_axis(x[own], place + j, axis=1), np.arange(FILTERS)[None, :]), part)
-                grad[:, 256] = 0
-            grads += [active.T @ error, error.sum(axis=0)]
             step += 1
-            for v, g, m, s in zip(values, grads, first, second, strict=True):
+            for v, g, m, s in zip(values, gradients(net, x[own], y[own], share[y[own]] / share[y[own]].sum()), first, second, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
@@ -109,16 +116,19 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
 
 
 def learned(docs: DataFrame, learns: Column, sample: int = SAMPLE, window: int = WINDOW, per_text: int = PER_TEXT, epochs: int = EPOCHS) -> Network | None:
-    """A network from the rows of ``docs(doc_id, text, lang)`` for which ``learns`` holds; None if there are none."""
+    """A network from the rows of ``docs(doc_id, text, lang)`` for which ``learns`` holds; None if there are none.
+
+    Languages are drawn about equally, by one rule however many there are: a text is in if the hash of its id, in [0, 1), times the texts of its language
+    is below 2 * sample / languages. Counts are a row a language; those of up to ``BROADCAST`` languages are sent to where the texts are.
+    """
     own = docs.filter(learns & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = own.groupBy("lang").count()
+    counts = cut(own.groupBy("lang").count())
     n_langs = counts.count()
     if not n_langs:
         return None
-    # A share of each language by a hash of the id, drawn where the texts are: a join by language would gather a third of them in one task.
-    # Counts are a row a language; beyond MOST_LANGUAGES the sample is of all texts alike.
-    luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = own.join(F.broadcast(counts), "lang").filter(luck * F.col("count") < 2 * sample / n_langs) if n_langs <= MOST_LANGUAGES else own
+    share = F.lit(2.0 * sample / n_langs)
+    likely = own.withColumn("luck", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).filter(F.col("luck") < share)
+    drawn = likely.join(F.broadcast(counts) if n_langs <= BROADCAST else counts, "lang").filter(F.col("luck") * F.col("count") < share)
     parts = F.array(*[F.expr("substring(text, {}, {})".format(f"cast(floor(length(text) * {k / per_text}) as int) + 1", window)) for k in range(per_text)])
     rows = drawn.select("lang", parts.alias("parts"), F.xxhash64(F.col("doc_id"), F.lit(1)).alias("h")).orderBy("h", "lang", "parts").limit(sample).collect()
     texts = [(p, r.lang) for r in rows for p in dict.fromkeys(r.parts) if p]

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.names import free_name
+from shutterlake.session import cut
 from shutterlake.sources.tables import read_table
 
 SAMPLE, RARE, SIGNIFICANT, BITS, GRADES = 12000, 4, 4.0, 18, 3
@@ -79,39 +80,47 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
+def telling(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which features have a weight. ``counts[g, f]``: texts of grade g with feature f; ``texts[g]``: texts of grade g."""
+    seen = counts.sum(axis=0)
+    part = (texts / texts.sum())[:, None]
+    off = np.abs(counts - seen * part)
+    return ((seen >= RARE) & (off >= SIGNIFICANT * np.sqrt(np.maximum(seen * part * (1 - part), 1e-9)))).any(axis=0)
+
+
+def loss(w: np.ndarray, raw: np.ndarray, flat: np.ndarray, owner: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood with its ridge, and its derivatives by weights and by ``raw``: the first threshold and the logarithms of the steps after it, so that thresholds stay in order."""
+    n_grades = len(raw) + 1
+    score = np.bincount(owner, w[flat], len(y))
+    t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+    edges = np.concatenate([[-np.inf], t, [np.inf]])
+    with np.errstate(over="ignore"):
+        upper, lower = 1 / (1 + np.exp(-(edges[y + 1] - score))), 1 / (1 + np.exp(-(edges[y] - score)))
+    p = np.maximum(upper - lower, 1e-12)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+    d_score = share * (du - dl)
+    d_edges = np.zeros(n_grades + 1)
+    np.add.at(d_edges, y + 1, -share * du)
+    np.add.at(d_edges, y, share * dl)
+    d_t = d_edges[1:-1]
+    tail = np.cumsum(d_t[::-1])[::-1]  # each step moves every threshold after it
+    d_raw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
+    return float(-(share * np.log(p)).sum() + ridge / 2 * (w * w).sum()), np.bincount(flat, d_score[owner], len(w)) + ridge * w, d_raw
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, rounds: int = 300, ridge: float = 3e-4) -> Ordinal:
-    """Adam on the mean negative log-likelihood; thresholds are a first one and positive steps, so that they stay in order."""
-    flat, owner = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    y, n = grades, len(grades)
-    seen = np.bincount(flat, minlength=1 << bits)
-    telling = np.zeros(1 << bits, bool)
-    for g in range(n_grades):
-        part = (y == g).mean()
-        off = np.abs(np.bincount(flat[y[owner] == g], minlength=1 << bits) - seen * part)
-        telling |= (seen >= RARE) & (off >= SIGNIFICANT * np.sqrt(np.maximum(seen * part * (1 - part), 1e-9)))
-    keep = telling[flat]
+    """Adam on ``loss``; grades count equally, rare as they may be."""
+    flat, owner = np.concatenate(features).astype(np.int64), np.repeat(np.arange(len(features)), [len(f) for f in features])
+    y = grades
+    keep = telling(np.stack([np.bincount(flat[y[owner] == g], minlength=1 << bits) for g in range(n_grades)]), np.bincount(y, minlength=n_grades))[flat]
     used, flat = np.unique(flat[keep], return_inverse=True)
     owner = owner[keep]
     w, raw = np.zeros(len(used)), np.array([-1.0] + [0.0] * (n_grades - 2))
     share = 1 / np.maximum(1, np.bincount(y, minlength=n_grades))[y]
-    share = share / share.sum()  # grades count equally, rare as they may be
+    share = share / share.sum()
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, raw)]
     for step in range(1, rounds + 1):
-        score = np.bincount(owner, w[flat], n)
-        t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        edges = np.concatenate([[-np.inf], t, [np.inf]])
-        with np.errstate(over="ignore"):
-            upper, lower = 1 / (1 + np.exp(-(edges[y + 1] - score))), 1 / (1 + np.exp(-(edges[y] - score)))
-        p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        d_score = share * (du - dl)
-        d_edges = np.zeros(n_grades + 1)
-        np.add.at(d_edges, y + 1, -share * du)
-        np.add.at(d_edges, y, share * dl)
-        d_t = d_edges[1:-1]
-        tail = np.cumsum(d_t[::-1])[::-1]  # each step moves every threshold after it
-        d_raw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
-        d_w = np.bincount(flat, d_score[owner], len(used)) + ridge * w
+        _, d_w, d_raw = loss(w, raw, flat, owner, y, share, ridge)
         for v, g, (a, b) in zip((w, raw), (d_w, d_raw), moments, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -132,21 +141,36 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def learned(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
-    """A model of ``ratings(doc_id, grade)``, fitted on at most ``sample`` of them; None if there are none."""
+    """A model of ``ratings(doc_id, grade)``, fitted on at most ``sample`` of them; None if there are none.
+
+    What reaches the driver is the count of each feature by grade, 2^``BITS`` numbers a grade at most, and then of each text of the sample only the features
+    that have a weight.
+    """
     chosen = ratings.filter(~held_out_of(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Features()
         for part in texts:
-            yield part.map(lambda text: own.of(text).astype("<i4").tobytes())
+            yield part.map(own.of)
 
-    # at most `sample` rows of two numbers, so this side is broadcast
+    # at most `sample` rows of two numbers, so this side is broadcast; an id may be on many rows
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", features("text").alias("f"))
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "f").limit(sample).collect()  # an id may be on many rows
-    rows.sort(key=lambda r: (r.doc_id, r.grade, r.f))
-    if not rows:
+    found = cut(found.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "f").limit(sample))
+    grades = dict(found.groupBy("grade").count().collect())
+    if not grades:
         return None
+    counts = np.zeros((GRADES, 1 << BITS), np.int64)
+    for r in found.select("grade", F.explode("f").alias("x")).groupBy("grade", "x").count().filter("count > 0").toLocalIterator():
+        counts[r[0], r[1]] = r[2]
+    weighed = found.sparkSession.sparkContext.broadcast(telling(counts, np.array([grades.get(g, 0) for g in range(GRADES)])))
+
+    @F.pandas_udf("binary")
+    def kept(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda f: f[weighed.value[f]].astype("<i4").tobytes())
+
+    rows = found.select("doc_id", "grade", kept("f").alias("f")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.grade, r.f))
     return fit([np.frombuffer(r.f, "<i4") for r in rows], np.array([r.grade for r in rows]))
 
 
