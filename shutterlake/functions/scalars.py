@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,15 +144,21 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(6371000.0) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def fuzzy_includes(words: Column, text: Column, keyword: str, most: int = 2) -> Column:
-    """Whether a keyword is in a text, up to reading errors.
+def fuzzy_words(low: Column) -> Column:
+    """The words of a lower-case text that have three letters or more."""
+    return F.filter(F.split(low, r"""[\s,.:;!?'"()\[\]{}/\-_]+"""), lambda w: F.length(w) >= 3)
+
+
+def fuzzy_includes(low: Column, words: Column, keyword: Column, most: int = 1) -> Column:
+    """Whether a lower-case keyword is in a lower-case text (with its ``fuzzy_words``), up to reading errors.
 
-    Under five characters: as a whole word. Longer single words: as a substring, or a word within one edit (five to seven
-    characters) or ``most`` edits, two at most. Several words: as a substring, or a run of as many words of which each is within its edits.
+    Under three characters it must stand as a word, else anywhere. From five characters on a word, or a run of as many words as the keyword has, may differ by
+    one edit, from eight on by ``most``, two at most.
     """
-    parts = keyword.split()
-    within = lambda w, k: w == k if len(k) < 5 else F.levenshtein(w, F.lit(k), 1 if len(k) < 8 else min(2, most)) >= 0
-    if len(parts) == 1:
-        return F.array_contains(words, keyword) if len(keyword) < 5 else F.contains(text, F.lit(keyword)) | F.exists(words, lambda w: within(w, keyword))
-    run = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0))), lambda i: reduce(lambda a, b: a & b, [F.coalesce(within(F.get(words, i + k), p), F.lit(False)) for k, p in enumerate(parts)]))
-    return F.contains(text, F.lit(keyword)) | run
+    n, parts = F.length(keyword), F.size(F.split(keyword, " "))
+    allowed = F.when(n >= 8, min(2, most)).when(n >= 5, 1).otherwise(0)
+    near = lambda w: (F.abs(F.length(w) - n) <= allowed) & F.levenshtein(w, keyword, 2).between(F.lit(0), allowed)
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - parts + 1), lambda i: F.array_join(F.slice(words, i, parts), " "))
+    run = F.when((parts > 1) & (F.size(words) >= parts), F.exists(runs, near)).otherwise(F.lit(False))
+    whole = F.rlike(low, F.concat(F.lit(r"\b\Q"), keyword, F.lit(r"\E\b")))
+    return F.when(n < 3, whole).otherwise(F.contains(low, keyword) | ((allowed > 0) & (F.exists(words, near) | run)))

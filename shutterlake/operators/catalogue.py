@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.session import cut
 from shutterlake.sources.media import media_type
 
 MB = 1024 * 1024
@@ -227,9 +228,9 @@ def upserted(old: DataFrame, new: DataFrame, key: str, update: Sequence[str]) ->
 
 
 def with_ids(new: DataFrame, order: str, start: int) -> DataFrame:
-    """``new`` with ids after ``start`` in an order: ranks within ranges and the sizes of the ranges before, so that no task orders all rows."""
-    parts = new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    parts = parts.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else parts
+    """``new`` with ids after ``start`` in an order: ranks within ranges and the sizes of the ranges before, so that no task orders all rows. Ranges are written once, so that ids stay."""
+    parts = new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    parts = cut(parts.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
     return parts.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("id", F.lit(start) + F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
@@ -249,10 +250,31 @@ def purge(photos: DataFrame, bridge: DataFrame, people: DataFrame, ids: DataFram
 
 
 def merged_people(people: DataFrame, photo_people: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """People and bridge after ``merges(old, new)`` (chains resolved): a real name wins over 'Unknown Person', then the smaller id; bridge rows are distinct."""
+    """People and bridge after ``merges(old, new)``, chains followed to their end: a real name wins over 'Unknown Person', then the smaller id; bridge rows are distinct. ``moved_faces`` moves vectors."""
+    ends = merge_ends(merges)
     real = lambda c: F.when(c != "Unknown Person", c)
-    mapped = people.join(merges, people.id == merges.old, "left").withColumn("to", F.coalesce("new", "id"))
+    mapped = people.join(ends, people.id == ends.old, "left").withColumn("to", F.coalesce("new", "id"))
     own = F.struct((F.col("id") != F.col("to")).alias("moved"), "id")
     out = mapped.groupBy(F.col("to").alias("id")).agg(F.coalesce(F.min_by(real(F.col("name")), F.when(F.col("name") != "Unknown Person", own)), F.lit("Unknown Person")).alias("name"), F.min_by("cover_photo_id", own).alias("cover_photo_id"), F.bool_or("is_favorite").alias("is_favorite"))
-    bridge = photo_people.join(merges, photo_people.person_id == merges.old, "left").select("photo_id", F.coalesce("new", "person_id").alias("person_id")).distinct()
+    bridge = photo_people.join(ends, photo_people.person_id == ends.old, "left").select("photo_id", F.coalesce("new", "person_id").alias("person_id")).distinct()
     return out, bridge
+
+
+def merge_ends(merges: DataFrame) -> DataFrame:
+    """``merges(old, new)`` with ``new`` followed to the end of its chain by doubling; circles are an error."""
+    now = cut(merges.select("old", "new").filter("old <> new"))
+    for _ in range(40):
+        step = now.alias("a").join(now.alias("b"), F.col("a.new") == F.col("b.old"), "left").select("a.old", F.coalesce("b.new", "a.new").alias("new"), F.col("b.new").isNotNull().alias("moved"))
+        step = cut(step)
+        if step.filter("moved").isEmpty():
+            return now
+        if not step.filter("old = new").isEmpty():
+            raise ValueError("merges go in a circle")
+        now = step.select("old", "new")
+    raise ValueError("merges go in a circle")
+
+
+def moved_faces(faces: DataFrame, merges: DataFrame) -> DataFrame:
+    """``faces(..., person_id)`` with people merged."""
+    ends = merge_ends(merges)
+    return faces.join(ends, faces.person_id == ends.old, "left").withColumn("person_id", F.coalesce("new", "person_id")).drop("old", "new")

@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     its edges go through the shared folder. Degree is never gathered: stars are built by a partial
     aggregate and a join that adaptive execution can split.
     """
-    edges = edges.select("src", "dst").filter("src is not null and dst is not null")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    edges = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    nodes, seen = cut(nodes), None
+    given = cut(edges.select("src", "dst").filter("src is not null and dst is not null"))  # evaluated once, whatever made it
+    nodes = cut(given.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    edges = cut(given.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    seen = None
     for _ in range(max_rounds):
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.hash("src", "dst").cast("long"))).first()
         if not now[0] or now == seen:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shutterlake.operators import classify, organize, people
 from shutterlake.plans.views import Catalog, duckdb_sql
-from shutterlake.session import shared_dir
 from shutterlake.sources import media
 from shutterlake.streaming import catalogue as stream
 
@@ -138,12 +135,6 @@ def _(c):
     return c.documents.select("doc_id", classify.text_density_score(F.expr(TEXT)).alias("score"))
 
 
-@query("c4_taxonomy", None)
-def _(c):
-    rules = c.spark.createDataFrame([(1, "Bills", ["invoice", "receipt"], ["total", "tax invoice"], ["date", "mail"], ["lmao"], r"\b\d{10}\b"), (2, "Links", ["subscribe", "visit"], ["https"], [], [], "")], "id int, category string, required array<string>, strong array<string>, weak array<string>, negative array<string>, regex string")
-    return classify.taxonomy_matches(c.documents.select("doc_id", F.expr(TEXT).alias("text")), rules)
-
-
 @query("s2_media_types", "SELECT file_path AS path, regexp_extract(lower(file_path), '[.]([^./]*)$', 1) AS ext, CASE regexp_extract(lower(file_path), '[.]([^./]*)$', 1) WHEN 'nef' THEN 'raw' WHEN 'mp4' THEN 'video' WHEN 'pdf' THEN 'document' ELSE 'photo' END AS kind, CASE WHEN lower(file_path) LIKE '%.jpg' OR lower(file_path) LIKE '%.jpeg' THEN 'image/jpeg' ELSE mime_type END AS mime FROM {photos}")
 def _(c):
     return c.photos.select(F.col("file_path").alias("path"), media.media_type(F.col("file_path")).alias("m")).select("path", "m.ext", "m.kind", "m.mime")
@@ -161,37 +152,36 @@ def _(c):
     return media.assigned_folders(c.disk.select("path"), c.folders)
 
 
-def _run(c: Catalog, make, mode: str = "append"):
-    """A stream over the events table, run to its end into a table of the shared folder."""
-    base = f"{shared_dir(c.spark)}/stream-{uuid.uuid4().hex}"
-    events = c.spark.readStream.schema(c.events.schema).option("pathGlobFilter", "events.parquet").parquet(c.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = make(events)
-    query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{base}/out")
-    query.awaitTermination()
-    return c.spark.read.schema(out.schema).parquet(f"{base}/out")
+def events(c: Catalog):
+    return c.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("t3_stream_exact_dedup", None)
+@query("t3_stream_exact_dedup", "SELECT DISTINCT event_id FROM events")
 def _(c):
-    return _run(c, lambda e: stream.stream_exact_dedup(e, "event_id").select("event_id"))
+    return stream.drained(events(c), lambda e: stream.stream_exact_dedup(e, "event_id").select("event_id"), close=False)
+
+
+SESSIONS = "e AS (SELECT *, ts::TIMESTAMP AS t FROM events), g AS (SELECT *, CASE WHEN epoch(t) - epoch(lag(t) OVER o) <= 12600 THEN 0 ELSE 1 END AS new FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM g)"
 
 
-@query("t4_stream_sessions", None)
+@query("t4_stream_sessions", f"WITH {SESSIONS} SELECT user_id, min(t) AS first, max(t) + INTERVAL 210 MINUTE AS last, count(*) AS n FROM s GROUP BY user_id, session")
 def _(c):
-    return _run(c, lambda e: stream.stream_sessions(e, "user_id"))
+    return stream.drained(events(c), lambda e: stream.stream_sessions(e, "user_id"))
 
 
-@query("t5_stream_bursts", None)
+@query("t5_stream_bursts", "SELECT make_timestamp(CAST(floor(epoch(ts::TIMESTAMP) / 4) AS BIGINT) * 4000000) AS slot, count(*) AS n FROM events GROUP BY 1")
 def _(c):
-    return _run(c, stream.stream_bursts)
+    return stream.drained(events(c), stream.stream_bursts)
 
 
-@query("t6_stream_timeline", None)
+@query("t6_stream_timeline", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 def _(c):
-    return _run(c, stream.stream_timeline)
+    return stream.drained(events(c), stream.stream_timeline)
 
 
-@query("t7_stream_propagate", None)
+@query("t7_stream_propagate", f"""WITH {SESSIONS}, p AS (SELECT *, CASE WHEN event_type = 'click' THEN 'place ' || event_id % 3 END AS place FROM s), c AS (SELECT user_id, session, place, count(*) AS n, min(floor(epoch(t))) AS f FROM p WHERE place IS NOT NULL GROUP BY ALL),
+b AS (SELECT user_id, session, place AS best FROM c QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY n DESC, f, place) = 1) SELECT p.user_id, event_id AS id, coalesce(place, best) AS place FROM p LEFT JOIN b ON b.user_id = p.user_id AND b.session = p.session""")
 def _(c):
     place = F.when(F.col("event_type") == "click", F.concat(F.lit("place "), (F.col("event_id") % 3).cast("string")))
-    return _run(c, lambda e: stream.stream_propagated(e.select("user_id", "ts", F.col("event_id").alias("id"), place.alias("place")), "user_id"))
+    own = events(c).select("user_id", "ts", F.col("event_id").alias("id"), place.alias("place"))
+    return stream.drained(own, lambda e: stream.stream_propagated(e, "user_id"))

@@ -91,8 +91,12 @@ def _(c):
 
 @query("d12_redundant_ids", f"WITH RECURSIVE {FP}, {KEYS}, {SCORE}, {GROUPS}, {BEST} SELECT id, group_id FROM g WHERE rank > 1")
 def _(c):
-    fp = prints(c)
-    return dup.grouped(fp, dup.scored_pairs(dup.candidate_pairs(fp), fp)).filter("rank > 1").select("id", "group_id")
+    return dup.groups_and_totals(prints(c))[0].filter("rank > 1").select("id", "group_id")
+
+
+@query("d5_digest_links", f"WITH {FP}, s AS (SELECT id, min(id) OVER (PARTITION BY sha256) AS a, min(id) OVER (PARTITION BY partial_sha256, file_size) AS b, CASE WHEN length(cn) > 1 THEN min(id) OVER (PARTITION BY cn, ext) END AS c FROM fp) SELECT DISTINCT x AS a, id AS b FROM (SELECT id, a AS x FROM s UNION ALL SELECT id, b FROM s UNION ALL SELECT id, c FROM s) WHERE x < id")
+def _(c):
+    return dup.digest_links(prints(c))
 
 
 def values(rows) -> str:

@@ -1,7 +1,12 @@
-"""Streaming forms: ingestion, deduplication, sessions, bursts and timelines. Input timestamps are TIMESTAMP; late rows beyond ``delay`` are dropped by the watermark."""
+"""Streaming forms: ingestion, deduplication, sessions, bursts and timelines. Input timestamps are TIMESTAMP; late rows beyond ``delay`` are dropped by the watermark.
+
+Sessions, bursts, days and filled places come out once the watermark has passed them, so a stream holds back what is open at its end. ``drained`` runs
+one to its end and then closes it: a last row, long after all others and with no key, moves the watermark past everything that was open.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,13 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shutterlake.operators.catalogue import upserted
 from shutterlake.operators.duplicates import blocking_keys, new_pairs
+from shutterlake.session import shared_dir
+from shutterlake.sources.media import catalog_rows, media_type
 
 
 def stream_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """New media files below ``path`` as they arrive, contents unread."""
+    """New media files below ``path`` as they arrive, contents unread; other files and hidden folders are left out."""
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.*").load(path)
-    return files.select("path", "length", "modificationTime")
+    own = files.select("path", "length", "modificationTime")
+    return own.filter(media_type(F.col("path"))["supported"] & ~F.col("path").rlike(r"/(\.[^/]+|node_modules)/"))
+
+
+def stream_into_catalog(files: DataFrame, table: str):
+    """A writer of ``stream_catalog`` that upserts each batch by path: ``table`` has one folder a version, each the catalogue after a batch, so that a repeated batch replaces itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        none = F.lit(None).cast("timestamp")
+        named = batch.withColumns({"taken_at": none, "digitized_at": none, "modified_at": F.col("modificationTime"), "exposure_s": F.lit(None).cast("double")})
+        rows = catalog_rows(named).drop("exposure_time").withColumnRenamed("path", "file_path")
+        old = spark.read.schema(rows.schema).parquet(f"{table}/{number - 1}") if number else rows.limit(0)
+        upserted(old, rows, "file_path", ["filename", "mime_type", "created_at"]).write.mode("overwrite").parquet(f"{table}/{number}")
+
+    return files.writeStream.foreachBatch(put)
+
+
+def drained(rows: DataFrame, make, ts: str = "ts", mode: str = "append", close: bool = True) -> DataFrame:
+    """What the stream ``make(source)`` gives of all of ``rows``, open ends included unless ``close`` is False; through the shared folder."""
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    out = make(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{base}/out")
+    writer.start().awaitTermination()
+    if close:
+        last = rows.agg((F.max(ts) + F.expr("interval 1000 days")).alias(ts)).filter(F.col(ts).isNotNull())
+        last.select(*[F.col(ts) if c == ts else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(f"{base}/in")
+        writer.start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def stream_exact_dedup(df: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -37,7 +75,8 @@ def stream_bursts(df: DataFrame, ts: str = "ts", slot: str = "4 seconds", delay:
 def stream_timeline(df: DataFrame, ts: str = "ts", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Rows per day, or per sliding day if ``slide`` is given."""
     window = F.window(ts, "1 day", slide) if slide else F.window(ts, "1 day")
-    return df.withWatermark(ts, delay).groupBy(window.alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n") if not slide else df.withWatermark(ts, delay).groupBy(window.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    out = df.withWatermark(ts, delay).groupBy(window.alias("w")).agg(F.count("*").alias("n"))
+    return out.select(F.col("w.start").alias("start"), "n") if slide else out.select(F.to_date("w.start").alias("day"), "n")
 
 
 def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_600, delay: str = "1 hour") -> DataFrame:
@@ -59,7 +98,7 @@ def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_6
             if part["t"].max() < closed:
                 counts = part["place"].dropna().value_counts()
                 first = part.dropna(subset=["place"]).drop_duplicates("place").set_index("place")["t"]
-                best = min(counts.index, key=lambda p: (-counts[p], first[p])) if len(counts) else None
+                best = min(counts.index, key=lambda p: (-counts[p], first[p], p)) if len(counts) else None
                 out.append(pd.DataFrame({key: k[0], "id": part["id"], "place": part["place"].where(part["place"].notna(), best)}))
                 held = held.drop(part.index)
         if held.empty:
@@ -73,21 +112,32 @@ def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_6
     return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, id long, place string", "rows array<struct<t:long,id:long,place:string>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Folders of stored keys; a batch reads those that its own keys fall into.
+KEY_FOLDERS = 64
+
+
 def stream_fingerprints(df: DataFrame, keys_path: str, pairs_path: str):
-    """A writer that pairs each batch of fingerprints with the stored blocking keys, then stores its own; both tables are Parquet, one folder a batch, so that a repeated batch replaces itself."""
+    """A writer that pairs each batch of fingerprints with the stored blocking keys, then stores its own. Keys are Parquet by hash folder and batch, pairs by batch, so that a repeated batch replaces itself and a batch reads only the folders that it has keys of."""
 
     def match(batch: DataFrame, number: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()
-        mine = blocking_keys(batch)
-        stored = spark.read.schema(mine.schema).parquet(*[f"{keys_path}/{k}" for k in range(number)]) if number else mine.limit(0)
+        folder = F.pmod(F.xxhash64("key"), F.lit(KEY_FOLDERS)).cast("int")
+        mine = blocking_keys(batch).withColumn("folder", folder)
+        touched = [r.folder for r in mine.select("folder").distinct().collect()]
+        empty = mine.limit(0)
+        stored = spark.read.option("basePath", keys_path).schema("id long, family string, key string, batch int, folder int").parquet(keys_path) if number else empty
+        stored = stored.filter(F.col("folder").isin(touched) & (F.col("batch") < number)) if number and touched else empty
         new_pairs(batch, stored).write.mode("overwrite").parquet(f"{pairs_path}/{number}")
-        mine.write.mode("overwrite").parquet(f"{keys_path}/{number}")
+        own = mine.withColumn("batch", F.lit(number))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "folder").parquet(keys_path)
         batch.unpersist()
 
     return df.writeStream.foreachBatch(match)
 
 
-def scan_progress(query) -> dict:
-    """Rows done, rows a second and when the last batch ended, of a running query."""
+def scan_progress(query, total: int | None = None) -> dict:
+    """Of a running query: rows done over all batches it remembers, those left of ``total``, rows a second and when the last batch ended."""
+    seen = list(query.recentProgress)
     last = query.lastProgress or {}
-    return {"n": last.get("numInputRows", 0), "per_s": last.get("processedRowsPerSecond", 0.0), "at": last.get("timestamp")}
+    done = sum(p["numInputRows"] for p in seen)
+    return {"n": done, "left": None if total is None else max(0, total - done), "per_s": last.get("processedRowsPerSecond", 0.0), "at": last.get("timestamp")}
