@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.classify import fits, screenshot_category
+from shutterlake.operators.once import made_once
 from shutterlake.sources.media import media_type
 
 KB = 1024
@@ -130,21 +131,22 @@ def app_media(photos: DataFrame) -> DataFrame:
     signals = [(30, banner), (35, small), (25, square), (30, quote), (40, sticker), (15, fits(r.w, r.h, PLATFORM_SIZES)), (25, squeezed), (-60, original), (25, stripped)]
     score = _bounded(F.coalesce(app["points"], F.lit(0)) + _sum(signals))
     guess = F.when(square | quote | sticker | squeezed, "other-apps").when(banner | small, "browser").otherwise("other-apps")
-    shot = screenshot_category().isNotNull()
-    out = photos.withColumn("app_score", F.when(shot, 0).otherwise(F.coalesce(score, F.lit(0))))
+    found = F.coalesce(app["category"], guess)
+    out = made_once(photos, _shot=screenshot_category().isNotNull(), _score=score, _app=found)
+    out = out.withColumns({"app_score": F.when(F.col("_shot"), 0).otherwise(F.col("_score")), "app_category": F.when(F.col("_shot"), "other-apps").otherwise(F.col("_app"))})
     kind = F.when(F.col("app_score") >= 60, "app-media").when(F.col("app_score") >= 35, "uncertain").otherwise("keep")
-    return out.withColumns({"app_category": F.when(shot, "other-apps").otherwise(F.coalesce(app["category"], guess)), "app_class": kind})
+    return out.withColumn("app_class", kind).drop("_shot", "_score", "_app")
 
 
 def app_counts(classified: DataFrame) -> DataFrame:
-    """Photos and bytes by app of what ``app_media`` doesn't keep, and of ``all``; apps without any count 0. One aggregate."""
-    found = classified.filter("app_class <> 'keep'")
-    wide = found.agg(*[
-        x for k, cond in {"all": F.lit(True), **{a: F.col("app_category") == a for a in APPS}}.items()
-        for x in (F.count_if(cond).alias(f"{k}_n"), F.coalesce(F.sum(F.when(cond, F.col("file_size"))), F.lit(0)).alias(f"{k}_bytes"))
-    ])
-    rows = ", ".join(f"'{k}', `{k}_n`, `{k}_bytes`" for k in ("all", *APPS))
-    return wide.select(F.expr(f"stack({len(APPS) + 1}, {rows}) as (category, n, n_bytes)"))
+    """Photos and bytes by app of what ``app_media`` doesn't keep, and of ``all``; apps without any count 0."""
+    found = classified.filter("app_class <> 'keep'").select("app_category", "file_size")
+    sums = found.groupBy("app_category").agg(F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"))
+    # each app's row is a row of its own and part of the whole
+    rows = sums.select(F.explode(F.array("app_category", F.lit("all"))).alias("category"), "n", "n_bytes")
+    every = classified.sparkSession.createDataFrame([(k,) for k in ("all", *APPS)], "category string")
+    both = every.join(rows, "category", "left").groupBy("category")
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
 
 
 def forwarded_media(files: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def forwarded_media(files: DataFrame) -> DataFrame:
     category = F.when(sticker, "other-apps").otherwise(F.coalesce(placed["category"], named["category"], F.lit("other-apps")))
     category = F.when(banner & (category == "other-apps"), "browser").otherwise(category)
     category = F.when(sticker & ~sent, "other-apps").otherwise(category)
-    out = files.withColumns({"junk_score": score, "junk_category": F.when(media, category)})
+    out = made_once(files, junk_score=score, junk_category=F.when(media, category))
     return out.withColumn("junk_class", F.when(F.col("junk_score") >= 70, "junk").when(F.col("junk_score") >= 40, "uncertain").otherwise("keep"))
 
 
@@ -207,4 +209,5 @@ def screenshot_score(files: DataFrame) -> DataFrame:
     picture = [(30, read & png & r.software.rlike(SHOT_TOOLS)), (20, read & png & untouched), (15, fits(r.w, r.h, DISPLAY_SIZES))]
     score = _sum([(40, named), (-50, camera)]) + F.when(r.picture, _sum(picture)).otherwise(0)
     score = F.when(~(r.picture | r.film), 0).when(r.native_flag, 100).when(exact & ~camera, 100).otherwise(score)
-    return files.withColumn("shot_score", score).withColumn("shot_class", F.when(score >= 60, "screenshot").when(score >= 30, "uncertain").otherwise("photo"))
+    out, score = made_once(files, shot_score=score), F.col("shot_score")
+    return out.withColumn("shot_class", F.when(score >= 60, "screenshot").when(score >= 30, "uncertain").otherwise("photo"))

@@ -124,17 +124,22 @@ def memories(photos: DataFrame, now: Column) -> DataFrame:
 
 
 def cleanup_stats(photos: DataFrame) -> DataFrame:
-    """Counts and bytes by category in one pass; categories may overlap."""
-    size = F.col("file_size")
-    name = F.lower("filename")
-    kinds = {
-        "large": (size >= 25 * MB) | (is_video() & (size >= 15 * MB)),
-        "app_media": name.rlike("-wa[0-9]+|whatsapp|sticker|snapseed"),
-        "screenshots": name.rlike("screenshot|screen recording"),
-    }
-    counts = [x for k, c in kinds.items() for x in (F.count_if(c).alias(f"{k}_n"), F.coalesce(F.sum(F.when(c, size)), F.lit(0)).alias(f"{k}_bytes"))]
-    wide = photos.filter(~F.col("is_trashed")).agg(*counts)
-    return wide.select(F.expr("stack(3, " + ", ".join(f"'{k}', {k}_n, {k}_bytes" for k in kinds) + ") as (category, n, n_bytes)"))
+    """Counts and bytes of live photos by what could go, and in all: large files, media of apps (``app_media`` doesn't keep them), screenshots and ``quick_duplicates``. Classes may overlap; a photo in two counts twice in all, as it does in each."""
+    from shutterlake.operators.app_media import app_media
+    from shutterlake.operators.classify import screenshot_category
+
+    live, size = photos.filter(~F.col("is_trashed")), F.coalesce("file_size", F.lit(0))
+    film = F.coalesce(media_type(F.col("file_path"))["kind"].isin("video", "cinema"), F.lit(False))
+    large = (size >= 25 * MB) | (film & (size >= 15 * MB))
+    marked = app_media(live).select(size.alias("size"), F.array_compact(F.array(
+        F.when(large, "large"), F.when(F.col("app_class") != "keep", "app_media"), F.when(screenshot_category().isNotNull(), "screenshots"),
+    )).alias("kinds"))
+    sums = marked.select("size", F.explode("kinds").alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
+    copies = quick_duplicates(photos).select(F.lit("duplicates").alias("category"), F.col("n_redundant").alias("n"), F.col("freed").alias("n_bytes"))
+    rows = sums.unionByName(copies).select(F.explode(F.array("category", F.lit("all"))).alias("category"), "n", "n_bytes")
+    every = photos.sparkSession.createDataFrame([(k,) for k in ("large", "app_media", "screenshots", "duplicates", "all")], "category string")
+    both = every.join(rows, "category", "left").groupBy("category")
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
 
 
 def quick_duplicates(photos: DataFrame) -> DataFrame:

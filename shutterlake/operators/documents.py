@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import fuzzy_includes, fuzzy_words
 from shutterlake.operators.classify import social_signals
+from shutterlake.operators.once import made_once
 from shutterlake.sources.media import media_type
 
 #: Scores from which a text is a document, and sharpness below which a picture is blurred.
@@ -81,9 +82,9 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def read_words(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_low``, the text in lower case, and ``_words``, its fuzzy words. They come out of a generator of one row, past which no filter is pushed, so that all rules share what is made once."""
+    """``docs`` with ``_low``, the text in lower case, and ``_words``, its fuzzy words. They are made once and shared by all rules."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.select("*", F.inline(F.array(F.struct(low.alias("_low"), fuzzy_words(low).alias("_words")))))
+    return made_once(docs, _low=low, _words=fuzzy_words(low))
 
 
 def identity_signature(text: Column, quality: Column, low: Column, words: Column) -> Column:
@@ -149,7 +150,7 @@ def classify_text(docs: DataFrame, rules: Sequence[Rule], text: str = "text", qu
     quality = F.lit(85) if quality is None else quality
     dated = F.when(t.rlike(r"\b\d{2}[/.-]\d{2}[/.-]\d{4}\b"), 10).otherwise(0)
     money = F.when(t.rlike(r"[$₹€£]\s?\d+") | low.rlike(r"\b(total|amount|subtotal|balance)\s*:?\s*\d+"), 10).otherwise(0)
-    named = read_words(docs, text).withColumns({"_own": identity_signature(t, quality, low, words), "_rule": best_rule(t, rules, low, words), "_social": F.size(social_signals(t)) > 0})
+    named = made_once(read_words(docs, text), _own=identity_signature(t, quality, low, words), _rule=best_rule(t, rules, low, words), _social=F.size(social_signals(t)) > 0)
     named = named.withColumn("_ruled", F.when(F.col("_rule").isNotNull(), F.least(F.lit(100), F.col("_rule.points") + dated + money)))
     found = lambda x, points: F.struct(F.col(f"{x}.type").alias("type"), F.col(f"{x}.category").alias("category"), points.alias("confidence"))
     both = F.when(F.col("_social"), F.lit(None)).when(F.col("_own").isNotNull(), found("_own", F.col("_own.confidence"))).when(F.col("_ruled") >= DOCUMENT_SCORE, found("_rule", F.col("_ruled")))
@@ -223,7 +224,7 @@ def local_document(photos: DataFrame) -> DataFrame:
         case = case.when(F.exists(list_of(ks), speaks), found(F.lit(category), 85))
     case = case.when(F.exists(list_of(GENERAL_WORDS), lambda k: F.contains(name, k) | F.contains(path, k)), found(F.lit("General Document"), 75))
     case = case.when(shaped & ratio.between(1.54, 1.62), found(F.lit(IDENTITY), 60)).when(shaped & ratio.between(1.38, 1.45), found(F.lit("General Document"), 60))
-    out = photos.withColumn("_found", case.otherwise(found(F.lit("Non-Document"), 0)))
+    out = made_once(photos, _found=case.otherwise(found(F.lit("Non-Document"), 0)))
     return out.withColumns({"local_category": F.col("_found.category"), "local_confidence": F.col("_found.confidence")}).drop("_found")
 
 

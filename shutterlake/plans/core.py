@@ -90,15 +90,6 @@ def _(c):
     return c.photos.filter("not is_trashed and location_name <> ''").groupBy("location_name").agg(F.count("*").alias("n"), F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
 
 
-CLEAN = "SELECT '{0}' AS category, count(*) AS n, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS n_bytes FROM x WHERE {1}"
-
-
-@query("a14_cleanup_stats", "WITH x AS (SELECT *, lower(filename) AS f FROM {photos} WHERE NOT is_trashed) " + " UNION ALL ".join(CLEAN.format(k, v) for k, v in {
-    "large": "file_size >= 26214400 OR (mime_type LIKE 'video/%' AND file_size >= 15728640)", "app_media": "regexp_matches(f, '-wa[0-9]+|whatsapp|sticker|snapseed')", "screenshots": "regexp_matches(f, 'screenshot|screen recording')"}.items()))
-def _(c):
-    return op.cleanup_stats(c.photos)
-
-
 @query("a15_quick_duplicates", """SELECT count(*) AS n_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_redundant, CAST(coalesce(sum(freed), 0) AS BIGINT) AS freed FROM (
   SELECT count(*) AS n, sum(file_size) - max(file_size) AS freed FROM {photos} WHERE NOT is_trashed AND file_size > 0
   GROUP BY CASE WHEN length(perceptual_hash) = 64 AND perceptual_hash <> repeat('0', 64) THEN 'hash_' || perceptual_hash ELSE 'dim_' || file_size || '_' || width || '_' || height END HAVING count(*) > 1)""")

@@ -44,17 +44,19 @@ def esc(word: str) -> str:
     return word.replace("'", "''")
 
 
+#: Keywords that are matched with reading errors, by (word, edits), as queries name them.
+FUZZY: set[tuple[str, int]] = set()
+
+
 def fuzzy_sql(word: str, most: int) -> str:
-    n, parts = len(word), len(word.split(" "))
+    n = len(word)
     allowed = min(2, most) if n >= 8 else 1 if n >= 5 else 0
     if n < 3:
         return rf"regexp_matches(low, '\b{word}\b')"
-    there = f"contains(low, '{word}')"
     if allowed:
-        there += f" OR len(list_filter(ws, lambda w: abs(length(w) - {n}) <= {allowed} AND levenshtein(w, '{word}') <= {allowed})) > 0"
-        if parts > 1:
-            there += f" OR len(list_filter(range(1, len(ws) - {parts} + 2), lambda i: levenshtein(array_to_string(ws[i:i + {parts - 1}], ' '), '{word}') <= {allowed})) > 0"
-    return f"({there})"
+        FUZZY.add((word, allowed))
+        return f"(contains(low, '{word}') OR coalesce(list_contains(hits, '{word}~{allowed}'), FALSE))"
+    return f"contains(low, '{word}')"
 
 
 def has(*words: str) -> str:
@@ -87,8 +89,23 @@ SOCIAL = (
     + " OR ".join(f"regexp_matches(low, '{esc(p)}')" for p in classify.SOCIAL.values())
     + f" OR (regexp_matches(low, '{classify.CHAT}') AND NOT regexp_matches(low, 'invoice|total'))))"
 )
-TEXTS = rf"""tx AS (SELECT *, lower(t) AS low, list_filter(regexp_split_to_array(lower(t), '[\s,.:;!?''"()\[\]{{}}/\-_]+'), lambda w: length(w) >= 3) AS ws FROM src),
+#: Which keywords each text has but for reading errors: of its words, and of its runs of as many words as a keyword has, each tried once.
+MISREAD = rf"""kws(kw, allowed, parts) AS (VALUES {{FUZZY}}), t0 AS (SELECT *, lower(t) AS low, list_filter(regexp_split_to_array(lower(t), '[\s,.:;!?''"()\[\]{{{{}}}}/\-_]+'), lambda w: length(w) >= 3) AS ws FROM src),
+pos AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t0), run AS (SELECT id, parts, array_to_string(ws[i:i + parts - 1], ' ') AS w FROM pos, (SELECT DISTINCT parts FROM kws UNION SELECT 1) p WHERE i + parts - 1 <= len(ws)),
+try AS (SELECT DISTINCT parts, w FROM run), hit AS (SELECT try.parts, w, kw || '~' || allowed AS key FROM try JOIN kws ON (try.parts = kws.parts OR try.parts = 1) AND abs(length(w) - length(kw)) <= allowed WHERE levenshtein(w, kw) <= allowed),
+own AS (SELECT id, list(DISTINCT key) AS hits FROM run JOIN hit USING (parts, w) GROUP BY id), tx AS (SELECT t0.*, hits FROM t0 LEFT JOIN own USING (id))"""
+
+
+def misread() -> str:
+    """``MISREAD`` with the keywords that queries have named so far."""
+    return MISREAD.format(FUZZY=", ".join(f"('{k}', {n}, {len(k.split(' '))})" for k, n in sorted(FUZZY)))
+
+
+def texts_sql() -> str:
+    return rf"""{misread()},
 sg AS (SELECT *, {SOCIAL} AS social, CASE {' '.join(f"WHEN {c} THEN {i}" for i, (_, _, c) in enumerate(SIGNATURES))} END AS sig FROM tx)"""
+
+
 SIG_TABLE = "sigs(sig, stype, scat) AS (VALUES " + ", ".join(f"({i}, '{n}', '{c}')" for i, (n, c, _) in enumerate(SIGNATURES)) + ")"
 
 
@@ -114,7 +131,10 @@ def said(c: Catalog):
     return c.documents.select(F.col("doc_id").alias("id"), F.expr(SAID).alias("text"))
 
 
-@query("k10_fuzzy_includes", f"WITH {DOCS}, {TEXTS.split(chr(10))[0].rstrip(',')} SELECT id, {fuzzy_sql('passport', 1)} AS one, {fuzzy_sql('election commission', 2)} AS run, {fuzzy_sql('bill', 2)} AS short, {fuzzy_sql('of', 1)} AS word FROM tx")
+TEXTS = texts_sql()  # after all keywords have been named
+
+
+@query("k10_fuzzy_includes", f"WITH {DOCS}, {misread()} SELECT id, {fuzzy_sql('passport', 1)} AS one, {fuzzy_sql('election commission', 2)} AS run, {fuzzy_sql('bill', 2)} AS short, {fuzzy_sql('of', 1)} AS word FROM tx")
 def _(c):
     found = [K.fuzzy_includes(F.col("_low"), F.col("_words"), F.lit(k), n).alias(a) for k, n, a in (("passport", 1, "one"), ("election commission", 2, "run"), ("bill", 2, "short"), ("of", 1, "word"))]
     return documents.read_words(said(c), "text").select("id", *found)

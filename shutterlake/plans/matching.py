@@ -31,7 +31,7 @@ def prints(c: Catalog):
     return own.join(c.fingerprints.drop("base").withColumnRenamed("photo_id", "id"), "id")
 
 
-FP = """fp AS (SELECT p.id, p.file_path, p.filename, p.file_size, p.created_at, p.width, p.height, p.mime_type, f.sha256, f.partial_sha256, f.dhash, f.phash, f.video_duration,
+FP = """fp AS MATERIALIZED (SELECT p.id, p.file_path, p.filename, p.file_size, p.created_at, p.width, p.height, p.mime_type, f.sha256, f.partial_sha256, f.dhash, f.phash, f.video_duration,
   trim(regexp_replace(regexp_replace(lower(p.filename), '\\.[^.]*$', ''), '(\\s*-\\s*copy|\\s*\\(\\d+\\))+', '', 'g')) AS cn, lower(regexp_extract(p.filename, '(\\.[^.]*)$', 1)) AS ext FROM {photos} p JOIN {fingerprints} f ON f.photo_id = p.id WHERE NOT p.is_trashed)"""
 KEYS = """k AS (SELECT id, 'size' AS fam, 'size_' || file_size AS key FROM fp WHERE file_size > 0 UNION ALL SELECT id, 'digest', 's_' || sha256 FROM fp WHERE sha256 <> '' UNION ALL SELECT id, 'digest', 'p_' || partial_sha256 FROM fp WHERE partial_sha256 <> ''
   UNION ALL SELECT id, 'digest', 'base_' || cn || '_' || ext FROM fp WHERE length(cn) > 1 UNION ALL SELECT id, 'burst', 't_' || CAST(floor(epoch(created_at) / 4) AS BIGINT) FROM fp WHERE epoch(created_at) > 0
@@ -41,7 +41,7 @@ s AS (SELECT key FROM k GROUP BY fam, key HAVING count(*) BETWEEN 2 AND CASE fam
 c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id WHERE x.key IN (SELECT key FROM s))"""
 SCORE = f"""d AS (SELECT c.a, c.b, x.mime_type LIKE 'video%' AS video, x.sha256 = y.sha256 AS sha, x.partial_sha256 = y.partial_sha256 AND x.file_size = y.file_size AS part, x.cn = y.cn AND x.ext = y.ext AND length(x.cn) > 1 AS named, abs(x.file_size - y.file_size) < 1024 AS near,
   abs(x.width / y.height * y.height / x.height - y.width / y.height) > 0.20 AS apart, abs(coalesce(x.video_duration, 0) - coalesce(y.video_duration, 0)) AS sec, {hamming_sql('x.dhash', 'y.dhash')} AS d, {hamming_sql('x.phash', 'y.phash')} AS p
-  FROM c JOIN fp x ON x.id = c.a JOIN fp y ON y.id = c.b WHERE (x.mime_type LIKE 'video%') = (y.mime_type LIKE 'video%')),
+  FROM c JOIN fp x ON x.id = c.a JOIN fp y ON y.id = c.b WHERE abs((x.mime_type LIKE 'video%')::INT - (y.mime_type LIKE 'video%')::INT) = 0),
 e AS (SELECT a, b, video, CASE WHEN sha THEN 100 WHEN video THEN CASE WHEN named THEN 99 WHEN sec > 3 THEN NULL WHEN d <= 14 OR (d <= 22 AND p <= 6) THEN CASE WHEN d <= 6 AND sec <= 0.5 THEN 98 WHEN d <= 10 THEN 95 ELSE 90 END END
   WHEN part THEN 99 WHEN named THEN CASE WHEN near THEN 100 ELSE 99 END WHEN apart THEN NULL WHEN d <= 8 OR (d <= 12 AND p <= 4) THEN 95 WHEN d <= 16 OR (d <= 20 AND p <= 6) THEN 90 WHEN d <= 24 AND p <= 10 THEN 85 END AS confidence FROM d)"""
 SCORE = SCORE.replace("abs(x.width / y.height * y.height / x.height - y.width / y.height)", "abs(x.width / x.height - y.width / y.height)")

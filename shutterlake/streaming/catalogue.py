@@ -22,7 +22,8 @@ from shutterlake.sources.media import catalog_rows, media_type
 
 def stream_catalog(spark: SparkSession, path: str) -> DataFrame:
     """New media files below ``path`` as they arrive, contents unread; other files and hidden folders are left out."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.*").load(path)
+    form = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(form).option("recursiveFileLookup", True).option("pathGlobFilter", "*.*").load(path)
     own = files.select("path", "length", "modificationTime")
     return own.filter(media_type(F.col("path"))["supported"] & ~F.col("path").rlike(r"/(\.[^/]+|node_modules)/"))
 

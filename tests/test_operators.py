@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import struct
 import zlib
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import places
 from shutterlake.functions import scalars as K
-from shutterlake.operators import catalogue, duplicates, locations, organize, people
+from shutterlake.operators import catalogue, duplicates, locations, organize, people, updates
 from shutterlake.operators.components import connected_components
 from shutterlake.plans.views import Catalog
 from shutterlake.sources import media
@@ -113,8 +114,9 @@ def test_scalar_edges(spark):
     df = spark.createDataFrame([("ff" * 32, "fe" * 32, ""), (None, "aa", "zz")], "a string, b string, c string")
     rows = df.select(K.hamming_hex(F.col("a"), F.col("b")), K.hamming_hex(F.col("a"), F.col("c")), K.match_percent(F.col("a"), F.col("b")), K.sanitize_folder(F.col("c"))).collect()
     assert tuple(rows[0]) == (32, 999, 88, "General") and tuple(rows[1]) == (999, 999, 95, "zz")
-    words = spark.createDataFrame([("the invoise of passport office",)], "t string").withColumn("w", F.split("t", " "))
-    assert tuple(words.select(*[K.fuzzy_includes(F.col("w"), F.col("t"), k) for k in ("invoice", "pan", "pasport ofice", "aadhaar")]).first()) == (True, False, True, False)
+    words = spark.createDataFrame([("the invoise of passport office", )], "t string").withColumn("w", K.fuzzy_words(F.col("t")))
+    found = [K.fuzzy_includes(F.col("t"), F.col("w"), F.lit(k), n) for k, n in (("invoice", 1), ("invoice", 0), ("pan", 1), ("pasport ofice", 1), ("pasport ofice", 2), ("of", 1), ("ff", 1), ("aadhaar", 1))]
+    assert tuple(words.select(*found).first()) == (True, True, False, False, True, True, False, False)
 
 
 def test_free_names_skip_taken_numbers(spark):
@@ -180,6 +182,57 @@ def test_streams_equal_batches(spark):
     days = {(r.day, r["n"]) for r in drained(spark, streaming.stream_timeline(source), "days")}
     assert days and days <= {tuple(r) for r in events.groupBy(F.to_date("ts")).count().collect()}
     assert len(drained(spark, streaming.stream_exact_dedup(source, "event_id").select("event_id"), "dedup")) == events.select("event_id").distinct().count()
+    # closed at its end, a stream gives all
+    whole = {(r.user_id, r.w.start, r["n"]) for r in events.groupBy("user_id", F.session_window("ts", "210 minutes").alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert {(r.user_id, r["first"], r["n"]) for r in streaming.drained(events, lambda e: streaming.stream_sessions(e, "user_id")).collect()} == whole > got
+    assert streaming.drained(events.limit(0), lambda e: streaming.stream_sessions(e, "user_id")).count() == 0
+
+
+def test_stream_into_catalog_takes_each_file_once(spark, tmp_path):
+    (tmp_path / "in" / ".hidden").mkdir(parents=True)
+    for name in ("a.jpg", "b.MOV", "c.zip", ".hidden/d.jpg"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    for names in (("a.jpg", "b.MOV"), ("a.jpg", "b.MOV", "e.heic")):
+        if "e.heic" in names:
+            (tmp_path / "in" / "e.heic").write_bytes(b"y")
+        writer = streaming.stream_into_catalog(streaming.stream_catalog(spark, str(tmp_path / "in")), str(tmp_path / "table"))
+        writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        last = max(int(p.name) for p in (tmp_path / "table").iterdir() if p.name.isdigit())
+        assert sorted(r.filename for r in spark.read.parquet(str(tmp_path / "table" / str(last))).collect()) == sorted(names)
+
+
+def test_known_digests(spark):
+    small, large = b"abc", bytes(range(256)) * 1024
+    row = {r.name: r for r in media.content_digests(spark.createDataFrame([("s", bytearray(small)), ("l", bytearray(large))], "name string, content binary")).collect()}
+    assert row["s"].sha256 == row["s"].partial_sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    ends = large[:65536] + f"size_{len(large)}".encode() + large[-65536:]
+    assert row["l"].sha256 == hashlib.sha256(large).hexdigest() and row["l"].partial_sha256 == hashlib.sha256(ends).hexdigest() != row["l"].sha256
+
+
+def test_updates_check_names_and_undo(spark):
+    tags = spark.createDataFrame([(1, "Beach")], "id long, name string")
+    got = updates.got_or_created(tags, spark.createDataFrame([("beach",), ("Sea",), ("sea",), ("Art",)], "name string"))
+    assert sorted((r.id, r.name) for r in got.collect()) == [(1, "Beach"), (2, "Art"), (3, "Sea")]
+    for bad in (" ", None):
+        with pytest.raises(Exception, match="a name is empty"):
+            updates.got_or_created(tags, spark.createDataFrame([(bad,)], "name string")).collect()
+    moves = spark.createDataFrame([("r1", "/a", "/b")], "run_id string, path string, new_path string")
+    runs = spark.createDataFrame([("r1", False), ("r2", True)], "run_id string, undone boolean")
+    assert updates.undone(runs, moves, "r1").first().path == "/b"
+    for run in ("r2", "r3"):
+        with pytest.raises(ValueError, match=run):
+            updates.undone(runs, moves, run)
+    plan = spark.createDataFrame([(1, "d", "x.jpg"), (2, "d", "X.jpg"), (3, "d", "y.jpg")], "id long, folder string, name string")
+    there = spark.createDataFrame([("d", "Y.JPG")], "folder string, name string")
+    names = lambda how: [r.new_name for r in updates.resolved_names(plan, there, how).orderBy("id").collect()]
+    assert names("overwrite") == ["x.jpg", "X.jpg", "y.jpg"] and names("skip") == ["x.jpg", None, None] and names("rename") == ["x.jpg", "X (1).jpg", "y (1).jpg"]
+
+
+def test_merge_chains_and_circles(spark):
+    chain = spark.createDataFrame([(k + 1, k) for k in range(1, 40)], "old long, new long")
+    assert {tuple(r) for r in catalogue.merge_ends(chain).collect()} == {(k, 1) for k in range(2, 41)}
+    with pytest.raises(ValueError, match="circle"):
+        catalogue.merge_ends(spark.createDataFrame([(1, 2), (2, 1)], "old long, new long"))
 
 
 def test_text_named_places(spark):
