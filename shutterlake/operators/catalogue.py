@@ -104,7 +104,8 @@ def orphans(photos: DataFrame, photo_people: DataFrame, people: DataFrame, folde
 
 
 def is_video() -> Column:
-    return F.col("mime_type").startswith("video/")
+    """By media type, or by extension."""
+    return F.coalesce(F.col("mime_type").startswith("video/"), F.lit(False)) | F.coalesce(media_type(F.col("filename"))["kind"].isin("video", "cinema"), F.lit(False))
 
 
 def large_files(photos: DataFrame, least: int = 50 * MB, kind: str = "all") -> DataFrame:

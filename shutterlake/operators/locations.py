@@ -22,8 +22,8 @@ def anchors(photos: DataFrame) -> DataFrame:
 
 
 def session_propagated(df: DataFrame) -> DataFrame:
-    """Rows without a place take the most frequent anchor place of their session (first seen on ties), at the mean of its anchors' coordinates, with confidence 80."""
-    df = cut(df)  # read several times below
+    """Rows without a place take the most frequent anchor place of their session (first seen on ties), at the mean of its anchors' coordinates, with confidence 80. A column ``extracted_text`` ends here."""
+    df = cut(df.drop("extracted_text"))  # read several times below, and no text is looked at any more
     timed = sessions(df.filter("created_at is not null"), "created_at").withColumn("day", F.to_date("created_at"))
     order = F.struct("created_at", "id")
     own = timed.filter("is_anchor")

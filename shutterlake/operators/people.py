@@ -24,11 +24,11 @@ def _blocks(df: DataFrame, id_col: str, extra: list[str], n: int) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, triangle: bool) -> DataFrame:
-    """Each block beside each block (once each way round if ``triangle``), by an equi-join on both numbers."""
-    a = left.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
-    b = right.select(F.col("block").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
-    both = a.join(b, ["i", "j"])
-    return both.filter("i <= j") if triangle else both
+    """Each block beside each block, by an equi-join on both numbers; if ``triangle``, each two blocks of one table once, and only as many copies as that takes."""
+    first, last = (F.col("block"), F.col("block")) if triangle else (F.lit(0), F.lit(n_left - 1))
+    a = left.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(first, F.lit(n_right - 1))).alias("j"))
+    b = right.select(F.col("block").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return a.join(b, ["i", "j"])
 
 
 def _each(kernel: Callable, schema: str, pairs: DataFrame) -> DataFrame:
@@ -59,14 +59,23 @@ def assigned_faces(faces: DataFrame, gallery: DataFrame, threshold: float = 0.48
 
 
 def clustered_faces(faces: DataFrame, threshold: float = 0.48) -> DataFrame:
-    """``(id, cluster_id)``: components of the graph that links faces nearer than the threshold; a cluster's id is its least face. The result doesn't depend on order, unlike one-by-one assignment."""
+    """``(id, cluster_id)``: components of the graph that links faces nearer than the threshold; a cluster's id is its least face. The result doesn't depend on order, unlike one-by-one assignment.
+
+    A pair of blocks gives each of its faces at most one link, to the least face that it reaches inside the pair, so a person of k faces costs k links, not k^2.
+    """
     n = max(1, -(-faces.count() // ROWS))
     own = _blocks(faces, "id", [], n)
 
     def links(a, b, gap, same):
         i, j = np.nonzero(gap < threshold)
-        x, y = np.array([r["id"] for r in a], dtype=np.int64)[i], np.array([r["id"] for r in b], dtype=np.int64)[j]
-        return pd.DataFrame({"src": x, "dst": y})[x != y]
+        ids = np.array([r["id"] for r in a] + [r["id"] for r in b], dtype=np.int64)
+        least, j = ids.copy(), j + len(a)
+        while True:  # the least id spreads along the links
+            before = least.copy()
+            np.minimum.at(least, i, before[j])
+            np.minimum.at(least, j, least[i])
+            if (least == before).all():
+                return pd.DataFrame({"src": ids, "dst": least})[ids != least].drop_duplicates()
 
     parts = connected_components(_each(links, "src long, dst long", _pairs(own, own, n, n, True)))
     return faces.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))

@@ -93,14 +93,18 @@ def _(c):
     return people.clustered_faces(c.faces.select("id", "descriptor"), 1.1)
 
 
-@query("p3_merge_suggestions", """WITH d AS (SELECT least(a.person_id, b.person_id) AS a, greatest(a.person_id, b.person_id) AS b, sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a.descriptor, b.descriptor)])) AS d FROM {faces} a JOIN {faces} b ON a.id < b.id AND a.person_id <> b.person_id),
+SUGGESTIONS = """WITH d AS (SELECT least(a.person_id, b.person_id) AS a, greatest(a.person_id, b.person_id) AS b, sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a.descriptor, b.descriptor)])) AS d FROM {faces} a JOIN {faces} b ON a.id < b.id AND a.person_id <> b.person_id),
 s AS (SELECT a, b, min(d) AS m, avg(d) AS mean FROM d GROUP BY ALL), n AS (SELECT person_id, count(*) AS n FROM {faces} GROUP BY 1), e AS (SELECT a, b, least(m, 1.0) AS m, CASE WHEN x.n > 2 AND y.n > 2 THEN 0.65 * least(m, 1.0) + 0.35 * mean ELSE least(m, 1.0) END AS eff FROM s JOIN n x ON x.person_id = a JOIN n y ON y.person_id = b)
-SELECT a, b, round(m, 4) AS distance, round(eff, 4) AS effective, CAST(CASE WHEN eff <= 0.9 THEN 99 WHEN eff <= 1.2 THEN round(99 - (eff - 0.9) / (1.2 - 0.9) * 24) ELSE greatest(50, round(75 - (eff - 1.2) / 0.12 * 25)) END AS INTEGER) AS confidence FROM e WHERE m <= 1.0 OR eff <= 1.2""")
+SELECT a, b, round(m, 4) AS distance, round(eff, 4) AS effective, CAST(CASE WHEN eff <= 0.9 THEN 99 WHEN eff <= 1.2 THEN round(99 - (eff - 0.9) / (1.2 - 0.9) * 24) ELSE greatest(50, round(75 - (eff - 1.2) / 0.12 * 25)) END AS INTEGER) AS confidence FROM e WHERE m <= 1.0 OR eff <= 1.2"""
+
+
+@query("p3_merge_suggestions", SUGGESTIONS)
 def _(c):
     return people.merge_suggestions(c.faces.select("id", "person_id", "descriptor"), sure=1.0, likely=1.2, best=0.9)
 
 
-@query("p4_auto_merge", None)
+@query("p4_auto_merge", f"""WITH RECURSIVE sug AS ({SUGGESTIONS}), op AS (SELECT * FROM sug WHERE NOT (a = 0 AND b = 1)), ch AS (SELECT * FROM op WHERE confidence >= 70 OR NOT EXISTS (SELECT 1 FROM op WHERE confidence >= 70)),
+lk AS (SELECT a AS src, b AS dst FROM ch UNION SELECT b, a FROM ch), wk AS (SELECT src AS id, src AS t FROM lk UNION SELECT wk.id, lk.dst FROM wk JOIN lk ON lk.src = wk.t) SELECT id AS old, min(t) AS new FROM wk GROUP BY id HAVING id <> min(t)""")
 def _(c):
     found = people.merge_suggestions(c.faces.select("id", "person_id", "descriptor"), sure=1.0, likely=1.2, best=0.9)
     return people.auto_merges(found, found.filter("a = 0 and b = 1").select("a", "b"), 70)

@@ -169,6 +169,13 @@ def difference_hash(grey: np.ndarray) -> str:
     return _bits(grid[:, :-1] < grid[:, 1:])
 
 
+def frequency_hash(corner: np.ndarray) -> str:
+    """Whether each of 64 values reaches the mean of all but the first; the first bit is always set."""
+    bits = corner >= corner.ravel()[1:].mean()
+    bits[0, 0] = True
+    return _bits(bits)
+
+
 def pixel_features(images: DataFrame) -> DataFrame:
     """Hashes, turned and mirrored hashes, colour and edge histograms, blur and glare of each picture of ``pixel_source``."""
 
@@ -192,7 +199,7 @@ def pixel_features(images: DataFrame) -> DataFrame:
                 strong = np.hypot(gx, gy) > 20
                 turns = ((np.arctan2(gy, gx)[strong] + np.pi) / (2 * np.pi) * 32).astype(int) % 32
                 cells = _shrunk((grey >= 240).astype(float), 4, 4)
-                rows.append((r.origin, difference_hash(grey), _bits(small >= small.mean()), _bits(corner > corner.ravel()[1:].mean()), [difference_hash(t) for t in turned],
+                rows.append((r.origin, difference_hash(grey), _bits(small >= small.mean()), frequency_hash(corner), [difference_hash(t) for t in turned],
                              (np.bincount(bins.ravel(), minlength=64) / bins.size).tolist(), (np.bincount(turns, minlength=32) / max(1, len(turns))).tolist(), float(edge.var()), float(strong.mean()), bool((cells > 0.15).any())))
             yield pd.DataFrame(rows, columns=["origin", "dhash", "ahash", "phash", "rotations", "color_histogram", "edge_histogram", "blur_score", "edge_density", "glare"])
 
