@@ -1,12 +1,13 @@
 """Text quality by ordinal cumulative-link regression.
 
-Method. Graded ratings y = 0..G-1 follow P(y <= j) = sigmoid(t_j - w x) with one weight vector w over hashed text features for all grades and
-ordered thresholds t_0 < t_1 < ... From them come the expected grade and the tail probability P(y >= G-1), by which texts are selected.
+Method. Graded ratings y = 0..G-1 follow P(y <= j) = sigmoid(t_j - s) with ordered thresholds t_0 < t_1 < ... and, for all grades, one score s: the
+sum of the weights of a text's hashed features, divided by the root of how many of them have a weight, so that length alone moves no text. From them come the expected grade and the tail probability P(y >= G-1), by which texts are selected.
 
 Ratings are graded from the labels: 0 if quality is 0, 1 if quality is 1 but the text is toxic, 2 if quality is 1 and it isn't. Features of a text are
 its distinct words and runs of marks, hashed, and what share of it are marks, digits and capitals, in ten steps each. The model is fitted on
 a bounded sample: at most ``SAMPLE`` labelled texts of those that aren't held out, chosen by a hash of their id. Features have a weight if they are on
-``RARE`` texts of it or more and some grade has them ``SIGNIFICANT`` standard deviations more or less often than all do. Scoring covers whole texts.
+``RARE`` texts of it or more, some grade has them ``SIGNIFICANT`` standard deviations more or less often than all do, and some grade is ``LIFT`` times as
+likely with them or more: what only most texts have, such as common words, would otherwise outweigh a few telling ones. Scoring covers whole texts.
 
 Defined cases: a null text counts as empty. Rows with a null label or id teach nothing; of several labels of one id, and of several texts, each pair
 counts. With no rating at all every text has grade and probability 0.5 of the range and is kept. Repeated rows give equal rows, an
@@ -29,9 +30,9 @@ from shutterlake.llm.names import free_name
 from shutterlake.session import cut
 from shutterlake.sources.tables import read_table
 
-SAMPLE, RARE, SIGNIFICANT, BITS, GRADES = 12000, 4, 4.0, 18, 3
+SAMPLE, RARE, SIGNIFICANT, LIFT, BITS, GRADES = 12000, 4, 4.0, 1.5, 18, 3
 #: Texts whose probability of the highest grade is at least this are kept.
-KEEP = 0.3
+KEEP = 0.4
 CACHED = 400_000
 
 
@@ -67,13 +68,15 @@ _KIND = np.array([2 if chr(b).isdigit() and b < 128 else 3 if 65 <= b <= 90 else
 
 @dataclass
 class Ordinal:
+    """``weighed``: which features have a weight."""
+
     weights: np.ndarray
+    weighed: np.ndarray
     thresholds: np.ndarray
 
     def scores(self, features: list[np.ndarray]) -> np.ndarray:
-        ends = np.cumsum([len(f) for f in features], dtype=int)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate(features)])]) if len(features) and ends[-1] else np.zeros(1)
-        return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        own = [f[self.weighed[f]] for f in features]
+        return np.array([self.weights[f].sum() / np.sqrt(max(1, len(f))) for f in own])
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(y >= j) for j = 1..G-1, one column each."""
@@ -85,13 +88,14 @@ def telling(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
     seen = counts.sum(axis=0)
     part = (texts / texts.sum())[:, None]
     off = np.abs(counts - seen * part)
-    return ((seen >= RARE) & (off >= SIGNIFICANT * np.sqrt(np.maximum(seen * part * (1 - part), 1e-9)))).any(axis=0)
+    lifted = (counts >= LIFT * seen * part).any(axis=0)
+    return lifted & ((seen >= RARE) & (off >= SIGNIFICANT * np.sqrt(np.maximum(seen * part * (1 - part), 1e-9)))).any(axis=0)
 
 
-def loss(w: np.ndarray, raw: np.ndarray, flat: np.ndarray, owner: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """The mean negative log-likelihood with its ridge, and its derivatives by weights and by ``raw``: the first threshold and the logarithms of the steps after it, so that thresholds stay in order."""
+def loss(w: np.ndarray, raw: np.ndarray, flat: np.ndarray, owner: np.ndarray, value: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood with its ridge, of texts ``owner`` that have features ``flat`` with ``value``; and its derivatives by weights and by ``raw``: the first threshold and the logarithms of the steps after it, so that thresholds stay in order."""
     n_grades = len(raw) + 1
-    score = np.bincount(owner, w[flat], len(y))
+    score = np.bincount(owner, w[flat] * value, len(y))
     t = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
     edges = np.concatenate([[-np.inf], t, [np.inf]])
     with np.errstate(over="ignore"):
@@ -105,29 +109,30 @@ def loss(w: np.ndarray, raw: np.ndarray, flat: np.ndarray, owner: np.ndarray, y:
     d_t = d_edges[1:-1]
     tail = np.cumsum(d_t[::-1])[::-1]  # each step moves every threshold after it
     d_raw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
-    return float(-(share * np.log(p)).sum() + ridge / 2 * (w * w).sum()), np.bincount(flat, d_score[owner], len(w)) + ridge * w, d_raw
+    return float(-(share * np.log(p)).sum() + ridge / 2 * (w * w).sum()), np.bincount(flat, d_score[owner] * value, len(w)) + ridge * w, d_raw
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, rounds: int = 300, ridge: float = 3e-4) -> Ordinal:
+def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, rounds: int = 600, ridge: float = 3e-4) -> Ordinal:
     """Adam on ``loss``; grades count equally, rare as they may be."""
     flat, owner = np.concatenate(features).astype(np.int64), np.repeat(np.arange(len(features)), [len(f) for f in features])
     y = grades
     keep = telling(np.stack([np.bincount(flat[y[owner] == g], minlength=1 << bits) for g in range(n_grades)]), np.bincount(y, minlength=n_grades))[flat]
     used, flat = np.unique(flat[keep], return_inverse=True)
     owner = owner[keep]
+    value = 1 / np.sqrt(np.bincount(owner, minlength=len(y)))[owner]
     w, raw = np.zeros(len(used)), np.array([-1.0] + [0.0] * (n_grades - 2))
     share = 1 / np.maximum(1, np.bincount(y, minlength=n_grades))[y]
     share = share / share.sum()
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, raw)]
     for step in range(1, rounds + 1):
-        _, d_w, d_raw = loss(w, raw, flat, owner, y, share, ridge)
+        _, d_w, d_raw = loss(w, raw, flat, owner, value, y, share, ridge)
         for v, g, (a, b) in zip((w, raw), (d_w, d_raw), moments, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             v -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-10)
-    weights = np.zeros(1 << bits)
-    weights[used] = w
-    return Ordinal(weights, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])))
+    weights, weighed = np.zeros(1 << bits), np.zeros(1 << bits, bool)
+    weights[used], weighed[used] = w, True
+    return Ordinal(weights, weighed, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])))
 
 
 def held_out_of(doc_id: Column) -> Column:

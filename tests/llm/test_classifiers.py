@@ -161,7 +161,8 @@ def test_ordinal_gradients_equal_finite_differences():
     flat, owner = np.concatenate(features), np.repeat(np.arange(40), [len(f) for f in features])
     y, share = rng.integers(0, 4, 40), rng.dirichlet(np.ones(40))
     w, raw = rng.normal(0, 0.5, 12), np.array([-0.7, 0.2, -0.4])
-    value = lambda: quality.loss(w, raw, flat, owner, y, share, 0.01)
+    sizes = rng.uniform(0.1, 1, len(flat))
+    value = lambda: quality.loss(w, raw, flat, owner, sizes, y, share, 0.01)
     _, d_w, d_raw = value()
     for values, grad in ((w, d_w), (raw, d_raw)):
         for at in range(len(values)):
@@ -176,7 +177,8 @@ def test_ordinal_gradients_equal_finite_differences():
 
 def test_ratings_equal_plain_python_over_whole_texts(spark):
     rng = np.random.default_rng(6)
-    model = quality.Ordinal(rng.normal(0, 0.1, 1 << quality.BITS), np.array([-0.5, 0.75]))
+    weighed = rng.random(1 << quality.BITS) < 0.7
+    model = quality.Ordinal(rng.normal(0, 1, 1 << quality.BITS) * weighed, weighed, np.array([-0.5, 0.75]))
     texts = ["Plain words here.", "SPAM!!! $$$ 100% free", None, "", "é ü 123", "long text " * 50_000 + "END!!!", "Plain words here."]
     df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, _rating string").repartition(2)
     out = {r.doc_id: r for r in quality.rated(df, model).collect()}
@@ -185,7 +187,8 @@ def test_ratings_equal_plain_python_over_whole_texts(spark):
         words = set(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[!-/:-@\[-`]+", raw.lower()))
         kinds = [sum(33 <= b < 127 and not chr(b).isalnum() for b in raw), sum(48 <= b < 58 for b in raw), sum(65 <= b <= 90 for b in raw)]
         words |= {b"\0%d %d" % (k + 1, min(9, int(20 * n / max(1, len(raw))))) for k, n in enumerate(kinds)}
-        score = sum(model.weights[f] for f in {zlib.crc32(x) & ((1 << quality.BITS) - 1) for x in words})
+        own = [f for f in {zlib.crc32(x) & ((1 << quality.BITS) - 1) for x in words} if weighed[f]]
+        score = sum(model.weights[f] for f in own) / max(1, len(own)) ** 0.5
         tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
         assert np.isclose(out[i].expected_grade, sum(tails)) and np.isclose(out[i].tail_prob, tails[1]) and out[i]._rating == "mine"
         assert out[i].kept == (out[i].tail_prob >= quality.KEEP)
