@@ -134,7 +134,19 @@ def _(c):
     return out.filter("signals <> ''")
 
 
-@query("c6_text_density", None)
+def terms(*words: str) -> str:
+    return "(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")"
+
+
+@query("c6_text_density", rf"""WITH {LOW}, m AS (SELECT *, {terms('dob', 'yob', 'date of birth', 'year of birth', 'male', 'female', 'enrolment', 'address', 'govt of india', 'government of india')} AS meta, len(regexp_extract_all(t, '\S+')) AS words,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-zA-Z]'))) AS n_lines FROM low)
+SELECT doc_id, CAST(CASE WHEN regexp_matches(low, 'aadhaar|aadhar|adhar|adhaar|aadaar|aadar|andnaar|andhaar|andahar|andhar|uidai|uidal|uida1|ulda|unique identification|identity card') OR meta >= 2
+    OR (regexp_matches(t, '\b[0-9]{{4}}[-\s]?[0-9]{{4}}[-\s]?[0-9]{{4}}\b') AND (meta >= 1 OR regexp_matches(low, 'india|govt'))) OR regexp_matches(t, '\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\b')
+    OR regexp_matches(low, '\b(income tax department|permanent account number|govt of india|republic of india|passport|type p|election commission|elector|voter id|epic|driving licence|driver licence|driving license|dl no)\b') THEN 100
+  ELSE least(20, CASE WHEN words > 50 THEN 10 WHEN words >= 10 THEN 5 ELSE 0 END + CASE WHEN words >= 5 THEN 5 ELSE 0 END) + least(20, least(10, 5 * len(regexp_extract_all(t, '[A-Za-z]+:'))) + CASE WHEN n_lines > 3 THEN 10 ELSE 0 END)
+    + least(20, 5 * {terms('invoice', 'receipt', 'tax', 'hospital', 'bank', 'statement', 'government', 'certificate', 'signature', 'authorized', 'department', 'registration', 'total')})
+    + least(40, 10 * (regexp_matches(t, '\b[0-9]{{2}}[/.-][0-9]{{2}}[/.-][0-9]{{4}}\b')::INT + regexp_matches(t, '[$₹€£]\s?[0-9]+')::INT + regexp_matches(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}\b')::INT + regexp_matches(t, '\b[0-9]{{10}}\b')::INT))
+    - 30 * {terms('http://', 'https://', 'www.', 'subscribe', 'like', 'comment', 'share', 'follow us')} END AS INTEGER) AS score FROM m""")
 def _(c):
     return c.documents.select("doc_id", classify.text_density_score(F.expr(TEXT)).alias("score"))
 
