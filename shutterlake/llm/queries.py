@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the DuckDB forms of those that SQL can express."""
 
-from shutterlake.llm import bpe, exact_dedup, katz, language_id, licenses, mixing, quality, simhash, token_counts, topk
+from shutterlake.llm import bpe, exact_dedup, katz, language_id, lexical, licenses, mixing, packing, quality, simhash, token_counts, topk, whitening
 
 QUERIES = {
     "op1_edit_aware_token_counts": token_counts.op1_edit_aware_token_counts,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_language_id": language_id.op9_language_id,
     "op10_ordinal_quality": quality.op10_ordinal_quality,
+    "op11_multiway_packing": packing.op11_multiway_packing,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLES = {
     "op3_exact_top_k": topk.SQL,
     "op6_license_scan": licenses.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_source_mixing": mixing.SQL,
+    "op12_lexical_search": lexical.SQL,
 }
