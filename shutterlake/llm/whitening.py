@@ -113,8 +113,10 @@ def _solved(diagonal: np.ndarray, off: np.ndarray, at: float, right: np.ndarray)
 def eigenpairs(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues of a symmetric matrix, falling, and their unit vectors as rows."""
     n = len(v)
-    k = min(k, n)
-    diagonal, off, reflectors = reduced(v)
+    k, size = min(k, n), float(np.abs(v).max())
+    if not size:
+        return np.zeros(k), np.eye(n)[:k]
+    diagonal, off, reflectors = reduced(v / size)
     values, vectors, rng = leading_values(diagonal, off, k), [], np.random.default_rng(0)
     near = CLOSE * max(abs(values[0]), abs(values[-1]))
     for i, value in enumerate(values):
@@ -132,7 +134,7 @@ def eigenpairs(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     for at in range(len(reflectors) - 1, -1, -1):
         u = reflectors[at]
         out[:, at + 1 :] -= 2 * np.outer(out[:, at + 1 :] @ u, u)
-    return values, out / np.sqrt((out**2).sum(axis=1))[:, None]
+    return values * size, out / np.sqrt((out**2).sum(axis=1))[:, None]
 
 
 def whole(entries: np.ndarray, scale: int = SCALE, shift: int = SHIFT) -> np.ndarray:
