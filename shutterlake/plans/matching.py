@@ -99,6 +99,14 @@ def _(c):
     return dup.digest_links(prints(c))
 
 
+EVERY = KEYS.replace("HAVING count(*) BETWEEN 2 AND CASE fam WHEN 'size' THEN 1000 WHEN 'digest' THEN 1000 WHEN 'band' THEN 30 WHEN 'duration' THEN 30 ELSE 25 END", "HAVING count(*) >= 2")
+
+
+@query("d5_complete_groups", f"WITH RECURSIVE {FP}, {EVERY}, {SCORE}, {GROUPS}, {BEST} SELECT id, group_id, rank FROM g")
+def _(c):
+    return dup.complete_groups(prints(c)).select("id", "group_id", F.col("rank").cast("long").alias("rank"))
+
+
 def values(rows) -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)

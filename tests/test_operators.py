@@ -265,3 +265,48 @@ def test_every_supported_extension_is_media(spark):
     sides = {(r.ext, r.side) for r in organize.source_breakdown(disk).collect()}
     assert sides == {(".heic", "media"), (".mov", "media"), (".cr2", "media"), (".tif", "media"), (".gif", "media"), (".jpg", "media"), (".xyz", "other"), ("", "other")}
     assert all(catalogue.sync_diff(disk.limit(0).union(spark.createDataFrame([(f"/x.{e}", 1)], "path string, length long")), photos.limit(0)).count() == 1 for e in ("braw", "svg", "docx"))
+
+
+def pictures(spark, rows):
+    """Fingerprints of ``(id, dhash, phash, sha, mime, seconds)``."""
+    full = [(i, f"/x/{i % 7}/p{i}z.jpg", f"p{i}z.jpg", 1000 + i, None, 400, 300, mime, sha, "", d, p, seconds) for i, d, p, sha, mime, seconds in rows]
+    return spark.createDataFrame(full, "id long, file_path string, filename string, file_size long, created_at timestamp, width long, height long, mime_type string, sha256 string, partial_sha256 string, dhash string, phash string, video_duration double")
+
+
+def test_complete_links_of_one_hash_are_linear(spark):
+    from shutterlake.operators import duplicates as dup
+
+    for n in (40, 10_000):
+        rows = [(i, "ab" * 32, "12" * 8, f"s{i}", "image/jpeg", None) for i in range(n)]
+        fp = pictures(spark, rows)
+        links = cut_rows(dup.complete_links(fp))
+        assert len(links) == n - 1
+        assert {r.group_id for r in dup.complete_groups(fp).collect()} == {0}
+    assert dup.grouped(pictures(spark, rows[:40]), dup.links_of(pictures(spark, rows[:40]))).count() == 0  # the capped form keeps silent
+
+
+def cut_rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_complete_groups_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    from shutterlake.operators import duplicates as dup
+
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(6)]
+    rows = []
+    for i in range(260):
+        film = i % 5 == 0
+        bits = int(base[rng.integers(6)], 16)
+        for b in rng.choice(256, rng.integers(0, 26), replace=False):
+            bits ^= 1 << int(b)
+        p = int(rng.integers(0, 3)) * 0x1111 ^ (1 << int(rng.integers(0, 64)))
+        rows.append((i, f"{bits:064x}" if i % 17 else ("0" * 64 if i % 2 else ""), f"{p:016x}" if i % 11 else "", f"s{i // 2}" if i % 13 == 0 else "", "video/mp4" if film else "image/jpeg", float(rng.integers(0, 9)) if film else None))
+    fp = pictures(spark, rows).repartition(3)
+    every = dup.grouped(fp, dup.scored_pairs(dup.candidate_pairs(fp, caps=None), fp))
+    want = {(r.id, r.group_id) for r in every.collect()}
+    assert len(want) > 100
+    for chunk, few in ((16, 2), (2048, 32), (7, 0)):
+        assert {(r.id, r.group_id) for r in dup.grouped(fp, dup.complete_links(fp, chunk, few)).collect()} == want
