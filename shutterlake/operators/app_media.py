@@ -57,28 +57,41 @@ APPS = ("whatsapp", "instagram", "snapchat", "linkedin", "browser", "editor", "o
 
 
 class _Row:
-    """The columns that signals look at; those that a frame lacks are null."""
+    """The columns that signals look at; those that a frame lacks are null. They are made once a row, in ``df``, under names that ``plain`` takes away again."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, typed: bool = True):
         has = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
-        self.name = F.lower(F.trim(F.coalesce("filename", F.lit(""))))
-        self.path = F.lower(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"\\", "/"))
-        self.ext = F.substring_index(self.name, ".", -1)
-        self.w, self.h, self.size = (F.coalesce(F.col(c), F.lit(0)) for c in ("width", "height", "file_size"))
         said = lambda c: F.coalesce(F.trim(has(c, "string")) != "", F.lit(False))
-        self.camera = said("make") | said("model")
-        self.film_camera = said("video_make") | said("video_model")
+        path = F.lower(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"\\", "/"))
+        w, h = (F.coalesce(F.col(c), F.lit(0)) for c in ("width", "height"))
+        own = {
+            "name": F.lower(F.trim(F.coalesce("filename", F.lit("")))), "path": path, "w": w, "h": h, "size": F.coalesce(F.col("file_size"), F.lit(0)), "camera": said("make") | said("model"),
+            "film_camera": said("video_make") | said("video_model"), "text": F.lower(F.coalesce(has("extracted_text", "string"), F.lit(""))), "software": F.lower(F.coalesce(has("software", "string"), F.lit(""))),
+        }
+        if typed:
+            own["kind"] = media_type(F.col("file_path"))["kind"]
+        self.df = made_once(df, **{f"_of_{k}": v for k, v in own.items()})
+        at = lambda k: F.col(f"_of_{k}")
+        self.name, self.path, self.w, self.h, self.size, self.camera, self.film_camera, self.text, self.software = map(at, list(own)[:9])
+        self.ext = F.substring_index(self.name, ".", -1)
         self.gps_lat, self.gps_lon = has("gps_lat", "double"), has("gps_lon", "double")
         self.any_exif = F.coalesce(has("has_exif", "boolean"), F.lit(False))
         self.exif = [F.coalesce(has(c, "double"), F.lit(0.0)) != 0 for c in ("f_number", "iso")] + [has("exposure_time", "string").isNotNull()]
-        self.text = F.lower(F.coalesce(has("extracted_text", "string"), F.lit("")))
-        self.software = F.lower(F.coalesce(has("software", "string"), F.lit("")))
         self.native_flag, self.unread = (F.coalesce(has(c, "boolean"), F.lit(False)) for c in ("os_native", "metadata_failed"))
         self.rate, self.film_w, self.film_h = (F.coalesce(has(c, "double"), F.lit(0.0)) for c in ("bit_rate", "video_width", "video_height"))
         self.sized = (self.w > 0) & (self.h > 0)
         self.longer, self.shorter = F.greatest(self.w, self.h), F.least(self.w, self.h)
-        kind = media_type(F.col("file_path"))["kind"]
-        self.picture, self.film = (F.coalesce(kind.isin(*k), F.lit(False)) for k in (("photo", "raw"), ("video", "cinema")))
+        self.picture, self.film = (F.coalesce(at("kind").isin(*k), F.lit(False)) if typed else None for k in (("photo", "raw"), ("video", "cinema")))
+        self.made = [f"_of_{k}" for k in own]
+
+    def once(self, **columns: Column) -> list[Column]:
+        """Further columns of ``df``, made once from those that it has."""
+        self.df = made_once(self.df, **{f"_of_{k}": v for k, v in columns.items()})
+        self.made += [f"_of_{k}" for k in columns]
+        return [F.col(f"_of_{k}") for k in columns]
+
+    def plain(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.made)
 
     def within(self, *folders: str) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(self.path, F.lit(x)) for x in folders])
@@ -104,11 +117,12 @@ def app_media(photos: DataFrame) -> DataFrame:
     Screenshots are kept with score 0, as they have a view of their own. Looks at filename, file_path, width, height, file_size and, where there are
     any, make, model and extracted_text.
     """
-    r = _Row(photos)
+    r = _Row(photos, typed=False)
     like, bare = r.name.rlike, ~r.camera
-    roll, raw = like(CAMERA_ROLL), r.ext.isin("dng", "raw", "cr2", "nef", "arw")
+    roll, shot = r.once(roll=like(CAMERA_ROLL), shot=screenshot_category().isNotNull())
+    raw = r.ext.isin("dng", "raw", "cr2", "nef", "arw")
     plain = bare & ~roll
-    app = _first([
+    (app,) = r.once(app=_first([
         ("whatsapp", 60, like(WHATSAPP_NAME)), ("whatsapp", 55, like(WHATSAPP_EXPORT)), ("whatsapp", 50, like(WHATSAPP_PREFIX)),
         ("whatsapp", 50, like(WHATSAPP_CODE) & bare), ("whatsapp", 50, r.within("/whatsapp/", "whatsapp images", "whatsapp video", "whatsapp stickers")),
         ("instagram", 55, like(INSTAGRAM_HASH)), ("instagram", 50, like(INSTAGRAM_PREFIX) | r.within("/instagram/", "/ig/")),
@@ -118,24 +132,22 @@ def app_media(photos: DataFrame) -> DataFrame:
         ("other-social", 50, like(TELEGRAM + r"|^received_\d+|^fb_img_\d+|^rdt_\d+|^(twitter|tw|x_export)[-_]|^(tiktok|snaptik|ssstik)")),
         ("other-social", 50, r.within("/telegram/", "/facebook/", "/messenger/", "/reddit/", "/twitter/", "/tiktok/")),
         ("other-apps", 35, plain & like(r"^[0-9a-f]{20,32}\.(jpg|png|webp|gif)|" + UUID)),
-    ])
+    ]))
     ratio = F.when(r.sized, r.longer / r.shorter)
-    banner = r.sized & plain & (ratio >= 2.4) & (r.ext != "png")
-    small = r.sized & plain & (r.longer <= 400) & (r.size < 150 * KB)
-    square = r.sized & plain & (r.w == r.h) & r.w.between(450, 1440)
-    quote = plain & F.length(r.text).between(21, 499) & r.text.rlike(QUOTES)
-    sticker = (r.ext == "webp") & ((r.sized & (r.longer <= 800)) | ((r.size > 0) & (r.size < 300 * KB)))
-    squeezed = r.sized & (r.size > 0) & plain & (r.w * r.h > 200_000) & (r.size / (r.w * r.h) < 0.18)
+    banner, small, square, quote, sticker, squeezed = r.once(
+        banner=r.sized & plain & (ratio >= 2.4) & (r.ext != "png"), small=r.sized & plain & (r.longer <= 400) & (r.size < 150 * KB), square=r.sized & plain & (r.w == r.h) & r.w.between(450, 1440),
+        quote=plain & F.length(r.text).between(21, 499) & r.text.rlike(QUOTES), sticker=(r.ext == "webp") & ((r.sized & (r.longer <= 800)) | ((r.size > 0) & (r.size < 300 * KB))),
+        squeezed=r.sized & (r.size > 0) & plain & (r.w * r.h > 200_000) & (r.size / (r.w * r.h) < 0.18),
+    )
     original = r.camera | roll | raw
     stripped = ~original & r.ext.isin("jpg", "jpeg", "png", "mov", "mp4", "webp", "m4v")
     signals = [(30, banner), (35, small), (25, square), (30, quote), (40, sticker), (15, fits(r.w, r.h, PLATFORM_SIZES)), (25, squeezed), (-60, original), (25, stripped)]
     score = _bounded(F.coalesce(app["points"], F.lit(0)) + _sum(signals))
     guess = F.when(square | quote | sticker | squeezed, "other-apps").when(banner | small, "browser").otherwise("other-apps")
     found = F.coalesce(app["category"], guess)
-    out = made_once(photos, _shot=screenshot_category().isNotNull(), _score=score, _app=found)
-    out = out.withColumns({"app_score": F.when(F.col("_shot"), 0).otherwise(F.col("_score")), "app_category": F.when(F.col("_shot"), "other-apps").otherwise(F.col("_app"))})
+    out = made_once(r.df, app_score=F.when(shot, 0).otherwise(score), app_category=F.when(shot, "other-apps").otherwise(found))
     kind = F.when(F.col("app_score") >= 60, "app-media").when(F.col("app_score") >= 35, "uncertain").otherwise("keep")
-    return out.withColumn("app_class", kind).drop("_shot", "_score", "_app")
+    return r.plain(out.withColumn("app_class", kind))
 
 
 def app_counts(classified: DataFrame) -> DataFrame:
@@ -188,8 +200,8 @@ def forwarded_media(files: DataFrame) -> DataFrame:
     category = F.when(sticker, "other-apps").otherwise(F.coalesce(placed["category"], named["category"], F.lit("other-apps")))
     category = F.when(banner & (category == "other-apps"), "browser").otherwise(category)
     category = F.when(sticker & ~sent, "other-apps").otherwise(category)
-    out = made_once(files, junk_score=score, junk_category=F.when(media, category))
-    return out.withColumn("junk_class", F.when(F.col("junk_score") >= 70, "junk").when(F.col("junk_score") >= 40, "uncertain").otherwise("keep"))
+    out = made_once(r.df, junk_score=score, junk_category=F.when(media, category))
+    return r.plain(out.withColumn("junk_class", F.when(F.col("junk_score") >= 70, "junk").when(F.col("junk_score") >= 40, "uncertain").otherwise("keep")))
 
 
 def screenshot_score(files: DataFrame) -> DataFrame:
@@ -209,5 +221,5 @@ def screenshot_score(files: DataFrame) -> DataFrame:
     picture = [(30, read & png & r.software.rlike(SHOT_TOOLS)), (20, read & png & untouched), (15, fits(r.w, r.h, DISPLAY_SIZES))]
     score = _sum([(40, named), (-50, camera)]) + F.when(r.picture, _sum(picture)).otherwise(0)
     score = F.when(~(r.picture | r.film), 0).when(r.native_flag, 100).when(exact & ~camera, 100).otherwise(score)
-    out, score = made_once(files, shot_score=score), F.col("shot_score")
-    return out.withColumn("shot_class", F.when(score >= 60, "screenshot").when(score >= 30, "uncertain").otherwise("photo"))
+    out, score = made_once(r.df, shot_score=score), F.col("shot_score")
+    return r.plain(out.withColumn("shot_class", F.when(score >= 60, "screenshot").when(score >= 30, "uncertain").otherwise("photo")))

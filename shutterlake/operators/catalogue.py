@@ -28,18 +28,27 @@ class PhotoFilter:
     offset: int = 0
 
 
-def search_ids(photos: DataFrame, exif: DataFrame, photo_people: DataFrame, people: DataFrame, text: str) -> DataFrame:
-    """Ids of photos whose text fields, camera or people hold ``text`` in any case. A union of ids keeps every join an equi-join."""
+def date_groups(photos: DataFrame) -> DataFrame:
+    """``(day, id, rank)``: every photo with its place, from 1, among those of its day. Rows, not lists, so a day may hold any number."""
+    day = F.coalesce(F.to_date("created_at").cast("string"), F.lit("Unknown Date"))
+    rows = photos.select(day.alias("day"), "id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy("id")).cast("long"))
+
+
+def search_ids(photos: DataFrame, exif: DataFrame, photo_people: DataFrame | None, people: DataFrame | None, text: str) -> DataFrame:
+    """Ids of photos whose text fields, camera or people, where given, hold ``text`` in any case. A union of ids keeps every join an equi-join."""
     like = lambda *names: [F.col(c).ilike(f"%{text}%") for c in names]
     any_of = lambda cs: F.coalesce(*[F.when(c, True) for c in cs], F.lit(False))
     own = photos.filter(any_of(like("filename", "description", "location_name", "extracted_text"))).select("id")
     camera = exif.filter(any_of(like("make", "model"))).select(F.col("photo_id").alias("id"))
+    if photo_people is None or people is None:
+        return own.union(camera).distinct()
     named = photo_people.join(people.filter(F.col("name").ilike(f"%{text}%")).select(F.col("id").alias("person_id")), "person_id", "left_semi").select(F.col("photo_id").alias("id"))
     return own.union(camera).union(named).distinct()
 
 
-def filtered_photos(photos: DataFrame, exif: DataFrame, want: PhotoFilter, matching: DataFrame | None = None) -> DataFrame:
-    """Photos with their camera data, newest first, ties by larger id. ``matching(id)``: photos that a search or album allows."""
+def filtered_photos(photos: DataFrame, exif: DataFrame, want: PhotoFilter, matching: DataFrame | None = None, photo_people: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """Photos with their camera data, newest first, ties by larger id. ``matching(id)``: photos that an album allows. ``want.search`` is that of ``search_ids``."""
     trashed = bool(want.trashed)
     cond = (F.col("is_locked") == bool(want.locked)) & (F.col("is_trashed") == trashed)
     if want.archived is not None or not trashed:
@@ -49,6 +58,8 @@ def filtered_photos(photos: DataFrame, exif: DataFrame, want: PhotoFilter, match
     if want.folder:
         cond &= F.col("source_folder_path") == want.folder
     out = photos.filter(cond)
+    if want.search:
+        out = out.join(search_ids(photos, exif, photo_people, people, want.search), "id", "left_semi")
     if matching is not None:
         out = out.join(matching, "id", "left_semi")
     out = out.join(exif, out.id == exif.photo_id, "left").drop("photo_id").orderBy(F.desc("created_at"), F.desc("id"))

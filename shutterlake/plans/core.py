@@ -115,10 +115,9 @@ def _(c):
         n(~F.col("faces_scanned"), "unscanned_faces"), n(F.col("extracted_text").isin("", "ERROR") & ~op.is_video(), "unscanned_text"))
 
 
-@query("a19_date_groups", "SELECT CAST(created_at AS DATE)::VARCHAR AS day, list(id ORDER BY id)::VARCHAR AS ids FROM {photos} GROUP BY 1")
+@query("a19_date_groups", "SELECT CAST(created_at AS DATE)::VARCHAR AS day, id, row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY id) AS rank FROM {photos}")
 def _(c):
-    grouped = c.photos.groupBy(F.coalesce(F.to_date("created_at").cast("string"), F.lit("Unknown Date")).alias("day")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.select("day", F.concat(F.lit("["), F.array_join("ids", ", "), F.lit("]")).alias("ids"))
+    return op.date_groups(c.photos)
 
 
 @query("a20_person_span", "SELECT person_id, CAST(min(year(created_at)) AS VARCHAR) || '-' || CAST(max(year(created_at)) AS VARCHAR) AS span, count(*) AS n FROM {photo_people} b JOIN {photos} p ON p.id = b.photo_id GROUP BY 1")
@@ -159,6 +158,11 @@ def _(c):
     return op.filtered_photos(c.photos, c.exif, op.PhotoFilter()).select("id", "filename", "created_at", "make", "gps_lat")
 
 
+@query("f1_photos_searched", "SELECT p.id, e.make FROM {photos} p LEFT JOIN {exif} e ON e.photo_id = p.id WHERE NOT is_locked AND NOT is_trashed AND NOT is_archived AND (filename ILIKE '%scan%' OR description ILIKE '%scan%' OR location_name ILIKE '%scan%' OR extracted_text ILIKE '%scan%' OR model ILIKE '%scan%' OR make ILIKE '%scan%' OR EXISTS (SELECT 1 FROM {photo_people} b JOIN {people} x ON x.id = b.person_id WHERE b.photo_id = p.id AND x.name ILIKE '%scan%'))")
+def _(c):
+    return op.filtered_photos(c.photos, c.exif, op.PhotoFilter(search="scan"), photo_people=c.photo_people, people=c.people).select("id", "make")
+
+
 @query("f1_favorites_in_trash", "SELECT p.id, e.model FROM {photos} p LEFT JOIN {exif} e ON e.photo_id = p.id WHERE NOT is_locked AND is_trashed AND is_favorite")
 def _(c):
     return op.filtered_photos(c.photos, c.exif, op.PhotoFilter(trashed=True, favorite=True)).select("id", "model")
@@ -303,15 +307,14 @@ def _(c):
     return op.later_copies(c.photos, "perceptual_hash").select("id")
 
 
-@query("w7_album_positions", """WITH m AS (SELECT album_id, max(position) AS m FROM {album_photos} WHERE position <= 3 GROUP BY 1), a AS (SELECT album_id, photo_id FROM {album_photos} WHERE position BETWEEN 3 AND 6)
-SELECT a.album_id, a.photo_id, m.m + row_number() OVER (PARTITION BY a.album_id ORDER BY a.photo_id) AS position FROM a JOIN m USING (album_id) WHERE NOT EXISTS (SELECT 1 FROM {album_photos} o WHERE o.position <= 3 AND o.album_id = a.album_id AND o.photo_id = a.photo_id)""")
+@query("w7_album_positions", """WITH a AS (SELECT DISTINCT tag_id % 25 AS album_id, photo_id FROM {photo_tags}), m AS (SELECT album_id, max(position) AS top FROM {album_photos} GROUP BY 1)
+SELECT a.album_id, a.photo_id, m.top + row_number() OVER (PARTITION BY a.album_id ORDER BY a.photo_id) AS position FROM a JOIN m USING (album_id) WHERE NOT EXISTS (SELECT 1 FROM {album_photos} o WHERE o.album_id = a.album_id AND o.photo_id = a.photo_id)""")
 def _(c):
     from pyspark.sql import Window
 
-    old = c.album_photos.filter("position <= 3")
-    new = c.album_photos.filter("position between 3 and 6").select("album_id", "photo_id").join(old, ["album_id", "photo_id"], "left_anti")
-    top = old.groupBy("album_id").agg(F.max("position").alias("top"))
-    return new.join(top, "album_id").select("album_id", "photo_id", (F.col("top") + F.row_number().over(Window.partitionBy("album_id").orderBy("photo_id"))).alias("position"))
+    added = c.photo_tags.select((F.col("tag_id") % 25).alias("album_id"), "photo_id").distinct().join(c.album_photos, ["album_id", "photo_id"], "left_anti")
+    top = c.album_photos.groupBy("album_id").agg(F.max("position").alias("top"))
+    return added.join(top, "album_id").select("album_id", "photo_id", (F.col("top") + F.row_number().over(Window.partitionBy("album_id").orderBy("photo_id"))).alias("position"))
 
 
 @query("w8_samples_per_person", "SELECT person_id, photo_id, rank FROM (SELECT person_id, photo_id, row_number() OVER (PARTITION BY person_id ORDER BY created_at DESC, photo_id DESC) AS rank FROM {photo_people} b JOIN {photos} p ON p.id = b.photo_id) WHERE rank <= 3")

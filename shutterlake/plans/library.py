@@ -138,17 +138,40 @@ def terms(*words: str) -> str:
     return "(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")"
 
 
-@query("c6_text_density", rf"""WITH {LOW}, m AS (SELECT *, {terms('dob', 'yob', 'date of birth', 'year of birth', 'male', 'female', 'enrolment', 'address', 'govt of india', 'government of india')} AS meta, len(regexp_extract_all(t, '\S+')) AS words,
-  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-zA-Z]'))) AS n_lines FROM low)
-SELECT doc_id, CAST(CASE WHEN regexp_matches(low, 'aadhaar|aadhar|adhar|adhaar|aadaar|aadar|andnaar|andhaar|andahar|andhar|uidai|uidal|uida1|ulda|unique identification|identity card') OR meta >= 2
-    OR (regexp_matches(t, '\b[0-9]{{4}}[-\s]?[0-9]{{4}}[-\s]?[0-9]{{4}}\b') AND (meta >= 1 OR regexp_matches(low, 'india|govt'))) OR regexp_matches(t, '\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\b')
-    OR regexp_matches(low, '\b(income tax department|permanent account number|govt of india|republic of india|passport|type p|election commission|elector|voter id|epic|driving licence|driver licence|driving license|dl no)\b') THEN 100
+def any_of(patterns) -> str:
+    return "|".join(patterns).replace("\\d", "[0-9]")
+
+
+LOOKS = rf"""{LOW}, m AS (SELECT *, {terms(*classify.IDENTITY_TERMS)} AS meta, len(regexp_extract_all(t, '\S+')) AS words,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-zA-Z]'))) AS n_lines FROM low),
+i AS (SELECT *, regexp_matches(low, '{any_of(classify.AADHAAR_WORDS)}') OR meta >= 2 OR (regexp_matches(t, '{any_of([classify.AADHAAR_NUMBER])}') AND (meta >= 1 OR regexp_matches(low, 'india|govt')))
+  OR regexp_matches(t, '{any_of([classify.PAN_NUMBER])}') OR regexp_matches(low, '{any_of(classify.IDENTITY_PHRASES)}') AS identity FROM m),
+scored AS (SELECT *, CAST(CASE WHEN identity THEN 100
   ELSE least(20, CASE WHEN words > 50 THEN 10 WHEN words >= 10 THEN 5 ELSE 0 END + CASE WHEN words >= 5 THEN 5 ELSE 0 END) + least(20, least(10, 5 * len(regexp_extract_all(t, '[A-Za-z]+:'))) + CASE WHEN n_lines > 3 THEN 10 ELSE 0 END)
-    + least(20, 5 * {terms('invoice', 'receipt', 'tax', 'hospital', 'bank', 'statement', 'government', 'certificate', 'signature', 'authorized', 'department', 'registration', 'total')})
-    + least(40, 10 * (regexp_matches(t, '\b[0-9]{{2}}[/.-][0-9]{{2}}[/.-][0-9]{{4}}\b')::INT + regexp_matches(t, '[$₹€£]\s?[0-9]+')::INT + regexp_matches(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}\b')::INT + regexp_matches(t, '\b[0-9]{{10}}\b')::INT))
-    - 30 * {terms('http://', 'https://', 'www.', 'subscribe', 'like', 'comment', 'share', 'follow us')} END AS INTEGER) AS score FROM m""")
+    + least(20, 5 * {terms(*classify.DOCUMENT_KEYWORDS)}) + least(40, 10 * ({" + ".join(f"regexp_matches(t, '{any_of([x])}')::INT" for x in classify.DOCUMENT_PATTERNS)}))
+    - 30 * {terms(*classify.JUNK_WORDS)} END AS INTEGER) AS score FROM i)"""
+
+
+@query("c6_text_density", f"WITH {LOOKS} SELECT doc_id, coalesce(score, 0) AS score FROM scored")
+def _(c):
+    return c.documents.select("doc_id", F.coalesce(classify.text_density_score(F.expr(TEXT)), F.lit(0)).alias("score"))
+
+
+#: Rules derived from the benchmark: an item's words are a rule's keywords, its first letters a pattern.
+RULES = "SELECT item_id AS id, 'class ' || CAST(item_id % 7 AS VARCHAR(9)) AS category, {words} AS keywords, CASE WHEN item_id % 2 = 0 THEN 'tot.l:? [0-9]+' ELSE '' END AS regex FROM benchmark"
+
+
+@query("c6_text_categories", f"""WITH {LOOKS}, rules AS ({RULES.format(words="list_distinct(string_split(lower(text), ' '))")}),
+p AS (SELECT doc_id, id, category, 2 * len(list_filter(list_filter(list_transform(keywords, lambda k: trim(k)), lambda k: len(k) >= 3 AND NOT list_contains({list(classify.STOP_WORDS)}, k)), lambda k: contains(low, k))) + CASE WHEN regex <> '' AND regexp_matches(t, '(?i)' || regex) THEN 5 ELSE 0 END AS points
+  FROM scored, rules WHERE score >= {classify.DOCUMENT_SCORE} AND NOT identity),
+b AS (SELECT doc_id, category FROM p WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, id) = 1)
+SELECT doc_id, coalesce(score, 0) AS score, CASE WHEN identity THEN '{classify.IDENTITY_CATEGORY}' WHEN score >= {classify.DOCUMENT_SCORE} THEN coalesce(b.category, '{classify.OTHER_CATEGORY}') END AS category FROM scored LEFT JOIN b USING (doc_id)""")
 def _(c):
-    return c.documents.select("doc_id", classify.text_density_score(F.expr(TEXT)).alias("score"))
+    rules = c.benchmark.select(
+        F.col("item_id").alias("id"), F.concat(F.lit("class "), (F.col("item_id") % 7).cast("string")).alias("category"), F.array_distinct(F.split(F.lower("text"), " ")).alias("keywords"),
+        F.when(F.col("item_id") % 2 == 0, "tot.l:? [0-9]+").otherwise("").alias("regex"))
+    docs = c.documents.select("doc_id", F.expr(TEXT).alias("text"))
+    return classify.text_categories(docs, rules).drop("text")
 
 
 @query("s2_media_types", "SELECT file_path AS path, regexp_extract(lower(file_path), '[.]([^./]*)$', 1) AS ext, CASE regexp_extract(lower(file_path), '[.]([^./]*)$', 1) WHEN 'nef' THEN 'raw' WHEN 'mp4' THEN 'video' WHEN 'pdf' THEN 'document' ELSE 'photo' END AS kind, CASE WHEN lower(file_path) LIKE '%.jpg' OR lower(file_path) LIKE '%.jpeg' THEN 'image/jpeg' ELSE mime_type END AS mime FROM {photos}")

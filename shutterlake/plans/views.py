@@ -23,7 +23,7 @@ SELECT id, base, filename, folder || '/' || filename AS file_path, folder AS sou
   CASE WHEN id % 19 = 0 THEN '' WHEN id % 19 = 1 THEN md5('p' || CAST(base AS VARCHAR(20))) WHEN id % 19 = 2 THEN repeat('0', 64) ELSE md5('p' || CAST(base AS VARCHAR(20))) || md5('q' || CAST(base AS VARCHAR(20))) END AS perceptual_hash,
   CASE WHEN id % 17 = 0 THEN 'description of ' || CAST(id AS VARCHAR(20)) END AS description,
   CASE WHEN c % 4 = 0 THEN 'Agra' WHEN c % 4 = 1 THEN 'Unknown Location' WHEN c % 4 = 2 THEN '' END AS location_name,
-  kind = 5 AS is_document, CASE WHEN kind = 5 THEN CASE WHEN id % 2 = 0 THEN 'Invoices' ELSE 'Receipts' END END AS document_category,
+  kind = 5 AS is_document, CASE WHEN kind = 5 THEN CASE WHEN id % 24 < 12 THEN 'Invoices' ELSE 'Receipts' END END AS document_category,
   CASE WHEN kind = 5 THEN 'invoice number ' || CAST(id AS VARCHAR(20)) WHEN id % 6 = 0 THEN 'ERROR' ELSE '' END AS extracted_text
 FROM (
   SELECT id, c, price, kind, base, created_at, '/lib/c' || CAST(c % 20 AS VARCHAR(20)) AS folder,
@@ -94,7 +94,7 @@ UNION ALL SELECT source_folder_path || '/new_' || CAST(id AS VARCHAR(20)) || CAS
 UNION ALL SELECT source_folder_path || '/notes_' || CAST(id AS VARCHAR(20)) || '.zip', file_size FROM {photos} WHERE id % 50 = 0""",
     "faces": "SELECT vec_id AS id, vec_id AS photo_id, CAST(label AS BIGINT) AS person_id, embedding AS descriptor FROM {embeddings}",
 }
-TABLES = ("orders", "lineitem", "customer", "supplier", "part", "nation", "events", "embeddings", "documents", "labels")
+TABLES = ("orders", "lineitem", "customer", "supplier", "part", "nation", "events", "embeddings", "documents", "labels", "benchmark")
 
 
 class Catalog:
