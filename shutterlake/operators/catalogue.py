@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.operators.once import made_once
 from shutterlake.session import cut
 from shutterlake.sources.media import media_type
 
@@ -143,8 +144,8 @@ def cleanup_stats(photos: DataFrame) -> DataFrame:
     live, size = photos.filter(~F.col("is_trashed")), F.coalesce("file_size", F.lit(0))
     film = F.coalesce(media_type(F.col("file_path"))["kind"].isin("video", "cinema"), F.lit(False))
     large = (size >= 25 * MB) | (film & (size >= 15 * MB))
-    marked = app_media(live).select(size.alias("size"), F.array_compact(F.array(
-        F.when(large, "large"), F.when(F.col("app_class") != "keep", "app_media"), F.when(screenshot_category().isNotNull(), "screenshots"),
+    marked = made_once(app_media(live), _large=large, _shot=screenshot_category().isNotNull()).select(size.alias("size"), F.array_compact(F.array(
+        F.when(F.col("_large"), "large"), F.when(F.col("app_class") != "keep", "app_media"), F.when(F.col("_shot"), "screenshots"),
     )).alias("kinds"))
     sums = marked.select("size", F.explode("kinds").alias("category")).groupBy("category").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
     copies = quick_duplicates(photos).select(F.lit("duplicates").alias("category"), F.col("n_redundant").alias("n"), F.col("freed").alias("n_bytes"))

@@ -1,6 +1,6 @@
 """Documents among pictures: candidates, classes of their text by signatures and rules, and what a scan writes back.
 
-Rules are few and bounded, so they travel inside the expression; a text is classified within its row, without joins or shuffles.
+Signatures are expressions within a row. Rules are a table: texts meet them by their words and what is left of these without a character, in equi-joins.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.scalars import fuzzy_includes, fuzzy_words
 from shutterlake.operators.classify import social_signals
 from shutterlake.operators.once import made_once
+from shutterlake.session import cut, written
 from shutterlake.sources.media import media_type
 
 #: Scores from which a text is a document, and sharpness below which a picture is blurred.
@@ -124,33 +125,89 @@ def identity_signature(text: Column, quality: Column, low: Column, words: Column
     return F.when(F.size(social_signals(text)) == 0, F.coalesce(*cases))
 
 
-def best_rule(text: Column, rules: Sequence[Rule], low: Column, words: Column) -> Column:
-    """``struct(type, category, points)`` of the rule with most points, the earlier of equals; null if none has a required word, or the text fewer than three words.
+#: Characters from which on a keyword may differ by an edit, and up to which it may even where it counts as a weak word.
+FUZZY, WEAK_FUZZY = 5, 7
+#: Rules that may be sent to where the texts are.
+MOST_RULES = 10_000
 
-    Points: 35, 30 for the pattern, 15 for each strong and 5 for each weak word. Words may be misread by a letter or two (``fuzzy_includes``).
-    ``low`` and ``words`` are those of ``read_words``.
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules as rows: ``at`` (their order), name, category, required, strong, weak, negative and regex."""
+    if isinstance(rules, DataFrame):
+        return rules
+    rows = [(at, r.name, r.category, *map(list, (r.required, r.strong, r.weak, r.negative)), r.regex) for at, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "at int, name string, category string, required array<string>, strong array<string>, weak array<string>, negative array<string>, regex string")
+
+
+def _shortened(word: Column) -> Column:
+    """A word and what is left of it without one of its characters. Two words of one edit or less share one of these."""
+    cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), cuts))
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(_row, keyword, near)``: the ``keywords(keyword)`` that ``texts(_row, _low, _words)`` hold as they are, and, ``near``, those that they hold up to one edit.
+
+    Under three characters a keyword must stand as a word, else anywhere. From ``FUZZY`` characters on a word, or a run of as many words as it has, may
+    differ by an edit: both sides are looked up by what is left of them without a character, an equi-join whatever the number of keywords.
+    """
+    parts = F.size(F.split("keyword", " "))
+    n, widest, longest = keywords.agg(F.count("*"), F.coalesce(F.max(parts), F.lit(1)), F.coalesce(F.max(F.length("keyword")), F.lit(0))).first()
+    if n > 100 * MOST_RULES:
+        raise ValueError("keywords are sent to where the texts are; there are too many of them")
+    ends = F.when(parts > 1, F.array(F.element_at(F.split("keyword", " "), 1), F.element_at(F.split("keyword", " "), -1))).otherwise(F.array().cast("array<string>"))
+    every = keywords.agg(F.collect_set("keyword").alias("_keywords"), F.array_distinct(F.flatten(F.collect_set(ends))).alias("_ends"))
+    both = texts.select("_row", "_low", "_words").crossJoin(F.broadcast(every))  # one row
+    stands = lambda k: F.when(F.length(k) < 3, F.rlike(F.col("_low"), F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\b")))).otherwise(F.contains(F.col("_low"), k))
+    exact = both.select("_row", F.explode(F.filter("_keywords", stands)).alias("keyword"), F.lit(False).alias("near"))
+    # an edit touches one word of a run, so the first or the last is as in the keyword
+    word = lambda i: F.element_at("_words", i.cast("int"))
+    kept = lambda p: F.filter(F.sequence(F.lit(1), F.size("_words") - (p - 1)), lambda i: F.array_contains("_ends", word(i)) | F.array_contains("_ends", word(i + (p - 1))))
+    of = lambda p: F.transform(kept(p), lambda i: F.struct(F.lit(p).alias("of"), F.array_join(F.slice("_words", i, p), " ").alias("run")))
+    none = F.array().cast("array<struct<of:int,run:string>>")
+    runs = F.concat(F.transform("_words", lambda w: F.struct(F.lit(1).alias("of"), w.alias("run"))), *[F.when(F.size("_words") >= p, of(p)).otherwise(none) for p in range(2, widest + 1)])
+    fits = lambda x: F.length(x["run"]).between(FUZZY - 1, longest + 1)
+    read = both.select("_row", F.explode(F.array_distinct(F.filter(runs, fits))).alias("x")).select("_row", "x.of", "x.run")
+    known = keywords.filter(F.length("keyword") >= FUZZY).select("keyword", parts.alias("parts"), F.explode(_shortened(F.col("keyword"))).alias("left"))
+    # each word of the collection is looked up once
+    looked = read.select("of", "run").distinct().select("of", "run", F.explode(_shortened(F.col("run"))).alias("left")).join(F.broadcast(known), "left")
+    looked = looked.filter(((F.col("of") == 1) | (F.col("of") == F.col("parts"))) & F.levenshtein("run", "keyword", 1).between(0, 1)).select("of", "run", "keyword").distinct()
+    return exact.unionByName(read.join(looked, ["of", "run"]).select("_row", "keyword", F.lit(True).alias("near")).distinct())
+
+
+def with_best_rule(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str) -> DataFrame:
+    """``read_words`` of ``docs`` with ``_rule``: ``struct(type, category, points)`` of the rule with most points, the earlier of equals; null if none has a required word, or the text fewer than three words.
+
+    Points: 35, 30 for the pattern, 15 for each strong and 5 for each weak word. Words may be misread by a letter (``keyword_hits``). Rules are rows,
+    and meet the texts by their keywords: the plan is the same for any number of them.
     """
-    scored = []
-    for at, r in enumerate(rules):
-        fuzzy = lambda ks, n: [fuzzy_includes(low, words, F.lit(k.lower()), n) for k in ks if k]
-        needed, banned = fuzzy(r.required, 1), [F.contains(low, F.lit(k.lower())) for k in r.negative if len(k) >= 3]
-        fits = _any(needed) & ~_any(banned) if banned else _any(needed)
-        pattern = F.when(text.rlike("(?i)" + r.regex), 30).otherwise(0) if len(r.regex) >= 4 else F.lit(0)
-        points = sum((F.when(c, 15).otherwise(0) for c in fuzzy(r.strong, 1)), pattern + 35)
-        points = sum((F.when(c, 5).otherwise(0) for c in fuzzy(r.weak, 0)), points)
-        scored.append(F.when(fits, F.struct(points.alias("points"), F.lit(-at).alias("order"), F.lit(r.name).alias("type"), F.lit(r.category).alias("category"))))
-    best = F.array_max(F.array_compact(F.array(*scored)))
-    enough = F.regexp_count(text, F.lit(r"\S+")) >= 3
-    return F.when(enough & best.isNotNull(), F.struct(best["type"].alias("type"), best["category"].alias("category"), best["points"].alias("points")))
-
-
-def classify_text(docs: DataFrame, rules: Sequence[Rule], text: str = "text", quality: Column | None = None) -> DataFrame:
+    spark = docs.sparkSession
+    table = cut(rule_table(spark, rules))
+    if table.count() > MOST_RULES:
+        raise ValueError("rules are sent to where the texts are; there are too many of them")
+    texts = written(read_words(docs, text).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    each = [table.select("at", F.lit(role).alias("role"), F.posexplode(role).alias("no", "keyword")) for role in ("required", "strong", "weak", "negative")]
+    terms = cut(reduce(DataFrame.unionByName, each).withColumn("keyword", F.lower("keyword")).filter(F.length("keyword") > F.when(F.col("role") == "negative", 2).otherwise(0)))
+    hits = keyword_hits(texts, terms.select("keyword").distinct())
+    counts = ~F.col("near") | F.col("role").isin("required", "strong") | ((F.col("role") == "weak") & (F.length("keyword") <= WEAK_FUZZY))
+    found = hits.join(F.broadcast(terms), "keyword").filter(counts).select("_row", "at", "role", "no").distinct()
+    n = lambda role: F.count_if(F.col("role") == role).alias(role)
+    fit = found.groupBy("_row", "at").agg(*map(n, ("required", "strong", "weak", "negative"))).filter("required > 0 and negative = 0")
+    fit = fit.join(F.broadcast(table.select("at", "name", "category", "regex")), "at").join(texts.select("_row", F.coalesce(text, F.lit("")).alias("_read")), "_row")
+    pattern = F.when((F.length("regex") >= 4) & F.regexp_like("_read", F.concat(F.lit("(?i)"), "regex")), 30).otherwise(0)
+    points = (pattern + 35 + 15 * F.col("strong") + 5 * F.col("weak")).cast("int")
+    enough = fit.filter(F.regexp_count("_read", F.lit(r"\S+")) >= 3).select("_row", "at", F.struct(F.col("name").alias("type"), "category", points.alias("points")).alias("rule"))
+    best = enough.groupBy("_row").agg(F.max_by("rule", F.struct("rule.points", -F.col("at"))).alias("_rule"))
+    return texts.join(best, "_row", "left").drop("_row")
+
+
+def classify_text(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str = "text", quality: Column | None = None) -> DataFrame:
     """``docs`` with ``is_document``, ``doc_type``, ``doc_category`` and ``confidence``: social posts never, signatures first, then rules with at least 40 points."""
     t, low, words = F.coalesce(F.col(text), F.lit("")), F.col("_low"), F.col("_words")
     quality = F.lit(85) if quality is None else quality
     dated = F.when(t.rlike(r"\b\d{2}[/.-]\d{2}[/.-]\d{4}\b"), 10).otherwise(0)
     money = F.when(t.rlike(r"[$₹€£]\s?\d+") | low.rlike(r"\b(total|amount|subtotal|balance)\s*:?\s*\d+"), 10).otherwise(0)
-    named = made_once(read_words(docs, text), _own=identity_signature(t, quality, low, words), _rule=best_rule(t, rules, low, words), _social=F.size(social_signals(t)) > 0)
+    named = made_once(with_best_rule(docs, rules, text), _own=identity_signature(t, quality, low, words), _social=F.size(social_signals(t)) > 0)
     named = named.withColumn("_ruled", F.when(F.col("_rule").isNotNull(), F.least(F.lit(100), F.col("_rule.points") + dated + money)))
     found = lambda x, points: F.struct(F.col(f"{x}.type").alias("type"), F.col(f"{x}.category").alias("category"), points.alias("confidence"))
     both = F.when(F.col("_social"), F.lit(None)).when(F.col("_own").isNotNull(), found("_own", F.col("_own.confidence"))).when(F.col("_ruled") >= DOCUMENT_SCORE, found("_rule", F.col("_ruled")))
@@ -166,7 +223,7 @@ def readable(text: Column) -> Column:
     return F.coalesce((F.length(text) > 5) & ~text.isin("NONE", "ERROR"), F.lit(False))
 
 
-def reclassified(photos: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def reclassified(photos: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
     """``photos`` with is_document and document_category anew for those with a stored text, and ``change``: kept, cleared, or null where nothing was stored or lost."""
     out = classify_text(photos.withColumn("_was", F.coalesce("is_document", F.lit(False))), rules, "extracted_text")
     done, found = readable(F.col("extracted_text")), F.col("is_document")
@@ -190,7 +247,7 @@ def document_candidate(photos: DataFrame) -> Column:
     return ~film & (told | readable(F.col("extracted_text")) | F.coalesce((sat <= 0.55) & (paper | lines | card | plain), F.lit(False)))
 
 
-def scanned_documents(photos: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def scanned_documents(photos: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
     """``photos`` as a document scan leaves them: those that aren't candidates have the text NONE and no class, candidates the class of their text, NONE if they have none."""
     candidate, failed = document_candidate(photos), F.col("extracted_text") == "ERROR"
     out = classify_text(photos.withColumn("_candidate", candidate), rules, "extracted_text")

@@ -148,8 +148,8 @@ def _(c):
 
 @query("c4_taxonomy", f"WITH {DOCS}, {TEXTS}, {RULED} SELECT id, rtype AS type, rcat AS category, CAST(best AS INTEGER) AS points FROM bn JOIN rules ON rules.which = bn.which")
 def _(c):
-    found = documents.best_rule(F.col("text"), RULES, F.col("_low"), F.col("_words"))
-    return documents.read_words(said(c), "text").select("id", found.alias("x")).filter("x is not null").select("id", "x.type", "x.category", "x.points")
+    found = documents.with_best_rule(said(c), RULES, "text")
+    return found.filter("_rule is not null").select("id", "_rule.type", "_rule.category", "_rule.points")
 
 
 @query("c5_classify_text", f"WITH {DOCS}, {TEXTS}, {CLASSED} SELECT id, ctype IS NOT NULL AS is_document, coalesce(ctype, 'not_a_document') AS doc_type, ccat AS doc_category, CAST(conf AS INTEGER) AS confidence FROM cl")

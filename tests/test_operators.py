@@ -310,3 +310,60 @@ def test_complete_groups_are_those_of_all_pairs(spark):
     assert len(want) > 100
     for chunk, few in ((16, 2), (2048, 32), (7, 0)):
         assert {(r.id, r.group_id) for r in dup.grouped(fp, dup.complete_links(fp, chunk, few)).collect()} == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def holds(low, keyword, most):
+    import re
+
+    words = [w for w in re.split(r"""[\s,.:;!?'"()\[\]{}/\-_]+""", low) if len(w) >= 3]
+    n, parts = len(keyword), len(keyword.split(" "))
+    if n < 3:
+        return bool(re.search(r"\b" + re.escape(keyword) + r"\b", low))
+    allowed = min(2, most) if n >= 8 else 1 if n >= 5 else 0
+    runs = words + [" ".join(words[i : i + parts]) for i in range(len(words) - parts + 1)]
+    return keyword in low or bool(allowed and any(abs(len(r) - n) <= allowed and edits(r, keyword) <= allowed for r in runs))
+
+
+def test_many_rules_are_rows_and_match_brute_force(spark):
+    import re
+
+    import numpy as np
+
+    from shutterlake.operators import documents
+
+    rng = np.random.default_rng(3)
+    pool = [f"{a}{b}{c}" for a in ("bill", "tax", "in", "pay") for b in ("voice", "ment", "order") for c in ("", "s", "ed")] + ["no", "id", "gst", "water bill", "tax order form"]
+    pick = lambda n: tuple(str(x) for x in rng.choice(pool, n))
+    rules = [documents.Rule(i, f"rule {i}", f"c{i % 9}", pick(2), pick(3), pick(3), pick(i % 3), r"\b[0-9]{4}\b" if i % 4 == 0 else "") for i in range(165)]
+    texts = [None, "", "two words"]
+    for i in range(60):
+        own = [str(x) for x in rng.choice(pool + ["lorem", "ipsum", "1234"], rng.integers(2, 14))]
+        k = int(rng.integers(len(own)))
+        w = own[k]
+        at = int(rng.integers(len(w)))
+        own[k] = (w[:at] + w[at + 1 :], w[:at] + "q" + w[at:], w[:at] + "q" + w[at + 1 :], w.upper())[i % 4]
+        texts.append((" ", ", ", "\n")[i % 3].join(own))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, keyword string").repartition(3)
+    got = {r.id: r._rule and tuple(r._rule) for r in documents.with_best_rule(df, rules, "text").collect()}
+    for i, t in enumerate(texts):
+        low, best = (t or "").lower(), None
+        for r in rules:
+            if len((t or "").split()) >= 3 and any(holds(low, k, 1) for k in r.required) and not any(k in low for k in r.negative if len(k) >= 3):
+                points = 35 + 30 * bool(r.regex and re.search(r.regex, t)) + 15 * sum(holds(low, k, 1) for k in r.strong) + 5 * sum(holds(low, k, 0) for k in r.weak)
+                if best is None or points > best[2]:
+                    best = (r.name, r.category, points)
+        assert got[i] == best, t
+
+    def size(n):
+        return len(documents.with_best_rule(df, rules[:n], "text")._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(size(60) - size(165)) < 0.1 * size(60)
