@@ -1,7 +1,6 @@
 """The pipeline against plain Python over the same rules, on a small folder of tables."""
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -10,11 +9,9 @@ from shutterlake.llm.bpe import unpacked, vocabulary_path
 from shutterlake.llm.queries import ORACLES, QUERIES
 
 
-def prints(text):
+def shingles(text):
     words = text.encode().lower().split()
-    n = max(1, len(words) - 4)
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(n)] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_run_matches_plain_python(spark, tmp_path):
@@ -26,6 +23,10 @@ def test_run_matches_plain_python(spark, tmp_path):
         rows.append((i, " ".join(f"{rng.choice(vocabulary[lang])}{rng.integers(0, 30)}" for _ in range(rng.integers(8, 80))), lang, f"s{i % 4}", 1))
     rows += [(200 + i, rows[i][1], "en", "s0", 1) for i in range(10)]
     rows += [(300, None, "en", "s1", 0), (301, "12 34", "en", "s1", 5), (302, "", None, None, 0), (303, rows[3][1] + " x", "fr", None, 1)]
+    for i in range(20):  # one word of a text is another: near copies by Jaccard if the text is long, though over 3 bits apart
+        words = rows[i][1].split()
+        words[int(rng.integers(len(words)))] = "other"
+        rows.append((400 + i, " ".join(words), "en", "s2", 1))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).withColumn("tokens", unpacked(F.col("ids"))).collect()
 
@@ -35,9 +36,10 @@ def test_run_matches_plain_python(spark, tmp_path):
         last[r[1]] = max(r, last.get(r[1], r), key=lambda x: x[0])
     kept, groups = sorted(last.values()), []
     for r in kept:  # chains of links make one group
-        p = prints(r[1])
-        near = [g for g in groups if any((p ^ q).bit_count() <= 3 for q, _ in g)]
+        p = shingles(r[1])
+        near = [g for g in groups if any(5 * len(p & q) >= 4 * len(p | q) for q, _ in g)]
         groups = [g for g in groups if g not in near] + [[(p, r), *[x for g in near for x in g]]]
+    assert sum(len(g) > 1 for g in groups) > 5
     firsts = {min(r[0] for _, r in g) for g in groups}
     texts = {r[0]: r[1] for r in kept if r[0] in firsts}
     tok = Tokenizer.from_file(vocabulary_path())
@@ -56,4 +58,4 @@ def test_stages_keep_the_columns_and_survive_empty_input(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
