@@ -81,23 +81,43 @@ def clustered_faces(faces: DataFrame, threshold: float = 0.48) -> DataFrame:
     return faces.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
+def _means(faces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, mean)``: mean distance between the faces of each of ``pairs(a, b)`` of people, whose faces meet in chunks of bounded size."""
+    sizes = faces.groupBy("person_id").agg(F.ceil(F.count("*") / ROWS).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    own = faces.join(sizes, "person_id").groupBy("person_id", chunk.alias("chunk")).agg(F.collect_list("descriptor").alias("v"))
+    side = lambda x: own.select(F.col("person_id").alias(x), F.col("v").alias(f"v_{x}"))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for a, b, x, y in zip(*(frame[c] for c in ("a", "b", "v_a", "v_b")), strict=True):
+                p, q = (np.vstack(v).astype(np.float64) for v in (x, y))
+                gap = np.sqrt(np.maximum(0, (p**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * p @ q.T))
+                rows.append((a, b, gap.sum(), gap.size))
+            yield pd.DataFrame(rows, columns=["a", "b", "total", "n"])
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "v_a", "v_b")
+    return met.mapInPandas(sums, "a long, b long, total double, n long").groupBy("a", "b").agg((F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def merge_suggestions(faces: DataFrame, sure: float = 0.44, likely: float = 0.48, best: float = 0.32) -> DataFrame:
-    """Pairs of people a < b that may be one: least and mean distance of their faces, blended if both have more than two, and a confidence."""
+    """Pairs of people a < b that may be one: least and mean distance of their faces, blended if both have more than two, and a confidence.
+
+    A mean is never below the least distance, so only people with two faces within the larger limit can qualify: these are found first, and means are
+    made for them alone.
+    """
     n = max(1, -(-faces.count() // ROWS))
     own = _blocks(faces, "id", ["person_id"], n)
+    reach = max(sure, likely) if max(sure, likely) < 1 else float("inf")  # distances count as 1 at most
+
+    def near(a, b, gap, same):
+        pa, pb = (np.array([r["person_id"] for r in x], dtype=np.int64) for x in (a, b))
+        i, j = np.nonzero((gap <= reach) & (pa[:, None] != pb[None, :]))
+        return pd.DataFrame({"a": np.minimum(pa[i], pb[j]), "b": np.maximum(pa[i], pb[j]), "d": gap[i, j]}).groupby(["a", "b"], as_index=False).agg(least=("d", "min"))
 
-    def sums(a, b, gap, same):
-        pa, pb = (np.array([r["person_id"] for r in x]) for x in (a, b))
-        if same:
-            keep = np.triu(np.ones(gap.shape, bool), 1)
-        else:
-            keep = np.ones(gap.shape, bool)
-        keep &= pa[:, None] != pb[None, :]
-        i, j = np.nonzero(keep)
-        lo, hi = np.minimum(pa[i], pb[j]), np.maximum(pa[i], pb[j])
-        return pd.DataFrame({"a": lo, "b": hi, "d": gap[i, j]}).groupby(["a", "b"], as_index=False).agg(least=("d", "min"), total=("d", "sum"), n=("d", "size"))
-
-    by_pair = _each(sums, "a long, b long, least double, total double, n long", _pairs(own, own, n, n, True)).groupBy("a", "b").agg(F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean"))
+    found = cut(_each(near, "a long, b long, least double", _pairs(own, own, n, n, True)).groupBy("a", "b").agg(F.min("least").alias("least")))
+    by_pair = found.join(_means(faces, found.select("a", "b")), ["a", "b"])
     counts = faces.groupBy("person_id").agg(F.count("*").alias("n"))
     side = lambda x: counts.select(F.col("person_id").alias(x), F.col("n").alias(f"n_{x}"))
     least = F.least("least", F.lit(1.0))

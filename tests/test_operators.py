@@ -367,3 +367,30 @@ def test_many_rules_are_rows_and_match_brute_force(spark):
         return len(documents.with_best_rule(df, rules[:n], "text")._jdf.queryExecution().optimizedPlan().toString())
 
     assert abs(size(60) - size(165)) < 0.1 * size(60)
+
+
+def test_merge_suggestions_look_at_near_people_alone(spark):
+    import numpy as np
+
+    from shutterlake.operators import people
+
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 16)) * 0.2
+    rows, vectors = [], {}
+    for i in range(90):
+        p = i % 9
+        v = centres[p % 6] + rng.standard_normal(16) * 0.05
+        rows.append((i, p, [float(x) for x in v]))
+        vectors.setdefault(p, []).append(np.array(rows[-1][2]))
+    got = {(r.a, r.b): (r.distance, r.effective) for r in people.merge_suggestions(spark.createDataFrame(rows, "id long, person_id long, descriptor array<double>")).collect()}
+    want = {}
+    for a in vectors:
+        for b in vectors:
+            if a < b:
+                d = np.array([np.linalg.norm(x - y) for x in vectors[a] for y in vectors[b]])
+                least = min(1.0, d.min())
+                effective = 0.65 * least + 0.35 * d.mean()
+                if least <= 0.44 or effective <= 0.48:
+                    want[a, b] = (round(least, 4), round(effective, 4))
+    assert set(got) == set(want) and 3 <= len(want) < 36
+    assert all(abs(got[k][i] - want[k][i]) < 2e-4 for k in want for i in (0, 1))
