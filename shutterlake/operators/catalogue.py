@@ -29,6 +29,30 @@ class PhotoFilter:
     offset: int = 0
 
 
+def page_starts(photos: DataFrame, size: int = 100) -> DataFrame:
+    """``(page, created_at, id)``: the first row of each page of ``size``, newest first, pages from 0. Ranks are made by ranges: none but its own is sorted by a task."""
+    order = [F.desc("created_at"), F.desc("id")]
+    rows = cut(photos.select("created_at", "id").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    ranked = rows.join(F.broadcast(before), "_part").withColumn("_rank", rank)
+    return ranked.filter(F.col("_rank") % size == 0).select((F.col("_rank") / size).cast("long").alias("page"), "created_at", "id")
+
+
+def keyset_page(photos: DataFrame, starts: DataFrame, page: int) -> DataFrame:
+    """The rows of a page of ``page_starts``, newest first, by a range of (created_at, id) that reaches the scan. A page that isn't there is empty."""
+    found = {r.page: r for r in starts.filter(F.col("page").isin(page, page + 1)).collect()}  # two rows
+    if page not in found:
+        return photos.filter(F.lit(False))
+    at, i = F.col("created_at"), F.col("id")
+    first = found[page]
+    out = photos.filter(at <= first.created_at).filter((at < first.created_at) | (i <= first.id))
+    if last := found.get(page + 1):
+        out = out.filter(at >= last.created_at).filter((at > last.created_at) | (i > last.id))
+    return out.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def date_groups(photos: DataFrame) -> DataFrame:
     """``(day, id, rank)``: every photo with its place, from 1, among those of its day. Rows, not lists, so a day may hold any number."""
     day = F.coalesce(F.to_date("created_at").cast("string"), F.lit("Unknown Date"))

@@ -102,19 +102,22 @@ def validated(plan: DataFrame, disk: DataFrame, skip: bool = False) -> DataFrame
 def free_names(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """``plan(id, folder, name)`` with ``new_name``: the name itself if free, else with the smallest free ' (n)', given out in id order.
 
-    Names are compared in lower case. Of k files that want a name, the k-th takes the k-th number that no existing file has; numbers
-    that can be needed are at most as many as files there, so free ones come from one sequence a name. ``existing(folder, name)``.
+    Names are compared in lower case. Of k files that want a name, the k-th takes the k-th number that no existing file has. Below the j-th taken
+    number t are t - j + 1 free ones, so it is k - 1 and as many more as there are taken numbers with no more than k - 1 free ones below: both kinds are
+    merged in that order and the last taken number before each file is its answer. Linear in files and taken numbers. ``existing(folder, name)``.
     """
     split = lambda df: df.withColumns({"stem": F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), "ext": F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)})
     numbered = r"^(.*) \(([0-9]+)\)$"
     old = split(existing).select("folder", F.explode(F.array(F.struct(F.lower("stem").alias("stem"), F.lit(0).alias("n")), F.struct(F.lower(F.regexp_extract("stem", numbered, 1)).alias("stem"), F.nullif(F.regexp_extract("stem", numbered, 2), F.lit("")).try_cast("int").alias("n")))).alias("x"), F.lower("ext").alias("lower_ext"))
-    taken = old.select("folder", "lower_ext", F.col("x.stem").alias("lower_stem"), "x.n").filter("n is not null and lower_stem <> ''").groupBy("folder", "lower_stem", "lower_ext").agg(F.collect_set("n").alias("taken"))
     keys = ["folder", "lower_stem", "lower_ext"]
+    taken = old.select("folder", F.col("x.stem").alias("lower_stem"), "lower_ext", "x.n").filter("n is not null and lower_stem <> ''").distinct()
+    taken = taken.withColumn("j", F.row_number().over(Window.partitionBy(*keys).orderBy("n"))).select(*keys, (F.col("n") - F.col("j") + 1).alias("at"), "j")
     want = split(plan).withColumns({"lower_stem": F.lower("stem"), "lower_ext": F.lower("ext")})
-    want = want.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
-    both = want.join(taken, keys, "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(0), F.col("k") + F.size("taken")), lambda n: ~F.array_contains("taken", n))
-    n = F.get(free, F.col("k") - 1)
+    want = want.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1)
+    merged = want.unionByName(taken, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy("at", F.col("j").isNull(), "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = merged.withColumn("passed", F.coalesce(F.max("j").over(before), F.lit(0))).filter("j is null")
+    n = F.col("at") + F.col("passed")
     return both.select(*plan.columns, F.when(n == 0, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), n.cast("string"), F.lit(")"), "ext")).alias("new_name"))
 
 

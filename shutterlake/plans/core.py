@@ -328,6 +328,12 @@ def _(c):
     return c.photos.filter(LIVE).orderBy(F.desc("created_at"), F.desc("id")).offset(700).limit(100).select("id")
 
 
+@query("o1_keyset_page", "SELECT id FROM {photos} WHERE NOT is_trashed ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 700")
+def _(c):
+    live = c.photos.filter(LIVE)
+    return op.keyset_page(live, op.page_starts(live), 7).select("id")
+
+
 @query("o2_sorted_people", "SELECT p.id, p.name, count(b.photo_id) AS n, max(t.created_at) AS latest FROM {people} p LEFT JOIN {photo_people} b ON b.person_id = p.id LEFT JOIN {photos} t ON t.id = b.photo_id WHERE p.name ILIKE '%supplier%' GROUP BY 1, 2")
 def _(c):
     dated = c.photo_people.join(c.photos.select(F.col("id").alias("photo_id"), "created_at"), "photo_id", "left").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("n"), F.max("created_at").alias("latest"))

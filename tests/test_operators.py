@@ -394,3 +394,29 @@ def test_merge_suggestions_look_at_near_people_alone(spark):
                     want[a, b] = (round(least, 4), round(effective, 4))
     assert set(got) == set(want) and 3 <= len(want) < 36
     assert all(abs(got[k][i] - want[k][i]) < 2e-4 for k in want for i in (0, 1))
+
+
+def test_free_names_of_one_name(spark):
+    from shutterlake.operators.organize import free_names
+
+    plan = spark.createDataFrame([(i, "f", "A.jpg") for i in range(200)] + [(900, "f", "b (2).jpg"), (901, "g", "a.JPG")], "id long, folder string, name string").repartition(3)
+    existing = [("f", f"a ({n}).jpg") for n in (1, 2, 5, 7, 8, 150, 3000)] + [("f", "a.jpg"), ("f", "b (2).jpg"), ("f", "A (5).JPG")]
+    got = {r.id: r.new_name for r in free_names(plan, spark.createDataFrame(existing, "folder string, name string")).collect()}
+    taken = {0, 1, 2, 5, 7, 8, 150, 3000}
+    free = iter(n for n in range(5000) if n not in taken)
+    assert [got[i] for i in range(200)] == [f"A ({next(free)}).jpg" for _ in range(200)]
+    assert got[901] == "a.JPG" and got[900] == "b (2) (1).jpg"
+
+
+def test_keyset_pages_equal_offsets(spark):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import catalogue as op
+
+    rows = spark.range(0, 1037, 1, 5).select("id", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("id") % 13).cast("int"))).alias("created_at"))
+    want = [r.id for r in rows.orderBy(F.desc("created_at"), F.desc("id")).collect()]
+    starts = op.page_starts(rows, 50).cache()
+    assert starts.count() == 21
+    for page in (0, 3, 20):
+        assert [r.id for r in op.keyset_page(rows, starts, page).collect()] == want[50 * page : 50 * page + 50]
+    assert op.keyset_page(rows, starts, 21).count() == 0
