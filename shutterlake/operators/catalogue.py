@@ -189,9 +189,32 @@ def quick_duplicates(photos: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_redundant"), F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"))
 
 
+def exact_median(df: DataFrame, score: str) -> float | None:
+    """The middle of the values of ``score``, or the mean of the two middle ones; null if there is none.
+
+    Values are counted first, so a frequent one is a row; their counts are summed by ranges, and only the range that holds the middle is sorted.
+    """
+    values = df.select(F.col(score).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    values = cut(values.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
+    ranges = sorted(values.groupBy("_part").agg(F.sum("n")).collect())  # a row a range
+    total, middle = sum(n for _, n in ranges), []
+    for rank in {(total - 1) // 2, total // 2} if total else ():
+        before = 0
+        for part, n in ranges:
+            if before + n > rank:
+                run = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                own = values.filter(F.col("_part") == part).withColumn("_run", run)
+                middle.append(own.filter(F.col("_run") > rank - before).agg(F.min("v")).first()[0])
+                break
+            before += n
+    return sum(middle) / len(middle) if middle else None
+
+
 def score_summary(df: DataFrame, score: str) -> DataFrame:
+    """Count, least, most, mean, exact median and deviation of ``score``: one row."""
     r = lambda c: F.round(c, 1)
-    return df.agg(F.count(score).alias("n"), r(F.min(score)).alias("least"), r(F.max(score)).alias("most"), r(F.avg(score)).alias("mean"), r(F.median(score)).alias("median"), r(F.stddev_pop(score)).alias("deviation"))
+    median = F.lit(exact_median(df, score)).cast("double")
+    return df.agg(F.count(score).alias("n"), r(F.min(score)).alias("least"), r(F.max(score)).alias("most"), r(F.avg(score)).alias("mean"), r(median).alias("median"), r(F.stddev_pop(score)).alias("deviation"))
 
 
 def threshold_metrics(df: DataFrame, score: str, truth: str, thresholds: Sequence[int]) -> DataFrame:

@@ -420,3 +420,11 @@ def test_keyset_pages_equal_offsets(spark):
     for page in (0, 3, 20):
         assert [r.id for r in op.keyset_page(rows, starts, page).collect()] == want[50 * page : 50 * page + 50]
     assert op.keyset_page(rows, starts, 21).count() == 0
+
+
+def test_exact_median(spark):
+    from shutterlake.operators.catalogue import exact_median
+
+    for values, want in (([], None), ([None], None), ([3.0], 3.0), ([1.0, 2.0], 1.5), ([5.0, None, 1.0, 9.0], 5.0), ([7.0] * 50 + [1.0] * 49 + [9.0], 7.0), ([1.0] * 5 + [2.0] * 5, 1.5), ([float(i % 101) for i in range(1000)], 49.5)):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        assert exact_median(df, "v") == want, values
