@@ -57,3 +57,15 @@ def test_stage_repeats_rows_and_edge_cases(spark):
     assert sum(len(r.text.split()) for r in out.collect()) in (6, 7, 8)
     assert mixed(measured(df.limit(0))).count() == 0 and mix(df.limit(0)).count() == 0
     assert [r.taken for r in mixed(measured(df.filter("text is null"))).collect()] == [0]
+
+
+def test_a_very_long_text(spark):
+    """One text of two million words among short ones: sizes are whole, no document is taken over twice, reruns agree."""
+    rows = [(0, "a", "word " * 2_000_000)] + [(i, "ab"[i % 2], "one two three " * (i % 9 + 1)) for i in range(1, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    out = {r.doc_id: r for r in mixed(measured(docs)).collect()}
+    assert out[0].size == 2_000_000 and len(out) == 300
+    assert all(0 <= r.taken <= 2 * r.size for r in out.values())
+    b = [r for r in out.values() if r.source == "b"]
+    assert abs(sum(r.taken for r in b) - b[0].target) <= max(r.size for r in b)
+    assert {k: r.taken for k, r in out.items()} == {r.doc_id: r.taken for r in mixed(measured(docs)).collect()}
