@@ -1,11 +1,12 @@
 """Faces: the nearest known face, clusters of the rest, and people that look alike.
 
-Vectors meet in blocks of bounded size by an equi-join on block numbers; distances inside a pair of blocks are one numpy product.
+Vectors meet in blocks of bounded size, of which only those meet that can hold near vectors (``operators/vectors.py``); distances inside a pair of
+blocks are one numpy product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,40 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.components import connected_components
+from shutterlake.operators.vectors import ROWS, block_pairs, celled, each_pair, pivots_for
 from shutterlake.session import cut
 
-ROWS = 2048
-
-
-def _blocks(df: DataFrame, id_col: str, extra: list[str], n: int) -> DataFrame:
-    """``n`` blocks of rows by a hash of the id: ids, vectors and ``extra`` columns as arrays."""
-    return df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("descriptor").alias("v"), *extra)).alias("rows"))
-
-
-def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, triangle: bool) -> DataFrame:
-    """Each block beside each block, by an equi-join on both numbers; if ``triangle``, each two blocks of one table once, and only as many copies as that takes."""
-    first, last = (F.col("block"), F.col("block")) if triangle else (F.lit(0), F.lit(n_left - 1))
-    a = left.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(first, F.lit(n_right - 1))).alias("j"))
-    b = right.select(F.col("block").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return a.join(b, ["i", "j"])
-
-
-def _each(kernel: Callable, schema: str, pairs: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a, b, i, j in zip(frame["a"], frame["b"], frame["i"], frame["j"], strict=True):
-                va, vb = (np.array([r["v"] for r in x], dtype=np.float64) for x in (a, b))
-                gap = np.sqrt(np.maximum(0, (va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T))
-                yield kernel(a, b, gap, i == j)
-
-    return pairs.select("a", "b", "i", "j").mapInPandas(run, schema)
-
-
 def assigned_faces(faces: DataFrame, gallery: DataFrame, threshold: float = 0.48) -> DataFrame:
     """``(id, person_id, distance)``: for each of ``faces(id, descriptor)`` the person of the nearest of ``gallery(id, person_id, descriptor)``, smaller id on ties, if nearer than the threshold."""
-    n, m = (max(1, -(-x.count() // ROWS)) for x in (faces, gallery))
+    points = pivots_for(gallery)
 
-    def nearest(a, b, gap, same):
+    def nearest(a, b, gap):
         ids = np.array([r["id"] for r in b])
         order = np.argsort(ids, kind="stable")
         best = order[gap[:, order].argmin(axis=1)]
@@ -54,7 +29,7 @@ def assigned_faces(faces: DataFrame, gallery: DataFrame, threshold: float = 0.48
         ok = near < threshold
         return pd.DataFrame({"id": [r["id"] for r in a], "near_id": ids[best], "person_id": [b[k]["person_id"] for k in best], "distance": near})[ok]
 
-    found = _each(nearest, "id long, near_id long, person_id long, distance double", _pairs(_blocks(faces, "id", [], n), _blocks(gallery, "id", ["person_id"], m), n, m, False))
+    found = each_pair(nearest, "id long, near_id long, person_id long, distance double", block_pairs(celled(faces, (), points), celled(gallery, ("person_id",), points), threshold))
     return found.groupBy("id").agg(F.min_by("person_id", F.struct("distance", "near_id")).alias("person_id"), F.min("distance").alias("distance"))
 
 
@@ -63,10 +38,9 @@ def clustered_faces(faces: DataFrame, threshold: float = 0.48) -> DataFrame:
 
     A pair of blocks gives each of its faces at most one link, to the least face that it reaches inside the pair, so a person of k faces costs k links, not k^2.
     """
-    n = max(1, -(-faces.count() // ROWS))
-    own = _blocks(faces, "id", [], n)
+    own = celled(faces, (), pivots_for(faces))
 
-    def links(a, b, gap, same):
+    def links(a, b, gap):
         i, j = np.nonzero(gap < threshold)
         ids = np.array([r["id"] for r in a] + [r["id"] for r in b], dtype=np.int64)
         least, j = ids.copy(), j + len(a)
@@ -77,7 +51,7 @@ def clustered_faces(faces: DataFrame, threshold: float = 0.48) -> DataFrame:
             if (least == before).all():
                 return pd.DataFrame({"src": ids, "dst": least})[ids != least].drop_duplicates()
 
-    parts = connected_components(_each(links, "src long, dst long", _pairs(own, own, n, n, True)))
+    parts = connected_components(each_pair(links, "src long, dst long", block_pairs(own, own, threshold, True)))
     return faces.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
@@ -107,16 +81,15 @@ def merge_suggestions(faces: DataFrame, sure: float = 0.44, likely: float = 0.48
     A mean is never below the least distance, so only people with two faces within the larger limit can qualify: these are found first, and means are
     made for them alone.
     """
-    n = max(1, -(-faces.count() // ROWS))
-    own = _blocks(faces, "id", ["person_id"], n)
+    own = celled(faces, ("person_id",), pivots_for(faces))
     reach = max(sure, likely) if max(sure, likely) < 1 else float("inf")  # distances count as 1 at most
 
-    def near(a, b, gap, same):
+    def near(a, b, gap):
         pa, pb = (np.array([r["person_id"] for r in x], dtype=np.int64) for x in (a, b))
         i, j = np.nonzero((gap <= reach) & (pa[:, None] != pb[None, :]))
         return pd.DataFrame({"a": np.minimum(pa[i], pb[j]), "b": np.maximum(pa[i], pb[j]), "d": gap[i, j]}).groupby(["a", "b"], as_index=False).agg(least=("d", "min"))
 
-    found = cut(_each(near, "a long, b long, least double", _pairs(own, own, n, n, True)).groupBy("a", "b").agg(F.min("least").alias("least")))
+    found = cut(each_pair(near, "a long, b long, least double", block_pairs(own, own, reach, True)).groupBy("a", "b").agg(F.min("least").alias("least")))
     by_pair = found.join(_means(faces, found.select("a", "b")), ["a", "b"])
     counts = faces.groupBy("person_id").agg(F.count("*").alias("n"))
     side = lambda x: counts.select(F.col("person_id").alias(x), F.col("n").alias(f"n_{x}"))

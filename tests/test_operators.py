@@ -135,6 +135,37 @@ def test_faces_cluster_and_people_merge(spark):
     assert [(r.a, r.b, r.confidence) for r in people.merge_suggestions(split).collect()] == [(3, 7, 99)]
 
 
+def test_far_blocks_of_vectors_never_meet(spark, monkeypatch):
+    from shutterlake.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 3, (30, 16))
+    of = np.concatenate([rng.integers(0, 30, 800), np.full(400, 7)])  # one cluster holds a third
+    v = centres[of] + rng.normal(0, 0.05, (1200, 16))
+    rows = [(i, int(of[i]), [float(x) for x in v[i]]) for i in range(1200)]
+    odd = [(5000, 1, None), (5001, 1, [float("nan")] * 16), (5002, 1, [None] * 16)]
+    faces = spark.createDataFrame(rows + odd, "id long, person_id long, descriptor array<double>").repartition(4)
+    own = vectors.celled(faces, (), vectors.pivots_for(faces))
+    blocks = int(own.parts.sum())
+    looked = vectors.block_pairs(own, own, 0.48, True).count()
+    assert own.sizes.sum() == 1200 and looked < blocks * (blocks + 1) / 2 / 4
+    assert vectors.block_pairs(own, own, float("inf"), True).count() == blocks * (blocks + 1) // 2
+    gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    least = np.arange(1200)
+    while True:  # components by brute force
+        nxt = np.array([least[gap[i] < 0.48].min() for i in range(1200)])
+        if (nxt == least).all():
+            break
+        least = nxt
+    want = dict(enumerate(least.tolist())) | {i: i for i in (5000, 5001, 5002)}
+    assert {r.id: r.cluster_id for r in people.clustered_faces(faces).collect()} == want
+    near = {i: min(((gap[i, j], j) for j in range(300, 1200)), default=None) for i in range(300)}
+    got = people.assigned_faces(faces.filter("id < 300 or id > 1200").drop("person_id"), faces.filter("id >= 300 and id <= 5001"), 0.3)
+    assert {r.id: r.person_id for r in got.collect()} == {i: int(of[j]) for i, (d, j) in near.items() if d < 0.3}
+    assert people.clustered_faces(faces.filter("id > 4999")).count() == 3 and people.assigned_faces(faces.limit(0), faces).count() == 0 == people.assigned_faces(faces, faces.limit(0)).count()
+
+
 def png(path, pixels):
     h, w, _ = pixels.shape
     raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
