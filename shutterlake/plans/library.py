@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shutterlake.operators import classify, organize, people
+from shutterlake.operators import classify, organize, people, pictures
 from shutterlake.plans.views import Catalog, duckdb_sql
 from shutterlake.sources import media
 from shutterlake.streaming import catalogue as stream
@@ -103,6 +104,15 @@ def _(c):
     return people.merge_suggestions(c.faces.select("id", "person_id", "descriptor"), sure=1.0, likely=1.2, best=0.9)
 
 
+@query("d14_structural_pairs", """WITH g AS (SELECT id, person_id, [floor(128 + 127 * x::DOUBLE) for x in descriptor] AS t FROM {faces}), p AS (SELECT id AS a, lead(id) OVER w AS b, t AS x, lead(t) OVER w AS y FROM g WINDOW w AS (PARTITION BY person_id ORDER BY id)),
+m AS (SELECT a, b, list_avg(x) AS mx, list_avg(y) AS my, list_aggregate(x, 'var_pop') AS vx, list_aggregate(y, 'var_pop') AS vy, list_avg([z[1] * z[2] for z in list_zip(x, y)]) AS xy FROM p WHERE b IS NOT NULL)
+SELECT a, b, round(least(1, greatest(0, (2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225)))), 6) AS ssim FROM m""")
+def _(c):
+    grids = c.faces.select("id", F.transform("descriptor", lambda x: F.floor(128 + 127 * x.cast("double")).cast("double")).alias("grid"))
+    follows = F.lead("id").over(Window.partitionBy("person_id").orderBy("id"))
+    return pictures.structural_pairs(c.faces.select(F.col("id").alias("a"), follows.alias("b")), grids).select("a", "b", F.round("ssim", 6).alias("ssim"))
+
+
 @query("p4_auto_merge", f"""WITH RECURSIVE sug AS ({SUGGESTIONS}), op AS (SELECT * FROM sug WHERE NOT (a = 0 AND b = 1)), ch AS (SELECT * FROM op WHERE confidence >= 70 OR NOT EXISTS (SELECT 1 FROM op WHERE confidence >= 70)),
 lk AS (SELECT a AS src, b AS dst FROM ch UNION SELECT b, a FROM ch), wk AS (SELECT src AS id, src AS t FROM lk UNION SELECT wk.id, lk.dst FROM wk JOIN lk ON lk.src = wk.t) SELECT id AS old, min(t) AS new FROM wk GROUP BY id HAVING id <> min(t)""")
 def _(c):

@@ -9,6 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from shutterlake.functions import pixels
+from shutterlake.functions.pixels import shrunk
 
 #: Kind and media type by extension.
 REGISTRY = {
@@ -152,20 +156,12 @@ def pixel_source(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def _shrunk(grey: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Means over a grid of cells."""
-    y, x = (np.linspace(0, n, k + 1).astype(int) for n, k in zip(grey.shape, (rows, columns), strict=True))
-    sums = np.add.reduceat(np.add.reduceat(grey, np.minimum(y[:-1], grey.shape[0] - 1), axis=0), np.minimum(x[:-1], grey.shape[1] - 1), axis=1)
-    area = np.maximum(1, np.diff(y))[:, None] * np.maximum(1, np.diff(x))[None, :]
-    return sums / area
-
-
 def _bits(b: np.ndarray) -> str:
     return np.packbits(b.ravel()).tobytes().hex()
 
 
 def difference_hash(grey: np.ndarray) -> str:
-    grid = _shrunk(grey, 16, 17)
+    grid = shrunk(grey, 16, 17)
     return _bits(grid[:, :-1] < grid[:, 1:])
 
 
@@ -176,35 +172,41 @@ def frequency_hash(corner: np.ndarray) -> str:
     return _bits(bits)
 
 
+#: Columns that ``pixel_features`` makes.
+FEATURES = """origin string, dhash string, ahash string, phash string, rotations array<string>, color_histogram array<double>, edge_histogram array<double>, grid binary,
+blur_score double, photo_blur double, glare boolean, saturation double, white_ratio double, dark_ratio double, edge_density double, hv_ratio double, page_edges double,
+outline struct<left:int,top:int,right:int,bottom:int,ratio:double,area:double,page:boolean>"""
+
+
+def _features(bgr: np.ndarray) -> dict:
+    grey = bgr @ np.array([0.114, 0.587, 0.299])
+    small, corner = shrunk(grey, 8, 8), shrunk(grey, 32, 32)[:8, :8]
+    turned = [np.rot90(grey, k) for k in (3, 2, 1)] + [grey[:, ::-1], grey[::-1]]
+    page = pixels.fitted(grey, 400)
+    gx, gy = map(np.abs, pixels.slopes(page))
+    found = {
+        "dhash": difference_hash(grey), "ahash": _bits(small >= small.mean()), "phash": frequency_hash(corner), "rotations": [difference_hash(t) for t in turned],
+        "color_histogram": pixels.color_histogram(bgr).tolist(), "edge_histogram": pixels.edge_histogram(grey).tolist(), "grid": pixels.fitted_grid(grey).astype(np.uint8).tobytes(),
+        "blur_score": pixels.sharpness(page)[0], "photo_blur": pixels.sharpness(shrunk(grey, 256, 256))[1], "glare": pixels.glare(page),
+        "page_edges": float((gx + gy > 30).sum() / page.size), "outline": pixels.page_outline(page),
+    }
+    return found | pixels.document_tones(bgr, grey)
+
+
 def pixel_features(images: DataFrame) -> DataFrame:
-    """Hashes, turned and mirrored hashes, colour and edge histograms, blur and glare of each picture of ``pixel_source``."""
+    """Of each picture of ``pixel_source``: hashes, turned and mirrored hashes, colour and edge histograms, a grid of 64 x 64 tones, sharpness (of a page, on 400 pixels, and of a photo, on 256 x 256), glare, page outline, and the tones and edges that ``document_candidate`` reads."""
+    names = [f.name for f in StructType.fromDDL(FEATURES)]
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[:, :, :3].astype(np.float64)
-                bgr = pixels if pixels.shape[2] == 3 else np.repeat(pixels, 3, axis=2)
-                grey = bgr @ np.array([0.114, 0.587, 0.299])
-                small, corner = _shrunk(grey, 8, 8), _shrunk(grey, 32, 32)[:8, :8]
-                turned = [np.rot90(grey, k) for k in (3, 2, 1)] + [grey[:, ::-1], grey[::-1]]
-                edge = np.abs(4 * grey[1:-1, 1:-1] - grey[:-2, 1:-1] - grey[2:, 1:-1] - grey[1:-1, :-2] - grey[1:-1, 2:]) if min(grey.shape) > 2 else np.zeros((1, 1))
-                top = bgr.max(axis=2)
-                low = bgr.min(axis=2)
-                span = np.where(top > low, top - low, 1)
-                b, g, red = bgr[:, :, 0], bgr[:, :, 1], bgr[:, :, 2]
-                hue = np.where(top == red, (g - b) / span % 6, np.where(top == g, (b - red) / span + 2, (red - g) / span + 4)) / 6
-                bins = np.minimum(7, (hue * 8).astype(int)) * 8 + np.minimum(3, ((top - low) / np.maximum(top, 1) * 4).astype(int)) * 2 + (top >= 128)
-                gy, gx = np.gradient(grey) if min(grey.shape) > 1 else (np.zeros_like(grey), np.zeros_like(grey))
-                strong = np.hypot(gx, gy) > 20
-                turns = ((np.arctan2(gy, gx)[strong] + np.pi) / (2 * np.pi) * 32).astype(int) % 32
-                cells = _shrunk((grey >= 240).astype(float), 4, 4)
-                rows.append((r.origin, difference_hash(grey), _bits(small >= small.mean()), frequency_hash(corner), [difference_hash(t) for t in turned],
-                             (np.bincount(bins.ravel(), minlength=64) / bins.size).tolist(), (np.bincount(turns, minlength=32) / max(1, len(turns))).tolist(), float(edge.var()), float(strong.mean()), bool((cells > 0.15).any())))
-            yield pd.DataFrame(rows, columns=["origin", "dhash", "ahash", "phash", "rotations", "color_histogram", "edge_histogram", "blur_score", "edge_density", "glare"])
-
-    schema = "origin string, dhash string, ahash string, phash string, rotations array<string>, color_histogram array<double>, edge_histogram array<double>, blur_score double, edge_density double, glare boolean"
-    return images.mapInPandas(features, schema)
+                raw = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[:, :, :3].astype(np.float64)
+                rows.append({"origin": r.origin} | _features(raw if raw.shape[2] == 3 else np.repeat(raw[:, :, :1], 3, axis=2)))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return images.mapInPandas(features, FEATURES)
 
 
 def write_manifest(plan: DataFrame, path: str) -> str:
