@@ -28,16 +28,38 @@ def stream_catalog(spark: SparkSession, path: str) -> DataFrame:
     return own.filter(media_type(F.col("path"))["supported"] & ~F.col("path").rlike(r"/(\.[^/]+|node_modules)/"))
 
 
-def stream_into_catalog(files: DataFrame, table: str):
-    """A writer of ``stream_catalog`` that upserts each batch by path: ``table`` has one folder a version, each the catalogue after a batch, so that a repeated batch replaces itself."""
+#: Folders of a streamed catalogue; a batch rewrites those that its own paths fall into.
+CATALOGUE_FOLDERS = 256
+
+
+def catalogue_rows(spark: SparkSession, table: str, before: int | None = None, folders: list[int] | None = None) -> DataFrame:
+    """The rows of the catalogue that ``stream_into_catalog`` keeps at ``table``: of each folder what its last batch (of those ``before`` a number) left. Only ``folders`` if given."""
+    rows = spark.read.schema(f"{CATALOGUE}, batch int, folder int").parquet(table)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    if folders is not None:
+        rows = rows.filter(F.col("folder").isin(folders))
+    last = rows.groupBy("folder").agg(F.max("batch").alias("batch"))  # one row a folder
+    return rows.join(F.broadcast(last), ["folder", "batch"]).drop("folder", "batch")
+
+
+CATALOGUE = "file_path string, filename string, mime_type string, created_at timestamp"
+
+
+def stream_into_catalog(files: DataFrame, table: str, folders: int = CATALOGUE_FOLDERS):
+    """A writer of ``stream_catalog`` that upserts each batch by path. ``table`` has a folder for each batch and in it those hash folders, whole, that the batch has paths of, so bytes written follow the batch and a repeated batch replaces itself. ``folders`` is fixed for the life of a table; ``catalogue_rows`` reads it."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         none = F.lit(None).cast("timestamp")
         named = batch.withColumns({"taken_at": none, "digitized_at": none, "modified_at": F.col("modificationTime"), "exposure_s": F.lit(None).cast("double")})
-        rows = catalog_rows(named).drop("exposure_time").withColumnRenamed("path", "file_path")
-        old = spark.read.schema(rows.schema).parquet(f"{table}/{number - 1}") if number else rows.limit(0)
-        upserted(old, rows, "file_path", ["filename", "mime_type", "created_at"]).write.mode("overwrite").parquet(f"{table}/{number}")
+        rows = catalog_rows(named).drop("exposure_time").withColumnRenamed("path", "file_path").persist()
+        folder = F.pmod(F.xxhash64("file_path"), F.lit(folders)).cast("int").alias("folder")
+        touched = [r.folder for r in rows.select(folder).distinct().collect()]  # ``folders`` at most
+        old = catalogue_rows(spark, table, number, touched) if number else rows.limit(0)
+        out = upserted(old, rows, "file_path", ["filename", "mime_type", "created_at"])
+        out.select("*", folder).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{table}/batch={number}")
+        rows.unpersist()
 
     return files.writeStream.foreachBatch(put)
 
@@ -134,11 +156,3 @@ def stream_fingerprints(df: DataFrame, keys_path: str, pairs_path: str):
         batch.unpersist()
 
     return df.writeStream.foreachBatch(match)
-
-
-def scan_progress(query, total: int | None = None) -> dict:
-    """Of a running query: rows done over all batches it remembers, those left of ``total``, rows a second and when the last batch ended."""
-    seen = list(query.recentProgress)
-    last = query.lastProgress or {}
-    done = sum(p["numInputRows"] for p in seen)
-    return {"n": done, "left": None if total is None else max(0, total - done), "per_s": last.get("processedRowsPerSecond", 0.0), "at": last.get("timestamp")}
