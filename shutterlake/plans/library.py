@@ -9,6 +9,7 @@ from shutterlake.operators import classify, organize, people, pictures
 from shutterlake.plans.views import Catalog, duckdb_sql
 from shutterlake.sources import media
 from shutterlake.streaming import catalogue as stream
+from shutterlake.streaming import places
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -233,4 +234,5 @@ b AS (SELECT user_id, session, place AS best FROM c QUALIFY row_number() OVER (P
 def _(c):
     place = F.when(F.col("event_type") == "click", F.concat(F.lit("place "), (F.col("event_id") % 3).cast("string")))
     own = events(c).select("user_id", "ts", F.col("event_id").alias("id"), place.alias("place"))
-    return stream.drained(own, lambda e: stream.stream_propagated(e, "user_id"))
+    with places.list_state(own.sparkSession):
+        return stream.drained(own, lambda e: places.stream_propagated(e, "user_id"))

@@ -7,12 +7,9 @@ one to its end and then closes it: a last row, long after all others and with no
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shutterlake.operators.catalogue import upserted
 from shutterlake.operators.duplicates import blocking_keys, new_pairs
@@ -102,39 +99,6 @@ def stream_timeline(df: DataFrame, ts: str = "ts", delay: str = "1 hour", slide:
     return out.select(F.col("w.start").alias("start"), "n") if slide else out.select(F.to_date("w.start").alias("day"), "n")
 
 
-def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_600, delay: str = "1 hour") -> DataFrame:
-    """Rows ``(key, ts, id, place)`` with the most frequent place of their session filled in, given out once event time is a gap past its last row.
-
-    State holds the rows of the open session of a key, which the gap bounds.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(state.get[0]), columns=["t", "id", "place"]) if state.exists else pd.DataFrame(columns=["t", "id", "place"])
-        out = []
-        for frame in frames:
-            new = pd.DataFrame({"t": frame[ts].astype("int64") // 1_000_000_000, "id": frame["id"], "place": frame["place"]})
-            held = new if held.empty else pd.concat([held, new], ignore_index=True)
-        held = held.sort_values(["t", "id"]).reset_index(drop=True)
-        session = (held["t"].diff() > gap_s).cumsum()
-        closed = state.getCurrentWatermarkMs() / 1000 - gap_s
-        for _, part in held.groupby(session):
-            if part["t"].max() < closed:
-                counts = part["place"].dropna().value_counts()
-                first = part.dropna(subset=["place"]).drop_duplicates("place").set_index("place")["t"]
-                best = min(counts.index, key=lambda p: (-counts[p], first[p], p)) if len(counts) else None
-                out.append(pd.DataFrame({key: k[0], "id": part["id"], "place": part["place"].where(part["place"].notna(), best)}))
-                held = held.drop(part.index)
-        if held.empty:
-            state.remove()
-        else:
-            state.update(([tuple(x) for x in held.astype(object).where(held.notna(), None).itertuples(index=False)],))
-            state.setTimeoutTimestamp(max(int((held["t"].max() + gap_s + 1) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield from out
-
-    kind = dict(df.dtypes)[key]
-    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, id long, place string", "rows array<struct<t:long,id:long,place:string>>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 #: Folders of stored keys; a batch reads those that its own keys fall into.
 KEY_FOLDERS = 64
 

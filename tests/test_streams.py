@@ -1,8 +1,15 @@
 """Streamed catalogues and progress over batches, repeats and restarts."""
 
+import datetime as dt
+import random
 import time
+import uuid
+
+import numpy as np
+import pytest
 
 from shutterlake.streaming import catalogue as streaming
+from shutterlake.streaming import places
 from shutterlake.streaming.progress import ProgressTable, scan_progress
 
 
@@ -54,3 +61,55 @@ def test_totals_outlive_what_a_query_remembers(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_session_ends():
+    assert places.session_ends(np.array([5, 1, 30, 31]), 10, None) == ([5, 31], False)
+    assert places.session_ends(np.array([40, 70]), 10, 31) == ([40, 70], True)
+    assert places.session_ends(np.array([70]), 10, 31) == ([70], False)
+    assert places.session_ends(np.array([25, 5]), 10, 31) == ([5], False)
+
+
+def sessions_filled(rows, gap=100):
+    out, by_key = {}, {}
+    for k, t, i, p in rows:
+        by_key.setdefault(k, []).append((t, i, p))
+    for k, own in by_key.items():
+        own.sort()
+        parts = [[own[0]]]
+        for a, b in zip(own, own[1:], strict=False):
+            parts[-1].append(b) if b[0] - a[0] <= gap else parts.append([b])
+        for part in parts:
+            known = [p for _, _, p in part if p]
+            best = min(known, key=lambda p: (-known.count(p), min(t for t, _, q in part if q == p), p)) if known else None
+            out.update({(k, i): p or best for _, i, p in part})
+    return out
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_places_fill_over_batches(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        check_places(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def check_places(spark, tmp_path):
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("abc"), rng.randrange(4000), i, rng.choice(["x", "y", None, None])) for i in range(300)]
+    rows += [("hot", 5 * i, 1000 + i, "z" if i % 7 == 0 else None) for i in range(300)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(60))  # a little out of order, across batches too
+    frame = lambda part: spark.createDataFrame([(k, start + dt.timedelta(seconds=t), i, p) for k, t, i, p in part], "k string, ts timestamp, id long, place string")
+    folder, sink = str(tmp_path / "in"), f"places_{uuid.uuid4().hex[:8]}"
+    with places.list_state(spark):
+        for n in range(4):
+            frame(rows[n * 150 : n * 150 + 150]).coalesce(1).write.mode("append").parquet(folder)
+            if n == 3:  # long after all others
+                frame([("end", 10**6, 9999, None)]).coalesce(1).write.mode("append").parquet(folder)
+            source = spark.readStream.schema(frame([]).schema).parquet(folder)
+            out = places.stream_propagated(source, "k", gap_s=100, delay="2 minutes")
+            out.writeStream.format("parquet").option("path", str(tmp_path / sink)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    got = [((r.k, r.id), r.place) for r in spark.read.schema("k string, id long, place string").parquet(str(tmp_path / sink)).collect()]
+    assert len(got) == 600 and dict(got) == sessions_filled(rows)
