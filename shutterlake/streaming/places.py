@@ -67,7 +67,7 @@ class OpenSessions(StatefulProcessor):
         for frame in rows:
             if frame.empty:
                 continue
-            t = frame["_seconds"].to_numpy()
+            t = frame["epoch_second_of_row"].to_numpy()
             self.rows.appendList([(int(a), None if pd.isna(b) else int(b), None if pd.isna(c) else c) for a, b, c in zip(t, frame["id"], frame["place"], strict=True)])
             last = self.last.get()[0] if self.last.exists() else None
             ends, goes_on = session_ends(t, self.gap_s, last)
@@ -98,5 +98,5 @@ class OpenSessions(StatefulProcessor):
 def stream_propagated(df: DataFrame, key: str, ts: str = "ts", gap_s: int = 12_600, delay: str = "1 hour") -> DataFrame:
     """Rows ``(key, id, place)`` of ``df(key, ts, id, place)`` with the most frequent place of their session filled in, given out once event time is a gap past its last row. State holds the rows of the open sessions of a key, which the gap bounds. Rows without a time are left out."""
     form = f"{key} {dict(df.dtypes)[key]}, id long, place string"
-    own = df.filter(F.col(ts).isNotNull()).select(key, ts, "id", "place", F.unix_seconds(ts).alias("_seconds"))  # pandas would show local times
+    own = df.filter(F.col(ts).isNotNull()).select(key, ts, "id", "place", F.unix_seconds(ts).alias("epoch_second_of_row"))  # pandas would show local times; names with a leading underscore get lost on the way
     return own.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(OpenSessions(key, gap_s), form, "append", "eventTime")
