@@ -1,10 +1,10 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Method. Vectors and queries are packed into blocks; every block of vectors meets every block of queries once a round, as
-an equi-join on a salted block number. Each round scores everything, counts the scores of each query in ``BINS`` equal bins of its
-current range and keeps, as the next range, the bin that holds the k-th largest score. Scores are integers, so a range of
-width one is the exact k-th value, after at most ceil(log(range) / log(BINS)) rounds. A last pass keeps scores at or
-above it, and ties go to the smaller id.
+Method. Vectors are packed into blocks once and stay where they are. Queries come in waves, dealt by a hash of their ids, each of a
+bounded number and size; a wave is broadcast, and a round is one pass over the blocks that scores everything. A task counts the scores of
+each query in ``BINS`` equal bins of its current range, and only the counts cross the network. The next range is the bin that holds the
+k-th largest score. Scores are integers, so a range of width one is the exact k-th value, after at most ceil(log(range) / log(BINS))
+rounds. A last pass keeps scores at or above it, and ties go to the smaller id. The driver holds the vectors and ranges of one wave.
 
 Defined cases: a vector that is null, empty or holds a null, NaN or infinite component takes no part, and neither does
 a row with a null id. Only vectors of equal length meet. A query's own id is never its candidate, even on a repeated
@@ -15,19 +15,23 @@ an empty result. Other columns play no part.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shutterlake.session import cut, written
+from shutterlake.session import cut, shared_dir, written
 from shutterlake.sources.tables import read_table
 
 BINS = 256
-#: Vectors in a block; a task holds one block of vectors and one of queries, and their scores by slices.
-VECTORS, QUERIES = 4096, 512
+#: Vectors in a block, and queries whose scores a task holds at a time.
+VECTORS, SLICE = 4096, 128
+#: Queries of a wave and bytes of their vectors, on average; hashes deal them out evenly.
+WAVE, WAVE_BYTES = 8192, 32 << 20
 _TOP = (1 << 63) - 1
 #: Ranges stay within this, so that their differences fit a long; what lies beyond counts as above the range.
 _REACH = 1 << 61
@@ -54,113 +58,143 @@ def _dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array([[max(-_TOP - 1, min(_TOP, x)) for x in row] for row in whole], dtype=np.int64).reshape(len(q), len(v))
 
 
-def _packed(rows: DataFrame, size: int, fields: list[str]) -> DataFrame:
-    """``rows(dim, id, vec, *fields)`` in blocks of up to ``size`` rows of one length, made where the rows are."""
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(dim, id, vec)`` in blocks of up to ``size`` rows of one length, made where the rows are."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
                 for at in range(0, len(part), size):
                     own = part.iloc[at : at + size]
-                    ids = own["id"].to_numpy(np.int64)
-                    out = {"dim": [dim], "block": [int(ids[0]) ^ at], "ids": [ids.tobytes()], "mat": [np.vstack(own["vec"].to_numpy()).astype(np.float64).tobytes()]}
-                    yield pd.DataFrame(out | {f: [own[f].to_numpy(np.int64).tobytes()] for f in fields})
+                    yield pd.DataFrame({"dim": [dim], "ids": [own["id"].to_numpy(np.int64).tobytes()], "mat": [np.vstack(own["vec"].to_numpy()).astype(np.float64).tobytes()]})
 
-    schema = "dim int, block long, ids binary, mat binary" + "".join(f", {f} binary" for f in fields)
-    return rows.mapInPandas(pack, schema)
+    return rows.mapInPandas(pack, "dim int, ids binary, mat binary")
 
 
-def _meet(queries: DataFrame, vectors: DataFrame, n_queries: int, salts: int) -> DataFrame:
-    """Every block of queries beside every block of vectors of its length, spread over n_queries * salts keys."""
-    left = vectors.select("dim", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), "ids", "mat")
-    right = queries.select("dim", "qb", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "mat", "lo", "width")])
-    return left.join(right, ["dim", "qb", "salt"])
+#: What a wave asks, by length of vector: ids, vectors, lowest score and width of a bin.
+Asked = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _wave(rows: DataFrame, reach: float, bins: int) -> Asked:
+    """The queries ``rows(dim, id, vec)`` of one wave with ranges that hold all their scores."""
+    out: Asked = {}
+    for dim, part in rows.toPandas().groupby("dim"):
+        q = np.vstack(part["vec"].to_numpy()).astype(np.float64)
+        # |score| <= sum |q| * max |v|; kept within 2^61 so that ranges fit a long
+        bound = np.minimum(np.ceil(np.abs(q).sum(axis=1) * reach) + 1, float(_REACH)).astype(np.int64)
+        out[int(dim)] = part["id"].to_numpy(np.int64), q, -bound, -(-(2 * bound + 1) // bins)
+    return out
+
+
+def _met(frames: Iterator[pd.DataFrame], asked: Asked) -> Iterator[tuple]:
+    """Of each block and each slice of the queries of its length: length, place of the slice, ids of the block, scores, and which of them count (not those of a query with itself)."""
     for frame in frames:
         for r in frame.itertuples():
-            yield (
-                np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_mat, np.float64).reshape(-1, r.dim), np.frombuffer(r.q_lo, np.int64), np.frombuffer(r.q_width, np.int64),
-                np.frombuffer(r.ids, np.int64), np.frombuffer(r.mat, np.float64).reshape(-1, r.dim),
-            )
+            if r.dim not in asked:
+                continue
+            ids, v = np.frombuffer(r.ids, np.int64), np.frombuffer(r.mat, np.float64).reshape(-1, r.dim)
+            q_ids, q, lo, _ = asked[r.dim]
+            for at in range(0, len(q), SLICE):
+                own = slice(at, at + SLICE)
+                scores = _dots(q[own], v)
+                yield r.dim, at, ids, scores, (np.maximum(scores, -_REACH) >= lo[own, None]) & (q_ids[own, None] != ids[None, :])
 
 
-def _histograms(bins: int) -> Callable:
-    """Counts by query and bin. Bin b covers [lo + b * width, lo + (b + 1) * width); what is above the range is bin ``bins``."""
+def _histograms(wave: Broadcast, bins: int) -> Callable:
+    """Counts by query and bin, one sum a task. Bin b covers [lo + b * width, lo + (b + 1) * width); what is above the range is bin ``bins``."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for q_ids, q, lo, width, ids, v in _each(frames):
-            for at in range(0, len(q), 64):
-                own = slice(at, at + 64)
-                scores = np.clip(_dots(q[own], v), -_REACH, _REACH)
-                b = np.clip((scores - lo[own, None]) // width[own, None], -1, bins)
-                b[q_ids[own, None] == ids[None, :]] = -1
-                cell = np.where(b >= 0, b + np.arange(len(b))[:, None] * (bins + 1), -1)
-                c = np.bincount(cell[cell >= 0], minlength=len(b) * (bins + 1))
-                at_, n = np.nonzero(c)[0], c[c > 0]
-                yield pd.DataFrame({"query_id": q_ids[own][at_ // (bins + 1)], "bin": (at_ % (bins + 1)).astype(np.int32), "n": n})
+        asked, sums = wave.value, {}
+        for dim, at, _, scores, ok in _met(frames, asked):
+            q_ids, _, lo, width = asked[dim]
+            total = sums.setdefault(dim, np.zeros(len(q_ids) * (bins + 1), np.int64))
+            i, j = np.nonzero(ok)
+            b = np.minimum((np.clip(scores[i, j], -_REACH, _REACH) - lo[at + i]) // width[at + i], bins)
+            own = total[at * (bins + 1) : (at + len(scores)) * (bins + 1)]
+            own += np.bincount(i * (bins + 1) + b, minlength=len(own))
+        for dim, total in sums.items():
+            cells = np.nonzero(total)[0]
+            for part in np.array_split(cells, len(cells) // (1 << 18) + 1):
+                yield pd.DataFrame({"query_id": asked[dim][0][part // (bins + 1)], "bin": (part % (bins + 1)).astype(np.int32), "n": total[part]})
 
     return count
 
 
-def _candidates(k: int) -> Callable:
-    """Scores at or above each query's k-th value; of a block, at most the k best by (score, smaller id), as no other can be chosen."""
+def _candidates(wave: Broadcast, k: int) -> Callable:
+    """Scores at or above each query's k-th value; of a task, at most the k best by (score, smaller id), as no other can be chosen."""
+
+    def best(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for q_ids, q, lo, _, ids, v in _each(frames):
-            by_id = np.argsort(ids, kind="stable")
-            ids, v = ids[by_id], v[by_id]
-            for at in range(0, len(q), 64):
-                found = []
-                for i, row in enumerate(_dots(q[at : at + 64], v), at):
-                    ok = np.nonzero((np.maximum(row, -_REACH) >= lo[i]) & (ids != q_ids[i]))[0]
-                    ok = ok[np.argsort(~row[ok], kind="stable")][:k]  # ~x falls as x rises, without overflow
-                    found.append((np.full(len(ok), q_ids[i]), ids[ok], row[ok]))
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        asked, held, n = wave.value, [], 0
+        most = max(1 << 19, 2 * k * sum(len(x[0]) for x in asked.values()))
+        for dim, at, ids, scores, ok in _met(frames, asked):
+            i, j = np.nonzero(ok)
+            held.append(pd.DataFrame({"query_id": asked[dim][0][at + i], "vec_id": ids[j], "score": scores[i, j]}))
+            n += len(i)
+            if n > most:
+                held = [best(held)]
+                n = len(held[0])
+        if held:
+            yield best(held)
 
     return keep
 
 
+def _kth(spark: SparkSession, blocks: DataFrame, asked: Asked, k: int, bins: int) -> Asked:
+    """``asked`` with each query's lowest score moved up to its k-th best; where there are fewer than k, it stays."""
+    down = Window.partitionBy("query_id").orderBy(F.desc("bin"))  # at most `bins` + 1 rows a query
+    now = asked
+    while now:
+        wave = spark.sparkContext.broadcast(now)
+        counts = blocks.mapInPandas(_histograms(wave, bins), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        run = counts.withColumn("reached", F.sum("n").over(down))
+        holds = run.filter((F.col("reached") >= k) & (F.col("reached") - F.col("n") < k)).select("query_id", "bin")
+        found = dict(holds.toPandas().itertuples(index=False))  # a row a query of the wave at most
+        wave.destroy()
+        rest: Asked = {}
+        for dim, (ids, q, lo, width) in now.items():
+            b = np.array([found.get(i, -1) for i in ids.tolist()], np.int64)
+            lo = np.where(b >= 0, lo + np.maximum(b, 0) * width, lo)
+            own = asked[dim]
+            own[2][np.searchsorted(own[0], ids)] = lo
+            go = (b >= 0) & (width > 1)
+            if go.any():
+                rest[dim] = ids[go], q[go], lo[go], -(-width[go] // bins)
+        now = rest
+    return asked
+
+
+RANKED = "query_id long, rank int, vec_id long, score long"
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", bins: int = BINS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best candidates of each row of ``vectors`` for which ``is_query`` holds."""
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     clean = vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & ~bad)
     rows = clean.select(F.size(vec_col).alias("dim"), F.col(id_col).cast("long").alias("id"), quantised(F.col(vec_col), scale).alias("vec"), is_query.alias("asks"))
-    blocks = written(_packed(rows.select("dim", "id", "vec"), VECTORS, []), "vectors")
+    spark = vectors.sparkSession
+    blocks = written(_packed(rows.select("dim", "id", "vec"), VECTORS), "vectors")
     asked = cut(rows.filter("asks").groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("x")).select("id", "x.dim", "x.vec"))
-    n = asked.count()
+    n, size = asked.agg(F.count("*"), F.sum("dim") * 8).first()
     if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    most = blocks.select(F.lit(1)).count()
-    n_queries, salts = -(-n // QUERIES), max(1, min(most, 4096))
-    reach = rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0]
-
-    # |score| <= sum |q| * max |v|; kept below 2^62 so that ranges fit a long
-    bound = F.least(F.ceil(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x)) * float(reach)).cast("double") + 1, F.lit(float(_REACH))).cast("long")
-    state = cut(asked.select("id", "dim", "vec", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb"), (-bound).alias("lo"), F.ceil((2 * bound + 1) / bins).cast("long").alias("width")))
-
-    def query_blocks(now: DataFrame) -> DataFrame:
-        def pack(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("id")
-            return pd.DataFrame({"dim": [part["dim"].iloc[0]], "qb": [part["qb"].iloc[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "mat": [np.vstack(part["vec"].to_numpy()).astype(np.float64).tobytes()], "lo": [part["lo"].to_numpy(np.int64).tobytes()], "width": [part["width"].to_numpy(np.int64).tobytes()]})
-
-        return now.select("dim", "qb", "id", "vec", "lo", "width").groupBy("dim", "qb").applyInPandas(pack, "dim int, qb int, ids binary, mat binary, lo binary, width binary")
-
-    down = Window.partitionBy("query_id").orderBy(F.desc("bin"))  # at most `bins` + 1 rows a query
-    while True:
-        counts = _meet(query_blocks(state), blocks, n_queries, salts).mapInPandas(_histograms(bins), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        run = counts.withColumn("reached", F.sum("n").over(down))
-        holds = run.filter((F.col("reached") >= k) & (F.col("reached") - F.col("n") < k)).select(F.col("query_id").alias("id"), "bin")
-        # a query with fewer than k candidates has no such bin, and takes all from its lowest bound
-        lo, width = F.col("lo") + F.coalesce("bin", F.lit(0)) * F.col("width"), F.when(F.col("bin").isNull(), 1).otherwise(F.col("width"))
-        state = cut(state.join(holds, "id", "left").select("id", "dim", "vec", "qb", lo.alias("lo"), width.cast("long").alias("width")))
-        if state.filter("width > 1").isEmpty():
-            break
-        state = state.withColumn("width", F.ceil(F.col("width") / bins).cast("long"))
-    found = _meet(query_blocks(state), blocks, n_queries, salts).mapInPandas(_candidates(k), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], RANKED)
+    waves = max(-(-n // WAVE), -(-size // WAVE_BYTES))
+    dealt = asked.withColumn("wave", F.pmod(F.xxhash64("id"), F.lit(waves)).cast("int"))
+    if waves > 1:  # so that a wave reads its own row groups
+        dealt = written(dealt.repartitionByRange("wave", "id").sortWithinPartitions("wave"), "queries")
+    reach = float(rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0])
+    path, best = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}", Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for w in range(waves):
+        own = _wave(dealt.filter(F.col("wave") == w).select("dim", "id", "vec").orderBy("id"), reach, bins)
+        if not own:
+            continue
+        wave = spark.sparkContext.broadcast(_kth(spark, blocks, own, k, bins))
+        found = blocks.mapInPandas(_candidates(wave, k), "query_id long, vec_id long, score long")
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*[c.split()[0] for c in RANKED.split(", ")]).write.parquet(f"{path}/wave={w}")
+        wave.destroy()
+    return spark.read.schema(RANKED + ", wave int").parquet(path).drop("wave")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from shutterlake.llm import topk
 from shutterlake.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, query_id string"
@@ -44,3 +45,21 @@ def test_large_components_stay_exact(spark):
     got = sorted(run(spark, rows))
     assert [x[2] for x in got] == [1, 2, 3]
     assert got[0][3] == got[1][3] == (1 << 63) - 1 and got[2][3] == -(1 << 63)
+
+
+def test_many_waves_and_ties_beyond_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", 2)
+    rows = [(i, [float(i % 3)] * 4, "x") for i in range(420)] + [(500, [1.0, 2.0], "x"), (501, [3.0, 4.0], "x")]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, k=300) == brute(rows, k=300)
+
+
+def test_a_wave_sends_counts_and_not_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(500)]
+    frame = spark.createDataFrame(rows, SCHEMA).select(F.lit(8).alias("dim"), F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vec"))
+    blocks = topk._packed(frame, 64)
+    asked = topk._wave(frame.filter("id % 50 = 0").orderBy("id"), 1024.0, 16)
+    plan = blocks.mapInPandas(topk._histograms(spark.sparkContext.broadcast(asked), 16), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+    assert sum(r.n for r in plan.collect()) == 10 * 499  # every score but a query's with itself
+    assert plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
