@@ -343,3 +343,30 @@ def moved_faces(faces: DataFrame, merges: DataFrame) -> DataFrame:
     """``faces(..., person_id)`` with people merged."""
     ends = merge_ends(merges)
     return faces.join(ends, faces.person_id == ends.old, "left").withColumn("person_id", F.coalesce("new", "person_id")).drop("old", "new")
+
+
+def exif_by_id(exif: DataFrame, photos: DataFrame, ids: DataFrame) -> DataFrame:
+    """Camera data of the photos in ``ids(id)``; none where the photo itself is gone."""
+    asked = photos.select("id").join(ids.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "photo_id")
+    return exif.join(asked, "photo_id", "left_semi")
+
+
+def location_input(photos: DataFrame, exif: DataFrame) -> DataFrame:
+    """Live photos with their coordinates, oldest first: what places are filled from."""
+    places = exif.select(F.col("photo_id").alias("id"), "gps_lat", "gps_lon")
+    return photos.filter("not is_trashed").join(places, "id", "left").orderBy("created_at", "id")
+
+
+def loaded_fingerprints(photos: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Live photos with what is known of their looks.
+
+    Histograms and key frames are JSON text, null where it doesn't parse; ``color_histogram`` comes before ``rgb_histogram``. The difference hash is
+    the photo's older one where it is missing; empty texts and zero seconds are null, sizes 0 and types image/jpeg where missing.
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    doubles, texts = (lambda c: F.from_json(c, "array<double>")), (lambda c: F.from_json(c, "array<string>"))
+    own = photos.filter("not is_trashed").join(fingerprints.withColumnRenamed("photo_id", "id"), "id", "left")
+    return own.select(
+        "id", "file_path", "filename", "created_at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("file_size", "width", "height")], F.coalesce(text("mime_type"), F.lit("image/jpeg")).alias("mime_type"),
+        *[text(c).alias(c) for c in ("sha256", "partial_sha256", "phash")], F.coalesce(text("dhash"), text("perceptual_hash")).alias("dhash"),
+        doubles(F.coalesce("color_histogram", "rgb_histogram")).alias("color_histogram"), F.nullif("video_duration", F.lit(0.0)).alias("video_duration"), texts("video_keyframes").alias("video_keyframes"))

@@ -36,6 +36,17 @@ def kinds() -> dict[str, Column]:
     }
 
 
+def plan_candidates(photos: DataFrame, exif: DataFrame, ids: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
+    """Live photos with their coordinates, newest first: those whose id is in ``ids(id)``, or else whose path starts with ``prefix``, or else all."""
+    live = photos.filter("not is_trashed")
+    if ids is not None:
+        live = live.join(ids.select("id").distinct(), "id", "left_semi")
+    elif prefix:
+        live = live.filter(F.col("file_path").startswith(prefix))
+    places = exif.select(F.col("photo_id").alias("id"), "gps_lat", "gps_lon")
+    return live.join(places, "id", "left").orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def planned(photos: DataFrame, options: PlanOptions = PlanOptions(), excluded: DataFrame | None = None) -> DataFrame:
     """``photos`` with ``target_folder`` and ``category``.
 

@@ -189,6 +189,11 @@ def _(c):
     return c.photos.join(c.people.select(F.col("cover_photo_id").alias("id")), "id", "left_semi").select("id", "filename")
 
 
+@query("f4_exif_by_id", "SELECT photo_id, make, model, gps_lat, gps_lon FROM {exif} WHERE photo_id IN (SELECT cover_photo_id FROM {people}) AND photo_id IN (SELECT id FROM {photos})")
+def _(c):
+    return op.exif_by_id(c.exif, c.photos, c.people.select(F.col("cover_photo_id").alias("id")))
+
+
 @query("f5_unanalyzed", "SELECT id FROM {photos} WHERE blur_score = -1 OR perceptual_hash = '' OR perceptual_hash IS NULL")
 def _(c):
     return c.photos.filter("blur_score = -1 or coalesce(perceptual_hash, '') = ''").select("id")
@@ -209,6 +214,11 @@ def _(c):
     return c.photos.filter("not is_trashed and (location_name is null or location_name in ('', 'Unknown Location'))").join(c.exif, F.col("id") == F.col("photo_id"), "left").select("id", "gps_lat")
 
 
+@query("f8_location_input", "SELECT id, created_at, gps_lat, gps_lon FROM {photos} p LEFT JOIN {exif} e ON e.photo_id = p.id WHERE NOT is_trashed")
+def _(c):
+    return op.location_input(c.photos, c.exif).select("id", "created_at", "gps_lat", "gps_lon")
+
+
 @query("f9_unfingerprinted", "SELECT id FROM {photos} p LEFT JOIN {fingerprints} f ON f.photo_id = p.id WHERE NOT is_trashed AND (f.photo_id IS NULL OR dhash = '')")
 def _(c):
     done = c.fingerprints.filter("dhash <> ''").select(F.col("photo_id").alias("id"))
@@ -390,6 +400,25 @@ def _(c):
     return c.photos.join(c.fingerprints.drop("base"), F.col("id") == F.col("photo_id"), "left").select("id", new.alias("perceptual_hash"))
 
 
+#: What a store keeps of histograms and key frames: JSON text, some of it missing or broken.
+KEPT = {
+    "color_histogram": "CASE photo_id % 4 WHEN 0 THEN '[0.5, 0.25, ' || CAST(photo_id % 7 AS VARCHAR(9)) || ']' WHEN 1 THEN '{broken' END",
+    "rgb_histogram": "CASE WHEN photo_id % 8 < 3 THEN '[1.0, 0.0]' END",
+    "video_keyframes": """CASE WHEN video_duration IS NOT NULL THEN '["' || dhash || '", "00"]' END""",
+}
+
+
+@query("s9_stored_json", f"""WITH k AS (SELECT f.*, {', '.join(f'{e} AS {n}' for n, e in KEPT.items())} FROM {{fingerprints}} f)
+SELECT id, nullif(sha256, '') AS sha256, coalesce(nullif(dhash, ''), nullif(perceptual_hash, '')) AS dhash, CASE WHEN json_valid(coalesce(color_histogram, rgb_histogram)) THEN list_sum(CAST(coalesce(color_histogram, rgb_histogram) AS JSON)::DOUBLE[]) END AS histogram_sum,
+  CASE WHEN json_valid(coalesce(color_histogram, rgb_histogram)) THEN len(CAST(coalesce(color_histogram, rgb_histogram) AS JSON)::DOUBLE[]) END AS histogram_size, (CAST(video_keyframes AS JSON)::VARCHAR[])[1] AS first_frame
+FROM {{photos}} p LEFT JOIN k ON k.photo_id = p.id WHERE NOT is_trashed""")
+def _(c):
+    rows = op.loaded_fingerprints(c.photos, c.fingerprints.drop("base").withColumns({n: F.expr(e) for n, e in KEPT.items()}))
+    h = F.col("color_histogram")
+    total = F.when(h.isNotNull(), F.aggregate(h, F.lit(0.0), lambda s, x: s + x))
+    return rows.select("id", "sha256", "dhash", total.alias("histogram_sum"), F.when(h.isNotNull(), F.size(h)).cast("long").alias("histogram_size"), F.get("video_keyframes", F.lit(0)).alias("first_frame"))
+
+
 @query("s9_load_fingerprints", "SELECT id, coalesce(nullif(dhash, ''), perceptual_hash) AS dhash, phash, sha256 FROM {photos} p LEFT JOIN {fingerprints} f ON f.photo_id = p.id WHERE NOT is_trashed")
 def _(c):
     return c.photos.filter(LIVE).join(c.fingerprints.drop("base"), F.col("id") == F.col("photo_id"), "left").select("id", F.coalesce(F.nullif("dhash", F.lit("")), "perceptual_hash").alias("dhash"), "phash", "sha256")
@@ -482,6 +511,11 @@ def _(c):
     return c.photos.select("id", K.normalize_digits(F.col("filename")).alias("digits"), K.sanitize_folder(F.col("location_name")).alias("folder"), K.has_document_filename(F.col("filename")).alias("document"))
 
 
+@query("k14_format_date", """SELECT id, CASE date_diff('day', CAST(created_at AS DATE), DATE '1998-08-02') WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday' ELSE monthname(created_at) || ' ' || CAST(day(created_at) AS VARCHAR) || ', ' || CAST(year(created_at) AS VARCHAR) END AS shown FROM {photos}""")
+def _(c):
+    return c.photos.select("id", K.format_date(F.col("created_at"), F.lit("1998-08-02").cast("date")).alias("shown"))
+
+
 @query("k14_format_size", """SELECT id, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN printf('%.1f', file_size / 1.0) || ' B' WHEN file_size < 1048576 THEN printf('%.1f', round(file_size / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(file_size / 1048576.0::DOUBLE, 1)) || ' MB' END AS size FROM {photos}""")
 def _(c):
     return c.photos.select("id", K.format_size(F.col("file_size")).alias("size"))

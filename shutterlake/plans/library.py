@@ -46,6 +46,16 @@ def _(c):
     return organize.planned(candidates(c)).select("id", "category", "target_folder")
 
 
+@query("l2_candidates_below_a_folder", "SELECT id, gps_lat, gps_lon FROM {photos} p LEFT JOIN {exif} e ON e.photo_id = p.id WHERE NOT is_trashed AND starts_with(file_path, '/lib/c1')")
+def _(c):
+    return organize.plan_candidates(c.photos, c.exif, prefix="/lib/c1").select("id", "gps_lat", "gps_lon")
+
+
+@query("l2_candidates_by_id", "SELECT id, filename, gps_lat FROM {photos} p LEFT JOIN {exif} e ON e.photo_id = p.id WHERE NOT is_trashed AND id IN (SELECT photo_id FROM {album_photos} WHERE album_id = 3)")
+def _(c):
+    return organize.plan_candidates(c.photos, c.exif, ids=c.album_photos.filter("album_id = 3").select(F.col("photo_id").alias("id"))).select("id", "filename", "gps_lat")
+
+
 @query("l4_preview", f"""WITH {CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY target_folder ORDER BY created_at DESC, id DESC) AS k FROM plan2)
 SELECT split_part(target_folder, '/', 1) AS top_folder, target_folder, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS n_bytes, string_agg(filename, ', ' ORDER BY k) FILTER (k <= 3) AS samples FROM k GROUP BY target_folder""")
 def _(c):

@@ -62,6 +62,45 @@ def _(c):
     return dup.scored_pairs(dup.candidate_pairs(fp), fp).drop("label")
 
 
+def turned(n: int) -> str:
+    """The difference hash with its first ``n`` digits complemented: ``4 * n`` bits away."""
+    return f"translate(substr(dhash, 1, {n}), '0123456789abcdef', 'fedcba9876543210') || substr(dhash, {n + 1})"
+
+
+#: Prints in which copies are 20 or 28 bits from their originals, films and pictures, with histograms, hashes of the turned picture and key frames, so that every rung of the ladders is trodden.
+RUNGS = {
+    "mime_type": "CASE WHEN base % 3 = 1 THEN 'video/mp4' ELSE 'image/jpeg' END",
+    "video_duration": "CASE WHEN base % 3 = 1 THEN CAST(base % 300 + CASE id % 40 WHEN 32 THEN 2 ELSE 0 END AS DOUBLE) + CAST(0.5 AS DOUBLE) END",
+    "seen": "dhash",
+    "dhash": f"CASE id % 40 WHEN 12 THEN {turned(5)} WHEN 22 THEN {turned(7)} WHEN 32 THEN {turned(7)} ELSE dhash END",
+    "color_histogram": "CASE WHEN id % 10 = 2 AND id % 3 = 1 THEN list_value(CAST(0.2 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.3 AS DOUBLE)) WHEN id % 10 = 2 AND id % 3 = 2 THEN list_value(CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.8 AS DOUBLE)) ELSE list_value(CAST(0.4 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.1 AS DOUBLE)) END",
+}
+RUNG_PRINTS = f"""fp AS MATERIALIZED (SELECT id, file_path, filename, file_size, created_at, width, height, sha256, partial_sha256, phash, cn, ext, {", ".join(f"{e} AS {n}" for n, e in RUNGS.items())}
+  FROM (SELECT p.* EXCLUDE (mime_type), f.sha256, f.partial_sha256, f.dhash, f.phash, trim(regexp_replace(regexp_replace(lower(p.filename), '\\.[^.]*$', ''), '(\\s*-\\s*copy|\\s*\\(\\d+\\))+', '', 'g')) AS cn, lower(regexp_extract(p.filename, '(\\.[^.]*)$', 1)) AS ext
+    FROM {{photos}} p JOIN {{fingerprints}} f ON f.photo_id = p.id WHERE NOT p.is_trashed) q)"""
+RUNG_SCORE = f"""d0 AS (SELECT c.a, c.b, x.mime_type LIKE 'video%' AS video, x.sha256 = y.sha256 AS sha, x.partial_sha256 = y.partial_sha256 AND x.file_size = y.file_size AS part, x.cn = y.cn AND x.ext = y.ext AND length(x.cn) > 1 AS named, abs(x.file_size - y.file_size) < 1024 AS near,
+  abs(x.width / x.height - y.width / y.height) > 0.20 AS apart, abs(coalesce(x.video_duration, 0) - coalesce(y.video_duration, 0)) AS sec, {hamming_sql('x.dhash', 'y.dhash')} AS d, {hamming_sql('x.phash', 'y.phash')} AS p,
+  CASE WHEN x.mime_type LIKE 'video%' THEN NULL ELSE {hamming_sql('x.dhash', 'y.seen')} END AS rot, CASE WHEN x.mime_type LIKE 'video%' THEN {hamming_sql('x.seen', 'y.seen')} ELSE 999 END AS frames, list_sum([least(x.color_histogram[i], y.color_histogram[i]) for i in range(1, 5)]) AS likeness
+  FROM c JOIN fp x ON x.id = c.a JOIN fp y ON y.id = c.b WHERE abs((x.mime_type LIKE 'video%')::INT - (y.mime_type LIKE 'video%')::INT) = 0),
+d AS (SELECT * REPLACE (CASE WHEN d > 14 AND d <= 26 AND p <= 8 THEN least(d, coalesce(rot, d)) ELSE d END AS d) FROM d0),
+e AS (SELECT a, b, video, CASE WHEN sha THEN 100 WHEN video THEN CASE WHEN named THEN 99 WHEN sec > 3 THEN NULL WHEN d <= 14 OR (d <= 22 AND p <= 6) THEN CASE WHEN d <= 6 AND sec <= 0.5 THEN 98 WHEN d <= 10 THEN 95 ELSE 90 END WHEN frames <= 12 AND sec <= 1 THEN 95 WHEN frames <= 22 THEN 90 END
+  WHEN part THEN 99 WHEN named THEN CASE WHEN near THEN 100 ELSE 99 END WHEN apart THEN NULL WHEN d <= 8 OR (d <= 12 AND p <= 4) THEN 95 WHEN d <= 16 OR (d <= 20 AND p <= 6) THEN 90 WHEN d <= 24 AND p <= 10 THEN 85 WHEN d <= 36 AND likeness >= 0.85 THEN 80 WHEN d <= 36 AND likeness >= 0.70 THEN 75 END AS confidence FROM d)"""
+
+
+def rung_prints(c: Catalog):
+    own = c.photos.filter("not is_trashed").select("id", "base", "file_path", "filename", "file_size", "created_at", "width", "height")
+    own = own.join(c.fingerprints.drop("base", "video_duration").withColumnRenamed("photo_id", "id"), "id")
+    own = own.withColumns({n: F.expr(RUNGS[n].replace("list_value(", "array(")) for n in ("mime_type", "video_duration", "color_histogram")}).withColumn("seen", F.col("dhash")).withColumn("dhash", F.expr(RUNGS["dhash"]))
+    film = F.col("mime_type") == "video/mp4"
+    return own.withColumns({"rotations": F.when(~film, F.array("seen", F.repeat(F.lit("0"), 64))), "video_keyframes": F.when(film, F.array("seen", F.repeat(F.lit("0"), 64)))}).drop("seen", "base")
+
+
+@query("d6_d8_every_rung", f"WITH {RUNG_PRINTS}, {KEYS}, {RUNG_SCORE} SELECT a, b, confidence, video AS is_video FROM e WHERE confidence IS NOT NULL")
+def _(c):
+    fp = rung_prints(c)
+    return dup.scored_pairs(dup.candidate_pairs(fp), fp, rotations=True).select("a", "b", "confidence", "is_video")
+
+
 @query("c1_connected_components", "WITH RECURSIVE r AS (SELECT base AS src, id AS dst FROM {photos} WHERE id <> base UNION SELECT id, base FROM {photos} WHERE id <> base), w AS (SELECT src AS id, src AS t FROM r UNION SELECT w.id, r.dst FROM w JOIN r ON r.src = w.t) SELECT id AS node, min(t) AS component FROM w GROUP BY id")
 def _(c):
     return connected_components(c.photos.filter("id <> base").select(F.col("id").alias("src"), F.col("base").alias("dst")))
@@ -107,6 +146,14 @@ def _(c):
     return dup.complete_groups(prints(c)).select("id", "group_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("d15_incremental_groups", f"WITH RECURSIVE {FP}, {EVERY}, {SCORE}, {GROUPS} SELECT id, group_id FROM m")
+def _(c):
+    fp = prints(c)
+    fresh, stored = fp.filter("id % 10 = 2"), fp.filter("id % 10 <> 2")
+    links = dup.complete_links(stored).union(dup.new_links(dup.keyed_looks(fresh), dup.keyed_looks(stored)))
+    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
 def values(rows) -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)

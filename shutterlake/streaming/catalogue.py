@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.operators.catalogue import upserted
-from shutterlake.operators.duplicates import blocking_keys, new_pairs
+from shutterlake.operators.duplicates import blocking_keys, keyed_looks, new_links, new_pairs
 from shutterlake.session import shared_dir
 from shutterlake.sources.media import catalog_rows, media_type
 
@@ -120,3 +120,24 @@ def stream_fingerprints(df: DataFrame, keys_path: str, pairs_path: str):
         batch.unpersist()
 
     return df.writeStream.foreachBatch(match)
+
+
+def stream_links(df: DataFrame, keys_path: str, links_path: str):
+    """A writer that links each batch of fingerprints to one another and to the stored ones, as ``new_links`` does: links follow the rows of a batch, however hot a bucket is, and all batches' links together connect what ``complete_links`` of all rows connects. Ids must not come again in a later batch.
+
+    Keys are kept as Parquet by batch and hash folder, links by batch, so that a repeated batch replaces itself and a batch reads only the folders that it has keys of.
+    """
+
+    def match(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, F.pmod(F.xxhash64("key"), F.lit(KEY_FOLDERS)).cast("int")
+        mine = keyed_looks(batch).withColumn("folder", folder).persist()
+        touched = [r.folder for r in mine.select("folder").distinct().collect()]  # ``KEY_FOLDERS`` at most
+        stored = mine.limit(0)
+        if number and touched:
+            kept = spark.read.option("basePath", keys_path).schema(mine.drop("folder").schema.add("batch", "int").add("folder", "int")).parquet(keys_path)
+            stored = kept.filter(F.col("folder").isin(touched) & (F.col("batch") < number))
+        new_links(mine, stored).write.mode("overwrite").parquet(f"{links_path}/batch={number}")
+        mine.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "folder").parquet(keys_path)
+        mine.unpersist()
+
+    return df.writeStream.foreachBatch(match)

@@ -319,22 +319,27 @@ def cut_rows(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_complete_groups_are_those_of_all_pairs(spark):
+def mixed_pictures(n=260):
+    """Rows of six looks with up to 25 bits changed, blank and missing hashes, films, shared digests and few block hashes."""
     import numpy as np
 
-    from shutterlake.operators import duplicates as dup
-
     rng = np.random.default_rng(5)
     base = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(6)]
     rows = []
-    for i in range(260):
+    for i in range(n):
         film = i % 5 == 0
         bits = int(base[rng.integers(6)], 16)
         for b in rng.choice(256, rng.integers(0, 26), replace=False):
             bits ^= 1 << int(b)
         p = int(rng.integers(0, 3)) * 0x1111 ^ (1 << int(rng.integers(0, 64)))
         rows.append((i, f"{bits:064x}" if i % 17 else ("0" * 64 if i % 2 else ""), f"{p:016x}" if i % 11 else "", f"s{i // 2}" if i % 13 == 0 else "", "video/mp4" if film else "image/jpeg", float(rng.integers(0, 9)) if film else None))
-    fp = pictures(spark, rows).repartition(3)
+    return rows
+
+
+def test_complete_groups_are_those_of_all_pairs(spark):
+    from shutterlake.operators import duplicates as dup
+
+    fp = pictures(spark, mixed_pictures()).repartition(3)
     every = dup.grouped(fp, dup.scored_pairs(dup.candidate_pairs(fp, caps=None), fp))
     want = {(r.id, r.group_id) for r in every.collect()}
     assert len(want) > 100
@@ -342,6 +347,35 @@ def test_complete_groups_are_those_of_all_pairs(spark):
         assert {(r.id, r.group_id) for r in dup.grouped(fp, dup.complete_links(fp, chunk, few)).collect()} == want
 
 
+def groups_of(links):
+    from shutterlake.operators.components import connected_components
+
+    return {(r.node, r.component) for r in connected_components(links.toDF("src", "dst")).collect()}
+
+
+def test_new_links_complete_what_stored_rows_have(spark):
+    from shutterlake.operators import duplicates as dup
+
+    fp = pictures(spark, mixed_pictures()).repartition(3)
+    want = groups_of(dup.complete_links(fp))
+    assert len(want) > 100
+    for fresh, chunk, few in (("id % 3 = 1", 2048, 32), ("id % 3 = 1", 7, 0), ("id < 20", 16, 2), ("id >= 0", 11, 0), ("id < 0", 2048, 32)):
+        new, stored = fp.filter(fresh), fp.filter(f"not ({fresh})")
+        links = dup.new_links(dup.keyed_looks(new), dup.keyed_looks(stored), chunk, few)
+        assert groups_of(dup.complete_links(stored).union(links)) == want
+        if fresh == "id < 0":
+            assert links.isEmpty()
+
+
+def test_new_links_of_a_hot_bucket_follow_the_new_rows(spark):
+    from shutterlake.operators import duplicates as dup
+
+    fp = pictures(spark, [(i, f"{1 << 255 | i % 4:064x}", f"{7:016x}", "", "image/jpeg", None) for i in range(6000)])
+    links = dup.new_links(dup.keyed_looks(fp.filter("id >= 5900")), dup.keyed_looks(fp.filter("id < 5900")))
+    assert 100 <= links.count() <= 120  # 590,000 pairs
+    assert {g for _, g in groups_of(dup.complete_links(fp.filter("id < 5900")).union(links))} == {0}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -113,3 +113,19 @@ def check_places(spark, tmp_path):
             out.writeStream.format("parquet").option("path", str(tmp_path / sink)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     got = [((r.k, r.id), r.place) for r in spark.read.schema("k string, id long, place string").parquet(str(tmp_path / sink)).collect()]
     assert len(got) == 600 and dict(got) == sessions_filled(rows)
+
+
+def test_batches_of_fingerprints_link_to_what_all_rows_link_to(spark, tmp_path):
+    from test_operators import groups_of, mixed_pictures, pictures
+
+    from shutterlake.operators import duplicates as dup
+
+    fp = pictures(spark, mixed_pictures(200))
+    keys, links, folder = (str(tmp_path / x) for x in ("keys", "links", "in"))
+    for n in range(3):
+        fp.filter(f"id % 3 = {n}").coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(fp.schema).parquet(folder)
+        streaming.stream_links(source, keys, links).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("a long, b long, batch int").parquet(links)
+    assert got.select("batch").distinct().count() == 3
+    assert groups_of(got.select("a", "b")) == groups_of(dup.complete_links(fp))
