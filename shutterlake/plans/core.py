@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as K
 from shutterlake.operators import catalogue as op
+from shutterlake.operators import summaries
 from shutterlake.plans.views import Catalog, duckdb_sql
 
 QUERIES: dict = {}
@@ -85,6 +86,20 @@ def _(c):
     return geo.select(F.round(F.col("gps_lat") * 1000).cast("long"), F.round(F.col("gps_lon") * 1000).cast("long")).distinct().agg(F.count("*").alias("n"))
 
 
+CELLS = "CAST(round(gps_lat * 1000) AS BIGINT), CAST(round(gps_lon * 1000) AS BIGINT)"
+
+
+@query("a12_cell_sketches", f"SELECT CAST(year(created_at) AS INTEGER) AS year, count(DISTINCT ({CELLS})) AS n, true AS close FROM {{exif}} e JOIN {{photos}} p ON p.id = e.photo_id WHERE NOT is_trashed AND gps_lat IS NOT NULL GROUP BY 1")
+def _(c):
+    """Cells a year from sketches a month, merged, beside the exact count: within 6 standard errors of it."""
+    geo = c.photos.filter(LIVE).join(c.exif.filter("gps_lat is not null and gps_lon is not null"), F.col("id") == F.col("photo_id"))
+    cell = [F.round(F.col(x) * 1000).cast("long") for x in ("gps_lat", "gps_lon")]
+    rows = geo.select(F.year("created_at").alias("year"), F.month("created_at").alias("month"), *[x.alias(n) for x, n in zip(cell, ("lat", "lon"), strict=True)])
+    guess = summaries.distinct_of(summaries.distinct_sketches(rows, ["year", "month"], F.col("lat"), F.col("lon")), ["year"]).withColumnRenamed("n", "guess")
+    exact = rows.groupBy("year").agg(F.count_distinct("lat", "lon").alias("n"))
+    return exact.join(guess, "year").select("year", "n", (F.abs(F.col("guess") - F.col("n")) <= F.col("n") * 6 * 1.04 / 64).alias("close"))
+
+
 @query("a13_place_groups", "SELECT location_name, count(*) AS n, arg_min(id, (created_at, id)) AS first_id FROM {photos} WHERE NOT is_trashed AND location_name <> '' GROUP BY 1")
 def _(c):
     return c.photos.filter("not is_trashed and location_name <> ''").groupBy("location_name").agg(F.count("*").alias("n"), F.min_by("id", F.struct("created_at", "id")).alias("first_id"))
@@ -131,6 +146,19 @@ def _(c):
     return op.score_summary(c.photos, "blur_score")
 
 
+@query("a21_quantile_sketches", "SELECT is_document, count(*) AS n, true AS close FROM {photos} WHERE blur_score IS NOT NULL GROUP BY 1")
+def _(c):
+    """Quartiles of scores from sketches, those of even ids added to those of odd ones: their ranks among all scores are within 2 % of all rows."""
+    half = [summaries.quantile_sketches(c.photos.filter(f"id % 2 = {k}"), ["is_document"], F.col("blur_score")) for k in (0, 1)]
+    found = summaries.quantiles_of(summaries.added(*half, ["is_document"]), ["is_document"], [0.25, 0.5, 0.75])
+    rows = c.photos.filter("blur_score is not null").select("is_document", "blur_score").join(F.broadcast(found.select("is_document", "quantiles")), "is_document")  # a row a kind
+    ok = F.lit(True)
+    for i, share in enumerate((0.25, 0.5, 0.75)):
+        q = F.get("quantiles", F.lit(i))
+        ok = ok & (F.avg((F.col("blur_score") < q).cast("double")) <= share + 0.02) & (F.avg((F.col("blur_score") <= q).cast("double")) >= share - 0.02)
+    return rows.groupBy("is_document").agg(F.count("*").alias("n"), ok.alias("close"))
+
+
 SWEEP = list(range(20, 71, 5))
 
 

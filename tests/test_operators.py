@@ -492,3 +492,30 @@ def test_exact_median(spark):
     for values, want in (([], None), ([None], None), ([3.0], 3.0), ([1.0, 2.0], 1.5), ([5.0, None, 1.0, 9.0], 5.0), ([7.0] * 50 + [1.0] * 49 + [9.0], 7.0), ([1.0] * 5 + [2.0] * 5, 1.5), ([float(i % 101) for i in range(1000)], 49.5)):
         df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
         assert exact_median(df, "v") == want, values
+
+
+def test_sketches_add_up(spark):
+    from shutterlake.operators import summaries
+
+    df = spark.range(50_000).selectExpr("id % 3 as k", "id % 5 as day", "id", "if(id % 7 = 0, null, id % 20000) as v", "cast(null as double) as none")
+    days = summaries.distinct_sketches(df, ["k", "day"], F.col("v"), F.col("k"))
+    exact = {r.k: r.n for r in df.filter("v is not null").groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
+    got = {r.k: r.n for r in summaries.distinct_of(days, ["k"]).collect()}
+    assert set(got) == set(exact) and all(abs(got[k] - n) < 0.07 * n for k, n in exact.items())
+    assert summaries.distinct_of(summaries.distinct_sketches(df, [], F.col("none"))).first().n == 0
+    old = summaries.quantile_sketches(df.filter("id < 40000 and k < 2"), ["k"], F.col("id"))
+    new = summaries.quantile_sketches(df.filter("id >= 40000 or k = 2"), ["k"], F.col("id"))
+    rows = {r.k: r for r in summaries.quantiles_of(summaries.added(old, new, ["k"]), ["k"], [0.1, 0.5]).collect()}
+    assert sum(r.n for r in rows.values()) == 50_000
+    for r in rows.values():
+        assert abs(r.quantiles[0] - 5_000) < 1_000 and abs(r.quantiles[1] - 25_000) < 1_000
+    (none,) = summaries.quantiles_of(summaries.quantile_sketches(df.filter("k = 0"), ["k"], F.col("none")), ["k"], [0.5]).collect()
+    assert none.n == 0 and none.quantiles is None
+
+
+def test_groups_are_sorted_by_what_is_asked(spark):
+    from shutterlake.operators.updates import sort_groups
+
+    groups = spark.createDataFrame([(1, 10, 90, 2), (2, 30, 75, 2), (3, 10, 99, 5)], "group_id long, recoverable_bytes long, confidence int, n long")
+    order = lambda by: [r.group_id for r in sort_groups(groups, by).collect()]
+    assert (order("size"), order("confidence"), order("count")) == ([2, 1, 3], [3, 1, 2], [3, 1, 2])
