@@ -134,7 +134,8 @@ def stream_links(df: DataFrame, keys_path: str, links_path: str):
         touched = [r.folder for r in mine.select("folder").distinct().collect()]  # ``KEY_FOLDERS`` at most
         stored = mine.limit(0)
         if number and touched:
-            kept = spark.read.option("basePath", keys_path).schema(mine.drop("folder").schema.add("batch", "int").add("folder", "int")).parquet(keys_path)
+            form = mine.drop("folder").withColumns({"batch": F.lit(0), "folder": F.lit(0)}).schema
+            kept = spark.read.option("basePath", keys_path).schema(form).parquet(keys_path)
             stored = kept.filter(F.col("folder").isin(touched) & (F.col("batch") < number))
         new_links(mine, stored).write.mode("overwrite").parquet(f"{links_path}/batch={number}")
         mine.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "folder").parquet(keys_path)
