@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -169,14 +170,14 @@ def _word(words: Sequence[str]) -> str:
 
 def place_from_text(text: Column) -> Column:
     """``struct(city, landmark, confidence)`` of the first landmark that a text names as a whole word (90), else the first city beside a travel word (75); null if neither."""
-    low = F.lower(text)
-    # patterns as data: they are only tried on the few texts that the pattern of all words lets through
-    table = lambda places, words: F.array(*[F.struct(F.lit(_word(words(p))).alias("pattern"), F.lit(p.city).alias("city"), F.lit(p.name).alias("name")) for p in places])
-    first = lambda entries: F.get(F.filter(entries, lambda p: F.rlike(low, p["pattern"])), F.lit(0))
-    mark = first(table(LANDMARKS, lambda p: p.keywords))
-    town = F.when(low.rlike("|".join(CLUES)), first(table(CITIES, lambda p: [p.name.lower()])))
-    named = F.when(mark.isNotNull(), F.struct(mark["city"].alias("city"), mark["name"].alias("landmark"), F.lit(90).alias("confidence")))
-    near = F.when(town.isNotNull(), F.struct(town["city"].alias("city"), F.lit(None).cast("string").alias("landmark"), F.lit(75).alias("confidence")))
-    chain = F.when(F.length(F.trim(text)) >= 4, F.coalesce(named, near))
-    every = _word([k for p in LANDMARKS for k in p.keywords] + [p.name.lower() for p in CITIES])
-    return F.when(low.rlike(every), chain)  # one pattern rules out most texts
+
+    def found(low: Column) -> Column:
+        # a pattern is only tried on a text that holds one of its words
+        named = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) & low.rlike(_word(words))
+        place = lambda p, mark: F.struct(F.lit(p.city).alias("city"), F.lit(p.name if mark else None).cast("string").alias("landmark"), F.lit(90 if mark else 75).alias("confidence"))
+        marks = F.coalesce(*[F.when(named(p.keywords), place(p, True)) for p in LANDMARKS])
+        towns = F.coalesce(*[F.when(named([p.name.lower()]), place(p, False)) for p in CITIES])
+        return F.coalesce(marks, F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in CLUES]), towns))
+
+    every = F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))  # the lower case is made once
+    return F.when(F.length(F.trim(text)) >= 4, every)
