@@ -1,18 +1,21 @@
 """Documents among pictures: candidates, classes of their text by signatures and rules, and what a scan writes back.
 
-Signatures are expressions within a row. Rules are a table: texts meet them by their words and what is left of these without a character, in equi-joins.
+Signatures are expressions within a row. Rules are a table: tasks find the keywords in texts by words and what is left of these without a character, and
+an equi-join brings the rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.functions.scalars import fuzzy_includes, fuzzy_words
+from shutterlake.functions.readings import held_words, misread_bits, one_edit, words_of
+from shutterlake.functions.scalars import fuzzy_words
 from shutterlake.operators.classify import social_signals
 from shutterlake.operators.once import made_once
 from shutterlake.session import cut, written
@@ -83,17 +86,25 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def read_words(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_low``, the text in lower case, and ``_words``, its fuzzy words. They are made once and shared by all rules."""
+    """``docs`` with ``_low``, the text in lower case, and ``_words``, its fuzzy words, made once."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     return made_once(docs, _low=low, _words=fuzzy_words(low))
 
 
-def identity_signature(text: Column, quality: Column, low: Column, words: Column) -> Column:
+#: Keywords of signatures that may be misread, by (word, edits).
+MISREAD = (
+    *((k, 1) for k in ("aadhaar", "aadhar", "uidai", "unique identification", "mera aadhaar", "enrolment", "passport", "elector")),
+    *((k, 2) for k in ("income tax", "permanent account", "republic of india", "election commission", "voter id", "driving licence", "driving license")),
+)
+
+
+def identity_signature(text: Column, quality: Column, low: Column) -> Column:
     """``struct(type, category, confidence)`` of the first signature that a text bears, null if none or if it looks like a social post; confidence is lower below a reading quality of 70.
 
-    ``low`` and ``words`` are those of ``read_words``.
+    ``low`` is the text in lower case.
     """
-    fuzzy = lambda k, n: fuzzy_includes(low, words, F.lit(k), n)
+    bits = misread_bits(low, MISREAD)
+    fuzzy = lambda k, n: bits.bitwiseAND(F.lit(1 << MISREAD.index((k, n)))) > 0
     has = lambda *ks: _any([F.contains(low, F.lit(k)) for k in ks])
     every = lambda *ks: _all([F.contains(low, F.lit(k)) for k in ks])
     number = r"\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b"
@@ -127,8 +138,8 @@ def identity_signature(text: Column, quality: Column, low: Column, words: Column
 
 #: Characters from which on a keyword may differ by an edit, and up to which it may even where it counts as a weak word.
 FUZZY, WEAK_FUZZY = 5, 7
-#: Rules that may be sent to where the texts are.
-MOST_RULES = 10_000
+#: Rules that may be sent to where the texts are, and texts whose hits a task holds.
+MOST_RULES, HELD = 10_000, 256
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
@@ -139,44 +150,35 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFr
     return spark.createDataFrame(rows, "at int, name string, category string, required array<string>, strong array<string>, weak array<string>, negative array<string>, regex string")
 
 
-def _shortened(word: Column) -> Column:
-    """A word and what is left of it without one of its characters. Two words of one edit or less share one of these."""
-    cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), cuts))
-
-
 def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``(_row, keyword, near)``: the ``keywords(keyword)`` that ``texts(_row, _low, _words)`` hold as they are, and, ``near``, those that they hold up to one edit.
+    """``(_row, keyword, near)``: the ``keywords(keyword)`` that ``texts(_row, _low)`` hold as they are, and, ``near``, those that they hold up to one edit.
 
     Under three characters a keyword must stand as a word, else anywhere. From ``FUZZY`` characters on a word, or a run of as many words as it has, may
-    differ by an edit: both sides are looked up by what is left of them without a character, an equi-join whatever the number of keywords.
+    differ by an edit: both sides are looked up by what is left of them without a character, and a task looks up each distinct word once.
     """
-    parts = F.size(F.split("keyword", " "))
-    n, widest, longest = keywords.agg(F.count("*"), F.coalesce(F.max(parts), F.lit(1)), F.coalesce(F.max(F.length("keyword")), F.lit(0))).first()
-    if n > 100 * MOST_RULES:
+    every = [r[0] for r in keywords.select("keyword").limit(100 * MOST_RULES + 1).collect()]
+    if len(every) > 100 * MOST_RULES:
         raise ValueError("keywords are sent to where the texts are; there are too many of them")
-    ends = F.when(parts > 1, F.array(F.element_at(F.split("keyword", " "), 1), F.element_at(F.split("keyword", " "), -1))).otherwise(F.array().cast("array<string>"))
-    every = keywords.agg(F.collect_set("keyword").alias("_keywords"), F.array_distinct(F.flatten(F.collect_set(ends))).alias("_ends"))
-    both = texts.select("_row", "_low", "_words").crossJoin(F.broadcast(every))  # one row
-    stands = lambda k: F.when(F.length(k) < 3, F.rlike(F.col("_low"), F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\b")))).otherwise(F.contains(F.col("_low"), k))
-    exact = both.select("_row", F.explode(F.filter("_keywords", stands)).alias("keyword"), F.lit(False).alias("near"))
-    # an edit touches one word of a run, so the first or the last is as in the keyword
-    word = lambda i: F.element_at("_words", i.cast("int"))
-    kept = lambda p: F.filter(F.sequence(F.lit(1), F.size("_words") - (p - 1)), lambda i: F.array_contains("_ends", word(i)) | F.array_contains("_ends", word(i + (p - 1))))
-    of = lambda p: F.transform(kept(p), lambda i: F.struct(F.lit(p).alias("of"), F.array_join(F.slice("_words", i, p), " ").alias("run")))
-    none = F.array().cast("array<struct<of:int,run:string>>")
-    runs = F.concat(F.transform("_words", lambda w: F.struct(F.lit(1).alias("of"), w.alias("run"))), *[F.when(F.size("_words") >= p, of(p)).otherwise(none) for p in range(2, widest + 1)])
-    fits = lambda x: F.length(x["run"]).between(FUZZY - 1, longest + 1)
-    read = both.select("_row", F.explode(F.array_distinct(F.filter(runs, fits))).alias("x")).select("_row", "x.of", "x.run")
-    known = keywords.filter(F.length("keyword") >= FUZZY).select("keyword", parts.alias("parts"), F.explode(_shortened(F.col("keyword"))).alias("left"))
-    # each word of the collection is looked up once
-    looked = read.select("of", "run").distinct().select("of", "run", F.explode(_shortened(F.col("run"))).alias("left")).join(F.broadcast(known), "left")
-    looked = looked.filter(((F.col("of") == 1) | (F.col("of") == F.col("parts"))) & F.levenshtein("run", "keyword", 1).between(0, 1)).select("of", "run", "keyword").distinct()
-    return exact.unionByName(read.join(looked, ["of", "run"]).select("_row", "keyword", F.lit(True).alias("near")).distinct())
+    short = [k for k in every if len(k) < 3]
+
+    def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, spelt = held_words([k for k in every if len(k) >= 3]), one_edit(every, FUZZY)
+        for frame in frames:
+            for at in range(0, len(frame), HELD):
+                part = frame.iloc[at : at + HELD]
+                found = [(row, k, near) for row, low in zip(part["_row"], part["_low"], strict=True) for near, ks in ((False, held(low)), (True, spelt(words_of(low)))) for k in ks]
+                yield pd.DataFrame(found, columns=["_row", "keyword", "near"])
+
+    found = texts.select("_row", "_low").mapInPandas(hits, "_row long, keyword string, near boolean")
+    if not short:
+        return found
+    stands = lambda k: F.rlike(F.col("_low"), F.concat(F.lit(r"\b\Q"), k, F.lit(r"\E\b")))
+    both = texts.select("_row", "_low").crossJoin(F.broadcast(keywords.filter(F.length("keyword") < 3).agg(F.collect_set("keyword").alias("_keywords"))))  # one row
+    return found.unionByName(both.select("_row", F.explode(F.filter("_keywords", stands)).alias("keyword"), F.lit(False).alias("near")))
 
 
 def with_best_rule(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str) -> DataFrame:
-    """``read_words`` of ``docs`` with ``_rule``: ``struct(type, category, points)`` of the rule with most points, the earlier of equals; null if none has a required word, or the text fewer than three words.
+    """``docs`` with ``_low``, the text in lower case, and ``_rule``: ``struct(type, category, points)`` of the rule with most points, the earlier of equals; null if none has a required word, or the text fewer than three words.
 
     Points: 35, 30 for the pattern, 15 for each strong and 5 for each weak word. Words may be misread by a letter (``keyword_hits``). Rules are rows,
     and meet the texts by their keywords: the plan is the same for any number of them.
@@ -185,7 +187,8 @@ def with_best_rule(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str
     table = cut(rule_table(spark, rules))
     if table.count() > MOST_RULES:
         raise ValueError("rules are sent to where the texts are; there are too many of them")
-    texts = written(read_words(docs, text).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    texts = written(docs.withColumns({"_low": low, "_row": F.monotonically_increasing_id()}), "texts")
     each = [table.select("at", F.lit(role).alias("role"), F.posexplode(role).alias("no", "keyword")) for role in ("required", "strong", "weak", "negative")]
     terms = cut(reduce(DataFrame.unionByName, each).withColumn("keyword", F.lower("keyword")).filter(F.length("keyword") > F.when(F.col("role") == "negative", 2).otherwise(0)))
     hits = keyword_hits(texts, terms.select("keyword").distinct())
@@ -203,11 +206,11 @@ def with_best_rule(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str
 
 def classify_text(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str = "text", quality: Column | None = None) -> DataFrame:
     """``docs`` with ``is_document``, ``doc_type``, ``doc_category`` and ``confidence``: social posts never, signatures first, then rules with at least 40 points."""
-    t, low, words = F.coalesce(F.col(text), F.lit("")), F.col("_low"), F.col("_words")
+    t, low = F.coalesce(F.col(text), F.lit("")), F.col("_low")
     quality = F.lit(85) if quality is None else quality
     dated = F.when(t.rlike(r"\b\d{2}[/.-]\d{2}[/.-]\d{4}\b"), 10).otherwise(0)
     money = F.when(t.rlike(r"[$₹€£]\s?\d+") | low.rlike(r"\b(total|amount|subtotal|balance)\s*:?\s*\d+"), 10).otherwise(0)
-    named = made_once(with_best_rule(docs, rules, text), _own=identity_signature(t, quality, low, words), _social=F.size(social_signals(t)) > 0)
+    named = made_once(with_best_rule(docs, rules, text), _own=identity_signature(t, quality, low), _social=F.size(social_signals(t)) > 0)
     named = named.withColumn("_ruled", F.when(F.col("_rule").isNotNull(), F.least(F.lit(100), F.col("_rule.points") + dated + money)))
     found = lambda x, points: F.struct(F.col(f"{x}.type").alias("type"), F.col(f"{x}.category").alias("category"), points.alias("confidence"))
     both = F.when(F.col("_social"), F.lit(None)).when(F.col("_own").isNotNull(), found("_own", F.col("_own.confidence"))).when(F.col("_ruled") >= DOCUMENT_SCORE, found("_rule", F.col("_ruled")))
@@ -215,7 +218,7 @@ def classify_text(docs: DataFrame, rules: Sequence[Rule] | DataFrame, text: str
     return named.withColumns({
         "is_document": F.col("_class").isNotNull(), "doc_type": F.coalesce("_class.type", F.lit("not_a_document")), "doc_category": F.col("_class.category"),
         "confidence": F.coalesce("_class.confidence", F.lit(0)),
-    }).drop("_class", "_low", "_words", "_own", "_rule", "_social", "_ruled")
+    }).drop("_class", "_low", "_own", "_rule", "_social", "_ruled")
 
 
 def readable(text: Column) -> Column:
@@ -270,16 +273,16 @@ def local_document(photos: DataFrame) -> DataFrame:
     name, path, text = (F.lower(F.coalesce(c, F.lit(""))) for c in ("filename", "file_path", "extracted_text"))
     mime = F.lower(F.coalesce("mime_type", F.lit("")))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == "" if c in photos.columns else F.lit(True)
-    speaks = lambda k: F.contains(name, k) | F.contains(path, F.concat(F.lit("/"), k)) | F.contains(path, F.concat(F.lit("\\"), k)) | F.contains(text, k)
-    list_of = lambda ks: F.array(*map(F.lit, ks))
+    any_of = lambda ks: "(" + "|".join(ks) + ")"
+    speaks = lambda ks: name.rlike(any_of(ks)) | path.rlike(r"[/\\]" + any_of(ks)) | text.rlike(any_of(ks))
     ratio = F.when((F.col("width") > 0) & (F.col("height") > 0), F.greatest("width", "height") / F.least("width", "height"))
     shaped = blank("make") & blank("model") & (F.col("width") >= 600)
     found = lambda category, points: F.struct(category.alias("category"), F.lit(points).alias("confidence"))
     case = F.when(F.col("is_document"), found(F.coalesce(F.nullif("document_category", F.lit("")), F.lit("General Document")), 95))
     case = case.when(mime.rlike("pdf|text|document|word|sheet"), found(F.lit("General Document"), 90))
     for category, ks in CATEGORY_WORDS.items():
-        case = case.when(F.exists(list_of(ks), speaks), found(F.lit(category), 85))
-    case = case.when(F.exists(list_of(GENERAL_WORDS), lambda k: F.contains(name, k) | F.contains(path, k)), found(F.lit("General Document"), 75))
+        case = case.when(speaks(ks), found(F.lit(category), 85))
+    case = case.when(name.rlike(any_of(GENERAL_WORDS)) | path.rlike(any_of(GENERAL_WORDS)), found(F.lit("General Document"), 75))
     case = case.when(shaped & ratio.between(1.54, 1.62), found(F.lit(IDENTITY), 60)).when(shaped & ratio.between(1.38, 1.45), found(F.lit("General Document"), 60))
     out = made_once(photos, _found=case.otherwise(found(F.lit("Non-Document"), 0)))
     return out.withColumns({"local_category": F.col("_found.category"), "local_confidence": F.col("_found.confidence")}).drop("_found")

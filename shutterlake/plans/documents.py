@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import scalars as K
 from shutterlake.operators import classify, documents
 from shutterlake.operators.documents import Rule
+from shutterlake.operators.once import made_once
 from shutterlake.plans.views import Catalog, duckdb_sql
 
 QUERIES: dict = {}
@@ -142,8 +143,8 @@ def _(c):
 
 @query("c3_identity_signatures", f"WITH {DOCS}, {TEXTS}, {SIG_TABLE} SELECT id, stype AS type, scat AS category, CASE WHEN sg.sig = 10 THEN 90 WHEN id % 3 > 0 THEN 100 WHEN sg.sig < 6 THEN 85 ELSE 90 END AS confidence FROM sg JOIN sigs ON sigs.sig = sg.sig WHERE NOT social")
 def _(c):
-    found = documents.identity_signature(F.col("text"), F.when(F.col("id") % 3 > 0, 70).otherwise(69), F.col("_low"), F.col("_words"))
-    return documents.read_words(said(c), "text").select("id", found.alias("x")).filter("x is not null").select("id", "x.type", "x.category", "x.confidence")
+    found = documents.identity_signature(F.col("text"), F.when(F.col("id") % 3 > 0, 70).otherwise(69), F.col("_low"))
+    return made_once(said(c).withColumn("_low", F.lower("text")), x=found).filter("x is not null").select("id", "x.type", "x.category", "x.confidence")
 
 
 @query("c4_taxonomy", f"WITH {DOCS}, {TEXTS}, {RULED} SELECT id, rtype AS type, rcat AS category, CAST(best AS INTEGER) AS points FROM bn JOIN rules ON rules.which = bn.which")

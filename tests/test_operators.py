@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import random
 import struct
 import zlib
 
@@ -519,3 +520,32 @@ def test_groups_are_sorted_by_what_is_asked(spark):
     groups = spark.createDataFrame([(1, 10, 90, 2), (2, 30, 75, 2), (3, 10, 99, 5)], "group_id long, recoverable_bytes long, confidence int, n long")
     order = lambda by: [r.group_id for r in sort_groups(groups, by).collect()]
     assert (order("size"), order("confidence"), order("count")) == ([2, 1, 3], [3, 1, 2], [3, 1, 2])
+
+
+def test_misread_words_equal_the_expressions(spark):
+    """The helpers of tasks against ``fuzzy_includes`` on words with random edits, and substrings."""
+    from shutterlake.functions import readings
+    from shutterlake.operators import documents
+
+    rng, keywords = random.Random(3), list(documents.MISREAD)
+    texts = ["", "the republic off india (republik of indja)", "incometax office", "voter ids / uidai", "elect1on comission"]
+    for k, _ in keywords * 12:
+        w = list(k)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(["", "z", w[at] + "q"])
+        texts.append(f"some {''.join(w)}, words-here {rng.choice(['pass', 'income', 'electio'])}")
+    df = documents.read_words(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    for row in df.select("t", *[K.fuzzy_includes(F.col("_low"), F.col("_words"), F.lit(k), n).alias(f"k{i}") for i, (k, n) in enumerate(keywords)], readings.misread_bits(F.col("_low"), keywords).alias("bits")).collect():
+        assert [bool(row.bits >> i & 1) for i in range(len(keywords))] == [row[f"k{i}"] for i in range(len(keywords))], row.t
+    held = readings.held_words(["tax", "x i", "axi"])
+    assert (held("taxi in"), held("tax in x i"), held("")) == ({"tax", "axi"}, {"tax", "x i"}, set())
+
+
+def test_texts_are_not_read_by_loops_over_words_and_rules(spark):
+    """Word lists, rules and places cost one look at each distinct word, not an interpreted loop over all words for each keyword."""
+    from shutterlake.plans import catalogue
+
+    for name in ("c3_identity_signatures", "c4_taxonomy", "c5_classify_text", "c6_text_categories"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "levenshtein" not in plan and "_keywords" not in plan, name
