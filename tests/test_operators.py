@@ -549,3 +549,41 @@ def test_texts_are_not_read_by_loops_over_words_and_rules(spark):
     for name in ("c3_identity_signatures", "c4_taxonomy", "c5_classify_text", "c6_text_categories"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "levenshtein" not in plan and "_keywords" not in plan, name
+
+
+def test_pairs_of_a_large_key_meet_in_units(spark):
+    rows = [(i, f"IMG_{'E' if i % 7 == 0 else ''}{4000 + i % 3}.jpg", dt.datetime(2024, 1, 1, 0, 0, i % 60)) for i in range(90)] + [(90, "portrait_4001.jpg", None), (91, "x.jpg", None)]
+    df = spark.createDataFrame(rows, "id long, name string, at timestamp")
+    both = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id")).filter(K.portrait_pair(F.col("a.name"), F.col("a.at"), F.col("b.name"), F.col("b.at")))
+    want = {(r[0], r[1]) for r in both.select("a.id", "b.id").collect()}
+    for unit in (4, 2048):
+        got = [tuple(r) for r in duplicates.portrait_pairs(df, unit).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_new_pairs_of_a_large_key_are_given_out_once(spark):
+    rows = [(i, f"/p/IMG-20240101-WA{i % 5}.jpg", f"IMG-20240101-WA{i % 5}.jpg", 100 + i % 4, f"s{i % 9}", "p", "", "", dt.datetime(2024, 1, 1, 0, 0, i % 60), None) for i in range(60)]
+    fp = spark.createDataFrame(rows, "id long, file_path string, filename string, file_size long, sha256 string, partial_sha256 string, dhash string, phash string, created_at timestamp, video_duration double")
+    want = {(min(a, b), max(a, b)) for a in range(0, 60, 3) for b in range(60) if a != b}  # all share a sequence number
+    got = [tuple(r) for r in duplicates.new_pairs(fp.filter("id % 3 = 0"), duplicates.blocking_keys(fp.filter("id % 3 > 0")), unit=7).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_parts_of_a_hash_lose_no_near_one(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        x = rng.getrandbits(256)
+        y = x
+        for b in rng.sample(range(256), 24):
+            y ^= 1 << b
+        rows.append((i, x, y))
+    word = lambda v, k: (w := v >> (192 - 64 * k) & (2**64 - 1)) - (1 << 64 if w >> 63 else 0)
+    look = "struct<" + ",".join(f"dhash{k}:long" for k in range(4)) + ">"
+    sides = [spark.createDataFrame([(r[0], tuple(word(r[s], k) for k in range(4))) for r in rows], f"id long, look {look}").select("id", duplicates._parts().alias(f"p{s}")) for s in (1, 2)]
+    both = {r.id: (r.p1, r.p2) for r in sides[0].join(sides[1], "id").collect()}
+    ends = [256 * i // 25 for i in range(26)]
+    for i, x, y in rows:
+        for v, parts in zip((x, y), both[i]):
+            assert parts == [v >> (256 - b) & ((1 << (b - a)) - 1) for a, b in zip(ends, ends[1:])]
+        assert any(p == q for p, q in zip(*both[i]))
