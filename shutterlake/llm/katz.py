@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,7 +37,7 @@ from shutterlake.sources.tables import read_table
 
 CUTOFF, ORDER = 5, 2
 #: Characters of text in a block, but for a longer single text; words a task remembers; tokens for each partition of a table.
-BLOCK, CACHED, SHARE = 12_000_000, 300_000, 2_000_000
+BLOCK, CACHED, SHARE = 12_000_000, 50_000, 2_000_000
 #: Occurrences below which no history is spread over partitions.
 HOT = 1000
 #: Marks among word numbers: the start of a text, and a word not seen in training.
@@ -101,7 +102,7 @@ class Unigrams:
 def _blocks(docs: DataFrame) -> DataFrame:
     """Texts as local word numbers: ``words`` are the sorted distinct words of a block, ``counts`` how often they occur in its training texts."""
 
-    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from xxhash import xxh64_intdigest
 
@@ -117,18 +118,21 @@ def _blocks(docs: DataFrame) -> DataFrame:
         end = np.array([xxh64_intdigest(b"\n", 42)], np.uint64)  # no word holds a line feed
         name, held, size = TaskContext.get().partitionId() << 33, [], 0
 
-        def whole() -> pd.DataFrame:
-            words, local = np.unique(np.concatenate([x for _, _, x in held]), return_inverse=True)
+        def whole() -> pa.RecordBatch:
             lengths = np.array([len(x) for _, _, x in held])
             train = np.array([t for _, t, _ in held], np.uint8)
+            tokens = np.concatenate([x for _, _, x in held])
+            words = np.unique(tokens)
+            local = np.searchsorted(words, tokens).astype(np.uint32)
             counts = np.bincount(local[np.repeat(train, lengths) > 0], minlength=len(words))
             known_id = np.array([i is not None for i, _, _ in held], np.uint8)
             ids = np.array([int(i or 0) for i, _, _ in held], np.int64)
-            arrays = {"ids": ids, "known": known_id, "train": train, "lengths": lengths.astype(np.uint32), "local": local.astype(np.uint32), "words": words, "counts": counts.astype(np.uint32)}
-            return pd.DataFrame({"block": [name], "tokens": [len(local)]} | {k: [pack(v)] for k, v in arrays.items()})
+            arrays = {"ids": ids, "known": known_id, "train": train, "lengths": lengths.astype(np.uint32), "local": local, "words": words, "counts": counts.astype(np.uint32)}
+            return pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "tokens": pa.array([len(local)], pa.int64())} | {k: pa.array([pack(v)], pa.binary()) for k, v in arrays.items()})
 
-        for frame in frames:
-            for doc_id, learns, text in zip(frame["id"], frame["learns"], frame["text"], strict=True):
+        for batch in batches:  # a text at a time becomes Python's
+            for doc_id, learns, text in zip(*(batch.column(c) for c in ("id", "learns", "text")), strict=True):
+                doc_id, learns, text = doc_id.as_py(), learns.as_py(), text.as_py()
                 words = (text or "").encode().lower().split()
                 held.append((doc_id, learns, np.append(np.fromiter(map(number, words), np.uint64, len(words)), end)))
                 size += len(text or "")
@@ -138,7 +142,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield whole()
 
-    return docs.mapInPandas(block, "block long, tokens long, ids binary, known binary, train binary, lengths binary, local binary, words binary, counts binary")
+    return docs.mapInArrow(block, "block long, tokens long, ids binary, known binary, train binary, lengths binary, local binary, words binary, counts binary")
 
 
 def _merge_words(blocks: DataFrame, bits: int) -> DataFrame:
