@@ -4,8 +4,10 @@ import datetime as dt
 import random
 import time
 import uuid
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from shutterlake.streaming import catalogue as streaming
@@ -115,6 +117,52 @@ def check_places(spark, tmp_path):
     assert len(got) == 600 and dict(got) == sessions_filled(rows)
 
 
+class Timers:
+    """A key's list, value and timers, as a stateful processor gets them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.value = [], set(), None
+
+    def getListState(self, name, schema):
+        return SimpleNamespace(get=lambda: iter(self.rows), put=lambda x: setattr(self, "rows", list(x)), appendList=self.rows.extend, clear=lambda: setattr(self, "rows", []))
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.value, exists=lambda: self.value is not None, update=lambda x: setattr(self, "value", x), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_a_key_of_many_sessions_holds_one_timer_and_closes_them_at_once():
+    handle, own, at = Timers(), places.OpenSessions("k", 100), np.arange(50) * 1_000_000_000
+    own.init(handle)
+    list(own.handleInputRows(("x",), iter([pd.DataFrame({"epoch_micros_of_row": at, "id": range(50), "place": ["p", None] * 25})]), None))
+    assert handle.timers == {100_001}
+    out = pd.concat(own.handleExpiredTimer(("x",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 30_000_000), None))
+    assert out["id"].tolist() == list(range(30)) and out["place"].tolist() == ["p", None] * 15  # each row is a session
+    assert len(handle.rows) == 20 and max(handle.timers) == 30_100_001 and handle.value == (30_000_000_000, 49_000_000_000)
+
+
+def test_sessions_end_by_microseconds():
+    handle, own = Timers(), places.OpenSessions("k", 100)
+    own.init(handle)
+    rows = pd.DataFrame({"epoch_micros_of_row": [100_000, 100_900_000, 200_900_000], "id": [1, 2, 3], "place": ["p", None, "q"]})
+    list(own.handleInputRows(("x",), iter([rows]), None))
+    out = pd.concat(own.handleExpiredTimer(("x",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9), None))
+    assert out["place"].tolist() == ["p", "q", "q"]  # 100.8 seconds apart, though 100 whole ones; then 100 exactly
+
+
+def test_a_session_that_goes_on_takes_its_timer_along():
+    handle, own = Timers(), places.OpenSessions("k", 100)
+    own.init(handle)
+    for t in (0, 90, 60, 180):
+        list(own.handleInputRows(("x",), iter([pd.DataFrame({"epoch_micros_of_row": [t * 1_000_000], "id": [t], "place": [None]})]), None))
+    assert handle.timers == {280_001}
+
+
 def test_batches_of_fingerprints_link_to_what_all_rows_link_to(spark, tmp_path):
     from test_operators import groups_of, mixed_pictures, pictures
 
