@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from shutterlake.session import cut
 
-#: Rows of a block, at about.
-ROWS = 2048
+#: Most rows of a block, at about. A block is copied once for each block that it meets, so bytes shuffled fall as this rises.
+ROWS = 16_384
+#: Distances that a task holds at once.
+TILE = 1 << 21
 #: Most pivots. Bounds are kept for each cell and pivot, so this squared is what the driver holds.
 PIVOTS = 128
 #: Rows among which pivots are chosen.
@@ -31,8 +33,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T))
 
 
-def _matrix(packed) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1)
+def _matrix(packed, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype(np.float64)
+
+
+def tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The distances between the rows of ``a`` and ``b``, some rows of ``a`` at a time, each with its first row."""
+    step = max(1, TILE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        yield at, distances(a[at : at + step], b)
 
 
 def chosen_pivots(df: DataFrame, count: int) -> np.ndarray:
@@ -60,6 +69,7 @@ class Cells:
     low: np.ndarray
     high: np.ndarray
     scale: float
+    kind: str
 
     @property
     def parts(self) -> np.ndarray:
@@ -74,6 +84,7 @@ class Cells:
 def celled(df: DataFrame, extra: tuple[str, ...], points: np.ndarray) -> Cells:
     """Each row of ``df(id, descriptor)`` with its cell, computed once and written."""
     kinds = dict(df.dtypes)
+    kind = "<f4" if kinds["descriptor"] == "array<float>" else "<f8"
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *extra)) + ", v binary, cell int"
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,14 +94,14 @@ def celled(df: DataFrame, extra: tuple[str, ...], points: np.ndarray) -> Cells:
                 ok = np.isfinite(v).all(axis=1)
                 v, frame = v[ok], frame[ok]
                 if len(frame):
-                    yield frame.drop(columns="descriptor").assign(v=[x.tobytes() for x in v], cell=distances(v, points).argmin(axis=1).astype(np.int32))
+                    yield frame.drop(columns="descriptor").assign(v=[x.tobytes() for x in v.astype(kind)], cell=distances(v, points).argmin(axis=1).astype(np.int32))
 
     def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(points)
         sizes, low, high = np.zeros(k, dtype=np.int64), np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for frame in frames:
             if len(frame):
-                cell, gap = frame["cell"].to_numpy(), distances(_matrix(list(frame["v"])), points)
+                cell, gap = frame["cell"].to_numpy(), distances(_matrix(list(frame["v"]), kind), points)
                 np.add.at(sizes, cell, 1)
                 np.minimum.at(low, cell, gap)
                 np.maximum.at(high, cell, gap)
@@ -106,7 +117,7 @@ def celled(df: DataFrame, extra: tuple[str, ...], points: np.ndarray) -> Cells:
     for r in each.groupBy("cell", "pivot").agg(F.sum("n").alias("n"), F.min("b.low").alias("low"), F.max("b.high").alias("high")).collect():
         sizes[r.cell], low[r.cell, r.pivot], high[r.cell, r.pivot] = r.n, r.low, r.high
     reach = high[np.isfinite(high)].max(initial=0.0)
-    return Cells(own, extra, sizes, low, high, 1 + reach + (np.sqrt((points**2).sum(axis=1)).max() if k else 0.0))
+    return Cells(own, extra, sizes, low, high, 1 + reach + (np.sqrt((points**2).sum(axis=1)).max() if k else 0.0), kind)
 
 
 def near_cells(a: Cells, b: Cells, limit: float) -> np.ndarray:
@@ -125,7 +136,8 @@ def _blocks(own: Cells, near: np.ndarray, partners: Cells, mine: str, theirs: st
     spark = own.rows.sparkSession
     cells = F.broadcast(spark.createDataFrame(table, "cell int, start int, parts int, ranges array<struct<first:int,last:int>>"))  # PIVOTS rows at most
     numbered = own.rows.join(cells.select("cell", "start", "parts"), "cell").withColumn("block", F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    packed = numbered.groupBy("block", "cell").agg(F.collect_list(F.struct("id", "v", *own.extra)).alias(rows))
+    packed = numbered.groupBy("block", "cell").agg(F.collect_list(F.struct("id", "v", *own.extra)).alias("rows"))
+    packed = packed.select("block", "cell", F.struct(*[F.col(f"rows.{c}").alias(c) for c in ("id", "v", *own.extra)]).alias(rows))  # an array for each column
     spread = packed.join(cells.select("cell", F.explode("ranges").alias("r")), "cell")
     return spread.select(F.col("block").alias(mine), rows, F.explode(F.sequence("r.first", "r.last")).alias(theirs))
 
@@ -139,17 +151,20 @@ def block_pairs(a: Cells, b: Cells, limit: float, triangle: bool = False) -> Dat
     return left.join(right, ["i", "j"])
 
 
-def each_pair(kernel: Callable, schema: str, pairs: DataFrame) -> DataFrame:
-    """``kernel(a, b, gap)`` of each of ``pairs``: the rows of both blocks and their distances."""
+def each_pair(kernel: Callable, schema: str, a: Cells, b: Cells, limit: float, triangle: bool = False) -> DataFrame:
+    """``kernel(x, y, same)`` of each two blocks of ``block_pairs``: dicts of arrays by column, ``v`` a matrix; ``same`` if both are one block. A task holds one pair at a time."""
+    columns = {"a": ("id", *a.extra), "b": ("id", *b.extra)}
+    kinds = {"a": a.kind, "b": b.kind}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a, b in zip(frame["a"], frame["b"], strict=True):
-                yield kernel(a, b, distances(*(_matrix([r["v"] for r in x]) for x in (a, b))))
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = ({c: np.asarray(frame[f"{s}_{c}"].iloc[0]) for c in columns[s]} | {"v": _matrix(list(frame[f"{s}_v"].iloc[0]), kinds[s])} for s in ("a", "b"))
+        return kernel(x, y, triangle and key[0] == key[1])
 
-    return pairs.select("a", "b").mapInPandas(run, schema)
+    pairs = block_pairs(a, b, limit, triangle)
+    flat = pairs.select("i", "j", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in (*columns[s], "v")])
+    return flat.groupBy("i", "j").applyInPandas(run, schema)
 
 
 def pivots_for(df: DataFrame) -> np.ndarray:
-    """As many pivots as ``df`` has blocks, ``PIVOTS`` at most."""
-    return chosen_pivots(df, min(PIVOTS, max(1, -(-df.count() // ROWS))))
+    """A pivot for an eighth of a block's rows, ``PIVOTS`` at most."""
+    return chosen_pivots(df, min(PIVOTS, max(1, -(-df.count() // max(1, ROWS // 8)))))

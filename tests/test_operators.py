@@ -434,6 +434,38 @@ def test_many_rules_are_rows_and_match_brute_force(spark):
     assert abs(size(60) - size(165)) < 0.1 * size(60)
 
 
+def test_vectors_meet_in_tiles_and_once(spark, monkeypatch):
+    from shutterlake.operators import people, vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 40)
+    monkeypatch.setattr(vectors, "TILE", 300)
+    monkeypatch.setattr(people, "_means", None)  # limits that reach every distance need no second pass
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (200, 8)).astype(np.float32)
+    v[100] = v[3]
+    faces = spark.createDataFrame([(i, i % 7, [float(x) for x in v[i]]) for i in range(200)], "id long, person_id long, descriptor array<float>").repartition(3)
+    assert max(gap.size for _, gap in vectors.tiles(v, v[:90])) <= 300
+    assert {len(r.v) for r in vectors.celled(faces, (), vectors.pivots_for(faces)).rows.collect()} == {32}  # four bytes an entry
+    w = v.astype(np.float64)
+    gap = np.sqrt(((w[:, None] - w[None]) ** 2).sum(axis=2))
+    of = np.arange(200) % 7
+    got = {(r.a, r.b): (r.distance, r.effective) for r in people.merge_suggestions(faces, sure=1.0, likely=9.0, best=0.9).collect()}
+    want = {}
+    for a in range(7):
+        for b in range(a + 1, 7):
+            part = gap[of == a][:, of == b]
+            least = min(1.0, part.min())
+            want[a, b] = (least, 0.65 * least + 0.35 * part.mean())
+    assert set(got) == set(want) and all(abs(got[k][i] - want[k][i]) < 1e-4 for k in want for i in (0, 1))
+    least = np.arange(200)
+    while not (nxt := np.array([least[gap[i] < 1.3].min() for i in range(200)])).tolist() == least.tolist():
+        least = nxt
+    assert [r.cluster_id for r in people.clustered_faces(faces, 1.3).orderBy("id").collect()] == least.tolist()
+    near = gap[:50, 50:].argmin(axis=1)
+    found = people.assigned_faces(faces.filter("id < 50").drop("person_id"), faces.filter("id >= 50"), 9.0).orderBy("id").collect()
+    assert [r.person_id for r in found] == ((near + 50) % 7).tolist()
+
+
 def test_merge_suggestions_look_at_near_people_alone(spark):
     import numpy as np
 
