@@ -136,12 +136,13 @@ def catalog_rows(files: DataFrame) -> DataFrame:
 
 
 def assigned_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """``files(path)`` with ``source_folder_path``: the first by id of ``folders(id, folder_path)`` above it, else its own folder. Folders above a path are listed, so the join is an equi-join."""
-    parent = F.regexp_replace("path", r"[/\\][^/\\]*$", "")
-    parts = F.split(parent, "/")
+    """``files(path)`` with ``source_folder_path``: the first by id of ``folders(id, folder_path)`` above it, else its own folder. Folders above each distinct parent are listed, so the join is an equi-join and a top folder meets parents, not files."""
+    own = files.withColumn("_parent", F.regexp_replace("path", r"[/\\][^/\\]*$", ""))
+    parts = F.split("_parent", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hits = files.select("path", F.explode(above).alias("folder_path")).join(folders, "folder_path").groupBy("path").agg(F.min_by("folder_path", "id").alias("known"))
-    return files.join(hits, "path", "left").withColumn("source_folder_path", F.coalesce("known", parent)).drop("known")
+    parents = own.select("_parent").distinct().select("_parent", F.explode(above).alias("folder_path"))
+    hits = parents.join(folders, "folder_path").groupBy("_parent").agg(F.min_by("folder_path", "id").alias("_known"))
+    return own.join(hits, "_parent", "left").select(*files.columns, F.coalesce("_known", "_parent").alias("source_folder_path"))
 
 
 def content_digests(files: DataFrame, head: int = 65536) -> DataFrame:

@@ -466,6 +466,19 @@ def test_vectors_meet_in_tiles_and_once(spark, monkeypatch):
     assert [r.person_id for r in found] == ((near + 50) % 7).tolist()
 
 
+def test_a_top_folder_meets_parents_not_files(spark):
+    from shutterlake.sources.media import assigned_folders
+
+    paths = [f"/a/b/{i}.jpg" for i in range(30)] + ["/a/c/x.jpg", "/a/c/x.jpg", "/z.jpg", "x.jpg", "\\\\d\\y.jpg", None]
+    files = spark.createDataFrame([(p, n) for n, p in enumerate(paths)], "path string, n int").repartition(3)
+    folders = spark.createDataFrame([(2, "/a"), (1, "/a/b"), (3, "/q")], "id long, folder_path string")
+    out = assigned_folders(files, folders)
+    got = {r.n: r.source_folder_path for r in out.collect()}
+    assert [got[n] for n in range(36)] == ["/a/b"] * 30 + ["/a", "/a", "", "x.jpg", "\\\\d", None] and out.columns == ["path", "n", "source_folder_path"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]  # the listing of folders is over distinct parents
+
+
 def test_merge_suggestions_look_at_near_people_alone(spark):
     import numpy as np
 
