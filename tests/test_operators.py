@@ -479,6 +479,17 @@ def test_a_top_folder_meets_parents_not_files(spark):
     assert "Aggregate" in plan[plan.index("Generate") :]  # the listing of folders is over distinct parents
 
 
+def test_a_pair_is_measured_once(spark):
+    from shutterlake.operators import duplicates as dup
+
+    fp = pictures(spark, mixed_pictures(40))
+    found = dup.links_of(fp)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") == 5  # four words of one hash, one of the other, however many levels look at them
+    pairs = dup.candidate_pairs(fp).union(dup.digest_links(fp)).distinct()
+    assert sorted(found.collect()) == sorted(dup.scored_pairs(pairs, fp).collect())
+
+
 def test_merge_suggestions_look_at_near_people_alone(spark):
     import numpy as np
 
