@@ -11,10 +11,13 @@ Method. Each text gets a 64-bit fingerprint; from here on only distinct fingerpr
 A key with many fingerprints is cut into chunks by hash; every pair of chunks is a unit of work of its own, so no task
 ever holds more than two chunks and no pair is lost.
 
-The pipeline's stage (``keep_one``) has another rule, exact Jaccard of 5-word shingles of 0.8 or more, at which 64 bits are of no use: such
-pairs differ in about 10 bits. Its candidates share one of ``BANDS`` min-hash keys; its pivot table counts a text's shingles in ``PARTS`` parts of
-the hash space, and as the counts of two texts can't differ by more than their sets do, pairs beyond that are discarded without loss. The
-rest are verified by their sets of 64-bit shingle hashes.
+The pipeline's stage (``keep_one``) has another rule, exact Jaccard of 5-word shingles of 0.8 or more, at which two whole texts differ in about 10
+of 64 bits, too many for blocks. It takes several fingerprints of a text instead of one: the SimHash of each of ``SAMPLES`` samples of ``DRAWS``
+shingles, drawn alike from every text (least hashes). A sample that differs in one shingle is already about 12 bits away, so their radius is 0 and the
+only block is the fingerprint itself: texts are candidates if a sample of theirs has the same fingerprint. Candidates have a pivot distance table in
+the rule's own distance (shingles that only one of two sets has): the reference sets are ``PARTS`` parts of the hash space, a set's distance to one
+follows from its size and its shingles there, and pairs that differ there by more than the rule allows are discarded without loss. The rest are
+verified by their sets of 64-bit shingle hashes.
 
 Defined cases: a null text counts as empty; a text with no words has fingerprint 0 and links like any other; a text with
 fewer words than a shingle is one shingle. Rows with a null id are returned, but a null is never the least id (a
@@ -45,8 +48,8 @@ PIVOTS = 16
 CHUNK = 2048
 #: The stage's rule: words of a shingle, and the Jaccard of two texts' shingles (4 of 5) from which on they are near copies.
 WIDTH, LIKENESS = 5, (4, 5)
-#: Keys of a text, and least hashes in each: a pair at the rule's edge shares one with a chance of 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, ROWS = 20, 5
+#: Sampled fingerprints of a text, and shingles drawn for each: a pair at the rule's edge shares one with a chance of 1 - (1 - 0.8^5)^20 = 0.9996.
+SAMPLES, DRAWS = 20, 5
 #: Parts of the hash space in which shingles are counted, and texts that a unit takes from each of its chunks.
 PARTS, UNIT = 64, 512
 
@@ -60,6 +63,16 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [_signed((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(n)]
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each of the 64 bits set; of several rows of hashes, for each row."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(*hashes.shape, 8), axis=-1, bitorder="little").sum(-2, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> np.ndarray:
+    """The fingerprints, as signed longs, with the bits that are set in over half of ``total`` hashes."""
+    return np.packbits(2 * ones > total, axis=-1, bitorder="little").view(np.int64).ravel()
+
+
 def simhash_udf(width: int = 3) -> Column:
     """A pandas UDF from text to its fingerprint as a signed long."""
 
@@ -75,8 +88,8 @@ def simhash_udf(width: int = 3) -> Column:
             total, ones = 0, np.zeros(64, np.int64)
             while len(h := np.fromiter((xxh64_intdigest(s, 42) for s in islice(shingles, 65536)), np.uint64)):
                 total += len(h)
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+                ones += _ones(h)
+            return int(_majority(ones, total)[0])
 
         return pd.Series([of(x) for x in texts], dtype="int64")
 
@@ -177,25 +190,27 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
 
 
-def band_keys_udf(width: int = WIDTH) -> Column:
-    """A pandas UDF from text to its ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles. Texts without words share all keys."""
+def sample_prints_udf(width: int = WIDTH) -> Column:
+    """A pandas UDF from text to the distinct ones of its ``SAMPLES`` fingerprints.
 
-    @F.pandas_udf("array<long>")
-    def band_keys(texts: pd.Series) -> pd.Series:
-        from xxhash import xxh64_intdigest
+    A sample's draw is the shingle whose hash, mixed anew for each draw, is least, so two texts make the same draw with the chance of their Jaccard;
+    the sample's fingerprint is the SimHash of the mixed hashes drawn. A text without words has fingerprint 0 alone.
+    """
 
-        mix, turn = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    @F.pandas_udf("array<long>")
+    def sample_prints(texts: pd.Series) -> pd.Series:
+        mix, turn = np.random.default_rng(11).integers(0, 1 << 64, (2, SAMPLES * DRAWS), dtype=np.uint64)
         turn |= np.uint64(1)
 
         def of(text: str | None) -> list[int]:
-            own, least = shingle_set(text, width), np.full(BANDS * ROWS, ~np.uint64(0))
+            own, least = shingle_set(text, width), np.full(SAMPLES * DRAWS, ~np.uint64(0))
             for at in range(0, len(own), 4096):
                 least = np.minimum(least, ((own[at : at + 4096, None] ^ mix) * turn).min(axis=0))
-            return [_signed(xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+            return np.unique(_majority(_ones(least.reshape(SAMPLES, DRAWS)), DRAWS)).tolist() if len(own) else [0]
 
         return pd.Series([of(x) for x in texts])
 
-    return band_keys
+    return sample_prints
 
 
 def _near_in_unit(sets: list[np.ndarray], parts: list[int], star: bool) -> list[tuple[int, int]]:
@@ -214,7 +229,7 @@ def _near_in_unit(sets: list[np.ndarray], parts: list[int], star: bool) -> list[
 
     links = []
     for i in range(1 if star else len(sets) - 1):
-        # a lower bound of the symmetric difference against the most that the likeness allows
+        # by the triangle inequality at least this many shingles are in one set only; the likeness allows a part of both sizes
         apart, both = np.abs(table[i + 1 :] - table[i]).sum(axis=1), size[i + 1 :] + size[i]
         for j in (np.nonzero((num + den) * apart <= (den - num) * both)[0] + i + 1).tolist():
             if (x := root(i)) != (y := root(j)):
@@ -250,13 +265,14 @@ def _text_links(units: DataFrame, texts: DataFrame, width: int, star: bool) -> D
 
 
 def jaccard_links(texts: DataFrame, width: int = WIDTH, unit: int = UNIT) -> DataFrame:
-    """``(src, dst)``: links among the rows of ``texts(row, text)`` that connect those with a Jaccard of ``LIKENESS`` or more that share a band key.
+    """``(src, dst)``: links among the rows of ``texts(row, text)`` that connect those with a Jaccard of ``LIKENESS`` or more that share the fingerprint of a sample, their key.
 
     First each row of a key meets the key's least row, which settles most large groups. In a key that still holds several components, the rows outside
     the largest of them are cut into chunks that meet each other and the chunks of the largest: every pair of different components is verified, no key is
     left out for its size, and the work on a large group is its size times that of the rest. Only texts that share a key are shuffled, once.
     """
-    keyed = cut(texts.select("row", F.explode(band_keys_udf(width)(F.col("text"))).alias("key")))
+    prints = written(texts.select("row", sample_prints_udf(width)(F.col("text")).alias("prints")), "fingerprints")
+    keyed = prints.select("row", F.explode("prints").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
     members = cut(keyed.join(shared, "key").select("key", "row", "first"))
     texts = written(texts.join(members.select("row").distinct(), "row", "left_semi"), "candidates")

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from shutterlake.llm.simhash import fingerprint_links, keep_one, near_duplicates
+from shutterlake.llm.simhash import DRAWS, SAMPLES, fingerprint_links, keep_one, near_duplicates, sample_prints_udf
 from shutterlake.operators.components import connected_components
 
 
@@ -100,3 +100,22 @@ def test_stage_reaches_jaccard_of_four_fifths(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for unit in (512, 3):  # whole keys, and keys cut into chunks
         assert sorted(r.doc_id for r in keep_one(df, unit=unit).collect()) == sorted(set(least))
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_stage_fingerprints_are_simhashes(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 5, 6, 30, 300, 6000)] + ["A b\tC d e a B c D e", None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r[0]: r[1] for r in df.select("row", sample_prints_udf()("text")).collect()}
+    mix, turn = np.random.default_rng(11).integers(0, 1 << 64, (2, SAMPLES * DRAWS), dtype=np.uint64).tolist()
+    for i, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        own = {xxhash.xxh64_intdigest(b" ".join(words[at : at + 5]), 42) for at in range(max(1, len(words) - 4))} if words else set()
+        draws = [min((h ^ m) * (t | 1) % (1 << 64) for h in own) for m, t in zip(mix, turn, strict=True)] if own else []
+        groups = [draws[at : at + DRAWS] for at in range(0, len(draws), DRAWS)] or [[]]
+        want = {signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in group) > len(group))) for group in groups}
+        assert got[i] == sorted(want)
