@@ -368,6 +368,17 @@ def test_new_links_complete_what_stored_rows_have(spark):
             assert links.isEmpty()
 
 
+def test_small_buckets_meet_without_being_written(spark, monkeypatch):
+    from shutterlake.operators import duplicates as dup
+
+    wrote, written = [], dup.written
+    monkeypatch.setattr(dup, "written", lambda df, name: wrote.append((name, df.count())) or written(df, name))
+    fp = pictures(spark, mixed_pictures(60))
+    assert not dup.complete_links(fp).isEmpty() and sum(n for _, n in wrote) == 0  # rows lie under many keys each: no table has a row for each key
+    wrote.clear()
+    assert groups_of(dup.complete_links(fp, 3, 0)) == groups_of(dup.complete_links(fp))
+
+
 def test_new_links_of_a_hot_bucket_follow_the_new_rows(spark):
     from shutterlake.operators import duplicates as dup
 
