@@ -501,6 +501,23 @@ def test_a_pair_is_measured_once(spark):
     assert sorted(found.collect()) == sorted(dup.scored_pairs(pairs, fp).collect())
 
 
+def test_pairs_too_far_apart_never_leave_their_bucket(spark, monkeypatch):
+    from shutterlake.operators import duplicates as dup
+
+    kept, cut = [], dup.cut
+    monkeypatch.setattr(dup, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rng = random.Random(4)
+    few = pictures(spark, [(i, f"{rng.getrandbits(256):064x}", "12" * 8, "", "image/jpeg", None) for i in range(28)])  # one block hash, 378 pairs
+    assert dup.links_of(few).isEmpty() and dup.scored_candidates(few).isEmpty() and [df.count() for df in kept] == [0, 0]
+
+    fp = pictures(spark, mixed_pictures(120)).withColumn("rotations", F.array(F.lower("dhash"), F.reverse("dhash")))
+    more = fp.withColumn("color_histogram", F.array(F.lit(0.5), F.lit(0.5))).withColumn("video_keyframes", F.array(F.when(F.length("dhash") == 64, F.col("dhash")).otherwise("0" * 64)))
+    for df in (fp, more):
+        for turned in (False, True):
+            want = sorted(dup.scored_pairs(dup.candidate_pairs(df, None), df, turned).collect())
+            assert len(want) > 30 and sorted(dup.scored_candidates(df, None, turned).collect()) == want
+
+
 def test_merge_suggestions_look_at_near_people_alone(spark):
     import numpy as np
 
