@@ -671,3 +671,12 @@ def test_parts_of_a_hash_lose_no_near_one(spark):
         for v, parts in zip((x, y), both[i]):
             assert parts == [v >> (256 - b) & ((1 << (b - a)) - 1) for a, b in zip(ends, ends[1:])]
         assert any(p == q for p, q in zip(*both[i]))
+
+
+def test_rows_of_a_large_key_are_copied_a_bounded_number_of_times(spark, monkeypatch):
+    dealt, written = [], duplicates.written
+    monkeypatch.setattr(duplicates, "written", lambda df, name: dealt.append(df) or written(df, name))
+    df = spark.range(150).select("id", F.lit("x").alias("key"))
+    both = duplicates.joined_in_units(df, df.withColumnRenamed("id", "other"), "key", "id", "other", 2).collect()
+    assert len(both) == len({(r.id, r.other) for r in both}) == 150 * 150
+    assert [(r._of, r._by) for r in dealt[0].collect()] == [(duplicates.COPIES, duplicates.COPIES)]  # not 75, half the rows
